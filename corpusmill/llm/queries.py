@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusmill.llm.minhash_dedup import near_duplicates
 from corpusmill.llm.sentencepiece_codec import encode_texts
 from corpusmill.llm.substring_dedup import remove_repeats
 from corpusmill.llm.token_counts import token_counts
@@ -20,6 +21,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), window=50, with_text=False)
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -31,6 +36,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_minhash_dedup": op2_minhash_dedup,
         "op5_token_counts": op5_token_counts,
         "op8_sentencepiece": op8_sentencepiece,
     }

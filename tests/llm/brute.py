@@ -21,3 +21,32 @@ def substring(docs, window=50):
                 keep[i : i + window] = [False] * window
         out[d] = (len(w), keep.count(False), hashlib.sha256(" ".join(x for x, k in zip(w, keep) if k).encode()).hexdigest())
     return out
+
+
+def near(docs, width=4, percent=80):
+    """docs: (id, text); returns id -> (n_shingles, component, kept)."""
+    sets = {}
+    for d, t in docs:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[d] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+    holders = {}
+    for d, s in sets.items():
+        for g in s:
+            holders.setdefault(g, []).append(d)
+    common = {}
+    for ds in holders.values():
+        for i, a in enumerate(ds):
+            for b in ds[i + 1 :]:
+                common[a, b] = common.get((a, b), 0) + 1
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (a, b), n in common.items():
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    return {d: (len(sets[d]), root(d), root(d) == d) for d in sets}
