@@ -11,6 +11,7 @@ from corpusmill.llm.minhash_dedup import near_duplicates
 from corpusmill.llm.sentencepiece_codec import encode_texts
 from corpusmill.llm.substring_dedup import remove_repeats
 from corpusmill.llm.token_counts import token_counts
+from corpusmill.llm.toxicity import held_out, toxicity_scores, train_on
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity_scores(docs, train_on(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
@@ -38,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_minhash_dedup": op2_minhash_dedup,
         "op5_token_counts": op5_token_counts,
+        "op6_toxicity": op6_toxicity,
         "op8_sentencepiece": op8_sentencepiece,
     }
 
