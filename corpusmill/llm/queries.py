@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpusmill.llm.line_dedup import drop_boilerplate
 from corpusmill.llm.minhash_dedup import near_duplicates
+from corpusmill.llm.mixing import mix
+from corpusmill.llm.quality_rules import quality
 from corpusmill.llm.sentencepiece_codec import encode_texts
 from corpusmill.llm.substring_dedup import remove_repeats
 from corpusmill.llm.token_counts import token_counts
 from corpusmill.llm.toxicity import held_out, toxicity_scores, train_on
+from corpusmill.llm.vector_search import top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +31,18 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mix(docs, F.col("source"), weights=(1, 2, 3), repeats=3)
+    return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    kept = drop_boilerplate(docs, F.col("source"), ratio=0.1, least_pages=5, counts=True)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -40,15 +57,54 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), language=F.col("lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_minhash_dedup": op2_minhash_dedup,
+        "op3_mixing": op3_mixing,
+        "op4_line_dedup": op4_line_dedup,
         "op5_token_counts": op5_token_counts,
         "op6_toxicity": op6_toxicity,
         "op8_sentencepiece": op8_sentencepiece,
+        "op9_vector_search": op9_vector_search,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
+ORACLE = {
+    "op4_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, source, pos, line, trim(line, chr(32) || chr(9) || chr(13)) AS bare
+            FROM (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)
+        ), totals AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+        often AS (
+            SELECT l.source, l.bare FROM (SELECT source, bare, count(DISTINCT doc_id) AS n FROM lines WHERE bare <> '' GROUP BY source, bare) l
+            JOIN totals t ON l.source IS NOT DISTINCT FROM t.source WHERE n >= 5 AND n > 0.1 * pages
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE o.bare IS NOT NULL) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE o.bare IS NULL), '')) AS kept_sha256
+        FROM lines l LEFT JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND l.bare = o.bare
+        GROUP BY doc_id""",
+    "op9_vector_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM pairs QUALIFY rank <= 10""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

@@ -50,3 +50,31 @@ def near(docs, width=4, percent=80):
             a, b = root(a), root(b)
             parent[max(a, b)] = min(a, b)
     return {d: (len(sets[d]), root(d), root(d) == d) for d in sets}
+
+
+def quality_base(text, window=5):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
+    w = WORD.findall(text or "")
+    grams = [tuple(w[i : i + window]) for i in range(len(w) - window + 1)]
+    again = {g for g in grams if grams.count(g) > 1} if len(grams) < 3000 else {g for g, n in __import__("collections").Counter(grams).items() if n > 1}
+    covered = {j for i, g in enumerate(grams) if g in again for j in range(i, i + window)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    n = len(w)
+    return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered), n < 10 or 100 * len(covered) > 20 * n
+
+
+def top(vectors, k=10, every=100):
+    """vectors: (id, list or None); returns (query, rank, id, score) rows."""
+    import math
+
+    good = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in vectors if v and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, a in good:
+        if q % every == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q and len(a) == len(b))[:k]
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    return out
