@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm.html_text import extract_text
 from corpusmill.llm.line_dedup import drop_boilerplate
 from corpusmill.llm.minhash_dedup import near_duplicates
 from corpusmill.llm.mixing import mix
@@ -53,6 +54,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op5_token_counts": op5_token_counts,
         "op6_toxicity": op6_toxicity,
+        "op7_html_text": op7_html_text,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_vector_search": op9_vector_search,
         "op10_quality_rules": op10_quality_rules,
