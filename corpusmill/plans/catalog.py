@@ -1,6 +1,6 @@
 """All queries of the library but those of the corpus operators."""
 
-from corpusmill.plans import analytics  # noqa: F401
+from corpusmill.plans import analytics, ordered, relations  # noqa: F401
 from corpusmill.plans.registry import REGISTRY as QUERIES
 
 __all__ = ["QUERIES"]
