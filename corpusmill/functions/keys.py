@@ -1,0 +1,52 @@
+"""Keys and labels of legal sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from corpusmill.functions.text import fold, squeeze
+
+# Fillers that stand for nothing, types that are one text, and types whose number names the text.
+FILLERS = ["valor de relleno", "desconocido", "n/a", ""]
+WHOLE = ["constitucion", "codigo"]
+NUMBERED = ["ley", "decreto ley"]
+ALIASES = {"ctb": "código tributario", "cpr": "constitución política de la república", "cc": "código civil"}
+
+
+def filler(x: Column) -> Column:
+    """Whether a value only fills a field."""
+    return F.lower(F.trim(x)).isin([f for f in FILLERS])
+
+
+def canonical_type(x: Column, aliases: dict[str, str] = ALIASES) -> Column:
+    """The full name of a type."""
+    low = F.lower(squeeze(x))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in aliases.items() for v in kv]), low), low)
+
+
+def source_key(kind: Column, number: Column, article: Column, year: Column, sector: Column) -> Column:
+    """What identifies a source: laws by type, number and article; constitutions and codes by type and article; others by all five parts.
+
+    Empty parts are "-". A filler as type or number gives null.
+    """
+    part = lambda c: F.coalesce(F.nullif(F.lower(squeeze(c.cast("string"))), F.lit("")), F.lit("-"))
+    name = fold(canonical_type(kind))
+    plain = F.regexp_replace(part(number), r"\.", "")
+    whole = name.startswith(WHOLE[0]) | name.startswith(WHOLE[1])
+    numbered = name.isin(NUMBERED)
+    key = F.when(whole, F.concat_ws("|", name, part(article))).when(numbered, F.concat_ws("|", name, plain, part(article))).otherwise(F.concat_ws("|", name, plain, part(article), part(year), part(sector)))
+    return F.when(kind.isNull() | filler(kind) | F.coalesce(filler(number) & (F.trim(number) != ""), F.lit(False)), None).otherwise(key)
+
+
+def source_label(kind: Column, number: Column, article: Column) -> Column:
+    """A source as it is shown: laws with dots in their number, then the article."""
+    plain = F.regexp_replace(F.trim(number), r"\.", "")
+    dotted = F.when(plain.rlike("^[0-9]{4,6}$"), F.regexp_replace(plain, r"(\d)(\d{3})$", "$1.$2")).otherwise(number)
+    base = F.concat_ws(" ", F.initcap(canonical_type(kind)), F.nullif(dotted, F.lit("")))
+    return F.when(article.isNotNull() & (F.trim(article) != ""), F.concat(base, F.lit(", art. "), F.trim(article))).otherwise(base)
+
+
+def document_id(number: Column, year: Column) -> Column:
+    """A document's id: the number, N, and the last two digits of the year."""
+    return F.concat(number.cast("string"), F.lit("N"), F.lpad((year % 100).cast("string"), 2, "0"))
