@@ -3,7 +3,8 @@
 Rows with the same set of shingles form a class, named by its smallest id. Classes are sketched; each band of the
 sketch is a bucket. First every member of a bucket is compared with the bucket's smallest member only, which links the
 bulk of any group in as many comparisons as it has members. What is then still in different components of one bucket
-is compared exhaustively, so no link that a bucket shows is lost and no group is expanded into all its pairs.
+is compared by sketches, in blocks, and where these don't rule out a link, on the full sets; no group is expanded into
+all its pairs.
 """
 
 from __future__ import annotations
@@ -23,6 +24,11 @@ _GRAM, _RUN = Powers(0x8EBC6AF09C88C6E3), Powers(0x589965CC75374CC3)
 _U64 = np.uint64
 _EMPTY = _U64(0xFFFFFFFFFFFFFFFF)
 
+#: Members of a bucket in one block.
+BLOCK = 512
+#: A pair whose sketches agree in fewer coordinates than the limit's share by this many standard deviations isn't linked (1 in 10,000 of the pairs just at the limit).
+SPREADS = 3.7
+
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Text numbers and hashes of the distinct shingles of some texts, sorted by both.
@@ -83,7 +89,7 @@ def _described(width: int, bands: int, rows: int):
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts, ids, keys = encoded(pdf["_text"]), pdf["_id"].to_numpy(), pdf["_key"].to_numpy()
-            for a, b in steps(texts, 4_000_000):
+            for a, b in steps(texts):
                 text, value = shingle_sets(texts[a:b], width)
                 n = np.bincount(text, minlength=b - a)
                 edge = np.concatenate(([0], np.cumsum(n)))
@@ -118,6 +124,66 @@ def _linked(width: int, percent: int):
     return linked
 
 
+def _shortened(width: int, size: int):
+    """The sketch with one byte for each coordinate."""
+
+    def shortened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts, ids = encoded(pdf["_text"]), pdf["_id"].to_numpy()
+            for a, b in steps(texts):
+                text, value = shingle_sets(texts[a:b], width)
+                low = (mix(sketches(text, value, b - a, size)) & _U64(255)).astype(np.uint8)
+                yield pd.DataFrame({"_id": ids[a:b], "short": [x.tobytes() for x in low]})
+
+    return shortened
+
+
+def _across(rest: DataFrame, percent: int, size: int) -> DataFrame:
+    """Pairs of one bucket that are in different components and whose sketches don't rule out a link.
+
+    Each such pair has a side outside the bucket's main component. These sides in blocks meet all members in blocks; a
+    task holds two blocks at a time and compares sketches there, so that only pairs within ``SPREADS`` standard
+    deviations of the limit come out, to be confirmed on the full sets.
+    """
+    limit = percent / 100
+    least = size * (limit - SPREADS * (limit * (1 - limit) / size) ** 0.5)
+    place = lambda n, seed: F.pmod(F.xxhash64("_id", F.lit(seed)), F.col(n)).cast("int")
+    row = ["band", "_id", "n", "part", "short"]
+    outer = rest.where("part != main").select(*row, F.lit(True).alias("out"), place("outer", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("inner") - 1)).alias("j"))
+    inner = rest.select(*row, F.lit(False).alias("out"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), place("inner", 2).alias("j"))
+
+    def compared(group: pd.DataFrame) -> pd.DataFrame | None:
+        out = group["out"].to_numpy()
+        if out.all() or not out.any():
+            return None
+        short = np.frombuffer(b"".join(group["short"]), dtype=np.uint8).reshape(len(group), -1)
+        ids, n, part = (group[c].to_numpy() for c in ("_id", "n", "part"))
+        y, found = np.flatnonzero(~out), []
+        for x in np.flatnonzero(out):
+            near = y[(part[y] != part[x]) & (n[y] * 100 >= n[x] * percent) & (n[x] * 100 >= n[y] * percent)]
+            near = near[(short[near] == short[x]).sum(axis=1) >= least]
+            found.append(np.stack((np.minimum(ids[near], ids[x]), np.maximum(ids[near], ids[x])), axis=1))
+        both = np.concatenate(found)
+        return pd.DataFrame(both, columns=["a", "b"]) if len(both) else None
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            key = pdf[["band", "i", "j"]].to_numpy()
+            edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))) if len(key) else []
+            for a, b in zip(edge, [*edge[1:], len(pdf)]):
+                part = pdf.iloc[a:b]
+                if held and (held[-1][["band", "i", "j"]].iloc[-1].to_numpy() != key[a]).any():
+                    if (out := compared(pd.concat(held) if len(held) > 1 else held[0])) is not None:
+                        yield out
+                    held = []
+                held.append(part)
+        if held and (out := compared(pd.concat(held))) is not None:
+            yield out
+
+    return outer.unionByName(inner).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(blocks, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 56, rows: int = 8) -> DataFrame:
     """Of each row: id, n_shingles, component_id (smallest id reachable over links) and kept (its id is the component's).
 
@@ -147,12 +213,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = components(links)
     rest = members.select("band", "_id", "n").join(parts, F.col("_id") == F.col("id"), "left").select("band", "_id", "n", F.coalesce("component", "_id").alias("part"))
     sizes = rest.groupBy("band", "part").agg(F.count("*").alias("many"))
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("many", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("most.part").alias("main"))
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("many", "part")).alias("most"), F.count("*").alias("parts"), F.sum("many").alias("all")).where("parts > 1").select("band", F.col("most.part").alias("main"), F.ceil((F.col("all") - F.col("most.many")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("all") / BLOCK).cast("int").alias("inner"))
     rest = written(rest.join(mixed, "band"), "mixed")
-    # all pairs across components have one side outside the bucket's main component
-    x, y = rest.where("part != main").alias("x"), rest.alias("y")
-    across = x.join(y, F.col("x.band") == F.col("y.band")).where((F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.main")) | (F.col("x._id") < F.col("y._id"))) & near(F.col("x.n"), F.col("y.n")))
-    across = across.select(F.least("x._id", "y._id").alias("a"), F.greatest("x._id", "y._id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    short = held.join(rest.select("_id").distinct(), "_id", "left_semi").mapInPandas(_shortened(width, bands * rows), "_id long, short binary").dropDuplicates(["_id"])
+    across = _across(rest.join(short, "_id"), percent, bands * rows).distinct().join(stars, ["a", "b"], "left_anti")
     more = written(verified(across), "links")
     if not more.isEmpty():
         parts = components(links.union(more))
