@@ -1,6 +1,6 @@
 """All queries of the library but those of the corpus operators."""
 
-from corpusmill.plans import analytics, changing, graphs, ordered, relations, scalars  # noqa: F401
+from corpusmill.plans import analytics, auditing, changing, graphs, ordered, relations, retrieving, scalars  # noqa: F401
 from corpusmill.plans.registry import REGISTRY as QUERIES
 
 __all__ = ["QUERIES"]
