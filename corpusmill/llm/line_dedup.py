@@ -52,19 +52,23 @@ def drop_boilerplate(pages: DataFrame, site: Column, text_col: str = "text", rat
     a site of its own. With ``counts``, n_lines and n_dropped are added.
     """
     often = boilerplate(pages, site, text_col, ratio, least_pages)
-    names = pages.columns
-    rows = pages.withColumn("_own_site", site)
+    # the row's own columns stay together in one, whatever their names
+    row = F.col("_row")
+    whole = row.getField(text_col)
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_row"), site.alias("_own_site"))
     if often.limit(broadcast_sites + 1).count() <= broadcast_sites:  # arrays of bounded length, at most so many
         joined = rows.join(F.broadcast(often), F.col("_own_site").eqNullSafe(F.col("_site")), "left")
     else:
         # only pages that hold such a line are looked up; they move by a hash of their own, not by site
-        key = F.xxhash64(*[F.col(f"`{c}`") for c in names])
-        lines = rows.select(key.alias("_row"), "_own_site", F.explode(_hashes(F.col(text_col))).alias("_line"))
-        flat = often.select("_site", F.explode("_lines").alias("_line"))
-        hit = lines.join(flat, (lines["_line"] == flat["_line"]) & lines["_own_site"].eqNullSafe(flat["_site"])).groupBy("_row").agg(F.collect_set(lines["_line"]).alias("_lines"))
-        joined = rows.withColumn("_mine", key).join(hit, F.col("_mine") == F.col("_row"), "left")
-    kept = F.filter(_lines(F.col(text_col)), lambda x: (_bare(x) == "") | ~F.array_contains("_lines", F.xxhash64(_bare(x))))
-    text = F.when(F.col("_lines").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    total = F.size(_lines(F.col(text_col)))
-    extra = [total.cast("long").alias("n_lines"), F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(total - F.size(kept)).cast("long").alias("n_dropped")] if counts else []
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], *extra)
+        key = F.xxhash64("_own_site", whole)
+        lines = rows.select(key.alias("_key"), "_own_site", F.explode(_hashes(whole)).alias("_line"))
+        flat = often.select("_site", F.explode("_lines").alias("_often"))
+        hit = lines.join(flat, (F.col("_line") == F.col("_often")) & F.col("_own_site").eqNullSafe(F.col("_site"))).groupBy("_key").agg(F.collect_set("_line").alias("_lines"))
+        joined = rows.withColumn("_mine", key).join(hit, F.col("_mine") == F.col("_key"), "left")
+    kept = F.filter(_lines(whole), lambda x: (_bare(x) == "") | ~F.array_contains("_lines", F.xxhash64(_bare(x))))
+    text = F.when(F.col("_lines").isNull() | whole.isNull(), whole).otherwise(F.array_join(kept, "\n"))
+    total = F.size(_lines(whole))
+    dropped = F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(total - F.size(kept))
+    out = joined.select("_row", text.alias("_text"), total.cast("long").alias("_total"), dropped.cast("long").alias("_dropped"))
+    extra = [F.col("_total").alias("n_lines"), F.col("_dropped").alias("n_dropped")] if counts else []
+    return out.select(*[F.col("_text").alias(c) if c == text_col else row.getField(c).alias(c) for c in pages.columns], *extra)

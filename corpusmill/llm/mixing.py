@@ -128,7 +128,7 @@ def _solve(repeats: int):
 
 
 def mix(docs: DataFrame, sources: Column, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
-    """``docs`` with _size, _copies (how often the mix takes the document, 0 to ``repeats``), _sources and, for the first of these, _source_size and _target.
+    """``document`` (the row), size, copies (how often the mix takes it, 0 to ``repeats``), sources and, for the first of these, source_size and target.
 
     ``sources`` is a string or an array of strings (a document in several sources). A null text has size 0. Reruns agree:
     the order of documents is a hash of seed, id and text. Rows that agree in both are taken alike.
@@ -136,7 +136,7 @@ def mix(docs: DataFrame, sources: Column, weights: tuple[int, ...] = (1, 2, 3),
     kind = docs.select(sources.alias("s")).schema["s"].dataType.typeName()
     several = F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))) if kind == "array" else F.array(sources.cast("string"))
     order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))), 1, 15), 16, 10).cast("long")
-    marked = docs.withColumn("_sources", several).withColumn("_size", word_count(F.col(text_col))).withColumn("_h", order)
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), several.alias("_sources"), word_count(F.col(text_col)).alias("_size"), order.alias("_h"))
     # a null source has a name that no other has; the name of a pattern is built from its sources' names
     named = F.transform("_sources", lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("null")))
     marked = marked.withColumn("_pattern", F.to_json(named))
@@ -171,4 +171,4 @@ def mix(docs: DataFrame, sources: Column, weights: tuple[int, ...] = (1, 2, 3),
     out = marked.join(plan, F.col("_pattern") == F.col("_p"), "left").withColumn("_copies", F.coalesce(copies, F.lit(0)))
     first = F.when(F.size("_sources") > 0, F.element_at("_sources", 1))
     out = out.withColumn("_first", first).join(t, F.col("_first").eqNullSafe(F.col("_name")), "left")
-    return out.select(*docs.columns, "_size", "_copies", "_sources", "_source_size", "_target")
+    return out.select("document", F.col("_size").alias("size"), F.col("_copies").alias("copies"), F.col("_sources").alias("sources"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"))

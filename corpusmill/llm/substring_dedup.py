@@ -156,7 +156,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = unique.repartition("shard").sortWithinPartitions("shard").mapInPandas(_index(window), "shard long, p1 long, p2 long, first array<long>")
     found = pieces.select("anchor", "h1", "h2", "i", "shard", "p1", "p2").join(found, ["shard", "p1", "p2"])
     # the windows of hot passages come one by one, at most as many as a passage has; i is -1 for a whole passage
-    found = found.groupBy("anchor", "h1", "h2").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "first"))), lambda x: x["first"])).alias("first"))
+    found = found.groupBy("anchor", "h1", "h2").agg(F.flatten(F.transform(F.array_sort(F.collect_set(F.struct("i", "first"))), lambda x: x["first"])).alias("first"))
     whole = held.join(found, ["anchor", "h1", "h2"])
     hits = whole.select("_id", "_key", "at", F.transform("first", lambda d: d < F.col("_id")).alias("hit")).where(F.exists("hit", lambda x: x))
     spans = hits.select("_id", "_key", F.explode(_runs(F.col("hit"), F.col("at"), window)).alias("s"))
