@@ -2,9 +2,9 @@
 
 Rows with the same set of shingles form a class, named by its smallest id. Classes are sketched; each band of the
 sketch is a bucket. First every member of a bucket is compared with the bucket's smallest member only, which links the
-bulk of any group in as many comparisons as it has members. What is then still in different components of one bucket
-is compared by sketches, in blocks, and where these don't rule out a link, on the full sets; no group is expanded into
-all its pairs.
+bulk of any group in as many comparisons as it has members. Components that still share a bucket are compared member by
+member inside tasks, in blocks: by sketches, and where these don't rule out a link, on the full sets; only links that
+connect what isn't connected come out, so no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ _GRAM, _RUN = Powers(0x8EBC6AF09C88C6E3), Powers(0x589965CC75374CC3)
 _U64 = np.uint64
 _EMPTY = _U64(0xFFFFFFFFFFFFFFFF)
 
-#: Members of a bucket in one block.
-BLOCK = 512
+#: Shingles in one block of a group's members.
+BLOCK = 200_000
 #: A pair whose sketches agree in fewer coordinates than the limit's share by this many standard deviations isn't linked (1 in 10,000 of the pairs just at the limit).
 SPREADS = 3.7
 
@@ -124,64 +124,83 @@ def _linked(width: int, percent: int):
     return linked
 
 
-def _shortened(width: int, size: int):
-    """The sketch with one byte for each coordinate."""
+def _compact(width: int, size: int):
+    """The sketch with one byte for each coordinate, and the set."""
 
-    def shortened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts, ids = encoded(pdf["_text"]), pdf["_id"].to_numpy()
             for a, b in steps(texts):
                 text, value = shingle_sets(texts[a:b], width)
                 low = (mix(sketches(text, value, b - a, size)) & _U64(255)).astype(np.uint8)
-                yield pd.DataFrame({"_id": ids[a:b], "short": [x.tobytes() for x in low]})
+                edge = np.searchsorted(text, np.arange(b - a + 1))
+                yield pd.DataFrame({"_id": ids[a:b], "short": [x.tobytes() for x in low], "set": [value[i:j].tobytes() for i, j in zip(edge, edge[1:])]})
 
-    return shortened
+    return compact
 
 
-def _across(rest: DataFrame, percent: int, size: int) -> DataFrame:
-    """Pairs of one bucket that are in different components and whose sketches don't rule out a link.
+def _across(parts: DataFrame, near: DataFrame, sets: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links (a, b) between different components of a group: a main component and those (outer) that share a bucket with it.
 
-    Each such pair has a side outside the bucket's main component. These sides in blocks meet all members in blocks; a
-    task holds two blocks at a time and compares sketches there, so that only pairs within ``SPREADS`` standard
-    deviations of the limit come out, to be confirmed on the full sets.
+    parts: _id, n, part of all members of buckets; near: (main, part) of each outer component; sets: _id, short, set.
+    Outer members in blocks meet all members of their group in blocks; a task holds two blocks at a time. A pair whose
+    sketches are within ``SPREADS`` standard deviations of the limit is confirmed on the full sets there, unless the two
+    are connected by then, so no more links come out than there are members.
     """
     limit = percent / 100
     least = size * (limit - SPREADS * (limit * (1 - limit) / size) ** 0.5)
     place = lambda n, seed: F.pmod(F.xxhash64("_id", F.lit(seed)), F.col(n)).cast("int")
-    row = ["band", "_id", "n", "part", "short"]
-    outer = rest.where("part != main").select(*row, F.lit(True).alias("out"), place("outer", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("inner") - 1)).alias("j"))
-    inner = rest.select(*row, F.lit(False).alias("out"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), place("inner", 2).alias("j"))
+    outer = near.join(parts, "part").select(F.col("main").alias("group"), "_id", "n", "part", F.lit(True).alias("out"))
+    inner = near.select("main").distinct().join(parts, F.col("main") == F.col("part")).select(F.col("main").alias("group"), "_id", "n", "part", F.lit(False).alias("out"))
+    members = written(outer.unionByName(inner), "groups")
+    blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = members.groupBy("group").agg(blocks_of(F.sum(F.when(F.col("out"), F.col("n")))).alias("ni"), blocks_of(F.sum("n")).alias("nj"))
+    rows = members.join(sizes, "group").join(sets, "_id")
+    cols = ["group", "_id", "n", "part", "short", "set"]
+    x = rows.where("out").select(*cols, F.lit(True).alias("out"), place("ni", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
+    y = rows.select(*cols, F.lit(False).alias("out"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), place("nj", 2).alias("j"))
 
     def compared(group: pd.DataFrame) -> pd.DataFrame | None:
         out = group["out"].to_numpy()
         if out.all() or not out.any():
             return None
         short = np.frombuffer(b"".join(group["short"]), dtype=np.uint8).reshape(len(group), -1)
+        held = [np.frombuffer(s, dtype=_U64) for s in group["set"]]
         ids, n, part = (group[c].to_numpy() for c in ("_id", "n", "part"))
-        y, found = np.flatnonzero(~out), []
-        for x in np.flatnonzero(out):
-            near = y[(part[y] != part[x]) & (n[y] * 100 >= n[x] * percent) & (n[x] * 100 >= n[y] * percent)]
-            near = near[(short[near] == short[x]).sum(axis=1) >= least]
-            found.append(np.stack((np.minimum(ids[near], ids[x]), np.maximum(ids[near], ids[x])), axis=1))
-        both = np.concatenate(found)
-        return pd.DataFrame(both, columns=["a", "b"]) if len(both) else None
+        above: dict[int, int] = {}
+
+        def top(p: int) -> int:
+            while (q := above.get(p, p)) != p:
+                p = q
+            return p
+
+        others, found = np.flatnonzero(~out), []
+        for a in np.flatnonzero(out):
+            close = others[(part[others] != part[a]) & (n[others] * 100 >= n[a] * percent) & (n[a] * 100 >= n[others] * percent)]
+            alike = (short[close] == short[a]).sum(axis=1)
+            for b in close[np.argsort(-alike, kind="stable")][: int((alike >= least).sum())]:
+                if top(part[a]) != top(part[b]):
+                    common = len(np.intersect1d(held[a], held[b], assume_unique=True))
+                    if 100 * common >= percent * (len(held[a]) + len(held[b]) - common):
+                        above[top(part[a])] = top(part[b])
+                        found.append((ids[a], ids[b]))
+        return pd.DataFrame(found, columns=["a", "b"]) if found else None
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for pdf in batches:
-            key = pdf[["band", "i", "j"]].to_numpy()
+            key = pdf[["group", "i", "j"]].to_numpy()
             edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))) if len(key) else []
             for a, b in zip(edge, [*edge[1:], len(pdf)]):
-                part = pdf.iloc[a:b]
-                if held and (held[-1][["band", "i", "j"]].iloc[-1].to_numpy() != key[a]).any():
+                if held and (held[-1][["group", "i", "j"]].iloc[-1].to_numpy() != key[a]).any():
                     if (out := compared(pd.concat(held) if len(held) > 1 else held[0])) is not None:
                         yield out
                     held = []
-                held.append(part)
+                held.append(pdf.iloc[a:b])
         if held and (out := compared(pd.concat(held))) is not None:
             yield out
 
-    return outer.unionByName(inner).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(blocks, "a long, b long")
+    return x.unionByName(y).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInPandas(blocks, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 56, rows: int = 8) -> DataFrame:
@@ -211,13 +230,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = written(verified(stars), "links")
     parts = components(links)
-    rest = members.select("band", "_id", "n").join(parts, F.col("_id") == F.col("id"), "left").select("band", "_id", "n", F.coalesce("component", "_id").alias("part"))
-    sizes = rest.groupBy("band", "part").agg(F.count("*").alias("many"))
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("many", "part")).alias("most"), F.count("*").alias("parts"), F.sum("many").alias("all")).where("parts > 1").select("band", F.col("most.part").alias("main"), F.ceil((F.col("all") - F.col("most.many")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("all") / BLOCK).cast("int").alias("inner"))
-    rest = written(rest.join(mixed, "band"), "mixed")
-    short = held.join(rest.select("_id").distinct(), "_id", "left_semi").mapInPandas(_shortened(width, bands * rows), "_id long, short binary").dropDuplicates(["_id"])
-    across = _across(rest.join(short, "_id"), percent, bands * rows).distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(verified(across), "links")
+    labelled = written(members.select("_id", "n").distinct().join(parts, F.col("_id") == F.col("id"), "left").select("_id", "n", F.coalesce("component", "_id").alias("part")), "labelled")
+    rest = members.select("band", "_id").join(labelled, "_id").groupBy("band", "part").agg(F.count("*").alias("many"))
+    mains = rest.groupBy("band").agg(F.max(F.struct("many", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("most.part").alias("main"))
+    near_parts = written(rest.join(mains, "band").where("part != main").select("main", "part").distinct(), "near")
+    wide = near_parts.select(F.explode(F.array("main", "part")).alias("part")).distinct().join(labelled, "part").select("_id")
+    sets = held.join(wide, "_id", "left_semi").mapInPandas(_compact(width, bands * rows), "_id long, short binary, set binary").dropDuplicates(["_id"])
+    more = written(_across(labelled, near_parts, written(sets, "sets"), percent, bands * rows), "links")
     if not more.isEmpty():
         parts = components(links.union(more))
     found = described.select("_id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left").join(parts, F.col("rep") == F.col("id"), "left")
