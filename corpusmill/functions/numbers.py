@@ -9,7 +9,7 @@ from corpusmill.operators.aggregates import half_up
 
 
 def clamp(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
+    return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
 
 
 def safe_ratio(a: Column, b: Column) -> Column:
