@@ -85,7 +85,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_SPLIT = r"list_filter(regexp_split_to_array({x}, '[\x20\x09-\x0D]+'), lambda v: v <> '')"
+_WORDS = _SPLIT.format(x="coalesce(text, '')")
+_LOWER = _SPLIT.format(x="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
 ORACLE = {
+    "op1_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)),
+        hit AS (SELECT doc_id, i FROM win JOIN (SELECT s, min(doc_id) AS m FROM win GROUP BY s) USING (s) WHERE m < doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM hit),
+        word AS (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS p FROM w),
+        kept AS (SELECT doc_id, string_agg(v, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+        SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op2_minhash_dedup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_LOWER} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 3], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1) + 1))) AS i FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+            GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (max(x.n) + max(y.n) - count(*))),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, c = doc_id AS kept FROM (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY 1) LEFT JOIN n USING (doc_id)""",
+    "op3_mixing": f"""
+        WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, CAST('0x' || substr(md5('17|' || doc_id || '|' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w FROM d GROUP BY source),
+        r AS (SELECT *, sum(s) OVER () AS total, sum(w) OVER () AS shared, coalesce(sum(3 * s) OVER o, 0) AS before, coalesce(sum(w) OVER o, 0) AS used, 3 * s / w AS ratio FROM s
+            WINDOW o AS (ORDER BY 3 * s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        u AS (SELECT arg_min((total - before) / (shared - used), (ratio, source)) AS unit FROM r WHERE 3 * s > w * ((total - before) / (shared - used))),
+        t AS (SELECT source, s, least(CAST(3 * s AS DOUBLE), w * CAST(unit AS DOUBLE)) AS target, CASE WHEN s > 0 THEN CAST(floor(round_even(least(CAST(3 * s AS DOUBLE), w * CAST(unit AS DOUBLE)), 0) / s) AS BIGINT) ELSE 1 END AS times FROM s, u),
+        c AS (SELECT d.*, t.s, t.target, t.times, greatest(CAST(round_even(t.target, 0) AS BIGINT) - t.times * t.s, 0) AS rest, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, s AS source_size, target, CAST(size * (times + CASE WHEN times < 3 AND upto - size / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c""",
     "op4_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, source, pos, line, trim(line, chr(32) || chr(9) || chr(13)) AS bare
