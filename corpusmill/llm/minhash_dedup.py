@@ -231,7 +231,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(verified(stars), "links")
     parts = components(links)
     labelled = written(members.select("_id", "n").distinct().join(parts, F.col("_id") == F.col("id"), "left").select("_id", "n", F.coalesce("component", "_id").alias("part")), "labelled")
-    rest = members.select("band", "_id").join(labelled, "_id").groupBy("band", "part").agg(F.count("*").alias("many"))
+    # the largest component of those that share a bucket is the main one, so that the smaller ones are what moves
+    whole = labelled.groupBy("part").agg(F.count("*").alias("many"))
+    rest = members.select("band", "_id").join(labelled, "_id").select("band", "part").distinct().join(whole, "part")
     mains = rest.groupBy("band").agg(F.max(F.struct("many", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("most.part").alias("main"))
     near_parts = written(rest.join(mains, "band").where("part != main").select("main", "part").distinct(), "near")
     wide = near_parts.select(F.explode(F.array("main", "part")).alias("part")).distinct().join(labelled, "part").select("_id")
