@@ -118,3 +118,46 @@ def merged_lines(lines: DataFrame, override: DataFrame, line: str) -> DataFrame:
     return to.groupBy("line").agg(F.sum("members").alias("members"), F.sum("sources").alias("sources"), parts.alias("merged"), half_up(mean - F.when(parts > 1, 0.08).otherwise(0.0), 3).alias("coherence"), F.max("level").alias("level"))
 
 
+
+
+def query_alignment(coverage: Column, retrieval: Column, intent: Column, off_topic: Column, stale: Column) -> Column:
+    """How a cluster fits a query: coverage .42, retrieval .34 and the intent's boost; less for what is off topic or stale, 1.2 at most."""
+    raw = (coverage * 0.42 + retrieval * 0.34 + intent) * F.when(off_topic, 0.58).otherwise(1.0) * F.when(stale, 0.72).otherwise(1.0)
+    return half_up(F.least(F.lit(1.2), raw), 3)
+
+
+def direct_hits(hits: DataFrame, by: str, key: str, score: str, coverage: str) -> DataFrame:
+    """Hits with 1.45 * (score / best) + 2.2 * coverage, and whether a query's best one is strong: at least .9 of the best score, .04 ahead."""
+    w = Window.partitionBy(by)
+    normed = hits.withColumn("_n", F.coalesce(F.col(score) / F.nullif(F.max(score).over(w), F.lit(0.0)), F.lit(0.0)))
+    value = half_up(F.col("_n") * 1.45 + F.col(coverage) * 2.2, 4)
+    ordered = w.orderBy(F.desc("value"), key)
+    out = normed.withColumn("value", value).withColumn("place", F.row_number().over(ordered)).withColumn("_gap", F.col("_n") - F.lead("_n").over(ordered))
+    return out.withColumn("strong", (F.col("place") == 1) & (F.col("_n") >= 0.9) & (F.coalesce("_gap", F.lit(1.0)) >= 0.04)).drop("_n", "_gap")
+
+
+def active_signal(recent: Column, relations: Column, status: Column, priority_: Column) -> Column:
+    """How alive a line is: recency .40, relations .15, the score of its status .30 and priority .15."""
+    scores = {"current": 1.0, "qualified": 0.6, "forming": 0.5, "displaced": 0.1}
+    by_status = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in scores.items() for v in kv]), status), F.lit(0.3))
+    return _clamped(recent * 0.40 + relations * 0.15 + by_status * 0.30 + priority_ * 0.15)
+
+
+def pivots(members: DataFrame, by: str, key: str, modifying: str, stabilising: str, ts: str) -> DataFrame:
+    """The member on which each cluster turns: most modifying relations, then most stabilising, then newest, then the smaller key."""
+    w = Window.partitionBy(by).orderBy(F.desc(modifying), F.desc(stabilising), F.desc(ts), key)
+    return members.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def visible_representatives(clusters: DataFrame, pivot: str, newest: str, displaced: str) -> DataFrame:
+    """Which document stands for a cluster: its pivot, or its newest one where the pivot is displaced."""
+    return clusters.withColumn("representative", F.when(F.col(displaced), F.col(newest)).otherwise(F.col(pivot)))
+
+
+def presented(lines: DataFrame, family: str, key: str, score: str, momentum: str, anchor: str) -> DataFrame:
+    """Lines in the order in which they are shown: 0.7 * score + 0.3 * momentum, a third less behind the leader of their family, anchors first."""
+    base = F.col(score) * 0.7 + F.col(momentum) * 0.3
+    w = Window.partitionBy(family)
+    out = lines.withColumn("_b", base).withColumn("_lead", F.row_number().over(w.orderBy(F.desc("_b"), key)) == 1)
+    value = half_up(F.when(F.col("_lead"), F.col("_b")).otherwise(F.col("_b") * 2 / 3), 4)
+    return out.withColumn("shown_score", value).drop("_b", "_lead").orderBy(F.col(anchor).desc(), F.desc("shown_score"), key)

@@ -21,9 +21,17 @@ def test_tags(spark):
 
 def test_source_keys(spark):
     k = lambda kind, number=None, article=None, year=None: keys.source_key(*[F.lit(x).cast("string") for x in (kind, number, article, year, None)])
-    r = one(spark, k("Ley", "18.834", "1"), k("Ley", "18.834", "2"), k("Código Civil", None, "1545"), k("Código Civil", "", "1546"), k("Decreto", "250", "10", "2004"), k("Decreto", "250", "11", "2004"), k("Ley", "valor de relleno"), k("Desconocido", "123"), k("Ley", "n/a"), k("ctb", None, "68"), k("Código Tributario", None, "68"))
+    r = one(spark, k("Ley", "18.834", "1"), k("Ley", "18.834", "2"), k("Código Civil", None, "1545"), k("Código Civil", "", "1546"), k("Decreto", "250", "10", "2004"), k("Decreto", "250", "11", "2004"), k("Ley", "valor de relleno"), k("Desconocido", "123"), k("Ley", "n/a"), k("ctb", None, "68"), k("Código del Trabajo", None, "68"))
     assert r[0] != r[1] and r[2] != r[3] and r[4] != r[5] and None not in r[:6] and r[6] is r[7] is r[8] is None and r[9] == r[10]
-    assert one(spark, keys.source_label(F.lit("Ley"), F.lit("18834"), F.lit("4")))[0] == "Ley 18.834, art. 4"
+    assert one(spark, keys.source_label(F.lit("Ley"), F.lit("18834"), F.lit("4")))[0] == "Ley 18.834, Estatuto Administrativo, art. 4"
+
+
+def test_regime_keys(spark):
+    k = lambda *p: keys.regime_key(*[F.lit(x).cast("string") for x in p])
+    r = one(spark, k("CPR", None, "19", None, None), k("Código Civil", None, None, None, None), k("ctb", None, "68", None, None), k("LBPA", None, None, None, None), k("LBPA", None, "3", None, None), k("Ley", "19880", None, None, None), k("Ley", "21000", None, None, None), k("Decreto", "250", None, None, None), k("Decreto", "250", None, "2004", "Ministerio."), k("DFL", "29", None, "2004", None), k("Otro", "5", "2", None, None), k("Decreto Ley", "799", "", None, None))
+    assert r[:] == (None, None, "Código|Código del Trabajo|68", None, "Ley|19880|3", None, "Ley|21000|", None, "Decreto|250|2004|minis|", None, "Otro|5|2", "DL|799|")
+    s = one(spark, keys.stored_source(*[F.lit(x) for x in ("ley", "18.834", "Art. 4", "inc/2", "1989.0")]))[0]
+    assert tuple(s) == ("Ley", "18834", "4", "inciso 2", "1989", "Estatuto Administrativo")
 
 
 def test_references(spark):
