@@ -177,7 +177,8 @@ def style_tree(pages: DataFrame, site: Column, html_col: str = "html") -> DataFr
 
     once = pages.select(site.alias("_site"), F.col(html_col).alias("_html")).where("_html IS NOT NULL AND _site IS NOT NULL")
     seen = once.mapInPandas(look, "_site string, _path string, _style long, _content long, _n long")
-    seen = seen.groupBy("_site", "_path", "_style", "_content").agg(F.sum("_n").alias("_n"))
+    # written, so that pages are parsed once for all that follows
+    seen = written(seen.groupBy("_site", "_path", "_style", "_content").agg(F.sum("_n").alias("_n")), "style_nodes")
 
     def entropy(column: str) -> DataFrame:
         by = seen.groupBy("_site", "_path", column).agg(F.sum("_n").alias("_n"))
