@@ -27,6 +27,8 @@ from corpusmill.llm.line_dedup import host
 LEAST_IMPORTANCE, LEAST_PAGES = 0.2, 4
 #: Share of a node's importance that its children's content has, for each child kind (the rest is its presentation).
 DAMPING = 0.9
+#: Levels of a tree that have paths of their own.
+DEEPEST = 100
 #: Unimportant nodes up to which they are broadcast; beyond, they join the pages by site and path.
 BROADCAST_NODES = 100_000
 
@@ -50,12 +52,15 @@ HEAD_NAME = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re
 
 
 class Node:
-    __slots__ = ("tag", "name", "path", "children", "noise", "article")
+    __slots__ = ("tag", "name", "path", "children", "noise", "article", "inside", "depth")
 
     def __init__(self, tag: str, name: str, parent: Node | None):
         self.tag, self.name, self.children = tag, name, []
-        self.path = f"{parent.path}/{name}" if parent else name
         self.noise = self.article = False
+        self.inside = parent is not None and (parent.inside or parent.article)
+        self.depth = parent.depth + 1 if parent else 0
+        # nodes below the deepest level count as that level's
+        self.path = name if parent is None else f"{parent.path}/{name}" if self.depth <= DEEPEST else parent.path
 
 
 class Dom(HTMLParser):
@@ -83,7 +88,7 @@ class Dom(HTMLParser):
         label = f"{named.get('class') or ''} {named.get('id') or ''} {named.get('role') or ''}".strip()
         parent = self.open[-1]
         node = Node(tag, f"{tag}.{label}" if label else tag, parent)
-        inside = any(n.article for n in self.open)
+        inside = node.inside
         node.article = tag in ARTICLE
         node.noise = tag in HIDDEN or tag in FURNITURE or (tag == "header" and not inside) or bool(label and not node.article and (NOISE_NAME.search(label) or (not inside and HEAD_NAME.search(label)))) or "hidden" in named
         parent.children.append(node)

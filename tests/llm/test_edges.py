@@ -221,7 +221,7 @@ PAGE = "<html><head><title>t</title><style>p{}</style></head><body><header><h1>S
 def test_html(spark):
     rows = [(i, f"https://a.example/{i}", PAGE % f"<article><h1>T&eacute; {i}</h1><p>One <b>bo</b>ld &amp; {i}<p>Two<br>lines<div class='comments'>no</div></article>") for i in range(12)]
     rows += [(20 + i, f"https://b.example/{i}", PAGE % f"<div class=x>same on all</div><div class=y>text number {i} {i * i}</div>") for i in range(8)]
-    rows += [(40, None, "<p>a&nbsp;b</p>"), (41, "x", None), (42, "https://c.example", ""), (43, "https://d.example", "plain < text"), (44, "https://e.example", "<div>" * 3000 + "deep"), (40, None, "<p>a&nbsp;b</p>")]
+    rows += [(40, None, "<p>a&nbsp;b</p>"), (41, "x", None), (42, "https://c.example", ""), (43, "https://d.example", "plain < text"), (44, "https://e.example", "<div>" * 30_000 + "deep"), (40, None, "<p>a&nbsp;b</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("_site", F.lit(1))
     for few in (html_text.BROADCAST_NODES, 0):
         out = {r.page_id: r for r in html_text.extract_text(pages, broadcast_nodes=few).collect()}
