@@ -22,6 +22,22 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+def tidy(f):
+    """``f`` over a task's batches; when the task ends, memory that is free goes back, since a worker stays for later tasks."""
+
+    def over(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow
+
+        yield from f(batches)
+        pyarrow.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return over
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Powers, Words, encoded, gram_hashes, keyed, mix, run_hashes, steps, written
+from corpusmill.llm.common import Powers, Words, encoded, gram_hashes, keyed, mix, run_hashes, steps, tidy, written
 from corpusmill.llm.components import components
 
 _GRAM, _RUN = Powers(0x8EBC6AF09C88C6E3), Powers(0x589965CC75374CC3)
@@ -200,7 +200,7 @@ def _across(parts: DataFrame, near: DataFrame, sets: DataFrame, percent: int, si
         if held and (out := compared(pd.concat(held))) is not None:
             yield out
 
-    return x.unionByName(y).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInPandas(blocks, "a long, b long")
+    return x.unionByName(y).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInPandas(tidy(blocks), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 56, rows: int = 8) -> DataFrame:
@@ -212,9 +212,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids count as one node.
     """
     texts = keyed(docs, id_col, text_col)
-    described = written(texts.mapInPandas(_described(width, bands, rows), "_id long, _key long, n long, s1 long, s2 long, bands array<long>"), "described")
+    described = written(texts.mapInPandas(tidy(_described(width, bands, rows)), "_id long, _key long, n long, s1 long, s2 long, bands array<long>"), "described")
     named = described.where("_id IS NOT NULL AND n > 0")
-    classes = named.groupBy("s1", "s2").agg(F.min("_id").alias("rep"))
+    # written, so that joins with it are free to split a class of very many copies
+    classes = written(named.groupBy("s1", "s2").agg(F.min("_id").alias("rep")), "classes")
     spread = named.join(classes, ["s1", "s2"]).where("_id = rep").select("_id", "n", F.explode("bands").alias("band"))
     full = spread.groupBy("band").agg(F.min(F.struct("_id", "n")).alias("low"), F.max("_id").alias("high")).where("low._id < high").select("band", "low")
     members = written(spread.join(full, "band"), "buckets")
@@ -226,7 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def verified(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(held.select(F.col("_id").alias("a"), F.col("_text").alias("ta")), "a")
         with_b = with_a.join(held.select(F.col("_id").alias("b"), F.col("_text").alias("tb")), "b")
-        return with_b.select("a", "b", "ta", "tb").mapInPandas(_linked(width, percent), "a long, b long")
+        return with_b.select("a", "b", "ta", "tb").mapInPandas(tidy(_linked(width, percent)), "a long, b long")
 
     links = written(verified(stars), "links")
     parts = components(links)
@@ -237,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mains = rest.groupBy("band").agg(F.max(F.struct("many", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("most.part").alias("main"))
     near_parts = written(rest.join(mains, "band").where("part != main").select("main", "part").distinct(), "near")
     wide = near_parts.select(F.explode(F.array("main", "part")).alias("part")).distinct().join(labelled, "part").select("_id")
-    sets = held.join(wide, "_id", "left_semi").mapInPandas(_compact(width, bands * rows), "_id long, short binary, set binary").dropDuplicates(["_id"])
+    sets = held.join(wide, "_id", "left_semi").mapInPandas(tidy(_compact(width, bands * rows)), "_id long, short binary, set binary").dropDuplicates(["_id"])
     more = written(_across(labelled, near_parts, written(sets, "sets"), percent, bands * rows), "links")
     if not more.isEmpty():
         parts = components(links.union(more))

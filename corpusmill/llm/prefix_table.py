@@ -12,8 +12,26 @@ from collections.abc import Callable
 
 import ahocorasick
 
-#: Entries of a cache at which it is emptied.
-CACHE = 300_000
+#: Entries that a cache holds at most are twice as many.
+CACHE = 250_000
+
+
+class Recent:
+    """What was found lately by key: a young and an old half; a full young half becomes the old one."""
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        if (found := self.young.get(key)) is None and (found := self.old.get(key)) is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key, value) -> None:
+        if len(self.young) >= CACHE:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
 
 
 class PrefixTable:
@@ -32,7 +50,7 @@ class PrefixTable:
             self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
         self._whole: dict[int, bool] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs = Recent()
 
     def merged(self, parts: list[str]) -> list[str]:
         """What merging leaves of some symbols: always the pair of lowest rank, leftmost first."""
@@ -56,10 +74,9 @@ class PrefixTable:
         if left == self.UNKNOWN:
             return True
         if (known := self._pairs.get((left, right))) is None:
-            if len(self._pairs) > 4 * CACHE:
-                self._pairs.clear()
             a, b = self.string[left], self.string[right]
-            known = self._pairs[left, right] = self.merged(self.symbols(a) + self.symbols(b)) == [a, b]
+            known = self.merged(self.symbols(a) + self.symbols(b)) == [a, b]
+            self._pairs.keep((left, right), known)
         return known
 
     def last_tokens(self, text: str) -> tuple[list[int | None], list[int], list[int]]:
@@ -67,21 +84,32 @@ class PrefixTable:
         n = len(text)
         last: list[int | None] = [None] * (n + 1)
         start, count = [0] * (n + 1), [0] * (n + 1)
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        for end, match in self.automaton.iter(text):
-            ends[end + 1].append(match)
-        for place in range(1, n + 1):
-            for size, token in ends[place]:
-                at = place - size
-                before = last[at]
-                if (at == 0 or before is not None) and self.whole(token) and (at == 0 or self.neighbours(before, token)):
-                    last[place], start[place], count[place] = token, at, count[at] + 1
-                    break
-            else:
-                if not ends[place] and (place == 1 or last[place - 1] is not None):
-                    last[place], start[place], count[place] = self.UNKNOWN, place - 1, count[place - 1] + 1
+        pairs, whole = self._pairs.young, self._whole
+        covered = 0  # up to here all places are settled, with or without an encoding
+        for end, (size, token) in self.automaton.iter(text):
+            place = end + 1
+            if covered < place - 1:
+                self._uncovered(covered, place - 1, last, start, count)
+            covered = place
+            at = place - size
+            if last[place] is not None or (at and last[at] is None):
+                continue
+            if whole[token] if token in whole else self.whole(token):
+                if at:
+                    before = last[at]
+                    good = pairs.get((before, token))
+                    if not (self.neighbours(before, token) if good is None else good):
+                        continue
+                last[place], start[place], count[place] = token, at, count[at] + 1
+        self._uncovered(covered, n, last, start, count)
         return last, start, count
 
+    def _uncovered(self, a: int, b: int, last: list, start: list, count: list) -> None:
+        """Places a + 1 to b, at which no token ends: each is a symbol by itself."""
+        for place in range(a + 1, b + 1):
+            if place == 1 or last[place - 1] is not None:
+                last[place], start[place], count[place] = self.UNKNOWN, place - 1, count[place - 1] + 1
+
     def encode(self, text: str) -> list[tuple[int, str]]:
         """(id, string) of each token, recovered from the end; an uncovered symbol has the id UNKNOWN."""
         last, start, _ = self.last_tokens(text)

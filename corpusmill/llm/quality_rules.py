@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Powers, Words, encoded, gram_hashes, steps, written
+from corpusmill.llm.common import Powers, Words, encoded, gram_hashes, steps, tidy, written
 from corpusmill.llm.sentencepiece_codec import codec
 
 _SYMBOL = str.maketrans("", "", "#*$%&|<>")
@@ -96,7 +96,7 @@ def figures(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), (language if language is not None else F.lit(None)).cast("string").alias("_language"))
     kinds = "_id long, _language string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_tokens long, " + ", ".join(f"{x} double" for x in FIGURES) + ", n_repeat_words long, base_failed boolean"
-    return rows.mapInPandas(run, kinds)
+    return rows.mapInPandas(tidy(run), kinds)
 
 
 def bands(rows: DataFrame, spread: float, least_rows: int = 50) -> DataFrame:

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.prefix_table import CACHE, PrefixTable
+from corpusmill.llm.common import encoded, steps, tidy
+from corpusmill.llm.prefix_table import PrefixTable, Recent
 
 _SPACE = "▁"
 #: A stretch longer than this is not kept in the cache.
@@ -43,23 +44,23 @@ class Codec:
         self.value = {i: b for b, i in self.byte.items() if b >= 128}
         self.written = {i: str(i) for i, _ in kinds}
         self._stretch = re.compile(f"{_SPACE}+[^{_SPACE}\n]*|[^{_SPACE}\n]+|\n")
-        self._cache: dict[str, list[int]] = {}
+        self._cache = Recent()
 
     def _encode(self, stretch: str) -> list[int]:
+        if (known := self._cache.get(stretch)) is not None:
+            return known
         ids: list[int] = []
         for token, string in self.table.encode(stretch):
             ids.extend([self.byte[b] for b in string.encode("utf-8")] if token == PrefixTable.UNKNOWN else [token])
         if len(stretch) <= LONG:
-            if len(self._cache) >= CACHE:
-                self._cache.clear()
-            self._cache[stretch] = ids
+            self._cache.keep(stretch, ids)
         return ids
 
     def encode(self, text: str) -> list[int]:
         """The ids, without begin or end; none for an empty text."""
         ids: list[int] = []
         if text:
-            get, encode = self._cache.get, self._encode
+            get, encode = self._cache.young.get, self._encode
             for stretch in self._stretch.findall(_SPACE + text.replace(" ", _SPACE)):
                 ids += get(stretch) or encode(stretch)
         return ids
@@ -110,18 +111,19 @@ def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = codec(model_file)
         for pdf in batches:
-            out = []
-            for doc, text in zip(pdf["_id"], pdf["_text"]):
-                ids = [*tool.encode(text if isinstance(text, str) else ""), tool.eos]
-                decoded = tool.decode(ids)
-                joined = " ".join(map(tool.written.__getitem__, ids))
-                out.append((doc, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *([ids, decoded] if with_ids else [])))
-            frame = pd.DataFrame(out, columns=["_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids])
-            frame["_id"] = frame["_id"].astype("Int64")
-            yield frame
+            for a, b in steps(encoded(pdf["_text"])):
+                out = []
+                for doc, text in zip(pdf["_id"].iloc[a:b], pdf["_text"].iloc[a:b]):
+                    ids = [*tool.encode(text if isinstance(text, str) else ""), tool.eos]
+                    decoded = tool.decode(ids)
+                    joined = " ".join(map(tool.written.__getitem__, ids))
+                    out.append((doc, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *([ids, decoded] if with_ids else [])))
+                frame = pd.DataFrame(out, columns=["_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids])
+                frame["_id"] = frame["_id"].astype("Int64")
+                yield frame
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    out = rows.mapInPandas(run, "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids)
+    out = rows.mapInPandas(tidy(run), "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids)
     return out.withColumnRenamed("_id", id_col)
 
 

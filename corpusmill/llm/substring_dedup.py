@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Powers, Words, encoded, gram_hashes, keyed, mix, run_hashes, steps, written
+from corpusmill.llm.common import Powers, Words, encoded, gram_hashes, keyed, mix, run_hashes, steps, tidy, written
 from corpusmill.llm.fm_index import FMIndex
 
 #: Words in the run whose smallest hash is a window's anchor.
@@ -143,17 +143,18 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     same id never repeat each other.
     """
     rows = keyed(docs, id_col, text_col).where(F.col("_id").isNotNull())
-    cut = rows.mapInPandas(_cut(window), "anchor long, h1 long, h2 long, n int, _id long, _key long, at int")
-    shared = cut.groupBy("anchor").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("anchor")
+    cut = rows.mapInPandas(tidy(_cut(window)), "anchor long, h1 long, h2 long, n int, _id long, _key long, at int")
+    # written, so that the join with it is free to split an anchor that very many documents have
+    shared = written(cut.groupBy("anchor").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("anchor"), "anchors")
     held = written(cut.join(shared, "anchor"), "passages")
     different = held.groupBy("anchor", "h1", "h2", "n").agg(F.min(F.struct("_id", "_key", "at")).alias("o"))
     hot = held.groupBy("anchor", "h1", "h2").agg(F.lit(1).alias("one")).groupBy("anchor").agg(F.count("*").alias("many")).where(F.col("many") > HOT_PASSAGES).select("anchor", F.lit(True).alias("hot"))
     places = different.join(hot, "anchor", "left").select(F.col("o._id").alias("_id"), F.col("o._key").alias("_key"), F.struct("anchor", "h1", "h2", "n", "o.at", F.coalesce("hot", F.lit(False)).alias("hot")).alias("p"))
     places = places.groupBy("_id", "_key").agg(F.collect_list("p").alias("places"))
     once = rows.join(places, ["_id", "_key"]).select("_id", "_text", "places")
-    pieces = written(once.mapInPandas(_texts(window), _PIECE_TYPE), "pieces")
+    pieces = written(once.mapInPandas(tidy(_texts(window)), _PIECE_TYPE), "pieces")
     unique = pieces.groupBy("shard", "p1", "p2").agg(F.min("doc").alias("doc"), F.min("words").alias("words"))
-    found = unique.repartition("shard").sortWithinPartitions("shard").mapInPandas(_index(window), "shard long, p1 long, p2 long, first array<long>")
+    found = unique.repartition("shard").sortWithinPartitions("shard").mapInPandas(tidy(_index(window)), "shard long, p1 long, p2 long, first array<long>")
     found = pieces.select("anchor", "h1", "h2", "i", "shard", "p1", "p2").join(found, ["shard", "p1", "p2"])
     # the windows of hot passages come one by one, at most as many as a passage has; i is -1 for a whole passage
     found = found.groupBy("anchor", "h1", "h2").agg(F.flatten(F.transform(F.array_sort(F.collect_set(F.struct("i", "first"))), lambda x: x["first"])).alias("first"))
@@ -209,5 +210,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns = ["_id", "n_words", "n_removed", *["kept_text"] * with_text, "kept_sha256"]
     kind = {"_id": "long", "n_words": "long", "n_removed": "long", "kept_text": "string", "kept_sha256": "string"}
     joined = rows.join(repeated_windows(docs, id_col, text_col, window), ["_id", "_key"], "left").select("_id", "_text", "spans")
-    out = joined.mapInPandas(_removed(columns), ", ".join(f"{c} {kind[c]}" for c in columns))
+    out = joined.mapInPandas(tidy(_removed(columns)), ", ".join(f"{c} {kind[c]}" for c in columns))
     return out.withColumnRenamed("_id", id_col)

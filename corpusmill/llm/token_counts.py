@@ -8,13 +8,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.prefix_table import CACHE, PrefixTable
+from corpusmill.llm.common import tidy
+from corpusmill.llm.prefix_table import PrefixTable, Recent
 
 _END = ""  # stands for the vocabulary's end-of-word mark, as one character
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Stretches that the library's rules leave as they are but for case: printable ASCII and Latin letters, composed.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ɏ]+")
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _BLANK = re.compile("[^\t-\r \x85\xa0  -     　]+")
 
 
@@ -41,7 +46,10 @@ class Counter:
         ranks = {pair: i for i, pair in enumerate(merges)}
         self.table = PrefixTable({ends(p): i for p, i in model["vocab"].items()}, lambda a, b: ranks.get((a, b)), self._symbols)
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"])) if spec["added_tokens"] else None
-        self._cache: dict[str, int] = {}
+        self._cache, self._words = Recent(), Recent()
+        # how the library writes the bytes of a word: each Latin letter of the plain stretches, by asking it
+        pairs = [(b, w) for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and c != "İ" for b, w in zip(c.encode().decode("latin-1"), self.words(c)[0][0])]
+        self.shown = str.maketrans(dict(pairs))
 
     @staticmethod
     def _symbols(word: str) -> list[str]:
@@ -71,22 +79,33 @@ class Counter:
         if self.special and self.special.search(chunk):
             parts, n = self.special.split(chunk), len(self.special.findall(chunk))
         for part in filter(None, parts):
-            for word, _ in self.words(self.normalise(part)):
-                n += self.table.last_tokens(word + _END)[2][-1]
+            if _PLAIN.fullmatch(part):
+                for word in _WORDS.findall(part.lower()):
+                    n += self.word(word if word.isascii() else word.encode().decode("latin-1").translate(self.shown))
+            else:
+                for word, _ in self.words(self.normalise(part)):
+                    n += self.word(word)
         if len(chunk) <= 64:
-            if len(self._cache) >= CACHE:
-                self._cache.clear()
-            self._cache[chunk] = n
+            self._cache.keep(chunk, n)
         return n
 
+    def word(self, word: str) -> int:
+        """Tokens of a word in the form that the library's pre-tokeniser gives."""
+        if (known := self._words.get(word)) is None:
+            known = self.table.last_tokens(word + _END)[2][-1]
+            if len(word) <= 64:
+                self._words.keep(word, known)
+        return known
+
     def chunks(self, text: str) -> list[str]:
         return _BLANK.findall(text) if _ODD_SPACE.search(text) else text.split()
 
     def counts(self, text: str) -> list[int]:
         """Tokens of the text up to the end of each chunk: the table that prefix questions read."""
-        total, out = 0, []
+        total, out, get, chunk = 0, [], self._cache.young.get, self.chunk
         for c in self.chunks(text):
-            total += self.chunk(c)
+            n = get(c)
+            total += chunk(c) if n is None else n
             out.append(total)
         return out
 
@@ -125,4 +144,4 @@ def token_counts(docs: DataFrame, file: str, limit: int, id_col: str = "doc_id",
             yield frame
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, "_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long").withColumnRenamed("_id", id_col)
+    return rows.mapInPandas(tidy(run), "_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long").withColumnRenamed("_id", id_col)

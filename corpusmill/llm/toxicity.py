@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import steps
+from corpusmill.llm.common import steps, tidy
 
 #: Features that get a weight at most.
 FEATURES = 20_000
@@ -43,7 +43,7 @@ class Features:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def word(self, word: str) -> tuple[int, ...]:
-        if len(self.known) > 200_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         bare = word.strip(_EDGE)
         inside, found = self.inside, set()
@@ -179,7 +179,7 @@ def fit(sample: DataFrame, words: int = TRAIN_WORDS) -> DataFrame:
         weights = train(texts, pdf["_label"].to_numpy(dtype=float))
         yield pd.DataFrame({"name": list(weights), "weight": list(weights.values())})
 
-    return sample.repartition(1).mapInPandas(fitted, "name string, weight double")
+    return sample.repartition(1).mapInPandas(tidy(fitted), "name string, weight double")
 
 
 def toxicity_scores(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, worst: bool = False) -> DataFrame:
@@ -190,8 +190,7 @@ def toxicity_scores(docs: DataFrame, weights: dict[str, float], id_col: str = "d
     held = docs.sparkSession.sparkContext.broadcast(weights)  # at most FEATURES short strings, whatever the input
     columns = [F.col(c) for c in keep] if keep else [F.col(id_col).cast("long").alias(id_col)]
 
-    @F.pandas_udf("score double, predicted int, worst array<string>")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = Model(held.value)
         for series in batches:
             texts = [t if isinstance(t, str) else "" for t in series]
@@ -203,6 +202,10 @@ def toxicity_scores(docs: DataFrame, weights: dict[str, float], id_col: str = "d
                         found[a + i] = [s.strip() for s, p in zip(sentences(texts[a + i]), each[i]) if p >= 0.5]
             yield pd.DataFrame({"score": score, "predicted": (score >= 0.5).astype(np.int32), "worst": found})
 
+    @F.pandas_udf("score double, predicted int, worst array<string>")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidy(scores)(batches)
+
     out = docs.select(*columns, scored(F.col(text_col)).alias("_s"))
     return out.select(*[c for c in out.columns if c != "_s"], "_s.score", "_s.predicted", *["_s.worst"] * worst)
 
