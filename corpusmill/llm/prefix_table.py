@@ -12,14 +12,15 @@ from collections.abc import Callable
 
 import ahocorasick
 
-#: Entries that a cache holds at most are twice as many.
-CACHE = 250_000
+#: Pairs of neighbours whose test is remembered; at most twice as many.
+PAIRS = 200_000
 
 
 class Recent:
-    """What was found lately by key: a young and an old half; a full young half becomes the old one."""
+    """What was found lately by key: a young and an old half of ``most`` entries; a full young half becomes the old one."""
 
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = most
         self.young: dict = {}
         self.old: dict = {}
 
@@ -29,8 +30,10 @@ class Recent:
         return found
 
     def keep(self, key, value) -> None:
-        if len(self.young) >= CACHE:
-            self.young, self.old = {}, self.young
+        if len(self.young) >= self.most:
+            # emptied and filled in place, so that a reader may hold on to the young half
+            self.old = dict(self.young)
+            self.young.clear()
         self.young[key] = value
 
 
@@ -50,7 +53,8 @@ class PrefixTable:
             self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
         self._whole: dict[int, bool] = {}
-        self._pairs = Recent()
+        self._many = max(self.string, default=0) + 1
+        self._pairs = Recent(PAIRS)
 
     def merged(self, parts: list[str]) -> list[str]:
         """What merging leaves of some symbols: always the pair of lowest rank, leftmost first."""
@@ -70,51 +74,64 @@ class PrefixTable:
         return known
 
     def neighbours(self, left: int, right: int) -> bool:
-        """Whether ``right`` can follow ``left`` in an encoding."""
+        """Whether ``right`` can follow ``left`` in an encoding; if so, ``right`` is whole too."""
         if left == self.UNKNOWN:
-            return True
-        if (known := self._pairs.get((left, right))) is None:
+            return self.whole(right)
+        key = left * self._many + right
+        if (known := self._pairs.get(key)) is None:
             a, b = self.string[left], self.string[right]
             known = self.merged(self.symbols(a) + self.symbols(b)) == [a, b]
-            self._pairs.keep((left, right), known)
+            self._pairs.keep(key, known)
         return known
 
-    def last_tokens(self, text: str) -> tuple[list[int | None], list[int], list[int]]:
-        """For each prefix length: its last token (None: no encoding ends there), that token's start, and the number of tokens."""
+    def last_tokens(self, text: str) -> tuple[list[int | None], list[int]]:
+        """For each prefix length: its last token (None: no encoding ends there) and that token's start."""
         n = len(text)
         last: list[int | None] = [None] * (n + 1)
-        start, count = [0] * (n + 1), [0] * (n + 1)
-        pairs, whole = self._pairs.young, self._whole
+        start = [0] * (n + 1)
+        tested, many = self._pairs.young.get, self._many
         covered = 0  # up to here all places are settled, with or without an encoding
         for end, (size, token) in self.automaton.iter(text):
-            place = end + 1
-            if covered < place - 1:
-                self._uncovered(covered, place - 1, last, start, count)
-            covered = place
-            at = place - size
-            if last[place] is not None or (at and last[at] is None):
+            if covered < end:
+                self._uncovered(covered, end, last, start)
+            covered = end + 1
+            if last[covered] is not None:
                 continue
-            if whole[token] if token in whole else self.whole(token):
-                if at:
-                    before = last[at]
-                    good = pairs.get((before, token))
-                    if not (self.neighbours(before, token) if good is None else good):
-                        continue
-                last[place], start[place], count[place] = token, at, count[at] + 1
-        self._uncovered(covered, n, last, start, count)
-        return last, start, count
-
-    def _uncovered(self, a: int, b: int, last: list, start: list, count: list) -> None:
+            at = covered - size
+            if at:
+                before = last[at]
+                if before is None:
+                    continue
+                good = tested(before * many + token)
+                if not (self.neighbours(before, token) if good is None else good):
+                    continue
+            elif not self.whole(token):
+                continue
+            last[covered], start[covered] = token, at
+        if covered < n:
+            self._uncovered(covered, n, last, start)
+        return last, start
+
+    def _uncovered(self, a: int, b: int, last: list, start: list) -> None:
         """Places a + 1 to b, at which no token ends: each is a symbol by itself."""
         for place in range(a + 1, b + 1):
             if place == 1 or last[place - 1] is not None:
-                last[place], start[place], count[place] = self.UNKNOWN, place - 1, count[place - 1] + 1
-
-    def encode(self, text: str) -> list[tuple[int, str]]:
-        """(id, string) of each token, recovered from the end; an uncovered symbol has the id UNKNOWN."""
-        last, start, _ = self.last_tokens(text)
+                last[place], start[place] = self.UNKNOWN, place - 1
+
+    def counts(self, text: str) -> tuple[list[int | None], list[int]]:
+        """For each prefix length: its last token and its number of tokens."""
+        last, start = self.last_tokens(text)
+        count = [0] * len(last)
+        for place in range(1, len(last)):
+            count[place] = count[start[place]] + 1 if last[place] is not None else 0
+        return last, count
+
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        """(id, start, end) of each token, recovered from the end backwards, the last one first; an uncovered symbol has the id UNKNOWN."""
+        last, start = self.last_tokens(text)
         out, place = [], len(text)
         while place:
-            out.append((last[place], text[start[place] : place]))
-            place = start[place]
-        return out[::-1]
+            at = start[place]
+            out.append((last[place], at, place))
+            place = at
+        return out

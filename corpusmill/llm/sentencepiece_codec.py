@@ -11,12 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import encoded, steps, tidy
+from corpusmill.llm.common import steps, tidy
 from corpusmill.llm.prefix_table import PrefixTable, Recent
 
 _SPACE = "▁"
-#: A stretch longer than this is not kept in the cache.
-LONG = 64
+#: A stretch longer than this is not kept in the cache; stretches in the cache's young half.
+LONG, STRETCHES = 64, 100_000
 
 
 class Codec:
@@ -44,14 +44,18 @@ class Codec:
         self.value = {i: b for b, i in self.byte.items() if b >= 128}
         self.written = {i: str(i) for i, _ in kinds}
         self._stretch = re.compile(f"{_SPACE}+[^{_SPACE}\n]*|[^{_SPACE}\n]+|\n")
-        self._cache = Recent()
+        self._cache = Recent(STRETCHES)
 
-    def _encode(self, stretch: str) -> list[int]:
+    def _encode(self, stretch: str) -> tuple[int, ...]:
         if (known := self._cache.get(stretch)) is not None:
             return known
-        ids: list[int] = []
-        for token, string in self.table.encode(stretch):
-            ids.extend([self.byte[b] for b in string.encode("utf-8")] if token == PrefixTable.UNKNOWN else [token])
+        backwards: list[int] = []
+        for token, a, b in self.table.spans(stretch):
+            if token == PrefixTable.UNKNOWN:
+                backwards += [self.byte[x] for x in reversed(stretch[a:b].encode("utf-8"))]
+            else:
+                backwards.append(token)
+        ids = tuple(backwards[::-1])
         if len(stretch) <= LONG:
             self._cache.keep(stretch, ids)
         return ids
@@ -111,7 +115,7 @@ def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = codec(model_file)
         for pdf in batches:
-            for a, b in steps(encoded(pdf["_text"])):
+            for a, b in steps(t if isinstance(t, str) else "" for t in pdf["_text"]):
                 out = []
                 for doc, text in zip(pdf["_id"].iloc[a:b], pdf["_text"].iloc[a:b]):
                     ids = [*tool.encode(text if isinstance(text, str) else ""), tool.eos]

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import tidy
 from corpusmill.llm.prefix_table import PrefixTable, Recent
 
+#: Chunks, and words, in the young half of their cache.
+CHUNKS = 120_000
 _END = ""  # stands for the vocabulary's end-of-word mark, as one character
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Stretches that the library's rules leave as they are but for case: printable ASCII and Latin letters, composed.
@@ -46,7 +48,7 @@ class Counter:
         ranks = {pair: i for i, pair in enumerate(merges)}
         self.table = PrefixTable({ends(p): i for p, i in model["vocab"].items()}, lambda a, b: ranks.get((a, b)), self._symbols)
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"])) if spec["added_tokens"] else None
-        self._cache, self._words = Recent(), Recent()
+        self._cache, self._words = Recent(CHUNKS), Recent(CHUNKS)
         # how the library writes the bytes of a word: each Latin letter of the plain stretches, by asking it
         pairs = [(b, w) for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and c != "İ" for b, w in zip(c.encode().decode("latin-1"), self.words(c)[0][0])]
         self.shown = str.maketrans(dict(pairs))
@@ -57,7 +59,7 @@ class Counter:
 
     def word_prefixes(self, word: str) -> list[int]:
         """Tokens of each prefix of a word (of the library's pre-tokenised form), the prefix taken as a word of its own."""
-        last, _, count = self.table.last_tokens(word)
+        last, count = self.table.counts(word)
         out = []
         for n in range(1, len(word) + 1):
             for at in range(n):
@@ -92,7 +94,7 @@ class Counter:
     def word(self, word: str) -> int:
         """Tokens of a word in the form that the library's pre-tokeniser gives."""
         if (known := self._words.get(word)) is None:
-            known = self.table.last_tokens(word + _END)[2][-1]
+            known = self.table.counts(word + _END)[1][-1]
             if len(word) <= 64:
                 self._words.keep(word, known)
         return known
