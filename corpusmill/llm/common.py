@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 _U64 = np.uint64
 _BYTE_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64

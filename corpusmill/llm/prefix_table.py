@@ -52,35 +52,67 @@ class PrefixTable:
         for piece, i in pieces.items():
             self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
-        self._whole: dict[int, bool] = {}
+        self._made: dict[str, tuple[bool, bool, str, str, int]] = {}
         self._many = max(self.string, default=0) + 1
         self._pairs = Recent(PAIRS)
 
-    def merged(self, parts: list[str]) -> list[str]:
-        """What merging leaves of some symbols: always the pair of lowest rank, leftmost first."""
-        parts = list(parts)
+    def merged(self, parts: list[str]) -> tuple[list[str], list[int], tuple[str, str] | None]:
+        """What merging leaves of some symbols (always the pair of lowest rank, leftmost first), the ranks in the order of merging, and the last two merged."""
+        parts, ranks, two = list(parts), [], None
         while len(parts) > 1:
-            ranks = [(r, i) for i in range(len(parts) - 1) if (r := self.rank(parts[i], parts[i + 1])) is not None]
-            if not ranks:
+            able = [(r, i) for i in range(len(parts) - 1) if (r := self.rank(parts[i], parts[i + 1])) is not None]
+            if not able:
                 break
-            _, i = min(ranks)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+            rank, i = min(able)
+            ranks.append(rank)
+            two = parts[i], parts[i + 1]
+            parts[i : i + 2] = [two[0] + two[1]]
+        return parts, ranks, two
+
+    def made(self, piece: str) -> tuple[bool, bool, str, str, int]:
+        """Whether merging the piece's symbols gives the piece, whether it does so by rising ranks, its two halves and their rank (-1: a symbol)."""
+        if (known := self._made.get(piece)) is None:
+            parts, ranks, two = self.merged(self.symbols(piece))
+            known = self._made[piece] = (parts == [piece], ranks == sorted(ranks), *(two or ("", "")), ranks[-1] if ranks else -1)
+        return known
 
     def whole(self, token: int) -> bool:
         """Whether merging the token's own string gives the token."""
-        if (known := self._whole.get(token)) is None:
-            known = self._whole[token] = self.merged(self.symbols(self.string[token])) == [self.string[token]]
-        return known
+        return self.made(self.string[token])[0]
+
+    def compatible(self, a: str, b: str) -> bool:
+        """Whether merging the symbols of two whole pieces gives back just these two.
+
+        Looks back in time from the end: as long as the pieces that meet stand side by side, merging them must come later
+        than the merge that takes one of them away; of equal ranks the left one comes first.
+        """
+        until, right = None, False
+        while True:
+            rank = self.rank(a, b)
+            if rank is not None and (until is None or rank < until or (right and rank == until)):
+                return False
+            x, y = self.made(a), self.made(b)
+            if x[4] < 0 and y[4] < 0:
+                return True
+            right = y[4] >= x[4]
+            if right:
+                b, until = y[2], y[4]
+            else:
+                a, until = x[3], x[4]
 
     def neighbours(self, left: int, right: int) -> bool:
-        """Whether ``right`` can follow ``left`` in an encoding; if so, ``right`` is whole too."""
+        """Whether ``right`` can follow ``left`` (a whole token) in an encoding; if so, ``right`` is whole too."""
         if left == self.UNKNOWN:
             return self.whole(right)
         key = left * self._many + right
         if (known := self._pairs.get(key)) is None:
             a, b = self.string[left], self.string[right]
-            known = self.merged(self.symbols(a) + self.symbols(b)) == [a, b]
+            if not self.whole(right):
+                known = False
+            elif self.made(a)[1] and self.made(b)[1]:
+                known = self.compatible(a, b)
+            else:
+                known = self.merged(self.symbols(a) + self.symbols(b))[0] == [a, b]
             self._pairs.keep(key, known)
         return known
 
