@@ -13,7 +13,7 @@ from collections.abc import Callable
 import ahocorasick
 
 #: Pairs of neighbours whose test is remembered; at most twice as many.
-PAIRS = 200_000
+PAIRS = 100_000
 
 
 class Recent:

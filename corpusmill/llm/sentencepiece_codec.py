@@ -16,7 +16,7 @@ from corpusmill.llm.prefix_table import PrefixTable, Recent
 
 _SPACE = "▁"
 #: A stretch longer than this is not kept in the cache; stretches in the cache's young half.
-LONG, STRETCHES = 64, 100_000
+LONG, STRETCHES = 64, 160_000
 
 
 class Codec:
