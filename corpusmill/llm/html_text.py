@@ -1,16 +1,15 @@
 """HTML extraction by site style trees.
 
 The DOMs of a site's pages are merged into one tree, in which a node is the path of tags and classes from the root. A
-node's presentation is the sequence of its children's tags, its content the text directly in it. What is laid out and
-worded the same on all pages of a site tells nothing: the entropy of both over the site's pages is the node's importance,
-an inner node taking in its children's. From each page the branches of low importance go, as do those whose tag or class
-names a page's furniture; where a page marks its article, the article is what is looked at.
+node's presentation is the sequence of its children's tags, its content the text in it and below. What is laid out and
+worded the same on all pages of a site tells nothing: the entropy of both over the site's different pages is the node's
+importance. From each page the branches of low importance go, inside articles too, as do those whose tag or class names a
+page's furniture; where marked articles hold most of what is left, they are the text.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -25,7 +24,9 @@ from corpusmill.llm.line_dedup import host
 
 #: Importance below which a branch goes, and the different pages of a site from which on its tree is used.
 LEAST_IMPORTANCE, LEAST_PAGES = 0.2, 4
-#: Share of a node's importance that its children's content has, for each child kind (the rest is its presentation).
+#: Share of a page's text that its articles have to hold to be the whole of its main part.
+LEAST_SHARE = 0.5
+#: Share of a node's importance that its content has, for each child kind (the rest is its presentation).
 DAMPING = 0.9
 #: Levels of a tree that have paths of their own.
 DEEPEST = 100
@@ -118,72 +119,85 @@ def nodes(root: Node) -> Iterator[Node]:
         stack.extend(c for c in node.children if isinstance(c, Node))
 
 
+def judged(node: Node, parent: Node) -> bool:
+    """Whether the tree may cut a node: inline elements are words of a block's text, unless they stand alone between blocks."""
+    if node.tag not in INLINE:
+        return True
+    return any(isinstance(c, Node) and c.tag not in INLINE for c in parent.children) and not any(isinstance(c, str) and c.strip() for c in parent.children)
+
+
 def observed(dom: Dom) -> dict[str, tuple[int, int]]:
-    """Of each path outside of what is hidden: hashes of its presentation and of the text directly in it, over all its nodes of the page."""
-    held: dict[str, tuple[list[str], list[str]]] = {}
-    stack = [dom.root]
+    """Of each path outside of furniture and what is hidden: hashes of its presentation and of the text in it and below, over all its nodes of the page."""
+    order, stack = [], [dom.root]
     while stack:
         node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.noise)
+    # children come after their parents; a branch without words counts for nothing
+    below: dict[int, str] = {}
+    for node in reversed(order):
+        parts = [" ".join(c.split()) if isinstance(c, str) else below.get(id(c), "") for c in node.children]
+        text = "\n".join(x for x in parts if x)
+        below[id(node)] = xxhash.xxh3_64_hexdigest(text) if text else ""
+    held: dict[str, tuple[list[str], list[str]]] = {}
+    for node in order:
         style, content = held.setdefault(node.path, ([], []))
-        style.append(",".join(c.name for c in node.children if isinstance(c, Node)))
-        content.append(" ".join(w for c in node.children if isinstance(c, str) for w in c.split()))
-        stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and c.tag not in HIDDEN)
+        style.append(",".join(c.name for c in node.children if isinstance(c, Node) and not c.noise))
+        content.append(below[id(node)])
     return {p: (xxhash.xxh3_64_intdigest(";".join(s)) - (1 << 63), xxhash.xxh3_64_intdigest("\n".join(c)) - (1 << 63)) for p, (s, c) in held.items()}
 
 
 def article_text(dom: Dom, low: frozenset[str] | set[str]) -> str:
     """The text of the page's main part without noise and without branches whose path is in ``low``.
 
-    Where the page marks articles, they are the main part, whole but for noise; else it is the rest of the body.
+    The articles that are left are the main part if they hold LEAST_SHARE of the text that is left; else it is all of that.
     """
-    marked = [n for n in nodes(dom.root) if n.article]
-    words: list[str] = []
-    # (node, inside an article); a closing mark is a plain string of one blank
-    stack: list[tuple[Node | str, bool]] = [(dom.root, False)]
-    piece: list[str] = []
-
-    def flush() -> None:
-        words.extend("".join(piece).split())
-        piece.clear()
-
+    every: list[str] = []
+    within: list[str] = []
+    # (node, its parent, inside an article); blocks are set off by blanks
+    stack: list[tuple[Node | str, Node, bool]] = [(dom.root, dom.root, False)]
     while stack:
-        node, inside = stack.pop()
+        node, parent, inside = stack.pop()
         if isinstance(node, str):
-            if inside or not marked:
-                piece.append(node)
+            every.append(node)
+            if inside:
+                within.append(node)
             continue
-        if node.noise or (not inside and not marked and node.path in low):
-            flush()
+        gone = node.noise or (node.path in low and judged(node, parent))
+        inside = inside or (node.article and not gone)
+        if gone or node.tag not in INLINE:
+            every.append(" ")
+            within.append(" ")
+        if gone:
             continue
         if node.tag not in INLINE:
-            flush()
-            stack.append((" ", True))
-        inside = inside or node.article
-        stack.extend((c, inside) for c in reversed(node.children))
-    flush()
-    return " ".join(words)
+            stack.append((" ", node, True))
+        stack.extend((c, node, inside) for c in reversed(node.children))
+    text, part = " ".join("".join(every).split()), " ".join("".join(within).split())
+    return part if part and len(part) >= LEAST_SHARE * len(text) else text
 
 
 def style_tree(pages: DataFrame, site: Column, html_col: str = "html") -> DataFrame:
     """``_site``, ``_path``, ``_pages`` and ``_importance`` of every node of each site's merged tree.
 
-    Counts are taken before rows are shuffled, by site, path and hash, so a large site's nodes
-    spread over all tasks. The entropies are over a site's pages and divided by their greatest possible value.
+    Pages of the same text count once, so that copies don't make an article look like boilerplate. Equal rows are merged
+    before the shuffle, by site, path and hashes, so a large site's nodes spread over all tasks. The entropies are over a
+    site's different pages and divided by their greatest possible value.
     """
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            out = set()
             for name, html in zip(pdf["_site"], pdf["_html"]):
-                for path, (style, content) in observed(Dom(html)).items():
-                    out.append((name, path, style, content))
-            counts = Counter(out)
-            yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["_site", "_path", "_style", "_content", "_n"])
+                held = observed(Dom(html))
+                page = held[""][1]
+                out.update((name, path, style, content, page) for path, (style, content) in held.items())
+            yield pd.DataFrame(list(out), columns=["_site", "_path", "_style", "_content", "_page"])
 
     once = pages.select(site.alias("_site"), F.col(html_col).alias("_html")).where("_html IS NOT NULL AND _site IS NOT NULL")
-    seen = once.mapInPandas(look, "_site string, _path string, _style long, _content long, _n long")
+    seen = once.mapInPandas(look, "_site string, _path string, _style long, _content long, _page long").distinct()
     # written, so that pages are parsed once for all that follows
-    seen = written(seen.groupBy("_site", "_path", "_style", "_content").agg(F.sum("_n").alias("_n")), "style_nodes")
+    seen = written(seen.groupBy("_site", "_path", "_style", "_content").agg(F.count("*").alias("_n")), "style_nodes")
 
     def entropy(column: str) -> DataFrame:
         by = seen.groupBy("_site", "_path", column).agg(F.sum("_n").alias("_n"))
@@ -192,13 +206,13 @@ def style_tree(pages: DataFrame, site: Column, html_col: str = "html") -> DataFr
 
     style, content = entropy("_style"), entropy("_content")
     own = style.join(content.drop("_pages"), ["_site", "_path"])
-    # an inner node takes in the mean content importance of its children
+    # what is worded differently stays however it is laid out
     parent = F.regexp_extract("_path", r"^(.*)/[^/]*$", 1)
-    below = own.groupBy("_site", parent.alias("_path")).agg(F.avg("_content").alias("_below"), F.count("*").alias("_kinds"))
-    weight = F.pow(F.lit(DAMPING), F.col("_kinds"))
+    below = own.where("_path <> ''").groupBy("_site", parent.alias("_path")).agg(F.count("*").alias("_kinds"))
+    weight = F.pow(F.lit(DAMPING), F.coalesce("_kinds", F.lit(0)))
     joined = own.join(below, ["_site", "_path"], "left")
-    inner = (1 - weight) * F.col("_style") + weight * F.greatest("_content", "_below")
-    return joined.select("_site", "_path", "_pages", F.coalesce(inner, F.col("_content")).alias("_importance"))
+    inner = (1 - weight) * F.col("_style") + weight * F.col("_content")
+    return joined.select("_site", "_path", "_pages", F.greatest("_content", inner).alias("_importance"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:

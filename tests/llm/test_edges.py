@@ -229,3 +229,24 @@ def test_html(spark):
         assert out[24].text == "text number 4 16"
         assert (out[40].text, out[41].text, out[42].text, out[43].text, out[44].text) == ("a b", "", "", "plain < text", "deep")
     assert html_text.extract_text(pages.where("false")).count() == 0
+
+
+def test_html_tree_inside_articles(spark):
+    """Boilerplate that only the tree can tell goes from articles; wrappers, inline words and copies of a page stay."""
+    own = lambda i: f"<h1>Head {i}</h1><p>Body {i} with <b>the same</b> words {i * i}"
+    rows = [(i, f"https://a.example/{i}", f"<article><div><div>{own(i)}</div></div><div class=x7>Read our terms</div></article>") for i in range(8)]
+    # one article thirty times and ten others: different pages count, not copies
+    rows += [(20 + i, f"https://b.example/{i}", f"<!-- {i} --><article>{own(max(0, i - 29))}</article>") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for few in (html_text.BROADCAST_NODES, 0):
+        out = {r.page_id: r.text for r in html_text.extract_text(pages, broadcast_nodes=few).collect()}
+        want = lambda i: f"Head {i} Body {i} with the same words {i * i}"
+        assert all(out[i] == want(i) for i in range(8)) and all(out[20 + i] == want(max(0, i - 29)) for i in range(40))
+
+
+def test_html_articles_that_are_not_the_main_part():
+    body = "<div>" + "the main text of this page " * 9 + "</div>"
+    text = lambda html: html_text.article_text(html_text.Dom(html), set())
+    assert text(body + "<aside><article>teaser</article></aside>") == ("the main text of this page " * 9).strip()
+    assert text(body + "<article>teaser</article>").startswith("the main text of this page ")
+    assert text("<div>by line</div><article>" + body + "</article>") == ("the main text of this page " * 9).strip()
