@@ -3,17 +3,19 @@
 A text that a public vocabulary cuts into unusually many tokens a word or characters a token, that falls back to bytes
 unusually often, or whose tokens have an unusual entropy isn't ordinary prose of its language. Bands come from the corpus
 itself: quartiles of each figure over all rows of a language and size class (powers of two of words) that pass the base
-rules, widened by a multiple of their distance.
+rules, widened by a multiple of their distance. A class with too few rows takes in the next sizes of its language; a
+language with too few rows has the bands of its script, and that of the corpus after it.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import Powers, Words, encoded, gram_hashes, steps, tidy, written
@@ -26,6 +28,8 @@ _LINE_WORD = re.compile("[^\x20\x09-\x0d]")
 WINDOW = 5
 #: What a figure may lie beyond its band.
 SLACK = 0.01
+#: First code points of runs of scripts; a text's script is the run that most of its characters beyond ASCII's signs lie in.
+SCRIPTS = np.array([0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x2E80, 0x3040, 0x3100, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0x1F000, 0x20000], dtype=np.uint32)
 FIGURES = ("chars_per_token", "tokens_per_word", "byte_share", "entropy")
 
 
@@ -68,8 +72,17 @@ def fertility(ids: list[int], text: str, words: int, byte_ids: np.ndarray) -> tu
     return len(text) / n, n / max(1, words), float(count[byte_ids].sum() / n), float(-(p * np.log2(p)).sum() / np.log2(n)) if n > 1 else 1.0
 
 
+def script(text: str) -> int:
+    """Which of SCRIPTS most letters of a text lie in; texts without any count as Latin."""
+    if text.isascii():
+        return 0
+    points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    beyond = points[(points >= 0x80) | ((points | 32) - 97 < 26)]
+    return int(np.bincount(np.searchsorted(SCRIPTS, beyond, side="right") - 1).argmax())
+
+
 def figures(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", language: Column | None = None) -> DataFrame:
-    """_id, _language, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_tokens and FIGURES of each row's whole text."""
+    """_id, _language, _script, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_tokens and FIGURES of each row's whole text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = codec(model_file)
@@ -85,8 +98,8 @@ def figures(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
                     text = data.decode("utf-8")
                     ids = tool.encode(text)
                     bare = b"".join(data.split()).decode("utf-8")
-                    out.append((len(bare), len(text) - len(text.translate(_SYMBOL)), repeated_lines(text), len(ids), *fertility(ids, text, int(n_words[i]), byte_ids)))
-                frame = pd.DataFrame(out, columns=["word_chars", "n_symbols", "n_dup_lines", "n_tokens", *FIGURES])
+                    out.append((len(bare), len(text) - len(text.translate(_SYMBOL)), repeated_lines(text), len(ids), script(text), *fertility(ids, text, int(n_words[i]), byte_ids)))
+                frame = pd.DataFrame(out, columns=["word_chars", "n_symbols", "n_dup_lines", "n_tokens", "_script", *FIGURES])
                 frame.insert(0, "_id", pdf["_id"].iloc[a:b].astype("Int64").to_numpy())
                 frame.insert(1, "_language", pdf["_language"].iloc[a:b].to_numpy())
                 frame.insert(2, "n_words", n_words)
@@ -95,25 +108,52 @@ def figures(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
                 yield frame
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), (language if language is not None else F.lit(None)).cast("string").alias("_language"))
-    kinds = "_id long, _language string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_tokens long, " + ", ".join(f"{x} double" for x in FIGURES) + ", n_repeat_words long, base_failed boolean"
+    kinds = "_id long, _language string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_tokens long, _script int, " + ", ".join(f"{x} double" for x in FIGURES) + ", n_repeat_words long, base_failed boolean"
     return rows.mapInPandas(tidy(run), kinds)
 
 
-def bands(rows: DataFrame, spread: float, least_rows: int = 50) -> DataFrame:
-    """Per language and size class the lower and upper end of each figure, from all rows that pass the base rules; none for a class of fewer than ``least_rows``."""
-    quartiles = rows.where("NOT base_failed").groupBy("_language", "_class").agg(F.count("*").alias("_rows"), *[F.percentile_approx(x, [0.25, 0.75], 10_000).alias(x) for x in FIGURES]).where(F.col("_rows") >= least_rows)
+def bands(rows: DataFrame, asked: DataFrame, spread: float, least_rows: int, always: bool) -> DataFrame:
+    """``_of``, ``_in`` and the lower and upper end of each figure for the groups and size classes in ``asked``.
+
+    Quartiles are of all rows of the group (``_group``) that pass the base rules and whose size is no further from the
+    class than it takes for ``least_rows``. A group that has fewer in all has none, or the quartiles of all its rows with ``always``.
+    """
+    good = rows.where("NOT base_failed").select("_group", "_class", *FIGURES)
+    sizes = good.groupBy("_group", "_class").agg(F.count("*").alias("_n"))
+    pairs = asked.join(sizes, F.col("_of").eqNullSafe(F.col("_group"))).select("_of", "_in", F.col("_class").alias("_from"), "_n", F.abs(F.col("_class") - F.col("_in")).alias("_far"))
+    # a row for each two size classes of a group, whatever the corpus's size
+    each = Window.partitionBy("_of", "_in")
+    upto = pairs.withColumn("_rows", F.sum("_n").over(each.orderBy("_far")))
+    reach = F.min(F.when(F.col("_rows") >= least_rows, F.col("_far"))).over(each)
+    reach = F.coalesce(reach, F.max("_far").over(each)) if always else reach
+    taken = upto.withColumn("_reach", reach).where("_far <= _reach").select("_of", "_in", "_from")
+    members = good.join(F.broadcast(taken), F.col("_of").eqNullSafe(F.col("_group")) & (F.col("_class") == F.col("_from")))
+    quartiles = members.groupBy("_of", "_in").agg(*[F.percentile_approx(x, [0.25, 0.75], 10_000).alias(x) for x in FIGURES])
     ends = []
     for x in FIGURES:
         low, high = F.col(x)[0], F.col(x)[1]
         ends += [(low - (high - low) * spread).alias(f"{x}_low"), (high + (high - low) * spread).alias(f"{x}_high")]
-    return quartiles.select(F.col("_language").alias("_of"), F.col("_class").alias("_in"), *ends)
+    return quartiles.select("_of", "_in", *ends)
+
+
+def all_bands(rows: DataFrame, spread: float, least_rows: int = 50) -> DataFrame:
+    """A band for each language, script and size class with a row that passes the base rules: by language, else by script, else by corpus."""
+    left = written(rows.where("NOT base_failed").select(F.col("_language").alias("_l"), F.col("_script").alias("_s"), F.col("_class").alias("_c")).distinct(), "classes")
+    out = []
+    for label, group, own, always in (("language", F.col("_language"), F.col("_l"), False), ("script", F.col("_script"), F.col("_s"), False), ("corpus", F.lit(0), F.lit(0), True)):
+        asked = left.select(own.alias("_of"), F.col("_c").alias("_in")).distinct()
+        found = written(bands(rows.withColumn("_group", group), asked, spread, least_rows, always), f"bands_{label}")
+        same = own.eqNullSafe(F.col("_of")) & (F.col("_c") == F.col("_in"))
+        out.append(left.join(found, same).drop("_of", "_in"))
+        left = left.join(found, same, "left_anti")
+    return reduce(DataFrame.unionByName, out)
 
 
 def quality(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", language: Column | None = None, spread: float = 4.0) -> DataFrame:
     """Figures of each row with base_failed and kept.
 
-    Kept is false if the base rules fail or a figure is outside the band of its language and size; the byte share has an
-    upper end only. A null text has no words and fails. Rows without a language form a group of their own. Bands have
+    Kept is false if the base rules fail or a figure is outside the band of its language and size (``all_bands``); the byte
+    share has an upper end only. A null text has no words and fails. Rows without a language form a group of their own. Bands have
     SLACK at both ends, so that a group of nearly equal rows rejects nothing that is nearly equal to them.
     """
     rows = figures(docs, model_file, id_col, text_col, language).withColumn("_class", F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int"))
@@ -122,6 +162,7 @@ def quality(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
     for x in FIGURES:
         inside = F.col(x) <= F.col(f"{x}_high") + SLACK
         ok = ok & F.coalesce(inside if x == "byte_share" else inside & (F.col(x) >= F.col(f"{x}_low") - SLACK), F.lit(True))
-    # one row for each language and size class, whatever the corpus's size
-    out = rows.join(written(bands(rows, spread), "bands"), F.col("_language").eqNullSafe(F.col("_of")) & (F.col("_class") == F.col("_in")), "left")
+    # one row for each language, script and size class, whatever the corpus's size
+    same = F.col("_language").eqNullSafe(F.col("_l")) & (F.col("_script") == F.col("_s")) & (F.col("_class") == F.col("_c"))
+    out = rows.join(written(all_bands(rows, spread), "bands"), same, "left")
     return out.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ok).alias("kept"), *FIGURES)

@@ -250,3 +250,16 @@ def test_html_articles_that_are_not_the_main_part():
     assert text(body + "<aside><article>teaser</article></aside>") == ("the main text of this page " * 9).strip()
     assert text(body + "<article>teaser</article>").startswith("the main text of this page ")
     assert text("<div>by line</div><article>" + body + "</article>") == ("the main text of this page " * 9).strip()
+
+
+def test_quality_small_classes(spark):
+    """Junk is rejected whatever its size, language or script; ordinary rows of small classes are kept."""
+    words = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so up said what its about than into them can only other time new some could these two may first then do".split()
+    prose = lambda i, n: " ".join(words[(i * 7 + j * (1 + i % 5)) % len(words)] + "." * (j % 9 == 8) for j in range(n))
+    junk = lambda n: " ".join(hashlib.sha256(str(j).encode()).hexdigest() for j in range(n))
+    rows = [(i, "en", prose(i, 40 + i % 20)) for i in range(80)]
+    rows += [(100, "en", junk(3000)), (101, "xx", junk(50)), (102, None, junk(50)), (103, "yy", prose(3, 45)), (104, "zz", junk(50) + " я" * 9)]
+    out = {r.doc_id: r for r in quality_rules.quality(spark.createDataFrame(rows, "doc_id long, lang string, text string"), SP, language=F.col("lang")).collect()}
+    assert not any(out[i].base_failed for i in (100, 101, 102, 103, 104))
+    assert [out[i].kept for i in (100, 101, 102, 103, 104)] == [False, False, False, True, False]
+    assert all(out[i].kept for i in range(80) if not out[i].base_failed) and sum(out[i].kept for i in range(80)) >= 50
