@@ -116,6 +116,27 @@ def sorted_neighbours(terms: DataFrame, term: str, window: int = 40, block: int
     return pairs.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= allowed).select("a", "b", "distance")
 
 
+def similar_by_length(terms: DataFrame, term: str, least: int = 4, band: int = 3) -> DataFrame:
+    """All pairs of terms of at least ``least`` letters, the shorter first, whose lengths differ by up to ``band`` and whose distance is small.
+
+    The distance allowed is 1, 2 if the shorter term is longer than 8 and 3 if longer than 15. A term cut into one piece
+    more than that has a piece that the other holds too, moved by no more than that, so pairs meet in an equality join.
+    """
+    t = terms.select(F.col(term).alias("t")).where(F.length(term) >= least).distinct()
+    allowed = lambda n: F.when(n > 15, 3).when(n > 8, 2).otherwise(1)
+    start = lambda n, i: F.floor(i * n / (allowed(n) + 1)).cast("int")
+    size = F.col("_n")
+    a = t.select(F.col("t").alias("a"), F.length("t").alias("_n")).withColumn("_i", F.explode(F.sequence(F.lit(0), allowed(size))))
+    at, end = start(size, F.col("_i")), start(size, F.col("_i") + 1)
+    a = a.select("a", "_n", "_i", F.substring("a", at + 1, end - at).alias("_piece"))
+    b = t.select(F.col("t").alias("b"), F.explode(F.sequence(F.greatest(F.length("t") - band, F.lit(least)), F.length("t"))).alias("_n"))
+    b = b.withColumn("_i", F.explode(F.sequence(F.lit(0), allowed(size)))).withColumn("_shift", F.explode(F.sequence(-allowed(size), allowed(size))))
+    b = b.withColumn("_at", at + F.col("_shift")).where((F.col("_at") >= 0) & (F.col("_at") + end - at <= F.length("b")))
+    b = b.select("b", "_n", "_i", F.substring("b", F.col("_at") + 1, end - at).alias("_piece")).distinct()
+    met = a.join(b, ["_n", "_i", "_piece"]).where((F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    return met.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= allowed(F.length("a")))
+
+
 def temporal_pairs(df: DataFrame, group: str, key: str, ts: str, edges: DataFrame, ahead: int = 5) -> DataFrame:
     """Pairs (earlier, later) of a group's rows, each row with the ``ahead`` next ones, that aren't edges yet."""
     w = Window.partitionBy(group).orderBy(ts, key)

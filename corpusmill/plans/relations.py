@@ -136,7 +136,7 @@ def fuzzy_lookup(t: Tables) -> DataFrame:
     return joins.fuzzy_lookup(t.customer.where("c_custkey <= 300"), "c_name", vocabulary, "w")
 
 
-@query("q_similar_terms", "J12 J13 W10", """
+@query("q_similar_terms", "J13 W10", """
     WITH w AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS t FROM benchmark), p AS (SELECT t, substr(t, 1, 3) AS b, row_number() OVER (PARTITION BY substr(t, 1, 3) ORDER BY t) AS r FROM w WHERE regexp_matches(t, '^[a-z0-9]+$'))
     SELECT x.t AS a, y.t AS b, CAST(levenshtein(x.t, y.t) AS INT) AS distance FROM p x JOIN p y ON x.b = y.b AND y.r - x.r BETWEEN 1 AND 39
     WHERE regexp_replace(x.t, '[^0-9]', '', 'g') = regexp_replace(y.t, '[^0-9]', '', 'g') AND levenshtein(x.t, y.t) <= CASE WHEN least(length(x.t), length(y.t)) >= 15 THEN 3 WHEN least(length(x.t), length(y.t)) >= 8 THEN 2 ELSE 1 END""")
@@ -145,6 +145,15 @@ def similar_terms(t: Tables) -> DataFrame:
     return joins.sorted_neighbours(words, "t")
 
 
+@query("q_length_band", "J12", """
+    WITH w AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS t FROM benchmark), p AS (SELECT t, length(t) AS n FROM w WHERE regexp_matches(t, '^[a-z0-9]+$') AND length(t) >= 4)
+    SELECT x.t AS a, y.t AS b, CAST(levenshtein(x.t, y.t) AS INT) AS distance FROM p x JOIN p y ON y.n - x.n BETWEEN 0 AND 3 AND (x.n < y.n OR x.t < y.t)
+    WHERE levenshtein(x.t, y.t) <= CASE WHEN x.n > 15 THEN 3 WHEN x.n > 8 THEN 2 ELSE 1 END""")
+def length_band(t: Tables) -> DataFrame:
+    words = t.benchmark.select(F.explode(F.split(F.lower("text"), " ")).alias("t")).where(F.col("t").rlike("^[a-z0-9]+$"))
+    return joins.similar_by_length(words, "t")
+
+
 @query("q_temporal_pairs", "J14 J20", """
     WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders)
     SELECT a.o_custkey, a.o_orderkey AS src, b.o_orderkey AS dst FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND b.r - a.r BETWEEN 1 AND 5 WHERE NOT (a.o_orderkey + 1 = b.o_orderkey)""")

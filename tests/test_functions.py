@@ -139,3 +139,28 @@ def test_streams(spark, tmp_path, late):
     q = events.new_rows(spark, f"{tmp_path}/in", df.schema, "id", lambda: known, lambda d: d.write.mode("append").parquet(f"{tmp_path}/out"), f"{tmp_path}/check")
     q.awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 29
+
+
+def test_similar_by_length(spark):
+    """Pairs that differ in their first letters or stand far apart in order are found, as by comparing all."""
+    base = ["norm", "decreto", "resolucion", "administracion", "constitucionalidades"]
+    terms = {w for b in base for i in range(len(b)) for w in (b, b[:i] + b[i + 1 :], b[:i] + "x" + b[i:], b[:i] + "yz" + b[i + 2 :], "q" + b[:i] + b[i + 2 :])}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    want = set()
+    for a in terms:
+        for b in terms:
+            if 4 <= len(a) <= len(b) <= len(a) + 3 and (len(a) < len(b) or a < b):
+                d = distance(a, b)
+                if d <= (3 if len(a) > 15 else 2 if len(a) > 8 else 1):
+                    want.add((a, b, d))
+    got = [tuple(r) for r in joins.similar_by_length(spark.createDataFrame([(t,) for t in sorted(terms)], "t string"), "t").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {a[:3] == b[:3] for a, b, _ in want} == {True, False}
