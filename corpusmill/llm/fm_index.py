@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 _ONE = np.uint64(1)
-_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: What no document owns.
+NOBODY = np.iinfo(np.int64).max
 
 
 class BitVector:
@@ -46,83 +47,119 @@ class WaveletTree:
 
 
 def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in the order of their first ``depth`` symbols or more, and for each place the number of the class of its ``depth``-symbol prefix."""
-    n, rank, reach, halves = len(text), text.astype(np.int64), 1, None
-    while True:
-        if halves is None and 2 * reach >= depth:
-            ahead = np.zeros(n, dtype=np.int64)
-            gap = depth - reach
-            ahead[: n - gap] = rank[gap:] + 1
-            halves = np.unique(rank * (n + 2) + ahead, return_inverse=True)[1]
-        if reach >= depth:
-            return np.argsort(rank, kind="stable"), halves
+    """Suffixes in the order of their first ``depth`` symbols or more, and the symbols that each shares with the one before it (``depth`` at most)."""
+    n, rank, reach = len(text), text.astype(np.int64), 1
+    levels = []
+    while reach < depth:
+        levels.append(rank)
         ahead = np.zeros(n, dtype=np.int64)
         ahead[: n - reach] = rank[reach:] + 1
         rank = np.unique(rank * (max(n, int(rank.max()) + 1) + 2) + ahead, return_inverse=True)[1]
         reach *= 2
+    order = np.argsort(rank, kind="stable")
+    one, two, shared = order[:-1], order[1:], np.zeros(max(n - 1, 0), dtype=np.int64)
+    same = rank[one] == rank[two]
+    for i in range(len(levels) - 1, -1, -1):
+        level = np.append(levels[i], -1)
+        shared += np.where(level[np.minimum(one + shared, n)] == level[np.minimum(two + shared, n)], 1 << i, 0) * ~same
+    return order, np.concatenate(([0], np.where(same, depth, np.minimum(shared, depth))))
 
 
 class FMIndex:
     """Index of several passages (lists of words), each with the smallest id of the documents that hold it.
 
-    ``depth`` is the match length of interest: matching statistics are followed up to it, and rows of the
-    suffix order whose suffixes share ``depth`` words form one class. Words are compared as they are.
+    ``depth`` is the match length of interest: matching statistics are followed up to it, and rows of the suffix order
+    whose suffixes share ``depth`` words form one class with one owner, the smallest. Words are compared as they are.
     """
 
     def __init__(self, passages: list[list[bytes]], owners: np.ndarray, depth: int):
         self.depth = depth
-        ids: dict[bytes, int] = {}
+        self.ids: dict[bytes, int] = {}
         lengths = np.fromiter((len(p) for p in passages), dtype=np.int64, count=len(passages))
-        self.begin = np.cumsum(lengths + 1) - lengths  # symbol 0 before each passage keeps them apart
         flat: list[int] = []
         for p in passages:
-            flat.append(0)
-            flat.extend([ids.setdefault(w, len(ids) + 1) for w in p])
+            flat.append(0)  # symbol 0 before each passage keeps them apart
+            flat.extend([self.ids.setdefault(w, len(self.ids) + 1) for w in p])
         flat.append(0)
-        self.text = np.asarray(flat, dtype=np.int64)
-        self.lengths, self.ids = lengths, ids
-        n, sigma = len(self.text), len(ids) + 1
-        order, classes = suffix_order(self.text, depth)
-        self.tree = WaveletTree(self.text[order - 1], sigma)
-        self.before = np.concatenate(([0], np.cumsum(np.bincount(self.text, minlength=sigma))))[:-1]
-        ordered = classes[order]
-        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        self.run = np.cumsum(np.concatenate(([0], (ordered[1:] != ordered[:-1]).astype(np.int64))))
-        self.run_start, self.run_end = first, np.concatenate((first[1:], [n]))
-        owner = np.concatenate((np.repeat(owners, lengths + 1), [np.iinfo(np.int64).max]))
+        text = np.asarray(flat, dtype=np.int64)
+        self.size, sigma = len(text), len(self.ids) + 1
+        order, shared = suffix_order(text, depth)
+        self.tree = WaveletTree(text[order - 1], sigma)
+        self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))))[:-1]
+        first = np.flatnonzero(shared < depth)
+        self.run = np.cumsum(shared < depth) - 1
+        self.run_start, self.run_end = first, np.append(first[1:], self.size)
+        owner = np.append(np.repeat(owners, lengths + 1), NOBODY)
         self.run_owner = np.minimum.reduceat(owner[order], first)
-        self.size = n
+        # least number of shared symbols over ranges of rows of power-of-two length
+        self.least = [shared.astype(np.min_scalar_type(depth))]
+        while 2 << (len(self.least) - 1) <= self.size:
+            last, gap = self.least[-1], 1 << (len(self.least) - 1)
+            self.least.append(np.minimum(last[:-gap], last[gap:]))
+
+    def symbols(self, words: list[bytes]) -> np.ndarray:
+        """Words as symbols; 0 for a word that the index doesn't have."""
+        return np.fromiter((self.ids.get(w, 0) for w in words), dtype=np.int64, count=len(words))
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search: the rows of ``symbol`` + pattern from those of the pattern."""
         base = self.before[symbol]
         return base + self.tree.rank(symbol, low), base + self.tree.rank(symbol, high)
 
-    def first_owners(self, streamed: list[np.ndarray]) -> list[np.ndarray]:
-        """For each streamed passage and each start of ``depth`` words in it, the smallest owner of these words in the index.
-
-        All passages advance together from their last word backwards. The state of each is the row range of
-        its current match; beyond ``depth`` words the match gives up its last word, which is the class of the
-        range in the suffix order. The streamed passages must be in the index, so a match never ends early.
+    def rows(self, row: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows whose suffixes share their first ``length`` symbols with that of ``row``."""
+        low, high = row.copy(), row + 1
+        for k in range(len(self.least) - 1, -1, -1):
+            table, gap = self.least[k], 1 << k
+            at = low - gap
+            low = np.where((at >= 0) & (table[np.clip(at + 1, 0, len(table) - 1)] >= length), at, low)
+            fits = high + gap <= self.size
+            high = np.where(fits & (table[np.clip(high, 0, len(table) - 1)] >= length), high + gap, high)
+        return low, high
+
+    def shorter(self, symbol: np.ndarray, row: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the match at ``row`` can't be extended: the longest beginning of it that can, and its rows with ``symbol`` before it."""
+        short, long = np.zeros_like(length), length - 1
+        while (short < long).any():
+            middle = (short + long + 1) // 2
+            low, high = self.step(symbol, *self.rows(row, middle))
+            short, long = np.where(low < high, middle, short), np.where(low < high, long, middle - 1)
+        low, high = self.step(symbol, *self.rows(row, short))
+        return low, high, short
+
+    def matching_statistics(self, streamed: list[np.ndarray], least: int = 0) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each place of each streamed passage: the length of the longest match that starts there (``depth`` at most), and
+        where that is ``depth``, the smallest owner of these words (else NOBODY).
+
+        All passages advance together from their last word backwards. A match that can't be extended falls to its longest
+        beginning that can; one beyond ``depth`` gives up its last word. With ``least``, a passage is left as soon as no
+        match of that length can come in it; statistics from there on are given as 0.
         """
         many = len(streamed)
         lengths = np.fromiter((len(s) for s in streamed), dtype=np.int64, count=many)
         end = np.cumsum(lengths)
         text = np.concatenate(streamed) if many else np.zeros(0, dtype=np.int64)
-        low, high = np.zeros(many, dtype=np.int64), np.full(many, self.size, dtype=np.int64)
-        found = np.full(len(text), np.iinfo(np.int64).max, dtype=np.int64)
+        low, high, size = np.zeros(many, dtype=np.int64), np.full(many, self.size, dtype=np.int64), np.zeros(many, dtype=np.int64)
+        length, owner = np.zeros(len(text), dtype=np.int64), np.full(len(text), NOBODY, dtype=np.int64)
         alive = np.arange(many)
         for done in range(1, int(lengths.max(initial=0)) + 1):
-            alive = alive[lengths[alive] >= done]
+            alive = alive[(lengths[alive] >= done) & (size[alive] + lengths[alive] - done + 1 >= least)]
+            if not len(alive):
+                break
             at = end[alive] - done
-            a, b = self.step(text[at], low[alive], high[alive])
-            if done >= self.depth:
-                run = self.run[a]
-                a, b = self.run_start[run], self.run_end[run]
-                found[at] = self.run_owner[run]
-            low[alive], high[alive] = a, b
-        return [found[e - n : e - self.depth + 1] for e, n in zip(end, lengths)]
-
-    def own_passages(self) -> list[np.ndarray]:
-        """The indexed passages as arrays of symbols, to be streamed."""
-        return [self.text[b : b + n] for b, n in zip(self.begin, self.lengths)]
+            symbol = text[at]
+            known = symbol > 0
+            a, b = self.step(symbol, low[alive], high[alive])
+            m = size[alive]
+            fall = np.flatnonzero(known & (a >= b))
+            if len(fall):
+                a[fall], b[fall], m[fall] = self.shorter(symbol[fall], low[alive][fall], m[fall])
+            a, b, m = np.where(known, a, 0), np.where(known, b, self.size), np.where(known, m + 1, 0)
+            full = np.flatnonzero(m >= self.depth)
+            run = self.run[a[full]]
+            a[full], b[full], m[full] = self.run_start[run], self.run_end[run], self.depth
+            owner[at[full]] = self.run_owner[run]
+            length[at] = m
+            low[alive], high[alive], size[alive] = a, b, m
+        cut = end[:-1] if many else []
+        return np.split(length, cut), np.split(owner, cut)

@@ -3,8 +3,11 @@
 Documents are cut into overlapping passages by minimisers: consecutive windows that share the smallest hash of a
 word run inside them (their anchor) form one passage, so equal windows always meet under one anchor. Anchors seen in
 one document only can hold no repeat and go. Of the others each different passage is kept once, with the smallest
-id of its documents; passages are dealt to shards by anchor, each shard gets a compressed FM-index (wavelet tree over
-the BWT), and all passages are streamed through backward search, which gives the smallest document of every window.
+id of its documents, and passages are dealt to shards by anchor. The passages of an anchor are numbered in the order of
+these ids; for each bit of the number the shard builds a compressed FM-index (wavelet tree over the BWT) over the
+passages with a zero there, and streams those with a one through it: backward search follows their matching statistics,
+and the places where these reach ``window`` words are the repeats, with the smallest document that the index has of them.
+Two passages differ in some bit, so each meets all earlier ones, in as many indexes as the number has bits.
 An anchor with very many different passages is dealt by single windows, so no shard depends on one anchor's size.
 """
 
@@ -18,20 +21,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Powers, Words, encoded, gram_hashes, keyed, mix, run_hashes, steps, tidy, written
+from corpusmill.llm.common import Powers, Words, encoded, gram_hashes, keyed, run_hashes, steps, tidy, written
 from corpusmill.llm.fm_index import FMIndex
 
 #: Words in the run whose smallest hash is a window's anchor.
 ANCHOR_WORDS = 10
 #: Different passages of one anchor beyond which its windows are dealt one by one.
-HOT_PASSAGES = 200
+HOT_PASSAGES = 1000
 #: Words of the passages in one FM-index.
 SHARD_WORDS = 250_000
 
 _P1, _P2, _P3 = Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F), Powers(0xE7037ED1A0B428DB)
-_LOW = np.uint64(0xFFFFFF)
-_STEP = 0x9E3779B1 & 0xFFFFFF | 1
-_BACK = np.uint64(pow(_STEP, -1, 1 << 24))
 
 
 def _passages(words: Words, window: int) -> tuple[np.ndarray, ...]:
@@ -40,28 +40,25 @@ def _passages(words: Words, window: int) -> tuple[np.ndarray, ...]:
     gram = min(ANCHOR_WORDS, window)
     if n <= 0:
         return (np.zeros(0, dtype=np.int64),) * 6
-    grams = gram_hashes(words.hash, gram, _P1)
-    # the high bits order by content; the low bits give the place and settle ties between equal runs
-    packed = grams & ~_LOW | np.arange(len(grams), dtype=np.uint64) * np.uint64(_STEP) & _LOW
+    least = gram_hashes(words.hash, gram, _P1)
     span, reach = window - gram + 1, 1
     while 2 * reach <= span:
-        packed = np.minimum(packed[:-reach], packed[reach:])
+        least = np.minimum(least[:-reach], least[reach:])
         reach *= 2
     if reach < span:
-        packed = np.minimum(packed[: len(packed) - (span - reach)], packed[span - reach :])
-    packed = packed[:n]
+        least = np.minimum(least[: len(least) - (span - reach)], least[span - reach :])
+    least = least[:n]
     inside = words.text[:n] == words.text[window - 1 :]
-    low = (packed & _LOW) * _BACK & _LOW
-    first = np.arange(n, dtype=np.uint64)
-    place = first + ((low - first) & _LOW)
     new = np.ones(n, dtype=bool)
-    new[1:] = (place[1:] != place[:-1]) | ~inside[:-1]
+    new[1:] = (least[1:] != least[:-1]) | ~inside[:-1]
+    # where a text repeats itself one anchor goes on and on; its passages end after ``span`` windows all the same
+    run_start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    new |= (np.arange(n) - run_start) % span == 0
     begin = np.flatnonzero(new & inside)
-    run = np.cumsum(new & inside)
-    count = np.bincount(run[inside] - 1, minlength=len(begin))
+    count = np.bincount(np.cumsum(new & inside)[inside] - 1, minlength=len(begin))
     end = begin + count + window - 1
     text = words.text[begin]
-    return text, begin - words.first[text], count, grams[place[begin].astype(np.int64)].view(np.int64), run_hashes(words.hash, begin, end, _P2).view(np.int64), run_hashes(words.hash, begin, end, _P3).view(np.int64)
+    return text, begin - words.first[text], count, least[begin].view(np.int64), run_hashes(words.hash, begin, end, _P2).view(np.int64), run_hashes(words.hash, begin, end, _P3).view(np.int64)
 
 
 def _cut(window: int):
@@ -105,12 +102,32 @@ _PIECE = ["anchor", "h1", "h2", "i", "shard", "p1", "p2", "doc", "words"]
 _PIECE_TYPE = "anchor long, h1 long, h2 long, i int, shard long, p1 long, p2 long, doc long, words binary"
 
 
+def first_owners(shard: np.ndarray, docs: np.ndarray, passages: list[list[bytes]], window: int) -> list[np.ndarray]:
+    """For each start of ``window`` words in each passage, the smallest document of its shard key that has them.
+
+    Rows come sorted by shard key and document. Each passage is streamed through one index for each one-bit of its number.
+    """
+    new = np.concatenate(([True], shard[1:] != shard[:-1]))
+    start = np.maximum.accumulate(np.where(new, np.arange(len(shard)), 0))
+    number = np.arange(len(shard)) - start
+    many = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+    first = [np.full(len(p) - window + 1, d) for p, d in zip(passages, docs)]
+    for bit in range(int(number.max(initial=0)).bit_length()):
+        held = np.flatnonzero((number >> bit & 1 == 0) & (many > 1 << bit))
+        index = FMIndex([passages[i] for i in held], docs[held], window)
+        streamed = np.flatnonzero(number >> bit & 1)
+        _, owners = index.matching_statistics([index.symbols(passages[i]) for i in streamed], least=window)
+        for i, owner in zip(streamed, owners):
+            first[i] = np.minimum(first[i], owner[: len(first[i])])
+    return first
+
+
 def _index(window: int):
-    """FM-indexes over a partition's passages, which come sorted by shard key; a key's passages are never split."""
+    """FM-indexes over a partition's passages, which come sorted by shard key and document; a key's passages are never split."""
 
     def searched(rows: pd.DataFrame) -> pd.DataFrame:
-        index = FMIndex([w.split() for w in rows["words"]], rows["doc"].to_numpy(dtype=np.int64), window)
-        return rows[["shard", "p1", "p2"]].assign(first=index.first_owners(index.own_passages()))
+        words = [w.split() for w in rows["words"]]
+        return rows[["shard", "p1", "p2"]].assign(first=first_owners(rows["shard"].to_numpy(), rows["doc"].to_numpy(dtype=np.int64), words, window))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -154,7 +171,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     once = rows.join(places, ["_id", "_key"]).select("_id", "_text", "places")
     pieces = written(once.mapInPandas(tidy(_texts(window)), _PIECE_TYPE), "pieces")
     unique = pieces.groupBy("shard", "p1", "p2").agg(F.min("doc").alias("doc"), F.min("words").alias("words"))
-    found = unique.repartition("shard").sortWithinPartitions("shard").mapInPandas(tidy(_index(window)), "shard long, p1 long, p2 long, first array<long>")
+    found = unique.repartition("shard").sortWithinPartitions("shard", "doc").mapInPandas(tidy(_index(window)), "shard long, p1 long, p2 long, first array<long>")
     found = pieces.select("anchor", "h1", "h2", "i", "shard", "p1", "p2").join(found, ["shard", "p1", "p2"])
     # the windows of hot passages come one by one, at most as many as a passage has; i is -1 for a whole passage
     found = found.groupBy("anchor", "h1", "h2").agg(F.flatten(F.transform(F.array_sort(F.collect_set(F.struct("i", "first"))), lambda x: x["first"])).alias("first"))
