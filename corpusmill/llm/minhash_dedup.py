@@ -3,8 +3,8 @@
 Rows with the same set of shingles form a class, named by its smallest id. Classes are sketched; each band of the
 sketch is a bucket. First every member of a bucket is compared with the bucket's smallest member only, which links the
 bulk of any group in as many comparisons as it has members. Components that still share a bucket are compared member by
-member inside tasks, in blocks: by sketches, and where these don't rule out a link, on the full sets; only links that
-connect what isn't connected come out, so no group is expanded into all its pairs.
+member on the full sets inside tasks, in blocks; only links that connect what isn't connected come out, so no group is
+expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ _EMPTY = _U64(0xFFFFFFFFFFFFFFFF)
 
 #: Shingles in one block of a group's members.
 BLOCK = 200_000
-#: A pair whose sketches agree in fewer coordinates than the limit's share by this many standard deviations isn't linked (1 in 10,000 of the pairs just at the limit).
-SPREADS = 3.7
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,31 +122,55 @@ def _linked(width: int, percent: int):
     return linked
 
 
-def _compact(width: int, size: int):
-    """The sketch with one byte for each coordinate, and the set."""
+def _sets(width: int):
+    """The set of each row's text."""
 
-    def compact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts, ids = encoded(pdf["_text"]), pdf["_id"].to_numpy()
             for a, b in steps(texts):
                 text, value = shingle_sets(texts[a:b], width)
-                low = (mix(sketches(text, value, b - a, size)) & _U64(255)).astype(np.uint8)
                 edge = np.searchsorted(text, np.arange(b - a + 1))
-                yield pd.DataFrame({"_id": ids[a:b], "short": [x.tobytes() for x in low], "set": [value[i:j].tobytes() for i, j in zip(edge, edge[1:])]})
+                yield pd.DataFrame({"_id": ids[a:b], "set": [value[i:j].tobytes() for i, j in zip(edge, edge[1:])]})
 
-    return compact
+    return sets
 
 
-def _across(parts: DataFrame, near: DataFrame, sets: DataFrame, percent: int, size: int) -> DataFrame:
+def connecting(ids: np.ndarray, part: np.ndarray, out: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between outer rows (``out``) and the others of some block that are in different parts, leaving out those that earlier ones imply.
+
+    Each outer set is marked and counted in all sets whose size allows a link, which stand side by side.
+    """
+    others = np.flatnonzero(~out)
+    n = np.fromiter((len(s) for s in sets), dtype=np.int64, count=len(sets))
+    others = others[np.argsort(n[others], kind="stable")]
+    flat, place = np.unique(np.concatenate([sets[i] for i in others]), return_inverse=True)
+    size = n[others]
+    edge = np.concatenate(([0], np.cumsum(size)))
+    top, marked, found = part.copy(), np.zeros(len(flat) + 1, dtype=bool), []
+    for a in np.flatnonzero(out):
+        low, high = np.searchsorted(size * 100, n[a] * percent), np.searchsorted(size * percent, n[a] * 100, side="right")
+        if low >= high or (top[others[low:high]] == top[a]).all():
+            continue
+        at = np.searchsorted(flat, sets[a])
+        at = at[flat[np.minimum(at, len(flat) - 1)] == sets[a]]
+        marked[at] = True
+        common = np.add.reduceat(marked[place[edge[low] : edge[high]]], edge[low:high] - edge[low], dtype=np.int64)
+        marked[at] = False
+        for b in others[low:high][100 * common >= percent * (size[low:high] + n[a] - common)]:
+            if top[b] != top[a]:
+                top[top == top[b]] = top[a]
+                found.append((ids[a], ids[b]))
+    return found
+
+
+def _across(parts: DataFrame, near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components of a group: a main component and those (outer) that share a bucket with it.
 
-    parts: _id, n, part of all members of buckets; near: (main, part) of each outer component; sets: _id, short, set.
-    Outer members in blocks meet all members of their group in blocks; a task holds two blocks at a time. A pair whose
-    sketches are within ``SPREADS`` standard deviations of the limit is confirmed on the full sets there, unless the two
-    are connected by then, so no more links come out than there are members.
+    parts: _id, n, part of all members of buckets; near: (main, part) of each outer component; sets: _id, set.
+    Outer members in blocks meet all members of their group in blocks; a task holds two blocks at a time and compares the
+    full sets of every pair in them that isn't connected by then, so no more links come out than there are members.
     """
-    limit = percent / 100
-    least = size * (limit - SPREADS * (limit * (1 - limit) / size) ** 0.5)
     place = lambda n, seed: F.pmod(F.xxhash64("_id", F.lit(seed)), F.col(n)).cast("int")
     outer = near.join(parts, "part").select(F.col("main").alias("group"), "_id", "n", "part", F.lit(True).alias("out"))
     inner = near.select("main").distinct().join(parts, F.col("main") == F.col("part")).select(F.col("main").alias("group"), "_id", "n", "part", F.lit(False).alias("out"))
@@ -156,7 +178,7 @@ def _across(parts: DataFrame, near: DataFrame, sets: DataFrame, percent: int, si
     blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
     sizes = members.groupBy("group").agg(blocks_of(F.sum(F.when(F.col("out"), F.col("n")))).alias("ni"), blocks_of(F.sum("n")).alias("nj"))
     rows = members.join(sizes, "group").join(sets, "_id")
-    cols = ["group", "_id", "n", "part", "short", "set"]
+    cols = ["group", "_id", "part", "set"]
     x = rows.where("out").select(*cols, F.lit(True).alias("out"), place("ni", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
     y = rows.select(*cols, F.lit(False).alias("out"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), place("nj", 2).alias("j"))
 
@@ -164,26 +186,7 @@ def _across(parts: DataFrame, near: DataFrame, sets: DataFrame, percent: int, si
         out = group["out"].to_numpy()
         if out.all() or not out.any():
             return None
-        short = np.frombuffer(b"".join(group["short"]), dtype=np.uint8).reshape(len(group), -1)
-        held = [np.frombuffer(s, dtype=_U64) for s in group["set"]]
-        ids, n, part = (group[c].to_numpy() for c in ("_id", "n", "part"))
-        above: dict[int, int] = {}
-
-        def top(p: int) -> int:
-            while (q := above.get(p, p)) != p:
-                p = q
-            return p
-
-        others, found = np.flatnonzero(~out), []
-        for a in np.flatnonzero(out):
-            close = others[(part[others] != part[a]) & (n[others] * 100 >= n[a] * percent) & (n[a] * 100 >= n[others] * percent)]
-            alike = (short[close] == short[a]).sum(axis=1)
-            for b in close[np.argsort(-alike, kind="stable")][: int((alike >= least).sum())]:
-                if top(part[a]) != top(part[b]):
-                    common = len(np.intersect1d(held[a], held[b], assume_unique=True))
-                    if 100 * common >= percent * (len(held[a]) + len(held[b]) - common):
-                        above[top(part[a])] = top(part[b])
-                        found.append((ids[a], ids[b]))
+        found = connecting(group["_id"].to_numpy(), group["part"].to_numpy(), out, [np.frombuffer(s, dtype=_U64) for s in group["set"]], percent)
         return pd.DataFrame(found, columns=["a", "b"]) if found else None
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,9 +210,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Of each row: id, n_shingles, component_id (smallest id reachable over links) and kept (its id is the component's).
 
     Two texts are linked when their sets of ``width``-word shingles have a similarity of ``percent``/100 or more; each link
-    is confirmed on the full sets. A pair of similarity s meets in a bucket with probability 1 - (1 - s^rows)^bands.
-    Null and empty texts are linked with nothing. A row with a null id is kept and has no component; rows with equal
-    ids count as one node.
+    is confirmed on the full sets. A pair of similarity s meets in a bucket with probability 1 - (1 - s^rows)^bands; of the
+    components that meet, all pairs are compared. Null and empty texts are linked with nothing. A row with a null id is
+    kept and has no component; rows with equal ids count as one node. Texts of any length are whole sets; other columns
+    of ``docs``, whatever their names, are left out.
     """
     texts = keyed(docs, id_col, text_col)
     described = written(texts.mapInPandas(tidy(_described(width, bands, rows)), "_id long, _key long, n long, s1 long, s2 long, bands array<long>"), "described")
@@ -238,8 +242,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mains = rest.groupBy("band").agg(F.max(F.struct("many", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("most.part").alias("main"))
     near_parts = written(rest.join(mains, "band").where("part != main").select("main", "part").distinct(), "near")
     wide = near_parts.select(F.explode(F.array("main", "part")).alias("part")).distinct().join(labelled, "part").select("_id")
-    sets = held.join(wide, "_id", "left_semi").mapInPandas(tidy(_compact(width, bands * rows)), "_id long, short binary, set binary").dropDuplicates(["_id"])
-    more = written(_across(labelled, near_parts, written(sets, "sets"), percent, bands * rows), "links")
+    sets = held.join(wide, "_id", "left_semi").mapInPandas(tidy(_sets(width)), "_id long, set binary").dropDuplicates(["_id"])
+    more = written(_across(labelled, near_parts, written(sets, "sets"), percent), "links")
     if not more.isEmpty():
         parts = components(links.union(more))
     found = described.select("_id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left").join(parts, F.col("rep") == F.col("id"), "left")
