@@ -50,8 +50,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    scored = toxicity_scores(docs, train_on(docs, _table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+    scored = toxicity_scores(docs, train_on(docs, _table(spark, sf_dir, "labels")), worst=True)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", F.col("worst").alias("offending_sentences"))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 A sentence has the features of its words: the word, its beginnings and its character runs. Its score is a
 logistic function of their weights; a document is clean if all of its sentences are, so its score is
 1 - (1 - leak) * product of (1 - sentence score). The weights are those that make the labels of a bounded sample of
-documents likeliest. The sentence scores then show where the offence stands.
+documents likeliest: tasks count the features of whole texts and turn these into bags of feature numbers, and one task
+trains on the bags. The sentence scores then show where the offence stands.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import steps, tidy
+from corpusmill.llm.common import steps, tidy, written
 
 #: Features that get a weight at most.
 FEATURES = 20_000
-#: Labelled rows that training uses at most, those of the smallest hash of their id; and the words of a row that it uses, in whole sentences.
-TRAIN_ROWS, TRAIN_WORDS = 6000, 3000
+#: Labelled rows that training uses at most, those of the smallest hash of their id, each with its whole text.
+TRAIN_ROWS = 6000
+#: Toxic documents that a feature stands in at least, if it gets a weight.
+LEAST_DOCS = 4
 #: Least G statistic of a feature that gets a weight.
 LEAST_G = 14.0
 _SENTENCE = re.compile(r"[^.!?\n。]+")
@@ -93,46 +96,78 @@ def summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[edge[1:]] - total[edge[:-1]]
 
 
-def telling(texts: list[str], labels: np.ndarray, most: int = FEATURES) -> list[str]:
-    """The features that stand in significantly more of the toxic documents (G statistic), strongest first."""
-    words = lambda text: {w.strip(_EDGE) for w in set(text.lower().translate(_BREAK).split())}
-    toxic = Counter(x for text, label in zip(texts, labels) if label for x in {x for w in words(text) for x in names(w)})
-    able = sorted(x for x, n in toxic.items() if n >= 4)
-    features, held = Features(able), np.zeros((2, len(able)))
-    for text, label in zip(texts, labels):
-        held[int(label), list({i for w in words(text) for i in features.known.get(w) or features.word(w)})] += 1
-    many = np.maximum(np.bincount(labels.astype(int), minlength=2)[:, None], 1)
-    share = np.clip(held / many, 1e-9, 1 - 1e-9)
-    both = np.clip(held.sum(axis=0) / many.sum(), 1e-9, 1 - 1e-9)
-    g = 2 * sum(held[i] * np.log(share[i] / both) + (many[i] - held[i]) * np.log((1 - share[i]) / (1 - both)) for i in (0, 1))
-    g[share[1] <= share[0]] = 0
-    return [able[i] for i in np.argsort(-g, kind="stable")[:most] if g[i] > LEAST_G]
+def _kinds(text: str) -> set[str]:
+    """The features of a text's different words."""
+    words = {w.strip(_EDGE) for w in set(text.lower().translate(_BREAK).split())}
+    return {x for w in words for x in names(w)}
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 200, rate: float = 0.05, decay: float = 1e-4) -> dict[str, float]:
-    """Weights of the features, the sentence bias (name "") and the leak's logit (name "?").
+def telling(sample: DataFrame, most: int = FEATURES) -> list[str]:
+    """The features that stand in significantly more of the toxic documents of a sample (_text, _label) by the G statistic, strongest first."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            held = [Counter(), Counter()]
+            for text, label in zip(pdf["_text"].fillna(""), pdf["_label"]):
+                held[int(label)].update(_kinds(text))
+            every = list(held[0].keys() | held[1].keys())
+            yield pd.DataFrame({"name": np.asarray(every, dtype=object), "clean": [held[0][x] for x in every], "toxic": [held[1][x] for x in every]})
+
+    many = {r["_label"]: r["count"] for r in sample.groupBy("_label").count().collect()}
+    counts = sample.select("_text", "_label").mapInPandas(tidy(counted), "name string, clean long, toxic long").groupBy("name").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= LEAST_DOCS)
+    n0, n1 = max(1, many.get(0, 0)), max(1, many.get(1, 0))
+    share = lambda x, n: F.least(F.greatest(x / n, F.lit(1e-9)), F.lit(1 - 1e-9))
+    both = share(F.col("clean") + F.col("toxic"), n0 + n1)
+    part = lambda x, n: x * F.log(share(x, n) / both) + (n - x) * F.log((1 - share(x, n)) / (1 - both))
+    g = counts.where(F.col("toxic") / n1 > F.col("clean") / n0).select("name", F.round(2 * (part(F.col("clean"), n0) + part(F.col("toxic"), n1)), 9).alias("g"))
+    return [r["name"] for r in g.where(F.col("g") > LEAST_G).orderBy(F.desc("g"), "name").limit(most).collect()]
+
+
+def numbered(sample: DataFrame, chosen: list[str]) -> DataFrame:
+    """_id, _key, _label and the bags of each row's whole text: ``flat`` feature numbers, ``sizes`` of the sentences that have any, and how many have none (``bare``)."""
+    held = sample.sparkSession.sparkContext.broadcast(chosen)  # at most FEATURES short strings, whatever the input
+
+    def bagged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        features = Features(held.value)
+        for pdf in batches:
+            out = []
+            for text in pdf["_text"].fillna(""):
+                flat, sizes, _ = bags([text], features)
+                out.append((flat.astype(np.int32), sizes[sizes > 0].astype(np.int32), int((sizes == 0).sum())))
+            yield pd.DataFrame(out, columns=["flat", "sizes", "bare"]).assign(_id=pdf["_id"].to_numpy(), _key=pdf["_key"].to_numpy(), _label=pdf["_label"].to_numpy())
+
+    rows = sample.withColumn("_key", F.xxhash64("_text"))
+    return rows.mapInPandas(tidy(bagged), "flat array<int>, sizes array<int>, bare long, _id long, _key long, _label int")
+
+
+def train(bagged: pd.DataFrame, features: int, epochs: int = 200, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+    """Weights of the features, then the sentence bias and the leak's logit, from the rows of ``numbered``.
 
     Adam on the likelihood of the labels under noisy-or, with a penalty on squared weights. Weights start at zero and the
-    bias well below it, so that a sentence is clean until a label says otherwise.
+    bias well below it, so that a sentence is clean until a label says otherwise. Sentences without features have the
+    bias for a score and are only counted.
     """
-    chosen = telling(texts, labels)
-    index, sizes, many = bags(texts, Features(chosen))
-    w = np.zeros(len(chosen) + 2)
+    join = lambda c: np.concatenate([np.zeros(0, dtype=np.int64), *[np.asarray(x, dtype=np.int64) for x in bagged[c]]])
+    index, sizes, bare = join("flat"), join("sizes"), bagged["bare"].to_numpy(dtype=float)
+    many = np.fromiter(map(len, bagged["sizes"]), dtype=np.int64, count=len(bagged))
+    labels = bagged["_label"].to_numpy()
+    w = np.zeros(features + 2)
     w[-2:] = -5.0, -4.0
     sentence_of, doc_of = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(many)), many)
     m, v = np.zeros_like(w), np.zeros_like(w)
+    chance = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, epochs + 1):
-        p = 1 / (1 + np.exp(-np.clip(summed(w[index], sizes) + w[-2], -30, 30)))
-        leak = 1 / (1 + np.exp(-w[-1]))
-        clean = summed(-np.log1p(-np.minimum(p, 1 - 1e-12)), many) - np.log1p(-leak)  # -log of the chance of no offence
+        p, none, leak = chance(summed(w[index], sizes) + w[-2]), chance(w[-2]), chance(w[-1])
+        # -log of the chance of no offence
+        clean = summed(-np.log1p(-np.minimum(p, 1 - 1e-12)), many) - bare * np.log1p(-none) - np.log1p(-leak)
         pull = np.where(labels == 1, -np.exp(-clean) / np.maximum(1 - np.exp(-clean), 1e-9), 1.0) / max(1, len(labels))
         gz = pull[doc_of] * p
         g = np.zeros_like(w)
-        g[:-2] = np.bincount(index, weights=gz[sentence_of], minlength=len(chosen)) + decay * w[:-2]
-        g[-2], g[-1] = gz.sum(), (pull * leak).sum()
+        g[:-2] = np.bincount(index, weights=gz[sentence_of], minlength=features) + decay * w[:-2]
+        g[-2], g[-1] = gz.sum() + (pull * bare).sum() * none, (pull * leak).sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    return {name: float(x) for name, x in zip([*chosen, "", "?"], w)}
+    return w
 
 
 class Model:
@@ -165,27 +200,28 @@ def sample_of(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
 
 
-def fit(sample: DataFrame, words: int = TRAIN_WORDS) -> DataFrame:
-    """The weights by feature name, from a bounded sample (_id, _text, _label); a row lends its first ``words`` words.
+def fit(sample: DataFrame) -> dict[str, float]:
+    """The weights by feature name, the sentence bias (name "") and the leak's logit (name "?"), from a bounded sample (_id, _text, _label).
 
-    One task trains; the sample's bounds keep that task the same size whatever the corpus's.
+    Whole texts are counted and turned into bags where they lie; one task trains on the bags, and the sample's bound keeps
+    its rows the same whatever the corpus's size.
     """
-    start = re.compile(r"(?:\S+\s+){%d}[^.!?\n]*" % words)
+    chosen = telling(sample)
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat([pd.DataFrame({"_id": [], "_text": [], "_label": []}), *batches], ignore_index=True)
-        pdf = pdf.sort_values(["_id", "_text"])
-        texts = [t[: match.end()] if (match := start.match(t)) else t for t in pdf["_text"].fillna("")]
-        weights = train(texts, pdf["_label"].to_numpy(dtype=float))
-        yield pd.DataFrame({"name": list(weights), "weight": list(weights.values())})
+        rows = pd.concat([pd.DataFrame({c: [] for c in ("flat", "sizes", "bare", "_id", "_key", "_label")}), *batches], ignore_index=True)
+        yield pd.DataFrame({"weight": train(rows.sort_values(["_id", "_key"]), len(chosen))})
 
-    return sample.repartition(1).mapInPandas(tidy(fitted), "name string, weight double")
+    # rows stay in order within the one batch stream
+    weights = [r["weight"] for r in numbered(sample, chosen).repartition(1).mapInPandas(tidy(fitted), "weight double").collect()]
+    return dict(zip([*chosen, "", "?"], weights))
 
 
 def toxicity_scores(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, worst: bool = False) -> DataFrame:
     """Id (or the columns ``keep``), score in 0..1, predicted (1 from 0.5) and, with ``worst``, the sentences that score 0.5 or more.
 
-    Null and empty texts have no sentence and get the leak, the score of an offence without one.
+    Null and empty texts have no sentence and get the leak, the score of an offence without one. Texts are scored whole,
+    repeated rows each for itself; other columns of ``docs`` only come along if ``keep`` names them.
     """
     held = docs.sparkSession.sparkContext.broadcast(weights)  # at most FEATURES short strings, whatever the input
     columns = [F.col(c) for c in keep] if keep else [F.col(id_col).cast("long").alias(id_col)]
@@ -212,7 +248,7 @@ def toxicity_scores(docs: DataFrame, weights: dict[str, float], id_col: str = "d
 
 def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict[str, float]:
     """The weights for a corpus with a label table: at most FEATURES + 2 numbers."""
-    return {r["name"]: r["weight"] for r in fit(sample_of(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)).collect()}
+    return fit(written(sample_of(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col), "labelled"))
 
 
 def held_out(id_col: str = "doc_id"):
