@@ -1,29 +1,31 @@
 """Exact top-k search by vector-approximation files.
 
-Each partition of the vectors is a file of approximations: a vector's components are quantised to one byte each on a grid
-that spans all vectors. For a block of queries the quantised cells are scanned for bounds of the inner product; exact
-vectors are read in the order of their bounds until the k-th best exact score is certain to stay. The best of each
-partition then meet by query. Queries come in blocks of bounded size, each of which is broadcast.
+Vectors are written twice: whole, and as an approximation file in which each component is one byte, its cell on a grid that
+spans all vectors. Queries in blocks meet slices of the approximation file, which alone are scanned for bounds of the inner
+product; what can't be among a query's k best of its slice is left there. Over all slices, the k-th best lower bound rules
+out more. Then exact vectors are read in the order of their upper bounds: some first, and of the rest only those whose bound
+reaches the k-th best exact score by then, so that the result is certain. Queries and vectors are tables throughout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import written
+from corpusmill.llm.common import tidy, written
 
-#: Numbers in one block of queries.
-BLOCK_NUMBERS = 1_000_000
+#: Numbers in one block of queries, and cells in one slice of the approximation file.
+BLOCK_NUMBERS, SLICE_CELLS = 500_000, 16_000_000
 #: Cells of each dimension.
 CELLS = 256
-#: Queries and vectors whose bounds are held at a time.
-QUERIES_AT_ONCE, VECTORS_AT_ONCE = 256, 4096
+#: Vectors in one row of the approximation file, and queries whose bounds are held at a time.
+VECTORS_AT_ONCE, QUERIES_AT_ONCE = 4096, 128
+#: Exact vectors that a query reads at first, in multiples of k.
+FIRST_READ = 2
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 1024) -> DataFrame:
@@ -34,81 +36,128 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int
     return good.select(F.col(id_col).cast("long").alias("_id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("_v"))
 
 
-def _ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _by_size(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows of at most VECTORS_AT_ONCE vectors of one length, with the matrix of these."""
     for pdf in batches:
-        for size, group in pdf.groupby(pdf["_v"].map(len)):
-            m = np.stack(group["_v"].to_list())
-            yield pd.DataFrame({"d": np.arange(size), "lo": m.min(axis=0), "hi": m.max(axis=0)})
-
-
-def _search(queries: dict[int, tuple[np.ndarray, np.ndarray]], grid: dict[int, tuple[int, int]], k: int):
-    """queries: by dimension, ids and matrix. grid: by dimension number, least component and cell width."""
-
-    def scan(ids: np.ndarray, exact: np.ndarray, qids: np.ndarray, q: np.ndarray, best: tuple[np.ndarray, np.ndarray]) -> None:
-        dims = np.arange(exact.shape[1])
-        least, width = (np.asarray([grid[d][i] for d in dims], dtype=np.int64) for i in (0, 1))
-        cell = ((exact - least) // width).astype(np.uint8)
-        low = (cell * width + least).astype(np.float64)
-        for a in range(0, len(q), QUERIES_AT_ONCE):
-            part = q[a : a + QUERIES_AT_ONCE]
-            under, over = np.minimum(part, 0).astype(np.float64), np.maximum(part, 0).astype(np.float64)
-            base = part.astype(np.float64) @ low.T
-            lower, upper = base + (under @ (width - 1))[:, None], base + (over @ (width - 1))[:, None]
-            own = qids[a : a + len(part), None] == ids[None, :]
-            lower[own] = upper[own] = -np.inf
-            sure = best[0][a : a + len(part), -1].astype(np.float64)
-            if len(ids) >= k:
-                sure = np.maximum(sure, np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k])
-            for i in np.flatnonzero((upper >= sure[:, None]).any(axis=1)):
-                near = np.flatnonzero((upper[i] >= sure[i]) & ~own[i])
-                near = near[np.argsort(-upper[i, near], kind="stable")]
-                scores, names = best[0][a + i], best[1][a + i]
-                while len(near):
-                    now, near = near[: 2 * k], near[2 * k :]
-                    s = np.concatenate((scores, exact[now] @ part[i]))
-                    n = np.concatenate((names, ids[now]))
-                    order = np.lexsort((n, -s))[:k]
-                    scores, names = s[order], n[order]
-                    near = near[upper[i, near] >= scores[-1]]
-                best[0][a + i], best[1][a + i] = scores, names
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = np.iinfo(np.int64).min + 1  # its negative is a number too
-        best = {d: (np.full((len(q[0]), k), none), np.full((len(q[0]), k), np.iinfo(np.int64).max)) for d, q in queries.items()}
-        for pdf in batches:
-            for size, group in pdf.groupby(pdf["_v"].map(len)):
-                if size in queries:
-                    for a in range(0, len(group), VECTORS_AT_ONCE):
-                        part = group.iloc[a : a + VECTORS_AT_ONCE]
-                        scan(part["_id"].to_numpy(), np.stack(part["_v"].to_list()), *queries[size], best[size])
-        for size, (qids, _) in queries.items():
-            scores, names = best[size]
-            x, y = np.nonzero(scores > none)
-            yield pd.DataFrame({"query_id": qids[x], "vec_id": names[x, y], "score": scores[x, y]})
-
-    return search
+        for _, group in pdf.groupby(pdf["_v"].map(len)):
+            for a in range(0, len(group), VECTORS_AT_ONCE):
+                part = group.iloc[a : a + VECTORS_AT_ONCE]
+                yield part, np.stack(part["_v"].to_list())
+
+
+def grid_of(exact: DataFrame) -> dict[int, tuple[int, int]]:
+    """By dimension, the least component and the width of a cell: two numbers for each dimension."""
+
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, m in _by_size(batches):
+            yield pd.DataFrame({"d": np.arange(m.shape[1], dtype=np.int32), "lo": m.min(axis=0), "hi": m.max(axis=0)})
+
+    span = exact.select("_v").mapInPandas(tidy(ranges), "d int, lo long, hi long").groupBy("d").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return {r["d"]: (r["lo"], (r["hi"] - r["lo"]) // CELLS + 1) for r in span.collect()}
+
+
+def _grid(grid: dict[int, tuple[int, int]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray([grid[d][0] for d in range(size)], dtype=np.int64), np.asarray([grid[d][1] for d in range(size)], dtype=np.int64)
+
+
+def approximations(exact: DataFrame, grid: dict[int, tuple[int, int]]) -> DataFrame:
+    """The approximation file: ``_size`` (dimensions), and for some vectors at a time ``ids``, ``rows`` and ``cells`` as bytes."""
+
+    def quantised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, m in _by_size(batches):
+            least, width = _grid(grid, m.shape[1])
+            cells = ((m - least) // width).astype(np.uint8)
+            yield pd.DataFrame({"_size": [m.shape[1]], "ids": [part["_id"].to_numpy().tobytes()], "rows": [part["_row"].to_numpy().tobytes()], "cells": [cells.tobytes()]})
+
+    return exact.mapInPandas(tidy(quantised), "_size int, ids binary, rows binary, cells binary")
+
+
+def bounds(cells: np.ndarray, q: np.ndarray, grid: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the inner products of some integer queries with the vectors of some cells, by rows of queries."""
+    least, width = _grid(grid, cells.shape[1])
+    whole = q.astype(np.float64)
+    base = (whole * width) @ cells.T.astype(np.float64) + (whole @ least)[:, None]
+    # what rounding can add up to
+    slack = np.abs(whole) @ (np.abs(least) + width * CELLS) * 1e-12
+    spread = width - 1
+    return base + (np.minimum(whole, 0) @ spread - slack)[:, None], base + (np.maximum(whole, 0) @ spread + slack)[:, None]
+
+
+def _scan(grid: dict[int, tuple[int, int]], k: int):
+    """Of each query of a block, the vectors of a slice whose upper bound reaches the k-th best lower bound there."""
+
+    def scan(cells: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(cells) and len(queries):
+            qids, q = queries["_id"].to_numpy(), np.stack(queries["_v"].to_list())
+            size = q.shape[1]
+            ids, rows = (np.frombuffer(b"".join(cells[c]), dtype=np.int64) for c in ("ids", "rows"))
+            matrix = np.frombuffer(b"".join(cells["cells"]), dtype=np.uint8).reshape(-1, size)
+            for a in range(0, len(q), QUERIES_AT_ONCE):
+                names = qids[a : a + QUERIES_AT_ONCE]
+                sure = np.full(len(names), -np.inf)
+                held: list[tuple[np.ndarray, ...]] = []
+                best = np.full((len(names), k), -np.inf)
+                for v in range(0, len(ids), VECTORS_AT_ONCE):
+                    lower, upper = bounds(matrix[v : v + VECTORS_AT_ONCE], q[a : a + QUERIES_AT_ONCE], grid)
+                    own = names[:, None] == ids[None, v : v + VECTORS_AT_ONCE]
+                    lower[own] = upper[own] = -np.inf
+                    both = np.concatenate((best, lower), axis=1)
+                    best = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+                    sure = best.min(axis=1)
+                    x, y = np.nonzero((upper >= sure[:, None]) & ~own)
+                    held.append((x, ids[v + y], rows[v + y], lower[x, y], upper[x, y]))
+                x, found, row, low, high = (np.concatenate(c) for c in zip(*held))
+                keep = high >= sure[x]
+                out.append(pd.DataFrame({"query_id": names[x], "vec_id": found, "_row": row, "lower": low, "upper": high})[keep])
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "_row": [], "lower": [], "upper": []}).astype({"query_id": "int64", "vec_id": "int64", "_row": "int64"})
+
+    return scan
+
+
+def candidates(file: DataFrame, queries: DataFrame, grid: dict[int, tuple[int, int]], k: int) -> DataFrame:
+    """query_id, vec_id, _row, upper and place (1: highest upper bound) of what the approximation file can't rule out."""
+    spark = file.sparkSession
+    asked = queries.select(F.size("_v").alias("_size"), "_id", "_v")
+    blocks = {r["_size"]: max(1, -(-r["n"] * r["_size"] // BLOCK_NUMBERS)) for r in asked.groupBy("_size").agg(F.count("*").alias("n")).collect()}
+    slices = {r["_size"]: max(spark.sparkContext.defaultParallelism, -(-r["n"] // SLICE_CELLS)) for r in file.groupBy("_size").agg(F.sum(F.length("cells")).alias("n")).collect()}
+    many = lambda counts: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in (counts or {0: 1}).items() for x in pair]), F.col("_size")), F.lit(0))
+    every = lambda counts: F.explode(F.when(many(counts) > 0, F.sequence(F.lit(0), many(counts) - 1)))
+    left = file.where(many(blocks) > 0).select("*", F.pmod(F.xxhash64("rows"), many(slices)).cast("int").alias("_slice"), every(blocks).alias("_block"))
+    right = asked.where(many(slices) > 0).select("*", F.pmod(F.xxhash64("_id"), many(blocks)).cast("int").alias("_block"), every(slices).alias("_slice"))
+    key = ["_size", "_slice", "_block"]
+    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_scan(grid, k), "query_id long, vec_id long, _row long, lower double, upper double")
+    met = written(met, "bounds")
+    by_lower = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lower")))
+    sure = met.withColumn("_n", by_lower).where(F.col("_n") == k).select("query_id", F.col("lower").alias("_sure"))
+    left_over = met.join(sure, "query_id", "left").where(F.col("_sure").isNull() | (F.col("upper") >= F.col("_sure")))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id", "_row"))
+    return left_over.select("query_id", "vec_id", "_row", "upper", place.alias("place"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k best other rows of each query row, by inner product of integer vectors.
 
     Ties go to the smaller id; a query with fewer other rows gets all. Only vectors of the query's length are compared.
-    Queries of the same id count as one (the smallest vector), and rows of a query's own id are never its results.
-    Components are exact up to 2**31 in size (scores up to 2**63).
+    Queries of the same id count as one (the smallest vector), and rows of a query's own id are never its results; repeated
+    rows each are a result. Components are exact up to 2**31 in size (scores up to 2**63). Other columns of ``vectors``,
+    whatever their names, are left out.
     """
     whole = integer_vectors(vectors, id_col, vector_col, scale)
-    spark = vectors.sparkSession
+    # rows have a number of their own once they are written
+    exact = written(whole.withColumn("_row", F.monotonically_increasing_id()), "exact")
     queries = written(integer_vectors(vectors.where(is_query), id_col, vector_col, scale).groupBy("_id").agg(F.min("_v").alias("_v")), "queries")
-    span = whole.mapInPandas(_ranges, "d int, lo long, hi long").groupBy("d").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    grid = {r["d"]: (r["lo"], (r["hi"] - r["lo"]) // CELLS + 1) for r in span.collect()}  # two numbers for each dimension
-    many, longest = queries.agg(F.count("*"), F.max(F.size("_v"))).first()
-    blocks = max(1, -(-many * (longest or 1) // BLOCK_NUMBERS))
-    found = []
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == b).collect()  # about BLOCK_NUMBERS numbers
-        by_size = {n: [r for r in rows if len(r["_v"]) == n] for n in {len(r["_v"]) for r in rows}}
-        block = spark.sparkContext.broadcast({n: (np.asarray([r["_id"] for r in rs]), np.asarray([r["_v"] for r in rs])) for n, rs in by_size.items()})
-        found.append(whole.mapInPandas(lambda batches, block=block: _search(block.value, grid, k)(batches), "query_id long, vec_id long, score long"))
-    best = reduce(DataFrame.unionByName, found)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    grid = grid_of(exact)
+    left = written(candidates(written(approximations(exact, grid), "approximations"), queries, grid, k), "candidates")
+
+    def scored(rows: DataFrame) -> DataFrame:
+        """Candidates with their exact score."""
+        read = rows.join(exact.select("_row", "_v"), "_row").join(queries.select(F.col("_id").alias("query_id"), F.col("_v").alias("_q")), "query_id")
+        return read.select("query_id", "vec_id", "_row", F.aggregate(F.zip_with("_q", "_v", lambda x, y: x * y), F.lit(0).cast("long"), lambda total, x: total + x).alias("score"))
+
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "_row")
+    first = written(scored(left.where(F.col("place") <= FIRST_READ * k)), "first")
+    kth = first.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == k).select("query_id", F.col("score").alias("_kth"))
+    rest = left.where(F.col("place") > FIRST_READ * k).join(kth, "query_id").where(F.col("upper") >= F.col("_kth"))
+    found = first.unionByName(scored(rest.select("query_id", "vec_id", "_row")))
+    return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
