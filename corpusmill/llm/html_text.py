@@ -4,7 +4,8 @@ The DOMs of a site's pages are merged into one tree, in which a node is the path
 node's presentation is the sequence of its children's tags, its content the text in it and below. What is laid out and
 worded the same on all pages of a site tells nothing: the entropy of both over the site's different pages is the node's
 importance. From each page the branches of low importance go, inside articles too, as do those whose tag or class names a
-page's furniture; where marked articles hold most of what is left, they are the text.
+page's furniture; where marked articles hold most of what is left, they are the text. A node is known by a hash of its path,
+so trees of any depth cost the same a node; the fewer different pages a site has, the less its tree's verdict weighs.
 """
 
 from __future__ import annotations
@@ -22,14 +23,12 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import written
 from corpusmill.llm.line_dedup import host
 
-#: Importance below which a branch goes, and the different pages of a site from which on its tree is used.
-LEAST_IMPORTANCE, LEAST_PAGES = 0.2, 4
+#: Importance below which a branch goes, and the number of pages that count as found to differ before any is seen.
+LEAST_IMPORTANCE, PRIOR_PAGES = 0.2, 1.0
 #: Share of a page's text that its articles have to hold to be the whole of its main part.
 LEAST_SHARE = 0.5
 #: Share of a node's importance that its content has, for each child kind (the rest is its presentation).
 DAMPING = 0.9
-#: Levels of a tree that have paths of their own.
-DEEPEST = 100
 #: Unimportant nodes up to which they are broadcast; beyond, they join the pages by site and path.
 BROADCAST_NODES = 100_000
 
@@ -53,15 +52,15 @@ HEAD_NAME = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re
 
 
 class Node:
-    __slots__ = ("tag", "name", "path", "children", "noise", "article", "inside", "depth")
+    __slots__ = ("tag", "name", "path", "above", "children", "noise", "article", "inside")
 
     def __init__(self, tag: str, name: str, parent: Node | None):
         self.tag, self.name, self.children = tag, name, []
         self.noise = self.article = False
         self.inside = parent is not None and (parent.inside or parent.article)
-        self.depth = parent.depth + 1 if parent else 0
-        # nodes below the deepest level count as that level's
-        self.path = name if parent is None else f"{parent.path}/{name}" if self.depth <= DEEPEST else parent.path
+        # the path's hash, from that of the path above: the root's is 0
+        self.above = parent.path if parent else None
+        self.path = xxhash.xxh3_64_intdigest(f"{self.above}/{name}") - (1 << 63) if parent else 0
 
 
 class Dom(HTMLParser):
@@ -126,8 +125,8 @@ def judged(node: Node, parent: Node) -> bool:
     return any(isinstance(c, Node) and c.tag not in INLINE for c in parent.children) and not any(isinstance(c, str) and c.strip() for c in parent.children)
 
 
-def observed(dom: Dom) -> dict[str, tuple[int, int]]:
-    """Of each path outside of furniture and what is hidden: hashes of its presentation and of the text in it and below, over all its nodes of the page."""
+def observed(dom: Dom) -> dict[int, tuple[int | None, int, int]]:
+    """Of each path outside of furniture and what is hidden: the path above, and hashes of its presentation and of the text in it and below, over all its nodes of the page."""
     order, stack = [], [dom.root]
     while stack:
         node = stack.pop()
@@ -139,15 +138,15 @@ def observed(dom: Dom) -> dict[str, tuple[int, int]]:
         parts = [" ".join(c.split()) if isinstance(c, str) else below.get(id(c), "") for c in node.children]
         text = "\n".join(x for x in parts if x)
         below[id(node)] = xxhash.xxh3_64_hexdigest(text) if text else ""
-    held: dict[str, tuple[list[str], list[str]]] = {}
+    held: dict[int, tuple[int | None, list[str], list[str]]] = {}
     for node in order:
-        style, content = held.setdefault(node.path, ([], []))
+        _, style, content = held.setdefault(node.path, (node.above, [], []))
         style.append(",".join(c.name for c in node.children if isinstance(c, Node) and not c.noise))
         content.append(below[id(node)])
-    return {p: (xxhash.xxh3_64_intdigest(";".join(s)) - (1 << 63), xxhash.xxh3_64_intdigest("\n".join(c)) - (1 << 63)) for p, (s, c) in held.items()}
+    return {p: (up, xxhash.xxh3_64_intdigest(";".join(s)) - (1 << 63), xxhash.xxh3_64_intdigest("\n".join(c)) - (1 << 63)) for p, (up, s, c) in held.items()}
 
 
-def article_text(dom: Dom, low: frozenset[str] | set[str]) -> str:
+def article_text(dom: Dom, low: frozenset[int] | set[int]) -> str:
     """The text of the page's main part without noise and without branches whose path is in ``low``.
 
     The articles that are left are the main part if they hold LEAST_SHARE of the text that is left; else it is all of that.
@@ -182,7 +181,7 @@ def style_tree(pages: DataFrame, site: Column, html_col: str = "html") -> DataFr
 
     Pages of the same text count once, so that copies don't make an article look like boilerplate. Equal rows are merged
     before the shuffle, by site, path and hashes, so a large site's nodes spread over all tasks. The entropies are over a
-    site's different pages and divided by their greatest possible value.
+    site's different pages and divided by their greatest possible value; PRIOR_PAGES draw them to 1.
     """
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,25 +189,27 @@ def style_tree(pages: DataFrame, site: Column, html_col: str = "html") -> DataFr
             out = set()
             for name, html in zip(pdf["_site"], pdf["_html"]):
                 held = observed(Dom(html))
-                page = held[""][1]
-                out.update((name, path, style, content, page) for path, (style, content) in held.items())
-            yield pd.DataFrame(list(out), columns=["_site", "_path", "_style", "_content", "_page"])
+                page = held[0][2]
+                out.update((name, path, above, style, content, page) for path, (above, style, content) in held.items())
+            frame = pd.DataFrame(list(out), columns=["_site", "_path", "_above", "_style", "_content", "_page"])
+            yield frame.assign(_above=frame["_above"].astype("Int64"))
 
     once = pages.select(site.alias("_site"), F.col(html_col).alias("_html")).where("_html IS NOT NULL AND _site IS NOT NULL")
-    seen = once.mapInPandas(look, "_site string, _path string, _style long, _content long, _page long").distinct()
+    seen = once.mapInPandas(look, "_site string, _path long, _above long, _style long, _content long, _page long").distinct()
     # written, so that pages are parsed once for all that follows
-    seen = written(seen.groupBy("_site", "_path", "_style", "_content").agg(F.count("*").alias("_n")), "style_nodes")
+    seen = written(seen.groupBy("_site", "_path", "_above", "_style", "_content").agg(F.count("*").alias("_n")), "style_nodes")
 
     def entropy(column: str) -> DataFrame:
-        by = seen.groupBy("_site", "_path", column).agg(F.sum("_n").alias("_n"))
-        both = by.groupBy("_site", "_path").agg(F.sum("_n").alias("_m"), F.sum(F.col("_n") * F.log("_n")).alias("_nlogn"))
-        return both.select("_site", "_path", F.col("_m").alias("_pages"), F.when(F.col("_m") > 1, (F.log("_m") - F.col("_nlogn") / F.col("_m")) / F.log("_m")).otherwise(1.0).alias(column))
+        by = seen.groupBy("_site", "_path", "_above", column).agg(F.sum("_n").alias("_n"))
+        both = by.groupBy("_site", "_path", "_above").agg(F.sum("_n").alias("_m"), F.sum(F.col("_n") * F.log("_n")).alias("_nlogn"))
+        found = F.when(F.col("_m") > 1, (F.log("_m") - F.col("_nlogn") / F.col("_m")) / F.log("_m")).otherwise(1.0)
+        drawn = (found * F.col("_m") + PRIOR_PAGES) / (F.col("_m") + PRIOR_PAGES)
+        return both.select("_site", "_path", "_above", F.col("_m").alias("_pages"), drawn.alias(column))
 
     style, content = entropy("_style"), entropy("_content")
-    own = style.join(content.drop("_pages"), ["_site", "_path"])
+    own = style.join(content.drop("_pages", "_above"), ["_site", "_path"])
     # what is worded differently stays however it is laid out
-    parent = F.regexp_extract("_path", r"^(.*)/[^/]*$", 1)
-    below = own.where("_path <> ''").groupBy("_site", parent.alias("_path")).agg(F.count("*").alias("_kinds"))
+    below = own.where("_above IS NOT NULL").groupBy("_site", F.col("_above").alias("_path")).agg(F.count("*").alias("_kinds"))
     weight = F.pow(F.lit(DAMPING), F.coalesce("_kinds", F.lit(0)))
     joined = own.join(below, ["_site", "_path"], "left")
     inner = (1 - weight) * F.col("_style") + weight * F.col("_content")
@@ -220,11 +221,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     The text is the main part's blocks in page order, with white space as single blanks and character references decoded.
     Null and empty pages give an empty text; pages whose url has no host have no style tree and lose only what tags and
-    classes name as furniture.
+    classes name as furniture. Pages are read whole, repeated rows each for itself; other columns of ``pages``, whatever
+    their names, are left out.
     """
     site = host(F.col(url_col))
     tree = style_tree(pages, site, html_col)
-    low = written(tree.where((F.col("_pages") >= LEAST_PAGES) & (F.col("_importance") < LEAST_IMPORTANCE) & (F.col("_path") != "")).select("_site", F.xxhash64("_path").alias("_node")), "low_nodes")
+    low = written(tree.where((F.col("_importance") < LEAST_IMPORTANCE) & (F.col("_path") != 0)).select("_site", F.col("_path").alias("_node")), "low_nodes")
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), site.alias("_site"))
     few = low.limit(broadcast_nodes + 1).count() <= broadcast_nodes
     table: dict[str, set[int]] = {}
@@ -246,8 +248,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                     continue
                 dom = Dom(html)
                 low_nodes = held.value.get(name, ()) if nodes_ is None else set(np.asarray(nodes_).tolist())
-                names = {n.path for n in nodes(dom.root)} if low_nodes else set()
-                paths = {p for p in names if _spark_hash(p) in low_nodes}
+                paths = {n.path for n in nodes(dom.root) if n.path in low_nodes} if low_nodes else set()
                 # a site of copies has no node that differs: then only furniture goes
                 texts.append(article_text(dom, paths) or (article_text(dom, set()) if paths else ""))
             frame = pdf[["_id", "_url"]].assign(text=texts)
@@ -256,9 +257,3 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     kind = pages.schema[id_col].dataType.simpleString()
     out = rows.select("_id", "_url", "_html", "_site", "_low").mapInPandas(cut, f"_id {kind}, _url string, text string, n_chars long")
     return out.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", "n_chars")
-
-
-def _spark_hash(path: str) -> int:
-    """What ``xxhash64`` gives for a string: the 64-bit hash with seed 42, signed."""
-    h = xxhash.xxh64_intdigest(path.encode(), seed=42)
-    return h - (1 << 64) if h >= 1 << 63 else h
