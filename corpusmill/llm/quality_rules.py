@@ -3,7 +3,7 @@
 A text that a public vocabulary cuts into unusually many tokens a word or characters a token, that falls back to bytes
 unusually often, or whose tokens have an unusual entropy isn't ordinary prose of its language. Bands come from the corpus
 itself: quartiles of each figure over all rows of a language and size class (powers of two of words) that pass the base
-rules, widened by a multiple of their distance. A class with too few rows takes in the next sizes of its language; a
+rules, to the thousandth and exact, widened by a multiple of their distance. A class with too few rows takes in the next sizes of its language; a
 language with too few rows has the bands of its script, and that of the corpus after it.
 """
 
@@ -26,8 +26,8 @@ _GRAM = Powers(0xC2B2AE3D27D4EB4F)
 _LINE_WORD = re.compile("[^\x20\x09-\x0d]")
 #: Words of a window whose return counts as repetition.
 WINDOW = 5
-#: What a figure may lie beyond its band.
-SLACK = 0.01
+#: What a figure may lie beyond its band, and the largest value of a figure (of tokens a word, in texts that hardly have words).
+SLACK, MOST = 0.01, 1000.0
 #: First code points of runs of scripts; a text's script is the run that most of its characters beyond ASCII's signs lie in.
 SCRIPTS = np.array([0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x2E80, 0x3040, 0x3100, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0x1F000, 0x20000], dtype=np.uint32)
 FIGURES = ("chars_per_token", "tokens_per_word", "byte_share", "entropy")
@@ -69,7 +69,7 @@ def fertility(ids: list[int], text: str, words: int, byte_ids: np.ndarray) -> tu
         return 0.0, 0.0, 0.0, 0.0
     count = np.bincount(ids, minlength=len(byte_ids))
     p = count[count > 0] / n
-    return len(text) / n, n / max(1, words), float(count[byte_ids].sum() / n), float(-(p * np.log2(p)).sum() / np.log2(n)) if n > 1 else 1.0
+    return min(MOST, len(text) / n), min(MOST, n / max(1, words)), float(count[byte_ids].sum() / n), float(-(p * np.log2(p)).sum() / np.log2(n)) if n > 1 else 1.0
 
 
 def script(text: str) -> int:
@@ -127,8 +127,12 @@ def bands(rows: DataFrame, asked: DataFrame, spread: float, least_rows: int, alw
     reach = F.min(F.when(F.col("_rows") >= least_rows, F.col("_far"))).over(each)
     reach = F.coalesce(reach, F.max("_far").over(each)) if always else reach
     taken = upto.withColumn("_reach", reach).where("_far <= _reach").select("_of", "_in", "_from")
-    members = good.join(F.broadcast(taken), F.col("_of").eqNullSafe(F.col("_group")) & (F.col("_class") == F.col("_from")))
-    quartiles = members.groupBy("_of", "_in").agg(*[F.percentile_approx(x, [0.25, 0.75], 10_000).alias(x) for x in FIGURES])
+    # each figure's different values are counted first: thousandths up to MOST, however many rows there are
+    each_figure = F.explode(F.array(*[F.struct(F.lit(x).alias("figure"), F.round(F.col(x), 3).alias("value")) for x in FIGURES]))
+    values = good.select("_group", "_class", each_figure.alias("f")).groupBy("_group", "_class", "f.figure", "f.value").agg(F.count("*").alias("_n"))
+    members = values.join(taken, F.col("_of").eqNullSafe(F.col("_group")) & (F.col("_class") == F.col("_from")))
+    one = lambda x, share: F.percentile(F.when(F.col("figure") == x, F.col("value")), share, F.col("_n"))
+    quartiles = members.groupBy("_of", "_in").agg(*[F.array(one(x, 0.25), one(x, 0.75)).alias(x) for x in FIGURES])
     ends = []
     for x in FIGURES:
         low, high = F.col(x)[0], F.col(x)[1]
@@ -154,7 +158,9 @@ def quality(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
 
     Kept is false if the base rules fail or a figure is outside the band of its language and size (``all_bands``); the byte
     share has an upper end only. A null text has no words and fails. Rows without a language form a group of their own. Bands have
-    SLACK at both ends, so that a group of nearly equal rows rejects nothing that is nearly equal to them.
+    SLACK at both ends, so that a group of nearly equal rows rejects nothing that is nearly equal to them. Texts are judged
+    whole, repeated rows each for itself and each counts in the bands; ties are no matter, since quartiles interpolate between
+    values. Other columns of ``docs``, whatever their names, are left out.
     """
     rows = figures(docs, model_file, id_col, text_col, language).withColumn("_class", F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int"))
     rows = written(rows, "figures")
