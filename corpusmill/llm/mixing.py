@@ -9,7 +9,8 @@ group of patterns and sources is solved where the group is, from its totals.
 
 from __future__ import annotations
 
-import numpy as np
+from heapq import heapify, heappop, heapreplace
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,60 +26,61 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int], repeats: int) -> np.ndarray:
-    """Tokens routed from each pattern to each source, as a matrix.
+def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int], repeats: int) -> list[dict[int, int]]:
+    """Tokens routed from each pattern to its sources, by source.
 
     ``capacity``: a pattern's tokens, usable ``repeats`` times at prices 0, 1, 2, ...; ``members``: its sources;
     ``quota``: what each source takes at most. As much as possible flows, at the least price: along the cheapest path of
-    the residual graph again and again.
+    the residual graph again and again. Only arcs that exist are held.
     """
-    n, m = len(capacity), len(quota)
-    flow = np.zeros((n, m), dtype=np.int64)
-    left = np.asarray(quota, dtype=np.int64)
-    used = np.zeros(n, dtype=np.int64)
-    size = np.asarray(capacity, dtype=np.int64)
-    inf = np.iinfo(np.int64).max
-    linked = np.zeros((n, m), dtype=bool)
-    for i, js in enumerate(members):
-        linked[i, js] = True
-    while True:
-        level = np.where(size > 0, used // np.maximum(size, 1), repeats)
-        cost = np.where(level < repeats, level, inf)  # of one more token out of the pattern
-        # paths start at a pattern and go pattern -> source (-> pattern that gives back -> source ...); giving back is free
-        start = np.argsort(cost, kind="stable")
-        start = start[cost[start] < inf]
-        path = None
-        for s in start:
-            came: dict[tuple[str, int], tuple[str, int] | None] = {("p", int(s)): None}
-            queue, at = [("p", int(s))], 0
-            while at < len(queue) and path is None:
-                kind, x = queue[at]
-                at += 1
-                if kind == "p":
-                    nexts = [("s", int(j)) for j in np.flatnonzero(linked[x])]
-                else:
-                    if left[x] > 0:
-                        path = [(kind, x)]
-                        break
-                    nexts = [("p", int(i)) for i in np.flatnonzero(flow[:, x] > 0)]
-                for y in nexts:
-                    if y not in came:
-                        came[y] = (kind, x)
-                        queue.append(y)
-            if path is not None:
-                while (before := came[path[0]]) is not None:
-                    path.insert(0, before)
+    flow: list[dict[int, int]] = [{} for _ in capacity]
+    users: list[set[int]] = [set() for _ in quota]  # patterns that flow to a source
+    left, used = list(quota), [0] * len(capacity)
+    # a path starts at the pattern whose next token is cheapest; giving back on the way is free, so its price is that token's
+    queue = [(0, i) for i, size in enumerate(capacity) if size > 0]
+    heapify(queue)
+    while queue:
+        level, first = queue[0]
+        if level >= repeats:
+            break
+        # pattern -> source (-> pattern that gives back -> source ...), by breadth
+        came: dict[int, tuple[int, int | None]] = {}  # source: (pattern before it, source before that)
+        reached, at, last = {first}, [(first, None)], None
+        for pattern, before in at:
+            for s in members[pattern]:
+                if s in came:
+                    continue
+                came[s] = pattern, before
+                if left[s] > 0:
+                    last = s
+                    break
+                for p in users[s]:
+                    if p not in reached:
+                        reached.add(p)
+                        at.append((p, s))
+            if last is not None:
                 break
-        if path is None:
-            return flow
-        first, last = path[0][1], path[-1][1]
-        amount = min(int(left[last]), int(size[first] * (level[first] + 1) - used[first]), *[int(flow[path[i + 1][1], path[i][1]]) for i in range(1, len(path) - 1, 2)])
-        for i in range(0, len(path) - 1, 2):
-            flow[path[i][1], path[i + 1][1]] += amount
-            if i + 2 < len(path):
-                flow[path[i + 2][1], path[i + 1][1]] -= amount
-        used[first] += amount
+        if last is None:
+            heappop(queue)  # nothing is left that this pattern can reach, and that stays so
+            continue
+        path, s = [], last
+        while s is not None:
+            pattern, before = came[s]
+            path.append((s, pattern, before))
+            s = before
+        amount = min(left[last], capacity[first] * (level + 1) - used[first], *[flow[p][before] for _, p, before in path if before is not None])
+        for s, p, before in path:
+            flow[p][s] = flow[p].get(s, 0) + amount
+            users[s].add(p)
+            if before is not None:
+                flow[p][before] -= amount
+                if not flow[p][before]:
+                    users[before].discard(p)
         left[last] -= amount
+        used[first] += amount
+        if used[first] == capacity[first] * (level + 1):
+            heapreplace(queue, (level + 1, first))
+    return flow
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
@@ -121,7 +123,7 @@ def _solve(repeats: int):
         for p, s, c in zip(group["_pattern"], group["_s"], group["_tokens"]):
             capacity[patterns[p]] = int(c)
             members[patterns[p]].append(sources[s])
-        out = min_cost_flow(capacity, members, quota, repeats).sum(axis=1)
+        out = [sum(x.values()) for x in min_cost_flow(capacity, members, quota, repeats)]
         return pd.DataFrame({"_pattern": list(patterns), "_flow": out, "_room": capacity})
 
     return solve
@@ -130,8 +132,12 @@ def _solve(repeats: int):
 def mix(docs: DataFrame, sources: Column, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
     """``document`` (the row), size, copies (how often the mix takes it, 0 to ``repeats``), sources and, for the first of these, source_size and target.
 
-    ``sources`` is a string or an array of strings (a document in several sources). A null text has size 0. Reruns agree:
-    the order of documents is a hash of seed, id and text. Rows that agree in both are taken alike.
+    ``sources`` is a string or an array of strings (a document in several sources; a null in it is a
+    source without name, and so is that of a document in none).
+    A null text has size 0; texts of any length are counted whole. Reruns agree: the order of documents is a hash of seed,
+    id and text. Rows that agree in both are taken alike. The row keeps all of its columns, whatever their names. A
+    connected group of overlapping sources is solved in one task, from one row for each pattern and source: as many as
+    there are combinations of sources, whatever the number of documents.
     """
     kind = docs.select(sources.alias("s")).schema["s"].dataType.typeName()
     several = F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))) if kind == "array" else F.array(sources.cast("string"))
