@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency, with DataFrame functions only.
 
-A line's ratio is the share of a site's pages that hold it. Lines above the limit are boilerplate of that site and go
-from its pages; elsewhere they stay. A site can't have more such lines than its mean number of lines a page divided by
+A line's ratio is the share of a site's pages that hold it; exact copies of a page count as one page, so that they don't
+make its lines look like boilerplate. Lines above the limit are boilerplate of that site and go from its pages; elsewhere
+they stay. A site can't have more such lines than its mean number of lines a page divided by
 the limit, so they are carried as one array of hashes a site.
 """
 
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import written
+
 #: Sites with boilerplate up to which their arrays are broadcast; beyond, pages are joined by a key of their own.
 BROADCAST_SITES = 20_000
 
@@ -33,25 +36,30 @@ def _hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(bare, lambda x: F.xxhash64(x)))
 
 
-def boilerplate(pages: DataFrame, site: Column, text_col: str = "text", ratio: float = 0.1, least_pages: int = 5) -> DataFrame:
-    """``_site`` and ``_lines``: hashes of the lines that more than ``ratio`` of the site's pages hold, and at least ``least_pages``.
+def boilerplate(pages: DataFrame, site: Column, text_col: str = "text", ratio: float = 0.05, least_pages: int = 5) -> DataFrame:
+    """``_site`` and ``_lines``: hashes of the lines that more than ``ratio`` of the site's different pages hold, and at least ``least_pages``.
 
-    Counts are taken before the shuffle, so a site with most of the pages costs no more than its different lines.
+    Counts are taken before the shuffle, so a site with most of the pages costs no more than its different lines; its
+    pages meet by site and text, so they spread too.
     """
-    rows = pages.select(site.alias("_site"), _hashes(F.col(text_col)).alias("_all"))
+    whole = F.coalesce(text_col, F.lit(""))
+    copies = pages.select(site.alias("_site"), F.xxhash64(whole).alias("_h1"), F.xxhash64(whole, F.lit(1)).alias("_h2"), _hashes(F.col(text_col)).alias("_all"))
+    # written once: 8 bytes for each line, read for the totals and for the lines
+    rows = written(copies.groupBy("_site", "_h1", "_h2").agg(F.first("_all").alias("_all")).select("_site", "_all"), "page_lines")
     totals = rows.groupBy("_site").agg(F.count("*").alias("_pages"))
     held = rows.select("_site", F.explode("_all").alias("_line")).groupBy("_site", "_line").agg(F.count("*").alias("_n")).where(F.col("_n") >= least_pages)
     often = held.join(totals, held["_site"].eqNullSafe(totals["_site"])).where(F.col("_n") > ratio * F.col("_pages"))
     return often.select(held["_site"], "_line").groupBy("_site").agg(F.collect_set("_line").alias("_lines"))
 
 
-def drop_boilerplate(pages: DataFrame, site: Column, text_col: str = "text", ratio: float = 0.1, least_pages: int = 5, counts: bool = False, broadcast_sites: int = BROADCAST_SITES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, site: Column, text_col: str = "text", ratio: float = 0.05, least_pages: int = 5, counts: bool = False, broadcast_sites: int = BROADCAST_SITES) -> DataFrame:
     """``pages`` with boilerplate lines cut from the text; all other columns and rows stay.
 
     Lines compare without blanks at their ends; blank lines are never boilerplate. A null text stays null, a null site is
-    a site of its own. With ``counts``, n_lines and n_dropped are added.
+    a site of its own. With ``counts``, n_lines and n_dropped are added. Texts are whole, and repeated rows all stay; the
+    row's columns, whatever their names, don't clash with what is added on the way.
     """
-    often = boilerplate(pages, site, text_col, ratio, least_pages)
+    often = written(boilerplate(pages, site, text_col, ratio, least_pages), "boilerplate")
     # the row's own columns stay together in one, whatever their names
     row = F.col("_row")
     whole = row.getField(text_col)

@@ -40,7 +40,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    kept = drop_boilerplate(docs, F.col("source"), ratio=0.1, least_pages=5, counts=True)
+    kept = drop_boilerplate(docs, F.col("source"), ratio=0.05, least_pages=5, counts=True)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -119,10 +119,11 @@ ORACLE = {
         WITH lines AS (
             SELECT doc_id, source, pos, line, trim(line, chr(32) || chr(9) || chr(13)) AS bare
             FROM (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)
-        ), totals AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+        ), pages AS (SELECT source, coalesce(text, '') AS page, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2),
+        totals AS (SELECT source, count(*) AS pages FROM pages GROUP BY source),
         often AS (
-            SELECT l.source, l.bare FROM (SELECT source, bare, count(DISTINCT doc_id) AS n FROM lines WHERE bare <> '' GROUP BY source, bare) l
-            JOIN totals t ON l.source IS NOT DISTINCT FROM t.source WHERE n >= 5 AND n > 0.1 * pages
+            SELECT l.source, l.bare FROM (SELECT l.source, bare, count(DISTINCT doc_id) AS n FROM lines l SEMI JOIN pages USING (doc_id) WHERE bare <> '' GROUP BY 1, 2) l
+            JOIN totals t ON l.source IS NOT DISTINCT FROM t.source WHERE n >= 5 AND n > 0.05 * pages
         )
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE o.bare IS NOT NULL) AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE o.bare IS NULL), '')) AS kept_sha256
