@@ -39,9 +39,11 @@ def tidy(f):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset (tests)."""
+    """The folder named in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset and all is one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="corpusmill-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
