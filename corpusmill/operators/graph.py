@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import full_year, plain_number, reference_numbers, rows_of_cells, segments
 from corpusmill.operators.aggregates import half_up
-from corpusmill.operators.joins import best_per_key
+from corpusmill.operators.joins import best_per_key, first_wins
 
 # What an action does to what it refers to; other actions adjust.
 EFFECT = {
@@ -129,3 +130,32 @@ def representatives(pairs: DataFrame, a: str, b: str, checkpoint) -> DataFrame:
         labels = after.drop("moved")
         if not moved:
             return labels.select(F.col("x").alias("term"), F.col("r.s").alias("canonical"))
+
+
+def candidate_relations(docs: DataFrame, key: str, html: str, text: str, refs: str, verbs: dict[str, str]) -> DataFrame:
+    """(key, action, number, year, channel): what a document's action table, its action text and its list of references say of other documents.
+
+    A table row has action, number and year; a text is cut before each verb, and each piece's references take its action;
+    the list (structs of name and year) takes the action of a text of one piece. Of equal relations the earlier channel's stays.
+    """
+    acts = F.create_map(*[F.lit(v) for kv in verbs.items() for v in kv])
+    pattern = "|".join(verbs)
+    named = lambda x: F.try_element_at(acts, F.lower(F.regexp_extract(x, rf"(?i)^\s*({pattern})\b", 1)))
+    relation = lambda action, number, year: F.struct(action.alias("action"), number.alias("number"), year.alias("year"))
+    rows = F.filter(rows_of_cells(F.col(html)), lambda r: F.size(r) >= 3)
+    from_rows = F.transform(rows, lambda r: relation(named(r[0]), plain_number(F.regexp_extract(r[1], r"(E?\d[\d.]*)", 1)), full_year(F.regexp_extract(r[2], r"(\d{4}|\d{2})", 1))))
+    pieces = segments(F.col(text), pattern)
+    from_text = F.flatten(F.transform(pieces, lambda p: F.transform(reference_numbers(p), lambda x: relation(named(p), x["number"], x["year"]))))
+    from_refs = F.when(F.size(pieces) == 1, F.transform(refs, lambda x: relation(named(pieces[0]), plain_number(F.regexp_replace(x["name"], "(?i)N$", "")), full_year(x["year"]))))
+    each = []
+    for channel, found in (("table", from_rows), ("text", from_text), ("references", from_refs)):
+        e = docs.select(key, F.explode(found).alias("e")).select(key, "e.*", F.lit(channel).alias("channel"))
+        each.append(e.where("action IS NOT NULL AND number <> '' AND year IS NOT NULL"))
+    return first_wins(each, [key, "action", "number", "year"])
+
+
+def resolved_edges(refs: DataFrame, docs: DataFrame, key: str, number: str, year: str, composed: Column) -> tuple[DataFrame, DataFrame]:
+    """(edges, orphans): references (number, year) with the document they mean, and those that mean none; ``composed`` marks numbers made of parts."""
+    d = docs.groupBy(F.col(number).alias("number"), F.col(year).alias("year")).agg(F.min(key).alias("dst"))
+    out = refs.join(d, ["number", "year"], "left").withColumn("orphan", F.col("dst").isNull()).withColumn("composed", composed)
+    return out.where("NOT orphan"), out.where("orphan")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.sources.tables import checkpointed
+
 
 def point_lookup(df: DataFrame, key: str, value, defaults: dict) -> DataFrame:
     """The row of a key, with defaults for its nulls; one row of defaults if there is none."""
@@ -48,14 +50,33 @@ def other_endpoint(edges: DataFrame, a: str, b: str, nodes: DataFrame, key: str)
 def resolve_numbers(refs: DataFrame, ref_number: str, ref_year: str, docs: DataFrame, key: str, number: str, year: str) -> DataFrame:
     """``refs`` with the document of the same year whose number is the reference's, or else contains it; equal numbers first, then the smallest id.
 
-    Exact numbers are found by an equality join; only what is left is searched inside its year.
+    Each different reference is looked up once. Numbers stand in the index with all of their parts, a few dozen each, so
+    both kinds are found by equality joins.
+    """
+    asked = refs.select(F.col(ref_number).alias("_rn"), F.col(ref_year).alias("_ry")).where("_rn IS NOT NULL AND _ry IS NOT NULL").distinct()
+    d = docs.select(F.col(key).alias("_id"), F.col(number).cast("string").alias("_n"), F.col(year).alias("_y")).where("_n IS NOT NULL")
+    size = F.length("_n")
+    begins = F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col("_n"), i, n)))
+    parts = d.where("_n <> ''").select("_y", "_id", (F.col("_n")).alias("_whole"), F.explode(F.array_distinct(F.flatten(begins))).alias("_part"))
+    index = parts.groupBy("_y", "_part").agg(F.min(F.when(F.col("_part") == F.col("_whole"), F.col("_id"))).alias("_same"), F.min("_id").alias("_any"))
+    found = asked.join(index, (F.col("_ry") == F.col("_y")) & (F.col("_rn") == F.col("_part"))).select("_rn", "_ry", F.coalesce("_same", "_any").alias("resolved"))
+    return refs.join(found, (F.col(ref_number) == F.col("_rn")) & (F.col(ref_year) == F.col("_ry")), "left").drop("_rn", "_ry")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with each row's place (from 1) in an order of all rows.
+
+    From a range sort that is written, whose partitions' counts alone go to the driver; no window holds all rows.
     """
-    refs = refs.withColumn("_ref", F.monotonically_increasing_id())
-    d = docs.select(F.col(key).alias("resolved"), F.col(number).cast("string").alias("_n"), F.col(year).alias("_y"))
-    exact = refs.join(d, (F.col(ref_number) == F.col("_n")) & (F.col(ref_year) == F.col("_y"))).groupBy("_ref").agg(F.min("resolved").alias("resolved"))
-    rest = refs.join(exact, "_ref", "left_anti")
-    inside = rest.join(d, (F.col(ref_year) == F.col("_y")) & F.contains("_n", F.col(ref_number))).groupBy("_ref").agg(F.min("resolved").alias("resolved"))
-    return refs.join(exact.unionByName(inside), "_ref", "left").drop("_ref")
+    sorted_ = checkpointed(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).cast("int")
+    counts, before = {r["p"]: r["n"] for r in sorted_.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}, 0
+    starts = []
+    for p in sorted(counts):
+        starts += [F.lit(p), F.lit(before)]
+        before += counts[p]
+    first = F.element_at(F.create_map(*(starts or [F.lit(0), F.lit(0)])), part)
+    return sorted_.withColumn(name, (first + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("long")).drop("_at")
 
 
 def overlapping_ranges(a: DataFrame, b: DataFrame, width: int, start: str = "start", end: str = "end", a_id: str = "a_id", b_id: str = "b_id") -> DataFrame:
@@ -100,19 +121,18 @@ def fuzzy_lookup(terms: DataFrame, term: str, vocabulary: DataFrame, word: str,
     return t.join(best, "term", "left").select("term", F.col("_b.match").alias("match"), F.col("_b.distance").alias("distance"))
 
 
-def sorted_neighbours(terms: DataFrame, term: str, window: int = 40, block: int = 3) -> DataFrame:
-    """Pairs of terms that stand less than ``window`` places apart in lexical order among those with the same first letters, have the same digits and a small distance.
+def sorted_neighbours(terms: DataFrame, term: str, window: int = 40) -> DataFrame:
+    """Pairs of terms that stand less than ``window`` places apart in one lexical order of all, have the same digits and a small distance.
 
-    Order is by block, so no task holds all terms; the distance allowed is 1, 2 from 8 letters and 3 from 15.
+    The places come from a range sort, so no task holds all terms; the distance allowed is 1, 2 from 8 letters and 3 from 15.
     """
-    t = terms.select(F.col(term).alias("t")).where(F.col(term).isNotNull()).distinct().withColumn("_b", F.substring("t", 1, block))
-    placed = t.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("t")))
+    placed = numbered(terms.select(F.col(term).alias("t")).where(F.col(term).isNotNull()).distinct(), [F.col("t")], "_r")
     # a window's neighbours lie in the own cell of `window` places or the next
-    a = placed.select("_b", F.col("t").alias("a"), F.col("_r").alias("_ra"), F.explode(F.array(F.floor(F.col("_r") / window), F.floor(F.col("_r") / window) + 1)).alias("_c"))
-    b = placed.select("_b", F.col("t").alias("b"), F.col("_r").alias("_rb"), F.floor(F.col("_r") / window).alias("_c"))
+    a = placed.select(F.col("t").alias("a"), F.col("_r").alias("_ra"), F.explode(F.array(F.floor(F.col("_r") / window), F.floor(F.col("_r") / window) + 1)).alias("_c"))
+    b = placed.select(F.col("t").alias("b"), F.col("_r").alias("_rb"), F.floor(F.col("_r") / window).alias("_c"))
     gap = F.col("_rb") - F.col("_ra")
     allowed = F.when(F.least(F.length("a"), F.length("b")) >= 15, 3).when(F.least(F.length("a"), F.length("b")) >= 8, 2).otherwise(1)
-    pairs = a.join(b, ["_b", "_c"]).where((gap >= 1) & (gap < window) & (F.regexp_replace("a", r"\D", "") == F.regexp_replace("b", r"\D", "")))
+    pairs = a.join(b, "_c").where((gap >= 1) & (gap < window) & (F.regexp_replace("a", r"\D", "") == F.regexp_replace("b", r"\D", "")))
     return pairs.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= allowed).select("a", "b", "distance")
 
 
@@ -137,11 +157,12 @@ def similar_by_length(terms: DataFrame, term: str, least: int = 4, band: int = 3
     return met.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= allowed(F.length("a")))
 
 
-def temporal_pairs(df: DataFrame, group: str, key: str, ts: str, edges: DataFrame, ahead: int = 5) -> DataFrame:
-    """Pairs (earlier, later) of a group's rows, each row with the ``ahead`` next ones, that aren't edges yet."""
-    w = Window.partitionBy(group).orderBy(ts, key)
-    later = df.select(group, F.col(key).alias("src"), F.collect_list(key).over(w.rowsBetween(1, ahead)).alias("_next"))
-    return later.select(group, "src", F.explode("_next").alias("dst")).join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+def temporal_pairs(df: DataFrame, group: str, key: str, ts: str, edges: DataFrame) -> DataFrame:
+    """All pairs (earlier, later) of a group's rows, by time and then key, that aren't edges yet; rows without group or time are in none."""
+    rows = df.where(F.col(group).isNotNull() & F.col(ts).isNotNull())
+    a, b = (rows.select(group, F.col(key).alias(x), F.col(ts).alias(f"_{x}")) for x in ("src", "dst"))
+    later = (F.col("_src") < F.col("_dst")) | ((F.col("_src") == F.col("_dst")) & (F.col("src") < F.col("dst")))
+    return a.join(b, group).where(later).select(group, "src", "dst").join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
 def set_coefficients(sets: DataFrame, key: str, item: str, pairs: DataFrame) -> DataFrame:

@@ -35,14 +35,12 @@ def similar(vectors: DataFrame, query: DataFrame, key: str, vector: str, k: int,
 def lexical(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, query_text: str, k: int, least: int = 4) -> DataFrame:
     """The k documents that cover most of each query's words, by an inverted index: words meet in an equality join.
 
-    Coverage is the share of a query's words that the document has (4 digits). Words that more than a tenth of the
-    documents hold tell nothing and are left out of the index, but count as words of the query.
+    Coverage is the share of a query's words that the document has (4 digits). Only words that queries ask for are
+    counted; a word has the queries that ask for it beside it, and what a document adds to each is summed before the shuffle.
     """
-    index = docs.select(F.col(key), F.explode(tokens(F.col(text), least)).alias("word"))
-    total = docs.agg((F.count("*") * 0.1).alias("_most"))
-    frequent = index.groupBy("word").agg(F.count("*").alias("_n")).crossJoin(F.broadcast(total)).where("_n > _most").select("word")
     q = queries.select(F.col(query), tokens(F.col(query_text), least).alias("_w")).withColumn("_words", F.size("_w"))
-    asked = q.select(query, "_words", F.explode("_w").alias("word")).join(frequent, "word", "left_anti")
+    asked = q.select(query, "_words", F.explode("_w").alias("word"))
+    index = docs.select(F.col(key), F.explode(tokens(F.col(text), least)).alias("word"))
     hits = index.join(asked, "word").groupBy(query, key).agg(F.count("*").alias("hits"), F.max("_words").alias("_words"))
     scored = hits.withColumn("coverage", half_up(F.col("hits") / F.col("_words"), 4))
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("coverage"), key))
@@ -51,8 +49,9 @@ def lexical(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str
 
 def hybrid(semantic: DataFrame, lexical_: DataFrame, key: str) -> DataFrame:
     """Both lists in one: 1.15 * (score / best) + 0.25 for semantic hits, with 0.85 * lexical where both have a row; 0.95 * lexical + 0.08 alone."""
-    best = F.nullif(F.max("score").over(Window.partitionBy()), F.lit(0.0))
-    s = semantic.select(key, F.coalesce(F.col("score") / best, F.lit(0.0)).alias("_s"))
+    # one row
+    best = semantic.agg(F.nullif(F.max("score"), F.lit(0.0)).alias("_best"))
+    s = semantic.crossJoin(F.broadcast(best)).select(key, F.coalesce(F.col("score") / F.col("_best"), F.lit(0.0)).alias("_s"))
     both = s.join(lexical_.select(key, F.col("score").alias("_l")), key, "full_outer")
     value = F.when(F.col("_s").isNull(), F.col("_l") * 0.95 + 0.08).otherwise(F.col("_s") * 1.15 + 0.25 + F.coalesce(F.col("_l") * 0.85, F.lit(0.0)))
     return both.select(key, half_up(value, 4).alias("score"), F.when(F.col("_s").isNull(), "lexical").when(F.col("_l").isNull(), "semantic").otherwise("both").alias("found_by"))
@@ -60,10 +59,10 @@ def hybrid(semantic: DataFrame, lexical_: DataFrame, key: str) -> DataFrame:
 
 def dual(original: DataFrame, rewritten: DataFrame, key: str, top: int = 3) -> DataFrame:
     """Results of a query and of its rewriting in one: the better of score and 0.93 of the other's, 0.08 more for both, 0.04 for the first places."""
-    w = Window.partitionBy().orderBy(F.desc("score"), key)
-    o = original.select(key, F.col("score").alias("_o"), F.row_number().over(w).alias("_r"))
+    first = original.orderBy(F.desc("score"), key).limit(top).select(key, F.lit(True).alias("_first"))
+    o = original.select(key, F.col("score").alias("_o")).join(F.broadcast(first), key, "left")
     both = o.join(rewritten.select(key, F.col("score").alias("_n")), key, "full_outer")
-    value = F.greatest(F.coalesce("_o", F.lit(0.0)), F.coalesce(F.col("_n") * 0.93, F.lit(0.0))) + F.when(F.col("_o").isNotNull() & F.col("_n").isNotNull(), 0.08).otherwise(0.0) + F.when(F.col("_r") <= top, 0.04).otherwise(0.0)
+    value = F.greatest(F.coalesce("_o", F.lit(0.0)), F.coalesce(F.col("_n") * 0.93, F.lit(0.0))) + F.when(F.col("_o").isNotNull() & F.col("_n").isNotNull(), 0.08).otherwise(0.0) + F.when(F.col("_first"), 0.04).otherwise(0.0)
     return both.select(key, half_up(value, 4).alias("score"))
 
 

@@ -20,7 +20,7 @@ def _edges(t: Tables) -> DataFrame:
 _E = f"e AS (SELECT l_orderkey AS src, -l_suppkey - 1 AS dst, {_ACTION} AS action, {_EFFECT} AS effect, l_shipdate, l_linenumber FROM lineitem)"
 
 
-@query("q_effects", "G1 A15 A23 C11", f"""
+@query("q_effects", "G1 A15 A23", f"""
     WITH {_E}, b AS (SELECT src AS node, 'out_' || effect AS kind FROM e UNION ALL SELECT dst, 'in_' || effect FROM e)
     SELECT node, {", ".join(f"count(*) FILTER (WHERE kind = '{d}_{x}') AS {d}_{x}" for d in ("in", "out") for x in graph.EFFECTS)} FROM b GROUP BY 1""")
 def effects(t: Tables) -> DataFrame:
@@ -28,30 +28,30 @@ def effects(t: Tables) -> DataFrame:
 
 
 @query("q_neighbours", "G2 J17 J19", f"""
-    WITH {_E}, f AS (SELECT -s_suppkey - 1 AS id FROM supplier WHERE s_suppkey < 10)
+    WITH {_E}, f AS (SELECT -s_suppkey - 1 AS id FROM supplier)
     SELECT dst AS focus, src AS id, action, 'in' AS direction, o_orderstatus AS status FROM e JOIN f ON e.dst = f.id JOIN orders ON o_orderkey = e.src""")
 def neighbours(t: Tables) -> DataFrame:
     nodes = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
-    focus = t.supplier.where("s_suppkey < 10").select((-F.col("s_suppkey") - 1).alias("id"))
+    focus = t.supplier.select((-F.col("s_suppkey") - 1).alias("id"))
     return graph.neighbours(_edges(t).select("src", "dst", "action"), nodes, "id", focus).select("focus", "id", "action", "direction", "status")
 
 
-@query("q_community", "G3 G10", f"""
-    WITH {_E}, s AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 50 = 0)
+@query("q_community", "G3", f"""
+    WITH {_E}, s AS (SELECT o_orderkey AS k FROM orders)
     SELECT k AS seed, k AS member, 'seed' AS role FROM s UNION ALL SELECT DISTINCT src, dst, 'cited' FROM e JOIN s ON e.src = s.k""")
 def community(t: Tables) -> DataFrame:
-    return graph.communities(_edges(t), t.orders.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("k")), "k")
+    return graph.communities(_edges(t), t.orders.select(F.col("o_orderkey").alias("k")), "k")
 
 
 @query("q_family_edges", "G5", f"""
-    WITH {_E}, k AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 100 = 0 UNION ALL SELECT -s_suppkey - 1 FROM supplier WHERE s_suppkey % 2 = 0)
+    WITH {_E}, k AS (SELECT o_orderkey AS k FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT -s_suppkey - 1 FROM supplier WHERE s_nationkey < 12)
     SELECT src, dst, l_linenumber, src IN (SELECT k FROM k) AND dst IN (SELECT k FROM k) AS inside_family FROM e WHERE src IN (SELECT k FROM k) OR dst IN (SELECT k FROM k) ORDER BY src, dst, l_linenumber LIMIT 120""")
 def family_edges(t: Tables) -> DataFrame:
-    keys = t.orders.where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("k")).unionByName(t.supplier.where("s_suppkey % 2 = 0").select((-F.col("s_suppkey") - 1).alias("k")))
+    keys = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("k")).unionByName(t.supplier.where("s_nationkey < 12").select((-F.col("s_suppkey") - 1).alias("k")))
     return graph.inside_family(_edges(t).select("src", "dst", "l_linenumber"), keys, "k", 120, [F.col("src"), F.col("dst"), F.col("l_linenumber")])
 
 
-@query("q_regime", "G6 G7 C12 C14", f"""
+@query("q_regime", "G6 G7", f"""
     WITH {_E}, s AS (SELECT dst, count(*) AS members, count(*) FILTER (WHERE effect = 'displaces') AS displacing, count(*) FILTER (WHERE effect IN ('limits', 'displaces')) AS limiting, count(*) FILTER (WHERE effect = 'strengthens') AS strengthening FROM e GROUP BY 1),
     x AS (SELECT *, floor(greatest(0.0, 1 - limiting / members * 2) * 1000.0 + 0.5) / 1000.0 AS stability FROM s)
     SELECT dst, members, displacing, limiting, strengthening, CASE WHEN displacing > strengthening THEN 'displaced' WHEN limiting / members > 0.3 THEN 'contested' WHEN limiting > 0 THEN 'in_transition' WHEN members >= 3 THEN 'stable' ELSE 'forming' END AS state,
@@ -82,7 +82,7 @@ def retro(t: Tables) -> DataFrame:
     return graph.retro_flags(_edges(t))
 
 
-@query("q_missing_rel", "G13 J14", """
+@query("q_missing_rel", "G13", """
     WITH p AS (SELECT o_orderkey AS src, o_orderkey + 1 AS dst FROM orders), w AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS i FROM lineitem), s AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS i FROM lineitem),
     wn AS (SELECT k, count(*) AS n FROM w GROUP BY 1), sn AS (SELECT k, count(*) AS n FROM s GROUP BY 1),
     wj AS (SELECT src, dst, count(*) / (max(a.n) + max(b.n) - count(*)) AS j FROM p JOIN w x ON x.k = src JOIN w y ON y.k = dst AND y.i = x.i JOIN wn a ON a.k = src JOIN wn b ON b.k = dst GROUP BY 1, 2),
@@ -97,7 +97,32 @@ def missing_rel(t: Tables) -> DataFrame:
     return graph.missing_relations(pairs, words, sources, "k")
 
 
-@query("q_mined", "G14", None)
+@query("q_mined", "G14", """
+    SELECT o_orderkey AS src, unnest(['applied', 'confirmed']) AS action, unnest(['12' || o_custkey, '7']) AS number, unnest([strftime(o_orderdate, '%y'), '1999']) AS year FROM orders""")
 def mined(t: Tables) -> DataFrame:
     docs = t.orders.select("o_orderkey", F.concat(F.lit("It applies the opinion 12."), F.col("o_custkey").cast("string"), F.lit("/"), F.date_format("o_orderdate", "yy"), F.lit(" and confirms 7/1999.")).alias("text"))
     return graph.mined_relations(docs, "o_orderkey", "text", {"applies": "applied", "confirms": "confirmed"})
+
+
+@query("q_candidates", "G10", """
+    WITH h AS (SELECT o_orderkey AS src, 'applied' AS action, CAST(o_custkey AS VARCHAR) AS number, CAST(year(o_orderdate) AS INT) AS year, 'table' AS channel FROM orders WHERE o_orderstatus <> 'P'),
+    x AS (SELECT o_orderkey AS src, 'applied' AS action, CAST(o_custkey AS VARCHAR) AS number, CAST(year(o_orderdate) AS INT) AS year, 'text' AS channel FROM orders UNION ALL SELECT o_orderkey, 'confirmed', CAST(o_orderkey AS VARCHAR), 1997, 'text' FROM orders WHERE o_orderstatus <> 'F'),
+    r AS (SELECT o_orderkey AS src, 'applied' AS action, '99' AS number, 2001 AS year, 'references' AS channel FROM orders WHERE o_orderstatus = 'F')
+    SELECT * FROM h UNION ALL SELECT * FROM x WHERE (src, action, number, year) NOT IN (SELECT src, action, number, year FROM h) UNION ALL SELECT * FROM r""")
+def candidates(t: Tables) -> DataFrame:
+    number, year, status = F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "yyyy"), F.col("o_orderstatus")
+    table = F.concat(F.lit("<table><tr><th>Action</th><th>No</th><th>Year</th></tr><tr><td><b>Applies</b></td><td>N&nbsp;"), number, F.lit("</td><td>"), year, F.lit("</td></tr></table>"))
+    said = F.concat(F.lit("applies opinion "), number, F.lit("/"), year, F.when(status == "F", "").otherwise(F.concat(F.lit("; confirms "), F.col("o_orderkey").cast("string"), F.lit("/97"))))
+    refs = F.array(F.struct(F.lit("99N").alias("name"), F.lit("2001").alias("year")))
+    docs = t.orders.select(F.col("o_orderkey").alias("src"), F.when(status != "P", table).alias("html"), said.alias("text"), refs.alias("refs"))
+    return graph.candidate_relations(docs, "src", "html", "text", "refs", {"applies": "applied", "confirms": "confirmed"})
+
+
+@query("q_orphans", "G11", """
+    WITH refs AS (SELECT l_orderkey AS src, CAST(l_partkey AS VARCHAR) AS number, 1995 AS year FROM lineitem WHERE l_returnflag = 'R'), d AS (SELECT CAST(o_custkey AS VARCHAR) AS n, min(o_orderkey) AS id FROM orders WHERE year(o_orderdate) = 1995 GROUP BY 1)
+    SELECT src, number, year, id AS dst, id IS NULL AS orphan, length(number) > 3 AS composed FROM refs LEFT JOIN d ON n = number""")
+def orphans(t: Tables) -> DataFrame:
+    refs = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").cast("string").alias("number"), F.lit(1995).alias("year"))
+    docs = t.orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("n"), F.year("o_orderdate").alias("y"))
+    edges, left = graph.resolved_edges(refs, docs, "o_orderkey", "n", "y", F.length("number") > 3)
+    return edges.unionByName(left)

@@ -38,11 +38,11 @@ def search_sql(t: Tables) -> DataFrame:
 
 
 @query("q_edge_other", "J9 U1", """
-    SELECT l_orderkey, l_suppkey, l_orderkey AS focus, l_suppkey AS other FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey BETWEEN 1 AND 100
-    UNION ALL SELECT l_orderkey, l_suppkey, l_suppkey, l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey BETWEEN 1 AND 100""")
+    SELECT l_orderkey, l_suppkey, l_orderkey AS focus, l_suppkey AS other FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey IN (SELECT s_suppkey FROM supplier)
+    UNION ALL SELECT l_orderkey, l_suppkey, l_suppkey, l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey IN (SELECT s_suppkey FROM supplier)""")
 def edge_other(t: Tables) -> DataFrame:
     edges = t.lineitem.where("l_returnflag = 'R'").select("l_orderkey", "l_suppkey")
-    return joins.other_endpoint(edges, "l_orderkey", "l_suppkey", t.spark.range(1, 101), "id")
+    return joins.other_endpoint(edges, "l_orderkey", "l_suppkey", t.supplier, "s_suppkey")
 
 
 @query("q_resolve_number", "J10 G11", """
@@ -67,13 +67,20 @@ def overlap_ranges(t: Tables) -> DataFrame:
 @query("q_full_outer", "J16 Q14 V20", """
     SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.v AS left_value, l.v AS right_value,
         CASE WHEN l.doc_id IS NULL THEN 'only_left' WHEN d.doc_id IS NULL THEN 'only_right' WHEN d.v IS NOT DISTINCT FROM l.v THEN 'same' ELSE 'differs' END AS status
-    FROM (SELECT doc_id, CAST(n_chars > 1500 AS INT) AS v FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN (SELECT doc_id, quality AS v FROM labels) l ON d.doc_id = l.doc_id""")
+    FROM (SELECT doc_id, CAST(n_chars > 1500 AS INT) AS v FROM documents WHERE lang <> 'de') d FULL JOIN (SELECT doc_id, quality AS v FROM labels) l ON d.doc_id = l.doc_id""")
 def full_outer(t: Tables) -> DataFrame:
-    docs = t.documents.where("doc_id % 3 <> 0").select("doc_id", (F.col("n_chars") > 1500).cast("int").alias("v"))
+    docs = t.documents.where("lang <> 'de'").select("doc_id", (F.col("n_chars") > 1500).cast("int").alias("v"))
     return joins.reconcile(docs, t.labels.select("doc_id", F.col("quality").alias("w")), "doc_id", "v", "w")
 
 
-@query("q_best_community", "J18 W1 U6", """
+@query("q_first_wins", "U6", """
+    SELECT id, text, min(p) AS source FROM (SELECT item_id AS id, text, 0 AS p FROM benchmark UNION ALL SELECT doc_id, text, 1 FROM documents UNION ALL SELECT conv_id, text, 2 FROM conversations) GROUP BY 1, 2""")
+def first_wins(t: Tables) -> DataFrame:
+    parts = [df.select(F.col(key).alias("id"), "text", F.lit(i).alias("source")) for i, (df, key) in enumerate([(t.benchmark, "item_id"), (t.documents, "doc_id"), (t.conversations, "conv_id")])]
+    return joins.first_wins(parts, ["id", "text"])
+
+
+@query("q_best_community", "J18 W1", """
     SELECT l_orderkey, p_brand, l_extendedprice FROM (SELECT l_orderkey, p_brand, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, p_brand, l_linenumber) AS r FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE r = 1""")
 def best_community(t: Tables) -> DataFrame:
     lines = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("p_partkey"), "l_extendedprice", "l_linenumber").join(t.part.select("p_partkey", "p_brand"), "p_partkey")
@@ -95,14 +102,14 @@ def set_diff(t: Tables) -> DataFrame:
 
 
 @query("q_overlap_coeffs", "U4 F45 Q13", """
-    WITH s AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS i FROM lineitem), p AS (SELECT o_orderkey AS a, o_orderkey + 1 AS b FROM orders WHERE o_orderkey % 7 = 0),
+    WITH s AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS i FROM lineitem), p AS (SELECT o_orderkey AS a, o_orderkey + 1 AS b FROM orders),
     n AS (SELECT k, count(*) AS n FROM s GROUP BY 1), c AS (SELECT a, b, count(*) AS c FROM p JOIN s x ON x.k = a JOIN s y ON y.k = b AND y.i = x.i GROUP BY 1, 2),
     j AS (SELECT p.a, p.b, coalesce(c, 0) AS c, coalesce(x.n, 0) AS na, coalesce(y.n, 0) AS nb FROM p LEFT JOIN c ON p.a = c.a AND p.b = c.b LEFT JOIN n x ON x.k = p.a LEFT JOIN n y ON y.k = p.b)
     SELECT a, b, CAST(c AS BIGINT) AS common, CASE WHEN na + nb - c > 0 THEN floor(c / (na + nb - c) * 10000.0 + 0.5) / 10000.0 ELSE 0.0 END AS jaccard,
         CASE WHEN least(na, nb) > 0 THEN floor(c / least(na, nb) * 10000.0 + 0.5) / 10000.0 ELSE 0.0 END AS overlap FROM j""")
 def overlap_coeffs(t: Tables) -> DataFrame:
     sets = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("i"))
-    pairs = t.orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1).alias("b"))
+    pairs = t.orders.select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1).alias("b"))
     return joins.set_coefficients(sets, "k", "i", pairs)
 
 
@@ -128,17 +135,17 @@ def suggest(t: Tables) -> DataFrame:
 
 
 @query("q_fuzzy_lookup", "J11", """
-    WITH t AS (SELECT DISTINCT c_name AS term FROM customer WHERE c_custkey <= 300), v AS (SELECT DISTINCT substr(c_name, 1, 16) || substr(c_name, 18, 1) || substr(c_name, 17, 1) AS match FROM customer),
+    WITH t AS (SELECT DISTINCT c_name AS term FROM customer), v AS (SELECT DISTINCT substr(c_name, 1, 16) || substr(c_name, 18, 1) || substr(c_name, 17, 1) AS match FROM customer),
     n AS (SELECT term, match, levenshtein(term, match) AS d FROM t JOIN v ON substr(term, 1, 4) = substr(match, 1, 4) AND regexp_replace(term, '[^0-9]', '', 'g') = regexp_replace(match, '[^0-9]', '', 'g') WHERE abs(length(term) - length(match)) <= 3)
     SELECT t.term, b.match, CAST(b.d AS INT) AS distance FROM t LEFT JOIN (SELECT term, match, d, row_number() OVER (PARTITION BY term ORDER BY d, match) AS r FROM n WHERE d <= CASE WHEN length(term) > 10 THEN 2 ELSE 1 END) b ON t.term = b.term AND r = 1""")
 def fuzzy_lookup(t: Tables) -> DataFrame:
     vocabulary = t.customer.select(F.concat(F.substring("c_name", 1, 16), F.substring("c_name", 18, 1), F.substring("c_name", 17, 1)).alias("w"))
-    return joins.fuzzy_lookup(t.customer.where("c_custkey <= 300"), "c_name", vocabulary, "w")
+    return joins.fuzzy_lookup(t.customer, "c_name", vocabulary, "w")
 
 
 @query("q_similar_terms", "J13 W10", """
-    WITH w AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS t FROM benchmark), p AS (SELECT t, substr(t, 1, 3) AS b, row_number() OVER (PARTITION BY substr(t, 1, 3) ORDER BY t) AS r FROM w WHERE regexp_matches(t, '^[a-z0-9]+$'))
-    SELECT x.t AS a, y.t AS b, CAST(levenshtein(x.t, y.t) AS INT) AS distance FROM p x JOIN p y ON x.b = y.b AND y.r - x.r BETWEEN 1 AND 39
+    WITH w AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS t FROM benchmark), p AS (SELECT t, row_number() OVER (ORDER BY t) AS r FROM w WHERE regexp_matches(t, '^[a-z0-9]+$'))
+    SELECT x.t AS a, y.t AS b, CAST(levenshtein(x.t, y.t) AS INT) AS distance FROM p x JOIN p y ON y.r - x.r BETWEEN 1 AND 39
     WHERE regexp_replace(x.t, '[^0-9]', '', 'g') = regexp_replace(y.t, '[^0-9]', '', 'g') AND levenshtein(x.t, y.t) <= CASE WHEN least(length(x.t), length(y.t)) >= 15 THEN 3 WHEN least(length(x.t), length(y.t)) >= 8 THEN 2 ELSE 1 END""")
 def similar_terms(t: Tables) -> DataFrame:
     words = t.benchmark.select(F.explode(F.split(F.lower("text"), " ")).alias("t")).where(F.col("t").rlike("^[a-z0-9]+$"))
@@ -154,9 +161,8 @@ def length_band(t: Tables) -> DataFrame:
     return joins.similar_by_length(words, "t")
 
 
-@query("q_temporal_pairs", "J14 J20", """
-    WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders)
-    SELECT a.o_custkey, a.o_orderkey AS src, b.o_orderkey AS dst FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND b.r - a.r BETWEEN 1 AND 5 WHERE NOT (a.o_orderkey + 1 = b.o_orderkey)""")
+@query("q_temporal_pairs", "J14", """
+    SELECT a.o_custkey, a.o_orderkey AS src, b.o_orderkey AS dst FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND (a.o_orderdate, a.o_orderkey) < (b.o_orderdate, b.o_orderkey) WHERE NOT (a.o_orderkey + 1 = b.o_orderkey)""")
 def temporal_pairs(t: Tables) -> DataFrame:
     edges = t.orders.select(F.col("o_orderkey").alias("src"), (F.col("o_orderkey") + 1).alias("dst"))
     return joins.temporal_pairs(t.orders, "o_custkey", "o_orderkey", "o_orderdate", edges).select("o_custkey", "src", "dst")

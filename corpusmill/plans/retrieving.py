@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators import retrieval
+from corpusmill.operators import joins, retrieval
 from corpusmill.plans.registry import Tables, query
 
 _COS = "floor(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) * 1000.0 + 0.5) / 1000.0"
@@ -20,8 +20,8 @@ def cosine_topk(t: Tables) -> DataFrame:
 
 
 @query("q_lexical", "V2 V8", f"""
-    WITH i AS (SELECT doc_id, unnest({_W4}) AS word FROM documents), f AS (SELECT word FROM i GROUP BY 1 HAVING count(*) > (SELECT count(*) * 0.1 FROM documents)), q AS (SELECT item_id, {_W4} AS w FROM benchmark),
-    a AS (SELECT item_id, len(w) AS n, unnest(w) AS word FROM q), h AS (SELECT item_id, doc_id, count(*) AS hits, max(n) AS n FROM i JOIN a USING (word) WHERE word NOT IN (SELECT word FROM f) GROUP BY 1, 2),
+    WITH i AS (SELECT doc_id, unnest({_W4}) AS word FROM documents), q AS (SELECT item_id, {_W4} AS w FROM benchmark),
+    a AS (SELECT item_id, len(w) AS n, unnest(w) AS word FROM q), h AS (SELECT item_id, doc_id, count(*) AS hits, max(n) AS n FROM i JOIN a USING (word) GROUP BY 1, 2),
     s AS (SELECT item_id, doc_id, hits, floor(hits / n * 10000.0 + 0.5) / 10000.0 AS coverage FROM h)
     SELECT item_id, doc_id, hits, coverage, CAST(row_number() OVER (PARTITION BY item_id ORDER BY coverage DESC, doc_id) AS INT) AS rank FROM s QUALIFY rank <= 10""")
 def lexical(t: Tables) -> DataFrame:
@@ -29,11 +29,11 @@ def lexical(t: Tables) -> DataFrame:
 
 
 def _lists(t: Tables) -> tuple[DataFrame, DataFrame]:
-    a = t.part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"))
-    return a, t.part.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 50.0).alias("score"))
+    a = t.part.where("p_size <= 30").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"))
+    return a, t.part.where("p_size >= 20").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 50.0).alias("score"))
 
 
-_AB = "a AS (SELECT p_partkey AS id, p_retailprice AS score FROM part WHERE p_partkey % 3 = 0), b AS (SELECT p_partkey AS id, p_size / 50.0e0 AS score FROM part WHERE p_partkey % 5 = 0)"
+_AB = "a AS (SELECT p_partkey AS id, p_retailprice AS score FROM part WHERE p_size <= 30), b AS (SELECT p_partkey AS id, p_size / 50.0e0 AS score FROM part WHERE p_size >= 20)"
 
 
 @query("q_hybrid", "V3 U5", f"""
@@ -53,14 +53,21 @@ def dual(t: Tables) -> DataFrame:
     return retrieval.dual(a.withColumn("score", F.col("score") / 2500.0), b, "id")
 
 
-@query("q_accept", "V5", """
-    SELECT item_id, item_id % 3 <> 2 AS accepted FROM benchmark""")
+_W3 = "list_distinct(list_filter(regexp_split_to_array(translate(lower({x}), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy'), '[^a-z0-9]+'), lambda v: length(v) >= 3))"
+
+
+@query("q_accept", "V5", f"""
+    WITH x AS (SELECT item_id, text AS a, CASE item_id % 4 WHEN 0 THEN text WHEN 1 THEN text || ' more words' WHEN 2 THEN substr(text, 1, 40) ELSE 'something else 7 entirely' END AS b FROM (SELECT item_id, CASE WHEN item_id % 8 = 0 THEN text || ' 77' ELSE text END AS text FROM benchmark)),
+    y AS (SELECT *, {_W3.format(x="a")} AS wa, {_W3.format(x="b")} AS wb, list_filter(regexp_split_to_array(a, '[^0-9]+'), lambda v: v <> '') AS na, regexp_split_to_array(b, '[^0-9]+') AS nb, length(b) / greatest(length(a), 1) AS r FROM x)
+    SELECT item_id, len(list_intersect(wa, wb)) / greatest(len(wa), 1) >= 0.5 AND len(list_filter(na, lambda v: NOT list_contains(nb, v))) = 0 AND r BETWEEN 0.45 AND 3.2 AS accepted FROM y""")
 def accept(t: Tables) -> DataFrame:
-    rewritten = F.when(F.col("item_id") % 3 == 0, F.col("text")).when(F.col("item_id") % 3 == 1, F.concat(F.col("text"), F.lit(" more words"))).otherwise(F.lit("something else entirely"))
-    return t.benchmark.select("item_id", retrieval.accept_rewrite(F.col("text"), rewritten).alias("accepted"))
+    m = F.col("item_id") % 4
+    rows = t.benchmark.select("item_id", F.when(F.col("item_id") % 8 == 0, F.concat("text", F.lit(" 77"))).otherwise(F.col("text")).alias("text"))
+    rewritten = F.when(m == 0, F.col("text")).when(m == 1, F.concat(F.col("text"), F.lit(" more words"))).when(m == 2, F.substring("text", 1, 40)).otherwise(F.lit("something else 7 entirely"))
+    return rows.select("item_id", retrieval.accept_rewrite(F.col("text"), rewritten).alias("accepted"))
 
 
-@query("q_intent", "V6 V7", """
+@query("q_intent", "V6", """
     WITH s AS (SELECT doc_id, contains(lower(text), 'license')::INT + contains(lower(text), 'apache')::INT + 1.2e0 * contains(lower(text), 'legal')::INT AS a, contains(lower(text), 'token')::INT + contains(lower(text), 'password')::INT + 1.2e0 * contains(lower(text), 'secret')::INT AS b FROM documents)
     SELECT doc_id, CASE WHEN a >= b THEN 'licensing' ELSE 'security' END AS name, floor(greatest(0.35e0, least(0.92e0, greatest(a, b) / 4.5e0)) * 1000.0e0 + 0.5e0) / 1000.0e0 AS confidence FROM s WHERE greatest(a, b) > 0""")
 def intent(t: Tables) -> DataFrame:
@@ -80,12 +87,10 @@ def family_score(t: Tables) -> DataFrame:
 
 
 @query("q_rerank", "V16", """
-    WITH o AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS new_rank FROM part WHERE p_size = 5) SELECT p_partkey, p_name, CAST(new_rank AS INT) AS new_rank FROM o JOIN part USING (p_partkey) WHERE p_partkey % 2 = 0""")
+    WITH o AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS new_rank FROM part WHERE p_size <= 25) SELECT p_partkey, p_name, new_rank FROM o JOIN part USING (p_partkey) WHERE p_type <> 'ECONOMY'""")
 def rerank(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = t.part.where("p_size = 5").select("p_partkey", F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("r"))
-    return retrieval.rerank(t.part.where("p_partkey % 2 = 0").select("p_partkey", "p_name"), "p_partkey", order, "r")
+    order = joins.numbered(t.part.where("p_size <= 25").select("p_partkey", "p_retailprice"), [F.desc("p_retailprice"), F.col("p_partkey")], "r")
+    return retrieval.rerank(t.part.where("p_type <> 'ECONOMY'").select("p_partkey", "p_name"), "p_partkey", order, "r")
 
 
 @query("q_vec_consistency", "V20 V19", """
