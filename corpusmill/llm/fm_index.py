@@ -85,12 +85,19 @@ class FMIndex:
         self.size, sigma = len(text), len(self.ids) + 1
         order, shared = suffix_order(text, depth)
         self.tree = WaveletTree(text[order - 1], sigma)
-        self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))))[:-1]
+        self.count = np.bincount(text, minlength=sigma)
+        self.before = np.cumsum(self.count) - self.count
         first = np.flatnonzero(shared < depth)
         self.run = np.cumsum(shared < depth) - 1
         self.run_start, self.run_end = first, np.append(first[1:], self.size)
         owner = np.append(np.repeat(owners, lengths + 1), NOBODY)
         self.run_owner = np.minimum.reduceat(owner[order], first)
+        # for some lengths, the first of the rows that share so many symbols with a row, and the end of these rows
+        self.lengths = np.array([x for x in range(depth) if x < 8 or x % (8 if x > 16 else 4) == 0])
+        self.starts, self.ends = (np.zeros((len(self.lengths), self.size), dtype=np.int32) for _ in range(2))
+        for i, x in enumerate(self.lengths):
+            edge = np.append(np.flatnonzero(shared < x) if x else 0, self.size)
+            self.starts[i], self.ends[i] = (np.repeat(e, np.diff(edge)) for e in (edge[:-1], edge[1:]))
         # least number of shared symbols over ranges of rows of power-of-two length
         self.least = [shared.astype(np.min_scalar_type(depth))]
         while 2 << (len(self.least) - 1) <= self.size:
@@ -103,8 +110,8 @@ class FMIndex:
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search: the rows of ``symbol`` + pattern from those of the pattern."""
-        base = self.before[symbol]
-        return base + self.tree.rank(symbol, low), base + self.tree.rank(symbol, high)
+        both = self.tree.rank(np.concatenate((symbol, symbol)), np.concatenate((low, high)))
+        return self.before[symbol] + both[: len(symbol)], self.before[symbol] + both[len(symbol) :]
 
     def rows(self, row: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows whose suffixes share their first ``length`` symbols with that of ``row``."""
@@ -117,15 +124,43 @@ class FMIndex:
             high = np.where(fits & (table[np.clip(high, 0, len(table) - 1)] >= length), high + gap, high)
         return low, high
 
-    def shorter(self, symbol: np.ndarray, row: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where the match at ``row`` can't be extended: the longest beginning of it that can, and its rows with ``symbol`` before it."""
-        short, long = np.zeros_like(length), length - 1
-        while (short < long).any():
-            middle = (short + long + 1) // 2
-            low, high = self.step(symbol, *self.rows(row, middle))
-            short, long = np.where(low < high, middle, short), np.where(low < high, long, middle - 1)
-        low, high = self.step(symbol, *self.rows(row, short))
-        return low, high, short
+    def shorter(self, symbol: np.ndarray, row: np.ndarray, length: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the match at ``row`` can't be extended: the longest beginning of it that can, and its rows with ``symbol`` before it.
+
+        -1 where that is shorter than ``need``. Lengths with known rows are tried first, then those between two of them.
+        """
+        low, high = self.before[symbol], self.before[symbol] + self.count[symbol]
+        last = len(self.lengths) - 1
+        place = np.zeros(len(symbol), dtype=np.int64)
+        most = np.searchsorted(self.lengths, length - 1, side="right") - 1
+        able = np.ones(len(symbol), dtype=bool)
+        middle = np.searchsorted(self.lengths, np.minimum(need, length - 1), side="right") - 1
+        able[need >= length] = False
+        asked = np.flatnonzero(able & (most > 0))
+        first = True
+        while len(asked):
+            # what is needed is asked for first: most passages end there
+            m = np.where((middle[asked] > 0) & first, middle[asked], (place[asked] + most[asked] + 1) // 2)
+            a, b = self.step(symbol[asked], self.starts[m, row[asked]].astype(np.int64), self.ends[m, row[asked]].astype(np.int64))
+            good = a < b
+            up, down = asked[good], asked[~good]
+            low[up], high[up], place[up] = a[good], b[good], m[good]
+            most[down] = m[~good] - 1
+            able[down] &= self.lengths[m[~good]] > need[down]
+            asked = asked[able[asked] & (place[asked] < most[asked])]
+            first = False
+        short = self.lengths[place]
+        long = np.minimum(length - 1, np.where(place < last, self.lengths[np.minimum(place + 1, last)] - 1, self.depth))
+        asked = np.flatnonzero(able & (short < long))
+        while len(asked):
+            m = (short[asked] + long[asked] + 1) // 2
+            a, b = self.step(symbol[asked], *self.rows(row[asked], m))
+            good = a < b
+            up, down = asked[good], asked[~good]
+            low[up], high[up], short[up] = a[good], b[good], m[good]
+            long[down] = m[~good] - 1
+            asked = asked[short[asked] < long[asked]]
+        return low, high, np.where(able & (short >= need), short, -1)
 
     def matching_statistics(self, streamed: list[np.ndarray], least: int = 0) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """For each place of each streamed passage: the length of the longest match that starts there (``depth`` at most), and
@@ -153,7 +188,9 @@ class FMIndex:
             m = size[alive]
             fall = np.flatnonzero(known & (a >= b))
             if len(fall):
-                a[fall], b[fall], m[fall] = self.shorter(symbol[fall], low[alive][fall], m[fall])
+                need = np.maximum(least - 1 - (lengths[alive[fall]] - done), 0)
+                a[fall], b[fall], m[fall] = self.shorter(symbol[fall], low[alive[fall]], m[fall], need)
+            lost = m < 0
             a, b, m = np.where(known, a, 0), np.where(known, b, self.size), np.where(known, m + 1, 0)
             full = np.flatnonzero(m >= self.depth)
             run = self.run[a[full]]
@@ -161,5 +198,6 @@ class FMIndex:
             owner[at[full]] = self.run_owner[run]
             length[at] = m
             low[alive], high[alive], size[alive] = a, b, m
+            alive = alive[~lost]
         cut = end[:-1] if many else []
         return np.split(length, cut), np.split(owner, cut)
