@@ -66,7 +66,8 @@ def dimension_ids(dimension: DataFrame, codes: DataFrame, code: str, key: str) -
     top = dimension.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
     bucket = F.substring(F.col(code), 1, 2)
     counts = fresh.groupBy(bucket.alias("_b")).agg(F.count("*").alias("_n"))
-    before = counts.alias("x").join(counts.alias("y"), F.col("y._b") < F.col("x._b"), "left").groupBy("x._b").agg(F.coalesce(F.sum("y._n"), F.lit(0)).alias("_before"))
+    # a row for each pair of first letters
+    before = counts.select("_b", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_n")).alias("_before"))
     placed = fresh.withColumn("_b", bucket).withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(code))).join(before, "_b")
     numbered = placed.crossJoin(F.broadcast(top)).select(F.col(code), (F.col("_top") + F.col("_before") + F.col("_r")).cast("long").alias(key))
     return dimension.select(code, key).unionByName(numbered)

@@ -1,7 +1,9 @@
-"""Rule-based scores of documents and clusters."""
+"""Rule-based scores of documents and clusters. The coefficients of the scores are fixed values."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,47 +69,59 @@ def coherence(members: DataFrame, by: str, label: str) -> DataFrame:
     return out.select(by, "members", "labels", dominance.alias("dominance"), competition.alias("competition"), outliers.alias("outliers"), status.alias("status"))
 
 
-def priority(score: Column, recency: Column, later: Column, relations: Column, obsolete: Column) -> Column:
-    return _clamped(score * 0.44 + recency * 0.20 + later * 0.16 + relations * 0.08 - obsolete * 0.20 + 0.12)
-
-
-def importance(density: Column, size: Column, core: Column, sources: Column, time: Column) -> Column:
-    return _clamped(density * 0.45 + F.log2(size + F.lit(1)) / 5 * 0.20 + core * 0.15 + sources * 0.15 + time * 0.05)
-
-
 def change_risk(displaced: Column, limited: Column, age: Column, spread: Column) -> Column:
     return _clamped(displaced * 0.40 + limited * 0.25 + age * 0.20 + spread * 0.15)
 
 
-def greedy_clusters(candidates: DataFrame, label: str, key: str, tags: str, order: str, top: int = 8, most: int = 120, least: float = 5.0) -> DataFrame:
+def greedy_clusters(candidates: DataFrame, label: str, key: str, tags: str, flags: str, neighbour: str, align: str, order: str, top: int = 8, most: int = 120, least: float = 5.0) -> DataFrame:
     """(label, seed, member, score): clusters around the newest documents of each label.
 
-    Of each label the ``most`` newest documents are candidates. The newest one that isn't used yet is a seed; others with a
-    score of 2 and 2 for each shared tag (at most 6 for tags) of ``least`` or more join it, best first, up to ``top``;
-    clusters of one are dropped. A label's pass is sequential but bounded by ``most`` rows; labels run side by side.
+    Of each label the ``most`` newest documents are candidates. The newest one that isn't used yet is a seed; others join it,
+    best first, up to ``top``, with ``least`` or more of: 2 for the label, 2 for each shared tag (6 at most), 1 for each shared
+    flag (3 at most), 3 for a neighbour and 4 times the alignment (4 at most), if they share a tag or are neighbours. Clusters
+    of one are dropped, their seeds used up. A label's pass is sequential but bounded by ``most`` rows; labels lie sorted
+    in their partitions and are walked one after the other there.
     """
     w = Window.partitionBy(label).orderBy(F.desc(order), key)
-    rows = candidates.select(label, key, tags, order).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    rows = candidates.select(F.col(label).alias("_l"), F.col(key).alias("_k"), F.col(tags).alias("_t"), F.col(flags).alias("_f"), F.coalesce(F.col(neighbour), F.lit(0)).cast("int").alias("_b"), F.coalesce(F.col(align), F.lit(0.0)).cast("double").alias("_a"), F.row_number().over(w).alias("_r")).where(F.col("_r") <= most)
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_r")
-        sets = [set(x) if x is not None else set() for x in pdf[tags]]
-        names, used, out = pdf[key].tolist(), set(), []
+    def walk(names: list, tags_: list[set], flags_: list[set], near: list[int], fits: list[float]) -> list[tuple]:
+        used: set[int] = set()
+        out = []
         for i, seed in enumerate(names):
             if i in used:
                 continue
-            scored = [(-(2 + min(2 * len(sets[i] & sets[j]), 6)), names[j], j) for j in range(len(names)) if j != i and j not in used and sets[i] & sets[j]]
-            chosen = [s for s in sorted(scored) if -s[0] >= least][: top - 1]
+            scored = []
+            for j in range(len(names)):
+                if j != i and j not in used:
+                    shared = len(tags_[i] & tags_[j])
+                    value = 2 + min(2 * shared, 6) + min(len(flags_[i] & flags_[j]), 3) + 3 * near[j] + min(4 * fits[j], 4.0)
+                    if value >= least and (shared or near[j]):
+                        scored.append((-value, names[j], j))
+            chosen = sorted(scored)[: top - 1]
             used.add(i)
             if chosen:
                 used.update(j for *_, j in chosen)
                 out += [(seed, seed, 0.0), *((seed, name, float(-s)) for s, name, _ in chosen)]
-        found = pd.DataFrame(out, columns=["seed", "member", "score"])
-        found.insert(0, label, pdf[label].iloc[0])
-        return found
+        return out
+
+    def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        some = lambda x: set() if x is None else set(x)
+        for pdf in batches:
+            out = []
+            for row in zip(pdf["_l"], pdf["_k"], map(some, pdf["_t"]), map(some, pdf["_f"]), pdf["_b"], pdf["_a"]):
+                if held and held[-1][0] != row[0]:
+                    out += [(held[0][0], *x) for x in walk(*map(list, zip(*[h[1:] for h in held])))]
+                    held = []
+                held.append(row)
+            yield pd.DataFrame(out, columns=[label, "seed", "member", "score"])
+        if held:
+            yield pd.DataFrame([(held[0][0], *x) for x in walk(*map(list, zip(*[h[1:] for h in held])))], columns=[label, "seed", "member", "score"])
 
     kind = candidates.schema
-    return rows.groupBy(label).applyInPandas(walk, f"{label} {kind[label].dataType.simpleString()}, seed {kind[key].dataType.simpleString()}, member {kind[key].dataType.simpleString()}, score double")
+    named = rows.where("_l IS NOT NULL").repartition("_l").sortWithinPartitions("_l", "_r")
+    return named.mapInPandas(walked, f"{label} {kind[label].dataType.simpleString()}, seed {kind[key].dataType.simpleString()}, member {kind[key].dataType.simpleString()}, score double")
 
 
 def merged_lines(lines: DataFrame, override: DataFrame, line: str) -> DataFrame:
@@ -136,13 +150,6 @@ def direct_hits(hits: DataFrame, by: str, key: str, score: str, coverage: str) -
     return out.withColumn("strong", (F.col("place") == 1) & (F.col("_n") >= 0.9) & (F.coalesce("_gap", F.lit(1.0)) >= 0.04)).drop("_n", "_gap")
 
 
-def active_signal(recent: Column, relations: Column, status: Column, priority_: Column) -> Column:
-    """How alive a line is: recency .40, relations .15, the score of its status .30 and priority .15."""
-    scores = {"current": 1.0, "qualified": 0.6, "forming": 0.5, "displaced": 0.1}
-    by_status = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in scores.items() for v in kv]), status), F.lit(0.3))
-    return _clamped(recent * 0.40 + relations * 0.15 + by_status * 0.30 + priority_ * 0.15)
-
-
 def pivots(members: DataFrame, by: str, key: str, modifying: str, stabilising: str, ts: str) -> DataFrame:
     """The member on which each cluster turns: most modifying relations, then most stabilising, then newest, then the smaller key."""
     w = Window.partitionBy(by).orderBy(F.desc(modifying), F.desc(stabilising), F.desc(ts), key)

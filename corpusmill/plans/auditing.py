@@ -140,17 +140,17 @@ _SCORES = """
     s AS (SELECT id, d, abst, floor(greatest(0.0e0, least(1.0e0, cur)) * 1000.0e0 + 0.5e0) / 1000.0e0 AS currentness, floor(greatest(0.0e0, least(1.0e0, his)) * 1000.0e0 + 0.5e0) / 1000.0e0 AS historical, floor(greatest(0.0e0, least(1.0e0, cen)) * 1000.0e0 + 0.5e0) / 1000.0e0 AS centrality FROM z)"""
 
 
-@query("q_metadata", "C20 C6", f"WITH {_SCORES} SELECT id, currentness, historical, centrality, currentness >= 0.58e0 AND abst = 0 AND d <= 1 AS supports FROM s")
+@query("q_metadata", "C20", f"WITH {_SCORES} SELECT id, currentness, historical, centrality, currentness >= 0.58e0 AND abst = 0 AND d <= 1 AS supports FROM s")
 def metadata(t: Tables) -> DataFrame:
     return _scored(t).select("id", "currentness", "historical", "centrality", "supports")
 
 
-@query("q_seeds", "C24 C7", f"WITH {_SCORES} SELECT id, centrality, currentness FROM s WHERE centrality >= 0.7e0 ORDER BY centrality DESC, currentness DESC, id LIMIT 25")
+@query("q_seeds", "C24", f"WITH {_SCORES} SELECT id, centrality, currentness FROM s WHERE centrality >= 0.7e0 ORDER BY centrality DESC, currentness DESC, id LIMIT 25")
 def seeds(t: Tables) -> DataFrame:
     return scoring.seeds(_scored(t), ["core"], 0.7, 25, "id").select("id", "centrality", "currentness")
 
 
-@query("q_evidence", "C21 C23 C4", """
+@query("q_evidence", "C21 C23", """
     SELECT doc_id, 'license' AS kind, CAST(1.0 AS DOUBLE) AS weight FROM documents WHERE contains(lower(text), 'apache license') UNION ALL SELECT doc_id, 'length', CAST(n_chars / 1000 AS DOUBLE) FROM documents WHERE n_chars > 5000""")
 def evidence(t: Tables) -> DataFrame:
     signals = F.size(scoring.text_signals(F.col("text"), ["apache license"]))
@@ -167,11 +167,12 @@ def merge_llm(t: Tables) -> DataFrame:
 
 @query("q_clusters", "C1 C2", None)
 def clusters(t: Tables) -> DataFrame:
-    tags = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("tags"))
-    return scoring.greedy_clusters(t.orders.join(tags, "o_orderkey"), "o_custkey", "o_orderkey", "tags", "o_orderdate", least=4.0)
+    tags = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("tags"), F.collect_set("l_returnflag").alias("flags"))
+    orders = t.orders.where("o_orderstatus IN ('O', 'F')").withColumn("near", (F.col("o_orderpriority") == "1-URGENT").cast("int")).withColumn("align", F.col("o_totalprice") / 500000.0)
+    return scoring.greedy_clusters(orders.join(tags, "o_orderkey"), "o_custkey", "o_orderkey", "tags", "flags", "near", "align", "o_orderdate")
 
 
-@query("q_pairwise", "C5 C8 C9", """
+@query("q_pairwise", "C9", """
     SELECT o_orderkey, floor(greatest(0.0e0, least(1.0e0, (o_orderstatus = 'F')::INT * 0.40e0 + (o_orderstatus = 'P')::INT * 0.25e0 + o_totalprice / 600000.0e0 * 0.20e0 + 0.5e0 * 0.15e0)) * 1000.0e0 + 0.5e0) / 1000.0e0 AS risk FROM orders""")
 def pairwise(t: Tables) -> DataFrame:
     s = F.col("o_orderstatus")
@@ -204,5 +205,5 @@ def key_pool(t: Tables) -> DataFrame:
 
 @query("q_sorted_rank", "W5 O6", "SELECT s_suppkey, CAST(dense_rank() OVER (ORDER BY s_nationkey) AS INT) AS place FROM supplier")
 def sorted_rank(t: Tables) -> DataFrame:
-    nations = t.supplier.select("s_nationkey").distinct().select("s_nationkey", F.row_number().over(Window.orderBy("s_nationkey")).alias("place"))
-    return t.supplier.join(F.broadcast(nations), "s_nationkey").select("s_suppkey", "place")
+    nations = joins.numbered(t.supplier.select("s_nationkey").distinct(), [F.col("s_nationkey")], "place")
+    return t.supplier.join(nations, "s_nationkey").select("s_suppkey", F.col("place").cast("int").alias("place"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +12,12 @@ from pyspark.sql import types as T
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder that spark.checkpoint.dir names; lineage is cut."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    """``df`` as a table in the folder that spark.checkpoint.dir names; lineage is cut. Where it is unset, a temporary folder serves if all is one machine."""
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not df.sparkSession.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = tempfile.mkdtemp()
     path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -51,7 +56,16 @@ def replace_partitions(df: DataFrame, path: str, by: str) -> None:
 
 
 def replace_table(df: DataFrame, path: str) -> str:
-    """Writes a new version of a table beside the old ones and returns its folder; readers take the newest complete one."""
-    version = f"{path.rstrip('/')}/v-{uuid.uuid4().hex}"
+    """Writes a new version of a table beside the old ones and returns its folder; names are in the order of time."""
+    version = f"{path.rstrip('/')}/v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(version)
     return version
+
+
+def newest_version(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a table that was written to its end."""
+    done = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option("recursiveFileLookup", True).load(path)
+    last = done.select(F.max(F.regexp_extract("path", r"(.*)/_SUCCESS$", 1)).alias("p")).first()["p"]
+    if last is None:
+        raise FileNotFoundError(f"no version of {path}")
+    return spark.read.parquet(last)

@@ -97,10 +97,14 @@ def test_representatives(spark):
 
 
 def test_greedy_clusters(spark):
-    rows = [("l", i, [1, 2] if i < 4 else [9, i], i) for i in range(6)]
-    df = spark.createDataFrame(rows, "label string, id int, tags array<int>, o int")
-    got = sorted((r.seed, r.member) for r in scoring.greedy_clusters(df, "label", "id", "tags", "o").collect())
-    assert got == [(3, 0), (3, 1), (3, 2), (3, 3)]
+    rows = [(x, i, [1, 2] if i < 4 else [9, i], ["f"], int(i == 7), 0.1 * i, i) for x in "lm" for i in range(8)]
+    df = spark.createDataFrame(rows, "label string, id int, tags array<int>, flags array<string>, near int, align double, o int")
+    got = sorted((r.label, r.seed, r.member, r.score) for r in scoring.greedy_clusters(df, "label", "id", "tags", "flags", "near", "align", "o", top=3).collect())
+    # 7 takes those that share its tag, best aligned first; the rest share two tags and a flag
+    got = [(x, a, b, round(s, 6)) for x, a, b, s in got]
+    assert [g[1:] for g in got if g[0] == "l"] == [g[1:] for g in got if g[0] == "m"]
+    assert [g[1:] for g in got if g[0] == "l" and g[1] == 7] == [(7, 5, 7.0), (7, 6, 7.4), (7, 7, 0.0)]
+    assert [g[1:] for g in got if g[0] == "l" and g[1] == 3] == [(3, 1, 7.4), (3, 2, 7.8), (3, 3, 0.0)]
 
 
 def test_overlap(spark):
@@ -116,6 +120,10 @@ def test_sources(spark, tmp_path):
     tables.replace_partitions(df.where("v = 2").withColumn("v", F.lit(9)), f"{tmp_path}/t", "day")
     assert sorted((r.v, str(r.day)) for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [(1, "2024-01-01"), (9, "2024-01-02")]
     assert spark.read.parquet(tables.replace_table(df, f"{tmp_path}/v")).count() == 2
+    tables.replace_table(df.limit(1), f"{tmp_path}/v")
+    # one that broke off has no _SUCCESS
+    (tmp_path / "v" / "v-99999999999999999999-x").mkdir()
+    assert tables.newest_version(spark, f"{tmp_path}/v").count() == 1
     assert one(spark, tables.unwrapped(F.lit('{"source": {"a": 1}}')), tables.unwrapped(F.lit('{"b": 2}')))[:] == ('{"a":1}', '{"b": 2}')
     store = spark.createDataFrame([("1", "x"), ("doc:2", "y")], "key string, value string")
     assert sorted((r.id, r.value) for r in tables.with_fallback(spark.createDataFrame([("1",), ("2",), ("3",)], "id string"), store, "id", "value", "doc:").collect() if r.value) == [("1", "x"), ("2", "y")]
