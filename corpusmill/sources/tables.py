@@ -56,16 +56,14 @@ def replace_partitions(df: DataFrame, path: str, by: str) -> None:
 
 
 def replace_table(df: DataFrame, path: str) -> str:
-    """Writes a new version of a table beside the old ones and returns its folder; names are in the order of time."""
-    version = f"{path.rstrip('/')}/v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(version)
-    return version
+    """Writes a new version of a table beside the old ones and returns its folder; once it is whole, it is listed in ``current``."""
+    version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(f"{path.rstrip('/')}/{version}")
+    df.sparkSession.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("append").parquet(f"{path.rstrip('/')}/current")
+    return f"{path.rstrip('/')}/{version}"
 
 
 def newest_version(spark: SparkSession, path: str) -> DataFrame:
     """The newest version of a table that was written to its end."""
-    done = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option("recursiveFileLookup", True).load(path)
-    last = done.select(F.max(F.regexp_extract("path", r"(.*)/_SUCCESS$", 1)).alias("p")).first()["p"]
-    if last is None:
-        raise FileNotFoundError(f"no version of {path}")
-    return spark.read.parquet(last)
+    last = spark.read.schema("version string").parquet(f"{path.rstrip('/')}/current").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{path.rstrip('/')}/{last}")
