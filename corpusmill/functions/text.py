@@ -99,12 +99,22 @@ def flag(x: Column) -> Column:
 NAMED = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·"}
 
 
+def _referred(reference: Column) -> Column:
+    """The character of a numeric reference; the reference itself where there is no such character."""
+    digits = F.regexp_extract(reference, "([0-9a-fA-F]+);", 1)
+    code = F.when(reference.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long")
+    there = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(there, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(reference)
+
+
 def strip_html(x: Column) -> Column:
-    """Text of a piece of HTML: no scripts, styles, comments and tags; common references decoded, ampersands last."""
+    """Text of a piece of HTML: no scripts, styles, comments and tags; numeric and common references decoded, ampersands last."""
     out = F.regexp_replace(x, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
     out = F.regexp_replace(out, "(?s)<[^>]*>", " ")
     for name, char in NAMED.items():
         out = F.replace(out, F.lit(name), F.lit(char))
+    numeric = F.array_distinct(F.regexp_extract_all(out, F.lit("(&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)"), F.lit(1)))
+    out = F.aggregate(numeric, out, lambda text, r: F.replace(text, r, _referred(r)))
     return squeeze(F.replace(out, F.lit("&amp;"), F.lit("&")))
 
 

@@ -42,7 +42,11 @@ def checks(t: Tables) -> DataFrame:
     return quality.checks({"order_without_lines": joins.missing(orders, lines, "k"), "line_without_order": joins.missing(lines, orders, "k"), "unknown_status": orders.where(~F.col("o_orderstatus").isin("O", "F")), "shipped_before_ordered": lines.join(orders, "k").where("l_shipdate < o_orderdate")})
 
 
-@query("q_dedup", "Q5 U7 J12", None)
+@query("q_dedup", "Q5 U7", """
+    WITH RECURSIVE w AS (SELECT DISTINCT unnest(string_split_regex(lower(strip_accents(text)), '[^a-z0-9]+')) AS t FROM benchmark), p AS (SELECT t, row_number() OVER (ORDER BY t) AS r FROM w WHERE length(t) >= 4),
+    e AS (SELECT x.t AS a, y.t AS b FROM p x JOIN p y ON y.r - x.r BETWEEN 1 AND 39 WHERE regexp_replace(x.t, '[^0-9]', '', 'g') = regexp_replace(y.t, '[^0-9]', '', 'g') AND levenshtein(x.t, y.t) <= CASE WHEN least(length(x.t), length(y.t)) >= 15 THEN 3 WHEN least(length(x.t), length(y.t)) >= 8 THEN 2 ELSE 1 END),
+    l AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), c AS (SELECT x, y FROM l UNION SELECT c.x, l.y FROM c JOIN l ON c.y = l.x)
+    SELECT x AS term, arg_min(y, (length(y), y)) AS canonical FROM c GROUP BY 1""")
 def dedup(t: Tables) -> DataFrame:
     words = t.benchmark.select(F.explode(tx.tokens(F.col("text"), 4)).alias("t"))
     return graph.representatives(joins.sorted_neighbours(words, "t"), "a", "b", checkpointed)
@@ -109,7 +113,10 @@ def router(t: Tables) -> DataFrame:
     return quality.routed(t.events.select("event_id", "event_type"), "event_type", rules).select("event_id", "handler")
 
 
-@query("q_event_dedup", "Q19 X3", None)
+@query("q_event_dedup", "Q19 X3", """
+    WITH RECURSIVE e AS (SELECT user_id, event_type, ts, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+    w AS (SELECT *, ts AS last, true AS keep FROM e WHERE n = 1 UNION ALL SELECT e.*, CASE WHEN e.ts - w.last >= INTERVAL 120 SECOND THEN e.ts ELSE w.last END, e.ts - w.last >= INTERVAL 120 SECOND FROM w JOIN e ON e.user_id IS NOT DISTINCT FROM w.user_id AND e.event_type IS NOT DISTINCT FROM w.event_type AND e.n = w.n + 1)
+    SELECT user_id, event_type, ts, event_id FROM w WHERE keep""")
 def event_dedup(t: Tables) -> DataFrame:
     return quality.without_repeats(t.events, ["user_id", "event_type"], "ts", "event_id", 120)
 
@@ -140,7 +147,7 @@ _SCORES = """
     s AS (SELECT id, d, abst, floor(greatest(0.0e0, least(1.0e0, cur)) * 1000.0e0 + 0.5e0) / 1000.0e0 AS currentness, floor(greatest(0.0e0, least(1.0e0, his)) * 1000.0e0 + 0.5e0) / 1000.0e0 AS historical, floor(greatest(0.0e0, least(1.0e0, cen)) * 1000.0e0 + 0.5e0) / 1000.0e0 AS centrality FROM z)"""
 
 
-@query("q_metadata", "C20", f"WITH {_SCORES} SELECT id, currentness, historical, centrality, currentness >= 0.58e0 AND abst = 0 AND d <= 1 AS supports FROM s")
+@query("q_metadata", "C24", f"WITH {_SCORES} SELECT id, currentness, historical, centrality, currentness >= 0.58e0 AND abst = 0 AND d <= 1 AS supports FROM s")
 def metadata(t: Tables) -> DataFrame:
     return _scored(t).select("id", "currentness", "historical", "centrality", "supports")
 
@@ -150,7 +157,7 @@ def seeds(t: Tables) -> DataFrame:
     return scoring.seeds(_scored(t), ["core"], 0.7, 25, "id").select("id", "centrality", "currentness")
 
 
-@query("q_evidence", "C21 C23", """
+@query("q_evidence", "C23", """
     SELECT doc_id, 'license' AS kind, CAST(1.0 AS DOUBLE) AS weight FROM documents WHERE contains(lower(text), 'apache license') UNION ALL SELECT doc_id, 'length', CAST(n_chars / 1000 AS DOUBLE) FROM documents WHERE n_chars > 5000""")
 def evidence(t: Tables) -> DataFrame:
     signals = F.size(scoring.text_signals(F.col("text"), ["apache license"]))

@@ -76,7 +76,7 @@ def pivots(t: Tables) -> DataFrame:
     return scoring.visible_representatives(chosen, "l_orderkey", "newest", "gone").select("l_suppkey", "representative")
 
 
-@query("q_presented", "V12 V13", """
+@query("q_presented", "W7", """
     WITH b AS (SELECT p_partkey, p_brand, p_retailprice / 2000.0e0 * 0.7e0 + p_size / 50.0e0 * 0.3e0 AS b, p_type = 'ECONOMY' AS anchor FROM part), l AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY b DESC, p_partkey) = 1 AS lead FROM b)
     SELECT p_partkey, floor(CASE WHEN lead THEN b ELSE b * 2 / 3 END * 10000.0e0 + 0.5e0) / 10000.0e0 AS shown_score FROM l""")
 def presented(t: Tables) -> DataFrame:

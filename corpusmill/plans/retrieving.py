@@ -80,7 +80,11 @@ def id_first(t: Tables) -> DataFrame:
     return retrieval.id_first(t.orders.select("o_orderkey", F.col("o_orderpriority").alias("text")), "o_orderkey", "text", "N1234", 10).select("o_orderkey")
 
 
-@query("q_family_score", "V14 V15", None)
+@query("q_family_score", "V14", """
+    WITH q AS (SELECT ['the', 'there', 'and', 'thing'] AS ws), d AS (SELECT doc_id, ws, string_split(lower(strip_accents(text)), chr(10)) AS p FROM documents, q),
+    t AS (SELECT doc_id, ws, list_transform(p, lambda x: string_split_regex(x, '[^a-z0-9]+')) AS p FROM d),
+    s AS (SELECT doc_id, floor((len(list_intersect(ws, flatten(p))) / 4 * 1.55e0 + len(list_intersect(ws, p[1])) / 4 * 0.30e0 + len(list_filter(p[1:3], lambda x: list_has_all(x, ws))) * 0.32e0) * 1000.0e0 + 0.5e0) / 1000.0e0 AS score FROM t)
+    SELECT doc_id, score FROM s WHERE score >= 1.0e0""")
 def family_score(t: Tables) -> DataFrame:
     segments = F.split("text", "\n")
     return t.documents.select("doc_id", retrieval.family_score(segments, segments[0], F.lit("the there and thing of")).alias("score")).where("score >= 1.0")

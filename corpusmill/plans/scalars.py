@@ -79,7 +79,12 @@ def norma_key(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", key.alias("key"), keys.document_id(F.col("p_partkey"), F.col("p_size")).alias("doc"))
 
 
-@query("q_html", "F14", None)
+_STRIPPED = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+for _name, _char in [*text.NAMED.items(), ("&amp;", "&")]:
+    _STRIPPED = f"replace({_STRIPPED}, '{_name}', chr({ord(_char)}))"
+
+
+@query("q_html", "F14", rf"SELECT page_id, length(trim(regexp_replace({_STRIPPED}, '\s+', ' ', 'g'))) AS n_chars, len(regexp_extract_all(html, '(?is)<tr\b[^>]*>.*?</tr>')) AS table_rows FROM pages")
 def html(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.length(text.strip_html(F.col("html"))).alias("n_chars"), F.size(text.rows_of_cells(F.col("html"))).alias("table_rows"))
 

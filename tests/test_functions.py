@@ -172,3 +172,9 @@ def test_similar_by_length(spark):
     got = [tuple(r) for r in joins.similar_by_length(spark.createDataFrame([(t,) for t in sorted(terms)], "t string"), "t").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {a[:3] == b[:3] for a, b, _ in want} == {True, False}
+
+
+def test_numeric_references(spark):
+    rows = [("<p>a&#65;&#x42;&#8364;&#x1F600;</p>",), ("&#0; &#xD800; &amp;#65; &#9999999;",), (None,), ("",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "h string").select(text.strip_html(F.col("h"))).collect()]
+    assert got == ["aAB€😀", "&#0; &#xD800; &#65; &#9999999;", None, ""]
