@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import keys
-from corpusmill.operators import scoring
+from corpusmill.operators import joins, scoring
 from corpusmill.plans.registry import Tables, query
 from corpusmill.sources import tables
 
@@ -68,11 +68,12 @@ def direct_hits(t: Tables) -> DataFrame:
 
 @query("q_pivots", "C13 C15 C16", """
     WITH r AS (SELECT l_suppkey, l_orderkey, count(*) FILTER (WHERE l_returnflag = 'R') AS m, count(*) FILTER (WHERE l_returnflag = 'A') AS s, max(l_shipdate) AS ts FROM lineitem GROUP BY 1, 2)
-    SELECT l_suppkey, l_orderkey AS representative FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY m DESC, s DESC, ts DESC, l_orderkey) AS r FROM r) WHERE r = 1""")
+    SELECT l_suppkey, CASE WHEN m > s THEN newest ELSE l_orderkey END AS representative FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY m DESC, s DESC, ts DESC, l_orderkey) AS r, first_value(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY ts DESC, l_orderkey) AS newest FROM r) WHERE r = 1""")
 def pivots(t: Tables) -> DataFrame:
     f = F.col("l_returnflag")
     rows = t.lineitem.groupBy("l_suppkey", "l_orderkey").agg(F.count_if(f == "R").alias("m"), F.count_if(f == "A").alias("s"), F.max("l_shipdate").alias("ts"))
-    chosen = scoring.pivots(rows, "l_suppkey", "l_orderkey", "m", "s", "ts").withColumn("newest", F.lit(-1)).withColumn("gone", F.lit(False))
+    newest = joins.best_per_key(rows, ["l_suppkey"], [F.desc("ts"), F.col("l_orderkey")]).select("l_suppkey", F.col("l_orderkey").alias("newest"))
+    chosen = scoring.pivots(rows, "l_suppkey", "l_orderkey", "m", "s", "ts").join(newest, "l_suppkey").withColumn("gone", F.col("m") > F.col("s"))
     return scoring.visible_representatives(chosen, "l_orderkey", "newest", "gone").select("l_suppkey", "representative")
 
 
