@@ -112,6 +112,7 @@ def source_label(kind: Column, number: Column, article: Column) -> Column:
     return F.when(article.isNotNull() & (F.trim(article) != ""), F.concat(base, F.lit(", art. "), F.trim(article))).otherwise(base)
 
 
-def document_id(number: Column, year: Column) -> Column:
-    """A document's id: the number, N, and the last two digits of the year."""
-    return F.concat(number.cast("string"), F.lit("N"), F.lpad((year % 100).cast("string"), 2, "0"))
+def document_id(number: Column, year: Column, *others: Column) -> Column:
+    """A document's id: the number, N, and the last two digits of the year; without these the first of the others, else unknown."""
+    own = F.concat(number.cast("string"), F.lit("N"), F.lpad((year % 100).cast("string"), 2, "0"))
+    return F.coalesce(own, *others, F.lit("unknown"))

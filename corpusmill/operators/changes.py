@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.joins import numbered
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str, skip: Column | None = None) -> DataFrame:
     """Old rows with the batch merged in: nulls of the batch keep old values, new keys are added.
@@ -60,17 +62,12 @@ def replace_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
 def dimension_ids(dimension: DataFrame, codes: DataFrame, code: str, key: str) -> DataFrame:
     """The dimension with ids for new codes: after the greatest id, in the order of codes.
 
-    Places come from counts by hash range of the sorted codes, so no task numbers all of them.
+    Places come from a range sort, so no task numbers all of them.
     """
     fresh = codes.select(code).where(F.col(code).isNotNull()).distinct().join(dimension.select(code), code, "left_anti")
     top = dimension.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    bucket = F.substring(F.col(code), 1, 2)
-    counts = fresh.groupBy(bucket.alias("_b")).agg(F.count("*").alias("_n"))
-    # a row for each pair of first letters
-    before = counts.select("_b", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_n")).alias("_before"))
-    placed = fresh.withColumn("_b", bucket).withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(code))).join(before, "_b")
-    numbered = placed.crossJoin(F.broadcast(top)).select(F.col(code), (F.col("_top") + F.col("_before") + F.col("_r")).cast("long").alias(key))
-    return dimension.select(code, key).unionByName(numbered)
+    new = numbered(fresh, [F.col(code)], "_r").crossJoin(F.broadcast(top)).select(code, (F.col("_top") + F.col("_r")).cast("long").alias(key))
+    return dimension.select(code, key).unionByName(new)
 
 
 def change_log(old: DataFrame, new: DataFrame, key: str, tracked: list[str]) -> DataFrame:

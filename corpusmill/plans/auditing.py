@@ -69,7 +69,7 @@ def guard(t: Tables) -> DataFrame:
     return quality.guard(report, {"empty": 0.02, "short": 0.25})
 
 
-@query("q_label_norm", "Q8 Q11 F46", """
+@query("q_label_norm", "F46", """
     SELECT p_partkey, regexp_replace(trim(replace(p_name || '_x', '_', ' ')), '\\s+', ' ', 'g') AS label, contains(p_name || '_x', '_') AS changed FROM part""")
 def label_norm(t: Tables) -> DataFrame:
     raw = F.concat("p_name", F.lit("_x"))
@@ -77,7 +77,7 @@ def label_norm(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", label.alias("label"), (label != raw).alias("changed"))
 
 
-@query("q_blockers", "Q10 Q15 Q21", """
+@query("q_blockers", "Q10", """
     SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'wait' WHEN o_totalprice > 300000 THEN 'review' ELSE 'go' END AS strategy, CASE WHEN o_orderstatus = 'P' THEN 'low' WHEN o_totalprice > 300000 THEN 'high' ELSE 'none' END AS risk FROM orders""")
 def blockers(t: Tables) -> DataFrame:
     rule = F.when(F.col("o_orderstatus") == "P", F.struct(F.lit("wait").alias("s"), F.lit("low").alias("r"))).when(F.col("o_totalprice") > 300000, F.struct(F.lit("review").alias("s"), F.lit("high").alias("r"))).otherwise(F.struct(F.lit("go").alias("s"), F.lit("none").alias("r")))
@@ -186,7 +186,7 @@ def pairwise(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", scoring.change_risk((s == "F").cast("int"), (s == "P").cast("int"), F.col("o_totalprice") / 600000.0, F.lit(0.5)).alias("risk"))
 
 
-@query("q_line_merge", "C18 C19", """
+@query("q_line_merge", "C19", """
     WITH l AS (SELECT p_brand AS line, count(*) AS members, count(DISTINCT p_type) AS sources, CAST(avg(p_size) / 50 AS DECIMAL(18,3)) AS coherence, max(p_size) AS level FROM part GROUP BY 1), m AS (SELECT CASE WHEN line IN ('Brand#12', 'Brand#13') THEN 'Brand#11' ELSE line END AS line, members, sources, coherence, level FROM l)
     SELECT line, CAST(sum(members) AS BIGINT) AS members, CAST(sum(sources) AS BIGINT) AS sources, count(*) AS merged, floor((CAST(sum(CAST(CAST(coherence AS DOUBLE) * members AS DECIMAL(18,4))) AS DOUBLE) / sum(members) - CASE WHEN count(*) > 1 THEN 0.08e0 ELSE 0.0e0 END) * 1000.0e0 + 0.5e0) / 1000.0e0 AS coherence, max(level) AS level FROM m GROUP BY 1""")
 def line_merge(t: Tables) -> DataFrame:

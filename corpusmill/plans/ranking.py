@@ -57,7 +57,7 @@ def alignment(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", value.alias("alignment"))
 
 
-@query("q_direct_hits", "V9 V11 C17", """
+@query("q_direct_hits", "V9", """
     WITH n AS (SELECT o_custkey, o_orderkey, o_totalprice / max(o_totalprice) OVER (PARTITION BY o_custkey) AS n, (o_orderkey % 5) / 5.0e0 AS c FROM orders), v AS (SELECT *, floor((n * 1.45e0 + c * 2.2e0) * 10000.0e0 + 0.5e0) / 10000.0e0 AS value FROM n),
     g AS (SELECT *, row_number() OVER w AS place, n - lead(n) OVER w AS gap FROM v WINDOW w AS (PARTITION BY o_custkey ORDER BY value DESC, o_orderkey))
     SELECT o_custkey, o_orderkey, value, CAST(place AS INT) AS place, place = 1 AND n >= 0.9 AND coalesce(gap, 1.0e0) >= 0.04e0 AS strong FROM g""")

@@ -68,7 +68,7 @@ def round_(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", two.alias("two"), numbers.level(F.col("l_discount") * 10).alias("level"), numbers.clamp(F.col("l_quantity") / 40).alias("clamped"))
 
 
-@query("q_norma_key", "F51 F53 F54", """
+@query("q_norma_key", "F51 F53", """
     SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'codigo civil|' || p_size WHEN p_size % 5 = 1 THEN 'ley|' || p_partkey || '|' || p_size ELSE 'decreto|' || p_partkey || '|' || p_size || '|2004|-' END AS key,
         CAST(p_partkey AS VARCHAR) || 'N' || lpad(CAST(p_size % 100 AS VARCHAR), 2, '0') AS doc FROM part""")
 def norma_key(t: Tables) -> DataFrame:
@@ -151,3 +151,12 @@ def redact_map(t: Tables) -> DataFrame:
     note = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("Authorization: "), F.lit("abc"))).otherwise(F.concat(F.lit("key "), key, F.lit(" ok "), "event_type"))
     m = text.redact_map(F.create_map(F.lit("API_KEY"), key, F.lit("note"), note, F.lit("kind"), F.col("event_type")))
     return t.events.select("event_id", m["API_KEY"].alias("secret"), m["note"].alias("note"), m["kind"].alias("plain"))
+
+
+@query("q_document_id", "F54", """
+    SELECT o_orderkey, CASE WHEN o_custkey % 3 > 0 AND o_orderkey % 4 > 0 THEN o_custkey || 'N' || strftime(o_orderdate, '%y') WHEN o_orderstatus = 'F' THEN 'F' || o_orderkey WHEN o_orderpriority = '1-URGENT' THEN o_orderpriority ELSE 'unknown' END AS doc FROM orders""")
+def document_id(t: Tables) -> DataFrame:
+    number, year = F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey")), F.when(F.col("o_orderkey") % 4 > 0, F.year("o_orderdate"))
+    first = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("F"), F.col("o_orderkey").cast("string")))
+    second = F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderpriority"))
+    return t.orders.select("o_orderkey", keys.document_id(number, year, first, second).alias("doc"))
