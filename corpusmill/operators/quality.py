@@ -30,10 +30,6 @@ def checks(tests: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [bad.agg(F.count("*").alias("failing")).select(F.lit(name).alias("check_name"), "failing") for name, bad in tests.items()])
 
 
-def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
-    return sorted(set(required) - set(df.columns))
-
-
 def catalog_backfill(mentions: DataFrame, doc: str, raw: str, norm: Column, rejects: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """(catalog, report): different accepted forms with their mentions and documents; and rows by what became of them."""
     verdict = F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rejects.items()], F.lit("accepted"))

@@ -1,6 +1,6 @@
 """All queries of the library but those of the corpus operators."""
 
-from corpusmill.plans import analytics, auditing, changing, clustering, graphs, lines, metadata, ordered, ranking, relations, remedies, retrieving, scalars  # noqa: F401
+from corpusmill.plans import analytics, auditing, changing, clustering, feeding, graphs, lines, metadata, ordered, ranking, relations, remedies, retrieving, scalars  # noqa: F401
 from corpusmill.plans.registry import REGISTRY as QUERIES
 
 __all__ = ["QUERIES"]

@@ -11,21 +11,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder that spark.checkpoint.dir names; lineage is cut. Where it is unset, a temporary folder serves if all is one machine."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder for written tables, in the one that spark.checkpoint.dir names; where that is unset, a temporary folder serves if all is one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not df.sparkSession.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = tempfile.mkdtemp()
-    path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` as a table in this application's folder; lineage is cut."""
+    path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str, whole_files: bool = False) -> DataFrame:
-    """A JSON feed; rows that don't fit the schema have their text in _corrupt_record if the schema has that column."""
-    return spark.read.schema(schema).option("multiLine", whole_files).option("mode", "PERMISSIVE").json(path)
+def drop_written(spark: SparkSession) -> None:
+    """Deletes what this application wrote on the way; call it once results that read from it are written themselves."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def unwrapped(json: Column, wrappers: tuple[str, ...] = ("_source", "source", "raw_data")) -> Column:
