@@ -163,11 +163,11 @@ def cluster_totals(hits: DataFrame, clusters: DataFrame, by: str, key: str) -> D
     return rows.select(by, half_up(_sum(TOTAL, terms) + raised - lowered, 3).alias("total"))
 
 
-def same_title_pairs(lines: DataFrame, key: str, title: str, items: dict[str, str], least: float = 0.4) -> DataFrame:
+def same_title_pairs(lines: DataFrame, key: str, title: str, items: dict[str, str], least: float = 0.4, digits: int | None = None) -> DataFrame:
     """Pairs of lines of one title whose tags or sources overlap by ``least`` of the smaller set, with how sure a merge is.
 
     ``items``: ``tags`` and ``sources``, the names of two array columns. Pairs meet over a shared item, so lines of one title that share nothing
-    are never paired.
+    are never paired. With ``digits`` overlaps are rounded before they count.
     """
     rows = lines.select(F.col(key).alias("k"), search_text(F.col(title)).alias("_t"), *[F.array_distinct(c).alias(n) for n, c in items.items()])
     both = None
@@ -176,7 +176,9 @@ def same_title_pairs(lines: DataFrame, key: str, title: str, items: dict[str, st
         left, right = (each.select("_t", "_i", F.col("k").alias(x), F.col("_n").alias(f"_n{x}")) for x in ("a", "b"))
         met = left.join(right, ["_t", "_i"]).where("a < b").groupBy("a", "b").agg((F.count("*") / F.least(F.max("_na"), F.max("_nb"))).alias(name))
         both = met if both is None else both.join(met, ["a", "b"], "full_outer")
-    both = both.fillna(0.0, list(items)).where(F.greatest(*items) >= least)
+    both = both.fillna(0.0, list(items))
+    both = both if digits is None else both.select("a", "b", *[half_up(F.col(x), digits).alias(x) for x in items])
+    both = both.where(F.greatest(*items) >= least)
     confidence = half_up(0.7 + F.col("tags") * 0.18 + F.col("sources") * 0.12, 2)
     return both.select("a", "b", half_up(F.col("tags"), 4).alias("tags"), half_up(F.col("sources"), 4).alias("sources"), confidence.alias("confidence"), F.when(F.greatest("tags", "sources") >= 0.55, "low").otherwise("medium").alias("risk"))
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import full_year, plain_number, reference_numbers, rows_of_cells, segments
+from corpusmill.functions.text import full_year, plain_number, reference_numbers, rows_of_cells, segments, tag_display, tag_norm
 from corpusmill.operators.aggregates import half_up
 from corpusmill.operators.joins import best_per_key, first_wins
+from corpusmill.sources.tables import checkpointed
 
 # What an action does to what it refers to; other actions adjust.
 EFFECT = {
@@ -114,22 +115,60 @@ def mined_relations(docs: DataFrame, key: str, text: str, verbs: dict[str, str])
     return e.select("src", "e.action", F.regexp_replace(F.split_part("e.ref", F.lit("/"), F.lit(1)), r"\.", "").alias("number"), F.split_part("e.ref", F.lit("/"), F.lit(2)).alias("year"))
 
 
-def representatives(pairs: DataFrame, a: str, b: str, checkpoint) -> DataFrame:
-    """Connected components of similarity pairs of strings: each string with its component's shortest, then smallest, string.
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """``node`` and ``root``: the least node of each connected component of a graph, for every node of an edge.
 
-    Every string takes the least representative among its neighbours' until none changes; ``checkpoint`` writes a table
-    after each round.
+    Stars are contracted in turn: each node sends its larger neighbours, then its smaller ones, to the least of them. The
+    number of rounds grows with the logarithm of the graph and not with its longest path. After each round the edges are
+    written; they never outnumber those given. Nodes are of any type that has an order.
     """
-    rank = lambda c: F.struct(F.length(c).alias("n"), F.col(c).alias("s"))
-    edges = checkpoint(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).union(pairs.select(F.col(b), F.col(a))).distinct())
-    labels = checkpoint(edges.select("x").distinct().select("x", rank("x").alias("r")))
+    e = checkpointed(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    both = lambda e: e.select("u", "v").union(e.select("v", "u"))
+    least = lambda e: e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    before = None
     while True:
-        offers = edges.join(labels.withColumnRenamed("x", "y").withColumnRenamed("r", "o"), "y").groupBy("x").agg(F.min("o").alias("o"))
-        after = checkpoint(labels.join(offers, "x").select("x", F.least("r", "o").alias("r"), (F.col("o") < F.col("r")).alias("moved")))
-        moved = not after.where("moved").isEmpty()
-        labels = after.drop("moved")
-        if not moved:
-            return labels.select(F.col("x").alias("term"), F.col("r.s").alias("canonical"))
+        near = both(e)
+        large = near.join(least(near), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().where("u <> v")
+        large = checkpointed(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        met = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        e = checkpointed(small)
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
+        if now == before:
+            break
+        before = now
+    # all that is left are stars
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    alone = edges.where(F.col(a) == F.col(b)).select(F.col(a).alias("node"), F.col(b).alias("root")).distinct()
+    known = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    return known.unionByName(alone.join(known, "node", "left_anti").select("node", "root"))
+
+
+def representatives(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Connected components of similarity pairs of strings: each string with its component's shortest, then smallest, string."""
+    rank = lambda c: F.struct(F.length(c).alias("n"), F.col(c).alias("s"))
+    found = components(pairs.select(rank(a).alias("a"), rank(b).alias("b")), "a", "b")
+    return found.select(F.col("node.s").alias("term"), F.col("root.s").alias("canonical"))
+
+
+def rewritten_terms(catalog: DataFrame, id_: str, term: str, links: DataFrame, doc: str, link: str, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(catalog, links) after similar terms became one: what a rewrite of both tables leaves.
+
+    ``pairs`` (a, b) says which normalised terms (``tag_norm``) are one. Of a cluster's rows the shortest term's stays, then
+    the smallest id's, shown in the display form of the cluster's shortest normalised term; a term in no pair keeps its rows'
+    first and takes the display form too. Links to rows that went point to the one that stays, and links that
+    become equal are one. Rows whose term is empty, and links to rows that aren't there, stay as they are.
+    """
+    base = catalog.withColumn("_norm", tag_norm(F.col(term)))
+    known = representatives(pairs, "a", "b").withColumnRenamed("term", "_norm").withColumnRenamed("canonical", "_root")
+    rows = base.join(known, "_norm", "left").withColumn("_root", F.coalesce("_root", "_norm"))
+    real = F.coalesce(F.col("_norm") != "", F.lit(False))
+    master = rows.where(real).groupBy("_root").agg(F.min(F.struct(F.length(term), F.col(id_))).alias("_m")).select("_root", F.col(f"_m.{id_}").alias("_master"))
+    marked = rows.where(real).join(master, "_root")
+    after = marked.where(F.col(id_) == F.col("_master")).withColumn(term, tag_display(F.col("_root"))).select(catalog.columns)
+    moved = marked.where(F.col(id_) != F.col("_master")).select(F.col(id_).alias("_from"), F.col("_master").alias("_to"))
+    repointed = links.join(moved, F.col(link) == F.col("_from"), "left").select(doc, F.coalesce("_to", link).alias(link)).distinct()
+    return after.unionByName(rows.where(~real).select(catalog.columns)), repointed
 
 
 def candidate_relations(docs: DataFrame, key: str, html: str, text: str, refs: str, verbs: dict[str, str]) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as tx
 from corpusmill.operators import graph, joins, quality, scoring
 from corpusmill.plans.registry import Tables, query
-from corpusmill.sources.tables import checkpointed
 
 _RULES = [(r"no such (view|table)", "db", "NO_SUCH_TABLE"), (r"^err(or)?", "app", "APP_ERROR"), (r"chase|buy", "shop", "SALE")]
 
@@ -49,7 +48,34 @@ def checks(t: Tables) -> DataFrame:
     SELECT x AS term, arg_min(y, (length(y), y)) AS canonical FROM c GROUP BY 1""")
 def dedup(t: Tables) -> DataFrame:
     words = t.benchmark.select(F.explode(tx.tokens(F.col("text"), 4)).alias("t"))
-    return graph.representatives(joins.sorted_neighbours(words, "t"), "a", "b", checkpointed)
+    return graph.representatives(joins.sorted_neighbours(words, "t"), "a", "b")
+
+
+_TERMS = """
+    WITH RECURSIVE t AS (SELECT DISTINCT unnest(string_split_regex(text, '[^a-zA-Z0-9]+')) AS term FROM benchmark), c AS (SELECT row_number() OVER (ORDER BY term) AS id, term, lower(term) AS norm FROM t WHERE length(term) >= 4),
+    p AS (SELECT t, row_number() OVER (ORDER BY t) AS r FROM (SELECT DISTINCT norm AS t FROM c)),
+    e AS (SELECT x.t AS a, y.t AS b FROM p x JOIN p y ON y.r - x.r BETWEEN 1 AND 39 WHERE regexp_replace(x.t, '[^0-9]', '', 'g') = regexp_replace(y.t, '[^0-9]', '', 'g') AND levenshtein(x.t, y.t) <= CASE WHEN least(length(x.t), length(y.t)) >= 15 THEN 3 WHEN least(length(x.t), length(y.t)) >= 8 THEN 2 ELSE 1 END),
+    l AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), k AS (SELECT x, y FROM l UNION SELECT k.x, l.y FROM k JOIN l ON k.y = l.x), root AS (SELECT x, arg_min(y, (length(y), y)) AS root FROM k GROUP BY 1),
+    m AS (SELECT id, term, coalesce(root, norm) AS root FROM c LEFT JOIN root ON x = norm), s AS (SELECT root, arg_min(id, (length(term), id)) AS master FROM m GROUP BY 1)"""
+
+
+def _rewritten(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The benchmark's words as a catalog, and which items have them, after similar words became one."""
+    words = t.benchmark.select("item_id", F.explode(F.split("text", "[^a-zA-Z0-9]+")).alias("term")).where("length(term) >= 4").distinct()
+    catalog = joins.numbered(words.select("term").distinct(), [F.col("term")], "id")
+    links = words.join(catalog, "term").select("item_id", F.col("id").alias("term_id"))
+    pairs = joins.sorted_neighbours(catalog.select(tx.tag_norm(F.col("term")).alias("t")), "t")
+    return graph.rewritten_terms(catalog, "id", "term", links, "item_id", "term_id", pairs)
+
+
+@query("q_terms_rewritten", "Q5 U7", f"""{_TERMS} SELECT id, upper(root[1]) || root[2:] || '.' AS term FROM m JOIN s USING (root) WHERE id = master""")
+def terms_rewritten(t: Tables) -> DataFrame:
+    return _rewritten(t)[0].select("id", "term")
+
+
+@query("q_links_repointed", "Q5", f"""{_TERMS} SELECT DISTINCT item_id, master AS term_id FROM (SELECT item_id, unnest(string_split_regex(text, '[^a-zA-Z0-9]+')) AS term FROM benchmark) JOIN m USING (term) JOIN s USING (root)""")
+def links_repointed(t: Tables) -> DataFrame:
+    return _rewritten(t)[1]
 
 
 @query("q_catalog_backfill", "Q6 P3 A29", """
@@ -84,7 +110,7 @@ def blockers(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", rule.alias("x")).select("o_orderkey", F.col("x.s").alias("strategy"), F.col("x.r").alias("risk"))
 
 
-@query("q_coherence_audit", "Q12 C10", """
+@query("q_coherence_audit", "A14", """
     WITH c AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderpriority) AS r FROM c),
     x AS (SELECT o_custkey, CAST(sum(n) AS BIGINT) AS members, count(*) AS labels, max(n) FILTER (WHERE r = 1) AS a, coalesce(max(n) FILTER (WHERE r = 2), 0) AS b, count(*) FILTER (WHERE n = 1) AS s FROM r GROUP BY 1),
     y AS (SELECT o_custkey, members, labels, floor(a / members * 1000.0e0 + 0.5e0) / 1000.0e0 AS dominance, floor(b / a * 1000.0e0 + 0.5e0) / 1000.0e0 AS competition, floor(s / members * 1000.0e0 + 0.5e0) / 1000.0e0 AS outliers FROM x)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.operators import graph
+from corpusmill.operators import graph, proposals
 from corpusmill.plans.registry import Tables, query
 
 _ACTION = "CASE l_returnflag WHEN 'R' THEN 'reconsidered' WHEN 'A' THEN 'applies' ELSE 'complemented' END"
@@ -97,6 +97,36 @@ def missing_rel(t: Tables) -> DataFrame:
     return graph.missing_relations(pairs, words, sources, "k")
 
 
+_DESCRIPTORS = "SELECT DISTINCT o_orderkey AS k, lower(p_type) AS item FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey"
+
+
+@query("q_proposals", "G13", f"""
+    WITH d AS ({_DESCRIPTORS}), w AS (SELECT DISTINCT k, item FROM (SELECT k, unnest(string_split(item, ' ')) AS item FROM d UNION ALL SELECT o_orderkey, unnest(string_split_regex(lower(o_orderpriority || ' ' || p_name), '[^a-z0-9]+')) FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey) WHERE length(item) >= 4),
+    n AS (SELECT o_orderkey AS k, CAST(p_brand AS VARCHAR) AS item FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, item) <= 5),
+    i AS (SELECT k, 'd' AS kind, item FROM d UNION ALL SELECT k, 'w', item FROM w UNION ALL SELECT k, 'n', item FROM n), c AS (SELECT k, count(*) FILTER (WHERE kind = 'd') AS d, count(*) FILTER (WHERE kind = 'w') AS w, count(*) FILTER (WHERE kind = 'n') AS n FROM i GROUP BY 1),
+    o AS (SELECT o_custkey, o_orderkey AS k, o_orderdate AS ts, o_orderpriority LIKE '%URGENT' AS r, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, o_orderstatus = 'F' AS linked, c.* FROM orders JOIN c ON k = o_orderkey),
+    p AS (SELECT y.o_custkey, y.k AS src, x.k AS dst, y.r, x.d AS xd, x.w AS xw, x.n AS xn, y.d AS yd, y.w AS yw, y.n AS yn FROM o x JOIN o y ON x.o_custkey = y.o_custkey AND (x.ts, x.k) < (y.ts, y.k) WHERE NOT (y.linked AND y.before = x.k)),
+    s AS (SELECT p.*, count(*) FILTER (WHERE a.kind = 'd') AS d, count(*) FILTER (WHERE a.kind = 'w') AS w, count(*) FILTER (WHERE a.kind = 'n') AS n, list_sort(list(a.item) FILTER (WHERE a.kind = 'd'))[1:3] AS shared FROM p JOIN i a ON a.k = src JOIN i b ON b.k = dst AND a.kind = b.kind AND a.item = b.item GROUP BY ALL),
+    f AS (SELECT s.*, d / (xd + yd - d) AS fd, w / (xw + yw - w) AS fw, n / (xn + yn - n) AS fn, greatest(yd - d, least(yw - w, 3)) + r::INT AS semantic_delta, yn - n AS new_norms, src IN (first, last) OR dst IN (first, last) AS same_family, c_nationkey % 2 = 0 AS review
+        FROM s JOIN customer ON c_custkey = o_custkey JOIN (SELECT o_custkey, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY 1) USING (o_custkey)),
+    g AS (SELECT *, fd * 0.45e0 + fw * 0.35e0 + fn * 0.25e0 + CASE WHEN same_family THEN 0.1e0 ELSE 0.0e0 END + CASE WHEN semantic_delta > 0 THEN 0.1e0 ELSE 0.0e0 END + CASE WHEN new_norms > 0 THEN 0.05e0 ELSE 0.0e0 END + CASE WHEN review THEN 0.08e0 ELSE 0.04e0 END AS score FROM f
+        WHERE (fd >= 0.1 OR fw >= 0.12 OR fn >= 0.1) AND (semantic_delta > 0 OR new_norms > 0 OR same_family))
+    SELECT o_custkey, src, dst, floor(fd * 10000.0e0 + 0.5e0) / 10000.0e0 AS descriptor_overlap, floor(fw * 10000.0e0 + 0.5e0) / 10000.0e0 AS word_overlap, floor(fn * 10000.0e0 + 0.5e0) / 10000.0e0 AS norm_overlap, semantic_delta, new_norms, same_family, floor(score * 100.0e0 + 0.5e0) / 100.0e0 AS confidence,
+        CASE WHEN score >= 0.78e0 THEN 'high' WHEN score >= 0.6e0 THEN 'medium' ELSE 'low' END AS level, CASE WHEN r AND new_norms > 0 THEN 'partly_reconsidered' WHEN semantic_delta >= 2 AND new_norms > 0 THEN 'complemented' WHEN semantic_delta >= 1 THEN 'clarified' ELSE 'complemented' END AS kind, coalesce(shared, []) AS shared FROM g""")
+def proposals_(t: Tables) -> DataFrame:
+    """Customers are lines, their orders documents, types of parts descriptors and brands norms."""
+    parts = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey")).join(t.part.select("p_partkey", "p_name", "p_type", "p_brand"), "p_partkey")
+    orders = t.orders.select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    texts = orders.join(parts, "o_orderkey").select("o_orderkey", F.concat_ws(" ", "o_orderpriority", "p_name").alias("text"))
+    items = proposals.document_items(texts, "o_orderkey", F.col("text"), parts, "p_type", parts, "p_brand")
+    ends = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("anchor"), F.max("o_orderkey").alias("representative"))
+    lines = ends.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.when(F.col("c_nationkey") % 2 == 0, "in_review").otherwise("evolving").alias("status")), "o_custkey")
+    members = orders.withColumn("restrictive", F.col("o_orderpriority").endswith("URGENT"))
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    edges = orders.join(items.select("o_orderkey").distinct(), "o_orderkey", "left_semi").withColumn("dst", before).where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("src"), "dst")
+    return proposals.missing_relations(lines, "o_custkey", members, "o_orderkey", "o_orderdate", items, edges)
+
+
 @query("q_mined", "G14", """
     SELECT o_orderkey AS src, unnest(['applied', 'confirmed']) AS action, unnest(['12' || o_custkey, '7']) AS number, unnest([strftime(o_orderdate, '%y'), '1999']) AS year FROM orders""")
 def mined(t: Tables) -> DataFrame:
