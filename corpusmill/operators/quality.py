@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A span of time, in multiples of the time in which an event repeats another.
+SPAN = 256
+
 
 def inspect(df: DataFrame, issues: dict[str, Column], severe: list[str]) -> DataFrame:
     """Rows with the names of the issues that they have, and a bucket: ok, minor, major (a severe one) or critical (two)."""
@@ -69,11 +72,21 @@ def without_repeats(events: DataFrame, keys: list[str], ts: str, order: str, sec
     """Events of a key that come at least some seconds after the last one kept.
 
     An event that comes so long after the one before it is kept whatever was kept before, so a key's events fall into
-    bursts that don't depend on each other; only inside a burst they are walked in order.
+    bursts that don't depend on each other; only inside a burst they are walked in order. Bursts are told apart inside
+    spans of time, and from the ends of spans, so no task sorts all events of a key.
     """
-    w = Window.partitionBy(*keys).orderBy(ts, order)
-    apart = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")) - F.lag(F.unix_micros(F.col(ts).cast("timestamp"))).over(w) >= seconds * 1_000_000, F.lit(True))
-    rows = events.select(*keys, ts, order).withColumn("_new", apart.cast("int")).withColumn("_burst", F.sum("_new").over(w))
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = events.select(*keys, ts, order).withColumn("_t", micros).withColumn("_span", F.floor(micros / (seconds * 1_000_000 * SPAN)))
+    inside, across = Window.partitionBy(*keys, "_span"), Window.partitionBy(*keys).orderBy("_span")
+    first = rows.withColumn("_before", F.lag("_t").over(inside.orderBy(ts, order)))
+    far = lambda before: F.coalesce(F.col("_t") - before >= seconds * 1_000_000, F.lit(True)).cast("int")
+    spans = first.groupBy(*keys, "_span").agg(F.min("_t").alias("_t"), F.max("_t").alias("_last"), F.sum(F.when(F.col("_before").isNotNull(), far(F.col("_before"))).otherwise(0)).alias("_inner"))
+    spans = spans.withColumn("_starts", far(F.lag("_last").over(across)))
+    spans = spans.withColumn("_base", F.sum(F.col("_inner") + F.col("_starts")).over(across) - F.col("_inner")).select(*keys, "_span", "_base")
+    later = F.sum(F.when(F.col("_before").isNotNull(), far(F.col("_before"))).otherwise(0)).over(inside.orderBy(ts, order))
+    a, b = first.withColumn("_later", later).alias("a"), spans.alias("b")
+    same = reduce(Column.__and__, [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in (*keys, "_span")])
+    rows = a.join(b, same).select(*[F.col(f"a.`{c}`") for c in (*keys, ts, order)], (F.col("_base") + F.col("_later")).alias("_burst"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([ts, order])

@@ -77,7 +77,7 @@ def _top(mentions: DataFrame, column: str, n: int = 5) -> DataFrame:
     a AS (SELECT 'merge' AS action, a AS line, b AS other, NULL AS detail, {_R2(x="0.7e0 + o * 0.18e0 + s * 0.12e0")} AS confidence, 'high' AS impact, CASE WHEN greatest(o, s) >= 0.55 THEN 'low' ELSE 'medium' END AS risk FROM pr WHERE greatest(o, s) >= 0.4
         UNION ALL SELECT 'merge', min(line), NULL, count(*), {_R2(x="0.64e0 + least((count(*) - 2) * 0.06e0, 0.12e0)")}, 'high', 'medium' FROM lt GROUP BY t HAVING count(*) > 1
         UNION ALL SELECT 'split', line, NULL, parts, {_R2(x="0.62e0 + fragmentation * 0.25e0")}, 'high', 'high' FROM g JOIN parts USING (line)
-        UNION ALL SELECT 'reassign', line, NULL, mv.n, {_R2(x="0.5e0 + outliers * 0.6e0")}, 'medium', 'medium' FROM g LEFT JOIN mv USING (line) WHERE outliers >= 0.22
+        UNION ALL SELECT 'reassign', line, NULL, mv.n, {_R2(x="least(1.0e0, 0.5e0 + outliers * 0.6e0)")}, 'medium', 'medium' FROM g LEFT JOIN mv USING (line) WHERE outliers >= 0.22
         UNION ALL SELECT 'normalise', line, NULL, NULL, {_R2(x="least(1.0e0, 0.52e0 + noise * 0.5e0)")}, 'medium', 'low' FROM g WHERE noise >= 0.4)
     SELECT * FROM a""")
 def actions(t: Tables) -> DataFrame:
