@@ -56,7 +56,7 @@ def test_importance(spark):
     rows = [(i, f"https://a.example/{i}", f"<div class=top><p>Same</p>{'<i>x</i>' * (i % 2)}</div><div class=body><p>Text {i}<p>More {i // 3}</div><ul><li>a<li>b {i % 4}</ul>") for i in range(9)]
     rows += [(20, "https://a.example/20", rows[0][2]), (21, "https://b.example/1", "<p>alone"), (22, "https://b.example/2", "<p>alone too"), (23, None, "<p>x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {(r._site, r._path): (r._pages, round(r._importance, 9)) for r in html_text.style_tree(pages, F.element_at(F.split("url", "/"), 3)).collect()}
+    got = {(r._site, r._path): (r._pages, round(r._importance, 9)) for r in html_text.style_tree(html_text.style_nodes(pages, F.element_at(F.split("url", "/"), 3))).collect()}
     seen, above = {}, {}
     for _, url, html in rows:
         if url:
