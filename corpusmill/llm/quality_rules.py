@@ -112,14 +112,24 @@ def figures(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
     return rows.mapInPandas(tidy(run), kinds)
 
 
-def bands(rows: DataFrame, asked: DataFrame, spread: float, least_rows: int, always: bool) -> DataFrame:
+def counted(rows: DataFrame) -> DataFrame:
+    """How many rows that pass the base rules have each value of each figure, by language, script and size class.
+
+    Values are thousandths up to MOST, so there are as few of them however many rows there are.
+    """
+    each_figure = F.explode(F.array(*[F.struct(F.lit(x).alias("figure"), F.round(F.col(x), 3).alias("value")) for x in FIGURES]))
+    good = rows.where("NOT base_failed").select("_language", "_script", "_class", each_figure.alias("f"))
+    return good.groupBy("_language", "_script", "_class", "f.figure", "f.value").agg(F.count("*").alias("_n"))
+
+
+def bands(values: DataFrame, asked: DataFrame, spread: float, least_rows: int, always: bool) -> DataFrame:
     """``_of``, ``_in`` and the lower and upper end of each figure for the groups and size classes in ``asked``.
 
-    Quartiles are of all rows of the group (``_group``) that pass the base rules and whose size is no further from the
-    class than it takes for ``least_rows``. A group that has fewer in all has none, or the quartiles of all its rows with ``always``.
+    ``values`` are ``counted`` values of each group (``_group``). Quartiles are of all rows of the group whose size is no
+    further from the class than it takes for ``least_rows``. A group that has fewer in all has none, or the quartiles of all
+    its rows with ``always``.
     """
-    good = rows.where("NOT base_failed").select("_group", "_class", *FIGURES)
-    sizes = good.groupBy("_group", "_class").agg(F.count("*").alias("_n"))
+    sizes = values.where(F.col("figure") == FIGURES[0]).groupBy("_group", "_class").agg(F.sum("_n").alias("_n"))
     pairs = asked.join(sizes, F.col("_of").eqNullSafe(F.col("_group"))).select("_of", "_in", F.col("_class").alias("_from"), "_n", F.abs(F.col("_class") - F.col("_in")).alias("_far"))
     # a row for each two size classes of a group, whatever the corpus's size
     each = Window.partitionBy("_of", "_in")
@@ -127,9 +137,6 @@ def bands(rows: DataFrame, asked: DataFrame, spread: float, least_rows: int, alw
     reach = F.min(F.when(F.col("_rows") >= least_rows, F.col("_far"))).over(each)
     reach = F.coalesce(reach, F.max("_far").over(each)) if always else reach
     taken = upto.withColumn("_reach", reach).where("_far <= _reach").select("_of", "_in", "_from")
-    # each figure's different values are counted first: thousandths up to MOST, however many rows there are
-    each_figure = F.explode(F.array(*[F.struct(F.lit(x).alias("figure"), F.round(F.col(x), 3).alias("value")) for x in FIGURES]))
-    values = good.select("_group", "_class", each_figure.alias("f")).groupBy("_group", "_class", "f.figure", "f.value").agg(F.count("*").alias("_n"))
     members = values.join(taken, F.col("_of").eqNullSafe(F.col("_group")) & (F.col("_class") == F.col("_from")))
     one = lambda x, share: F.percentile(F.when(F.col("figure") == x, F.col("value")), share, F.col("_n"))
     quartiles = members.groupBy("_of", "_in").agg(*[F.array(one(x, 0.25), one(x, 0.75)).alias(x) for x in FIGURES])
@@ -142,11 +149,12 @@ def bands(rows: DataFrame, asked: DataFrame, spread: float, least_rows: int, alw
 
 def all_bands(rows: DataFrame, spread: float, least_rows: int = 50) -> DataFrame:
     """A band for each language, script and size class with a row that passes the base rules: by language, else by script, else by corpus."""
-    left = written(rows.where("NOT base_failed").select(F.col("_language").alias("_l"), F.col("_script").alias("_s"), F.col("_class").alias("_c")).distinct(), "classes")
+    values = written(counted(rows), "values")
+    left = written(values.select(F.col("_language").alias("_l"), F.col("_script").alias("_s"), F.col("_class").alias("_c")).distinct(), "classes")
     out = []
     for label, group, own, always in (("language", F.col("_language"), F.col("_l"), False), ("script", F.col("_script"), F.col("_s"), False), ("corpus", F.lit(0), F.lit(0), True)):
         asked = left.select(own.alias("_of"), F.col("_c").alias("_in")).distinct()
-        found = written(bands(rows.withColumn("_group", group), asked, spread, least_rows, always), f"bands_{label}")
+        found = written(bands(values.withColumn("_group", group), asked, spread, least_rows, always), f"bands_{label}")
         same = own.eqNullSafe(F.col("_of")) & (F.col("_c") == F.col("_in"))
         out.append(left.join(found, same).drop("_of", "_in"))
         left = left.join(found, same, "left_anti")
