@@ -45,13 +45,14 @@ def runs(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple[tuple[int,
 
 
 def past_slices(rows: DataFrame, queries: DataFrame, slices: int, f: Callable[[pa.RecordBatch, pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """What ``f`` (a slice's rows by falling priority of ``_id``, some queries) gives for each slice and all queries of its vectors' length.
+    """What ``f`` (a slice's rows in order of ``_id``, some queries) gives for each slice and all queries of its vectors' length.
 
-    Both tables have ``_id`` and ``_v``, and the same columns besides.
+    Both tables have ``_id``, ``_v`` and the same columns besides; ``_size`` is the length of vectors that are held in another form.
     """
-    columns = [c for c in rows.columns if c in queries.columns]
-    own = rows.select(F.pmod(F.xxhash64("_id"), F.lit(slices)).cast("int").alias("_slice"), F.lit(0).alias("_kind"), F.size("_v").alias("_size"), *columns)
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"), F.lit(1).alias("_kind"), F.size("_v").alias("_size"), *columns)
+    columns = [c for c in rows.columns if c in queries.columns and c != "_size"]
+    size = lambda df: F.col("_size") if "_size" in df.columns else F.size("_v").alias("_size")
+    own = rows.select(F.pmod(F.xxhash64("_id"), F.lit(slices)).cast("int").alias("_slice"), F.lit(0).alias("_kind"), size(rows), *columns)
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"), F.lit(1).alias("_kind"), size(queries), *columns)
     dealt = own.unionByName(asked).repartition(slices, "_slice").sortWithinPartitions("_slice", "_size", "_kind", "_id")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,11 @@
 """Exact top-k search by vector-approximation files.
 
 Vectors are written twice: whole, and as an approximation file in which each component is one byte, its cell on a grid that
-spans all vectors. Queries in blocks meet slices of the approximation file, which alone are scanned for bounds of the inner
-product; what can't be among a query's k best of its slice is left there. Over all slices, the k-th best lower bound rules
-out more. Then exact vectors are read in the order of their upper bounds: some first, and of the rest only those whose bound
-reaches the k-th best exact score by then, so that the result is certain. Queries and vectors are tables throughout.
+spans all vectors. The file is dealt into slices once; each task reads a slice and streams all queries past it. Bounds of the
+inner products come from the cells alone, in integers; what can't be among a query's k best of its slice is left there.
+Over all slices, the k-th best lower bound rules out more. Then exact vectors are read in the order of their upper bounds:
+some first, and of the rest only those whose bound reaches the k-th best exact score by then, so that the result is certain.
+Queries and vectors are tables throughout.
 """
 
 from __future__ import annotations
@@ -13,17 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import tidy, written
+from corpusmill.llm.slices import VECTORS_AT_ONCE, matrix, past_slices
 
-#: Numbers in one block of queries, and cells in one slice of the approximation file.
-BLOCK_NUMBERS, SLICE_CELLS = 500_000, 16_000_000
+#: Cells in one slice of the approximation file.
+SLICE_CELLS = 64_000_000
 #: Cells of each dimension.
 CELLS = 256
-#: Vectors in one row of the approximation file, and queries whose bounds are held at a time.
-VECTORS_AT_ONCE, QUERIES_AT_ONCE = 4096, 128
 #: Exact vectors that a query reads at first, in multiples of k.
 FIRST_READ = 2
 
@@ -61,72 +62,64 @@ def _grid(grid: dict[int, tuple[int, int]], size: int) -> tuple[np.ndarray, np.n
 
 
 def approximations(exact: DataFrame, grid: dict[int, tuple[int, int]]) -> DataFrame:
-    """The approximation file: ``_size`` (dimensions), and for some vectors at a time ``ids``, ``rows`` and ``cells`` as bytes."""
+    """The approximation file: ``_id``, ``_row``, ``_size`` (dimensions) and ``_cells``, a byte for each component."""
 
     def quantised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, m in _by_size(batches):
             least, width = _grid(grid, m.shape[1])
             cells = ((m - least) // width).astype(np.uint8)
-            yield pd.DataFrame({"_size": [m.shape[1]], "ids": [part["_id"].to_numpy().tobytes()], "rows": [part["_row"].to_numpy().tobytes()], "cells": [cells.tobytes()]})
+            yield part[["_id", "_row"]].assign(_size=m.shape[1], _cells=[c.tobytes() for c in cells])
 
-    return exact.mapInPandas(tidy(quantised), "_size int, ids binary, rows binary, cells binary")
+    return exact.mapInPandas(tidy(quantised), "_id long, _row long, _size int, _cells binary")
 
 
 def bounds(cells: np.ndarray, q: np.ndarray, grid: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the inner products of some integer queries with the vectors of some cells, by rows of queries."""
+    """Lower and upper bounds of the inner products of some integer queries with the vectors of some cells, by rows of queries.
+
+    The product with the cells is of short floats, and what their rounding can add up to widens the bounds.
+    """
     least, width = _grid(grid, cells.shape[1])
     whole = q.astype(np.float64)
-    base = (whole * width) @ cells.T.astype(np.float64) + (whole @ least)[:, None]
-    # what rounding can add up to
-    slack = np.abs(whole) @ (np.abs(least) + width * CELLS) * 1e-12
+    steps = whole * width
+    reach = np.abs(steps).sum(axis=1) * (CELLS - 1)
+    kind = np.float32 if reach.max(initial=0) < 1e37 else np.float64
+    base = (steps.astype(kind) @ cells.T.astype(kind)).astype(np.float64) + (whole @ least)[:, None]
+    slack = reach * (cells.shape[1] + 4) * float(np.finfo(kind).eps) + np.abs(whole) @ np.abs(least) * 1e-12
     spread = width - 1
     return base + (np.minimum(whole, 0) @ spread - slack)[:, None], base + (np.maximum(whole, 0) @ spread + slack)[:, None]
 
 
 def _scan(grid: dict[int, tuple[int, int]], k: int):
-    """Of each query of a block, the vectors of a slice whose upper bound reaches the k-th best lower bound there."""
-
-    def scan(cells: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(cells) and len(queries):
-            qids, q = queries["_id"].to_numpy(), np.stack(queries["_v"].to_list())
-            size = q.shape[1]
-            ids, rows = (np.frombuffer(b"".join(cells[c]), dtype=np.int64) for c in ("ids", "rows"))
-            matrix = np.frombuffer(b"".join(cells["cells"]), dtype=np.uint8).reshape(-1, size)
-            for a in range(0, len(q), QUERIES_AT_ONCE):
-                names = qids[a : a + QUERIES_AT_ONCE]
-                sure = np.full(len(names), -np.inf)
-                held: list[tuple[np.ndarray, ...]] = []
-                best = np.full((len(names), k), -np.inf)
-                for v in range(0, len(ids), VECTORS_AT_ONCE):
-                    lower, upper = bounds(matrix[v : v + VECTORS_AT_ONCE], q[a : a + QUERIES_AT_ONCE], grid)
-                    own = names[:, None] == ids[None, v : v + VECTORS_AT_ONCE]
-                    lower[own] = upper[own] = -np.inf
-                    both = np.concatenate((best, lower), axis=1)
-                    best = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-                    sure = best.min(axis=1)
-                    x, y = np.nonzero((upper >= sure[:, None]) & ~own)
-                    held.append((x, ids[v + y], rows[v + y], lower[x, y], upper[x, y]))
-                x, found, row, low, high = (np.concatenate(c) for c in zip(*held))
-                keep = high >= sure[x]
-                out.append(pd.DataFrame({"query_id": names[x], "vec_id": found, "_row": row, "lower": low, "upper": high})[keep])
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "_row": [], "lower": [], "upper": []}).astype({"query_id": "int64", "vec_id": "int64", "_row": "int64"})
+    """Of some queries, the vectors of a slice whose upper bound reaches the k-th best lower bound there."""
+
+    def scan(file: pa.RecordBatch, asked: pa.RecordBatch) -> pa.RecordBatch:
+        q, names = matrix(asked), asked.column("_id").to_numpy()
+        ids, rows = file.column("_id").to_numpy(), file.column("_row").to_numpy()
+        cells = np.frombuffer(b"".join(file.column("_cells").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+        best, sure, held = np.full((len(names), k), -np.inf), np.full(len(names), -np.inf), []
+        for v in range(0, len(ids), VECTORS_AT_ONCE):
+            lower, upper = bounds(cells[v : v + VECTORS_AT_ONCE], q, grid)
+            own = names[:, None] == ids[None, v : v + VECTORS_AT_ONCE]
+            lower[own] = upper[own] = -np.inf
+            both = np.concatenate((best, lower), axis=1)
+            best = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+            sure = best.min(axis=1)
+            x, y = np.nonzero((upper >= sure[:, None]) & ~own)
+            held.append((x, ids[v + y], rows[v + y], lower[x, y], upper[x, y]))
+        x, found, row, low, high = (np.concatenate(c) for c in zip(*held))
+        keep = high >= sure[x]
+        return pa.RecordBatch.from_pydict({"query_id": names[x][keep], "vec_id": found[keep], "_row": row[keep], "lower": low[keep], "upper": high[keep]})
 
     return scan
 
 
 def candidates(file: DataFrame, queries: DataFrame, grid: dict[int, tuple[int, int]], k: int) -> DataFrame:
     """query_id, vec_id, _row, upper and place (1: highest upper bound) of what the approximation file can't rule out."""
-    spark = file.sparkSession
-    asked = queries.select(F.size("_v").alias("_size"), "_id", "_v")
-    blocks = {r["_size"]: max(1, -(-r["n"] * r["_size"] // BLOCK_NUMBERS)) for r in asked.groupBy("_size").agg(F.count("*").alias("n")).collect()}
-    slices = {r["_size"]: max(spark.sparkContext.defaultParallelism, -(-r["n"] // SLICE_CELLS)) for r in file.groupBy("_size").agg(F.sum(F.length("cells")).alias("n")).collect()}
-    many = lambda counts: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in (counts or {0: 1}).items() for x in pair]), F.col("_size")), F.lit(0))
-    every = lambda counts: F.explode(F.when(many(counts) > 0, F.sequence(F.lit(0), many(counts) - 1)))
-    left = file.where(many(blocks) > 0).select("*", F.pmod(F.xxhash64("rows"), many(slices)).cast("int").alias("_slice"), every(blocks).alias("_block"))
-    right = asked.where(many(slices) > 0).select("*", F.pmod(F.xxhash64("_id"), many(blocks)).cast("int").alias("_block"), every(slices).alias("_slice"))
-    key = ["_size", "_slice", "_block"]
-    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_scan(grid, k), "query_id long, vec_id long, _row long, lower double, upper double")
+    cells = file.agg(F.sum(F.col("_size").cast("long"))).first()[0] or 0
+    slices = max(file.sparkSession.sparkContext.defaultParallelism, -(-cells // SLICE_CELLS))
+    vectors = file.select("_id", "_row", "_size", "_cells", F.lit(None).cast("array<long>").alias("_v"))
+    asked = queries.select("_id", F.lit(None).cast("long").alias("_row"), F.size("_v").alias("_size"), F.lit(None).cast("binary").alias("_cells"), "_v")
+    met = past_slices(vectors, asked, slices, _scan(grid, k), "query_id long, vec_id long, _row long, lower double, upper double")
     met = written(met, "bounds")
     by_lower = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lower")))
     sure = met.withColumn("_n", by_lower).where(F.col("_n") == k).select("query_id", F.col("lower").alias("_sure"))
