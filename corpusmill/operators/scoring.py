@@ -73,32 +73,33 @@ def change_risk(displaced: Column, limited: Column, age: Column, spread: Column)
     return _clamped(displaced * 0.40 + limited * 0.25 + age * 0.20 + spread * 0.15)
 
 
-def greedy_clusters(candidates: DataFrame, label: str, key: str, tags: str, flags: str, neighbour: str, align: str, order: str, top: int = 8, most: int = 120, least: float = 5.0) -> DataFrame:
+def greedy_clusters(candidates: DataFrame, label: str, key: str, tags: str, flags: str, neighbour: str, align: str, order: str, top: int = 8, most: int = 120, least: float = 5.0, passes: Column | None = None, weak: Column | None = None, in_order: bool = False) -> DataFrame:
     """(label, seed, member, score): clusters around the newest documents of each label.
 
     Of each label the ``most`` newest documents are candidates. The newest one that isn't used yet is a seed; others join it,
     best first, up to ``top``, with ``least`` or more of: 2 for the label, 2 for each shared tag (6 at most), 1 for each shared
     flag (3 at most), 3 for a neighbour and 4 times the alignment (4 at most), if they share a tag or are neighbours. Clusters
-    of one are dropped, their seeds used up. A label's pass is sequential but bounded by ``most`` rows; labels lie sorted
-    in their partitions and are walked one after the other there.
+    of one are dropped, their seeds used up. With a query only documents that pass its gate (``passes``) join, and a weak
+    seed (``weak``) is used up alone. ``in_order`` takes members newest first instead of best first. A label's pass is
+    sequential but bounded by ``most`` rows; labels lie sorted in their partitions and are walked one after the other there.
     """
     w = Window.partitionBy(label).orderBy(F.desc(order), key)
-    rows = candidates.select(F.col(label).alias("_l"), F.col(key).alias("_k"), F.col(tags).alias("_t"), F.col(flags).alias("_f"), F.coalesce(F.col(neighbour), F.lit(0)).cast("int").alias("_b"), F.coalesce(F.col(align), F.lit(0.0)).cast("double").alias("_a"), F.row_number().over(w).alias("_r")).where(F.col("_r") <= most)
+    rows = candidates.select(F.col(label).alias("_l"), F.col(key).alias("_k"), F.col(tags).alias("_t"), F.col(flags).alias("_f"), F.coalesce(F.col(neighbour), F.lit(0)).cast("int").alias("_b"), F.coalesce(F.col(align), F.lit(0.0)).cast("double").alias("_a"), F.coalesce(passes if passes is not None else F.lit(True), F.lit(False)).alias("_p"), F.coalesce(weak if weak is not None else F.lit(False), F.lit(False)).alias("_w"), F.row_number().over(w).alias("_r")).where(F.col("_r") <= most)
 
-    def walk(names: list, tags_: list[set], flags_: list[set], near: list[int], fits: list[float]) -> list[tuple]:
+    def walk(names: list, tags_: list[set], flags_: list[set], near: list[int], fits: list[float], gate: list[bool], faint: list[bool]) -> list[tuple]:
         used: set[int] = set()
         out = []
         for i, seed in enumerate(names):
             if i in used:
                 continue
             scored = []
-            for j in range(len(names)):
-                if j != i and j not in used:
+            for j in range(len(names)) if not faint[i] else ():
+                if j != i and j not in used and gate[j]:
                     shared = len(tags_[i] & tags_[j])
                     value = 2 + min(2 * shared, 6) + min(len(flags_[i] & flags_[j]), 3) + 3 * near[j] + min(4 * fits[j], 4.0)
                     if value >= least and (shared or near[j]):
                         scored.append((-value, names[j], j))
-            chosen = sorted(scored)[: top - 1]
+            chosen = (scored if in_order else sorted(scored))[: top - 1]
             used.add(i)
             if chosen:
                 used.update(j for *_, j in chosen)
@@ -110,7 +111,7 @@ def greedy_clusters(candidates: DataFrame, label: str, key: str, tags: str, flag
         some = lambda x: set() if x is None else set(x)
         for pdf in batches:
             out = []
-            for row in zip(pdf["_l"], pdf["_k"], map(some, pdf["_t"]), map(some, pdf["_f"]), pdf["_b"], pdf["_a"]):
+            for row in zip(pdf["_l"], pdf["_k"], map(some, pdf["_t"]), map(some, pdf["_f"]), pdf["_b"], pdf["_a"], pdf["_p"], pdf["_w"]):
                 if held and held[-1][0] != row[0]:
                     out += [(held[0][0], *x) for x in walk(*map(list, zip(*[h[1:] for h in held])))]
                     held = []
@@ -124,6 +125,26 @@ def greedy_clusters(candidates: DataFrame, label: str, key: str, tags: str, flag
     return named.mapInPandas(walked, f"{label} {kind[label].dataType.simpleString()}, seed {kind[key].dataType.simpleString()}, member {kind[key].dataType.simpleString()}, score double")
 
 
+def query_gate(align: Column, retrieval: Column, subtopic: Column, matched: Column, asked: Column) -> tuple[Column, Column]:
+    """(passes, weak): whether a document may join a cluster of a query, and whether it is too weak to begin one.
+
+    ``align`` and ``retrieval`` are scores, ``subtopic`` and ``matched`` count the query's words that it has, ``asked`` all of them.
+    """
+    passes = (align >= 0.28) | (retrieval >= 0.82) | (subtopic > 0) | (matched >= F.least(F.lit(2), F.greatest(F.lit(1), asked)))
+    return passes, (align < 0.22) & (retrieval < 0.58) & (subtopic == 0) & (matched <= 1)
+
+
+def dominant_rows(rows: DataFrame, label: str, order: str, key: str, n: int, target: str | None = None) -> DataFrame:
+    """The newest ``n`` rows of a label: of ``target``, or else of the commonest one (ties to the smaller); blank labels are one."""
+    named = rows.withColumn(label, F.coalesce(F.nullif(F.trim(label), F.lit("")), F.lit("Sin materia")))
+    if target is None:
+        first = named.groupBy(label).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), label).limit(1).select(label)
+        named = named.join(F.broadcast(first), label, "left_semi")
+    else:
+        named = named.where(F.col(label) == target)
+    return named.orderBy(F.desc(order), key).limit(n)
+
+
 def merged_lines(lines: DataFrame, override: DataFrame, line: str) -> DataFrame:
     """Lines joined where an override says so: members and sources add up, coherence is the mean by members (0.08 less for a join), levels the highest."""
     to = lines.join(override.select(F.col("from_line").alias(line), "to_line"), line, "left").withColumn("line", F.coalesce("to_line", line))

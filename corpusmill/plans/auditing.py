@@ -198,11 +198,46 @@ def merge_llm(t: Tables) -> DataFrame:
     return docs.select("doc_id", scoring.merged_labels(docs, "model", "rule", [(F.col("toxic") == 1, "reject")]).alias("label"))
 
 
-@query("q_clusters", "C1 C2", None)
-def clusters(t: Tables) -> DataFrame:
+def _walk(pick: str, gated: bool) -> str:
+    """Clusters by recursion over the seeds of each label: what a seed takes of the rows that aren't used yet."""
+    gate, weak = ("least(1.0e0, o_totalprice / 500000.0e0) >= 0.28 OR o_custkey % 5 = 0 OR o_custkey % 10 = 2", "o_totalprice / 500000.0e0 < 0.22 AND o_custkey % 5 <> 0 AND o_custkey % 10 <> 2") if gated else ("true", "false")
+    return f"""
+        WITH RECURSIVE g AS (SELECT l_orderkey AS k, list(DISTINCT l_suppkey) AS tags, list(DISTINCT l_returnflag) AS flags FROM lineitem GROUP BY 1),
+        c AS (SELECT o_custkey AS l, o_orderkey AS k, tags, flags, (o_orderpriority = '1-URGENT')::INT AS near, o_totalprice / 500000.0e0 AS align, {gate} AS passes, {weak} AS weak, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders JOIN g ON k = o_orderkey WHERE o_orderstatus IN ('O', 'F')),
+        d AS (SELECT * FROM c WHERE r <= 120),
+        p AS (SELECT a.l, a.r AS i, b.r AS j, b.k, len(list_intersect(a.tags, b.tags)) AS s, 2 + least(2 * s, 6) + least(len(list_intersect(a.flags, b.flags)), 3) + 3 * b.near + least(4 * b.align, 4.0e0) AS value, b.near FROM d a JOIN d b ON a.l = b.l AND a.r <> b.r WHERE b.passes AND NOT a.weak),
+        f AS (SELECT l, i, list({{'j': j, 'k': k, 'value': CAST(value AS DOUBLE)}} ORDER BY {pick}) AS c FROM p WHERE value >= 5 AND (s > 0 OR near > 0) GROUP BY 1, 2),
+        w AS (SELECT l, 0 AS i, CAST([] AS BIGINT[]) AS used, CAST([] AS STRUCT(j BIGINT, k BIGINT, value DOUBLE)[]) AS taken FROM d GROUP BY l
+            UNION ALL SELECT w.l, w.i + 1, list_concat(list_append(w.used, w.i + 1), list_transform(t.t, lambda x: x.j)), t.t FROM w JOIN (SELECT l, max(r) AS n FROM d GROUP BY 1) n ON n.l = w.l AND w.i < n.n LEFT JOIN f ON f.l = w.l AND f.i = w.i + 1,
+                LATERAL (SELECT CASE WHEN list_contains(w.used, w.i + 1) THEN [] ELSE list_filter(coalesce(f.c, []), lambda x: NOT list_contains(w.used, x.j))[1:7] END AS t) t),
+        o AS (SELECT w.l, d.k AS seed, w.taken FROM w JOIN d ON d.l = w.l AND d.r = w.i WHERE len(taken) > 0)
+        SELECT l AS o_custkey, seed, seed AS member, 0.0e0 AS score FROM o UNION ALL SELECT l, seed, t.k, t.value FROM (SELECT l, seed, unnest(taken) AS t FROM o)"""
+
+
+def _candidates(t: Tables) -> DataFrame:
     tags = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("tags"), F.collect_set("l_returnflag").alias("flags"))
-    orders = t.orders.where("o_orderstatus IN ('O', 'F')").withColumn("near", (F.col("o_orderpriority") == "1-URGENT").cast("int")).withColumn("align", F.col("o_totalprice") / 500000.0)
-    return scoring.greedy_clusters(orders.join(tags, "o_orderkey"), "o_custkey", "o_orderkey", "tags", "flags", "near", "align", "o_orderdate")
+    return t.orders.where("o_orderstatus IN ('O', 'F')").withColumn("near", (F.col("o_orderpriority") == "1-URGENT").cast("int")).withColumn("align", F.col("o_totalprice") / 500000.0).join(tags, "o_orderkey")
+
+
+@query("q_clusters", "C2", _walk("-value, k", False))
+def clusters(t: Tables) -> DataFrame:
+    return scoring.greedy_clusters(_candidates(t), "o_custkey", "o_orderkey", "tags", "flags", "near", "align", "o_orderdate")
+
+
+@query("q_clusters_for_query", "C2", _walk("j", True))
+def clusters_for_query(t: Tables) -> DataFrame:
+    """With the gate of a query: alignment by price, retrieval and words by customer; members newest first."""
+    m = F.col("o_custkey")
+    passes, weak = scoring.query_gate(F.col("align"), F.when(m % 5 == 0, 0.9).otherwise(0.1), F.when(m % 10 == 2, 1).otherwise(0), F.lit(1), F.lit(3))
+    return scoring.greedy_clusters(_candidates(t), "o_custkey", "o_orderkey", "tags", "flags", "near", "align", "o_orderdate", passes=passes, weak=weak, in_order=True)
+
+
+@query("q_cluster_candidates", "C1 A14", """
+    WITH r AS (SELECT p_partkey, CASE WHEN p_size > 3 THEN p_type ELSE ' ' END AS label, p_retailprice FROM part), n AS (SELECT p_partkey, coalesce(nullif(trim(label), ''), 'Sin materia') AS label, p_retailprice FROM r)
+    SELECT p_partkey, label FROM n WHERE label = (SELECT label FROM n GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1) ORDER BY p_retailprice DESC, p_partkey LIMIT 120""")
+def cluster_candidates(t: Tables) -> DataFrame:
+    rows = t.part.select("p_partkey", F.when(F.col("p_size") > 3, F.col("p_type")).otherwise(" ").alias("label"), "p_retailprice")
+    return scoring.dominant_rows(rows, "label", "p_retailprice", "p_partkey", 120).select("p_partkey", "label")
 
 
 @query("q_pairwise", "C9", """
