@@ -28,64 +28,122 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 50-word windows that a smaller id has first.
+
+    Null, empty and short texts lose nothing; of rows with one id and text each counts alike. An empty table gives no rows, and
+    columns besides id and text are left out.
+    """
     return remove_repeats(_table(spark, sf_dir, "documents"), window=50, with_text=False)
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under four-word shingles and a similarity of 0.8.
+
+    Null and empty texts are linked with nothing; equal texts are one component whose smallest id stays. An empty table gives no
+    rows, very long texts are compared whole, and columns besides id and text are left out.
+    """
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix of sources takes.
+
+    Null texts have size 0, a null source comes last; ties in the seeded order go by id. Repeated rows are each taken for
+    themselves, and an empty table gives no rows.
+    """
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mix(docs, F.col("source"), weights=(1, 2, 3), repeats=3)
     return mixed.select("document.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its source's boilerplate lines; the source stands for the site.
+
+    Null texts stay null (the digest is of an empty text), a null source is a site of its own, copies of a page count once.
+    Long texts are whole, repeated rows all stay, and an empty table gives no rows.
+    """
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     kept = drop_boilerplate(docs, F.col("source"), ratio=0.05, least_pages=5, counts=True)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every text, and whether it has more than 2,048.
+
+    Null and empty texts have none; very long texts are counted whole, repeated rows each for itself, and an empty table gives
+    no rows.
+    """
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity under a model of the labelled rows that aren't held out, with its offending sentences.
+
+    Null and empty texts have the score of a text without sentences; without labels all are clean. Repeated rows are each
+    scored, long texts whole, and an empty table gives no rows.
+    """
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity_scores(docs, train_on(docs, _table(spark, sf_dir, "labels")), worst=True)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", F.col("worst").alias("offending_sentences"))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page.
+
+    Null and empty pages have an empty text; repeated rows are each read, long pages whole, and an empty table gives no rows.
+    """
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text as digests, and of what they decode to.
+
+    Null and empty texts are the end id alone; long texts are encoded whole, repeated rows each for itself, and an empty table
+    gives no rows.
+    """
     return encode_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
 def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other vectors of each hundredth vector.
+
+    Ties go to smaller ids; null vectors and such with null or non-finite components take no part, and an empty table gives
+    no rows.
+    """
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and verdict of every document, with bands by its language.
+
+    Null and empty texts fail the base rules; rows without language are a group of their own, repeated rows each count, long
+    texts are judged whole, and an empty table gives no rows.
+    """
     return quality(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), language=F.col("lang"))
 
 
 def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in three batches of falling ids through a new digest index, so that the largest id of equal texts stays."""
+    """All documents in three batches of falling ids through a new digest index, so that the largest id of equal texts stays.
+
+    Null texts count as empty; rows that repeat an id and text have the same result, and an empty table gives no rows.
+    """
     return deduplicate(_table(spark, sf_dir, "documents"), batches=3)
 
 
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Negatives of each hundredth vector and its five positives; every seventh row has the next label first."""
+    """Negatives of each hundredth vector and its five positives; every seventh row has the next label first.
+
+    Ties go to smaller ids; rows without label or with an unusable vector take no part, and an empty table gives no rows.
+    """
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors on the eight largest components of their covariance."""
+    """All vectors on the eight largest components of their covariance.
+
+    Unusable vectors go, repeated rows each count, and an empty table gives no rows. A deviation too large for a long is null.
+    """
     out = whiten(_table(spark, sf_dir, "embeddings"), components=8)
     return out.withColumn("deviation", F.col("deviation").try_cast("long"))
 
