@@ -153,23 +153,34 @@ def train(bagged: pd.DataFrame, features: int, epochs: int = 200, rate: float =
     labels = bagged["_label"].to_numpy()
     w = np.zeros(features + 2)
     w[-2:] = -5.0, -4.0
-    sentence_of, doc_of = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(many)), many)
     m, v = np.zeros_like(w), np.zeros_like(w)
-    chance = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, epochs + 1):
-        p, none, leak = chance(summed(w[index], sizes) + w[-2]), chance(w[-2]), chance(w[-1])
-        # -log of the chance of no offence
-        clean = summed(-np.log1p(-np.minimum(p, 1 - 1e-12)), many) - bare * np.log1p(-none) - np.log1p(-leak)
-        pull = np.where(labels == 1, -np.exp(-clean) / np.maximum(1 - np.exp(-clean), 1e-9), 1.0) / max(1, len(labels))
-        gz = pull[doc_of] * p
-        g = np.zeros_like(w)
-        g[:-2] = np.bincount(index, weights=gz[sentence_of], minlength=features) + decay * w[:-2]
-        g[-2], g[-1] = gz.sum() + (pull * bare).sum() * none, (pull * leak).sum()
+        g = gradient(w, index, sizes, many, bare, labels, decay)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     return w
 
 
+def gradient(w: np.ndarray, index: np.ndarray, sizes: np.ndarray, many: np.ndarray, bare: np.ndarray, labels: np.ndarray, decay: float) -> np.ndarray:
+    """How the mean negative log-likelihood of the labels, with half of ``decay`` times the squared weights, changes with each of ``w``.
+
+    A document is toxic unless none of its sentences offends and its leak doesn't either; ``index`` has the features of all
+    sentences one after the other, ``sizes`` how many each has, ``many`` the sentences of each document and ``bare`` those
+    without features.
+    """
+    sentence_of, doc_of = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(many)), many)
+    chance = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    p, none, leak = chance(summed(w[index], sizes) + w[-2]), chance(w[-2]), chance(w[-1])
+    # -log of the chance of no offence
+    clean = summed(-np.log1p(-np.minimum(p, 1 - 1e-12)), many) - bare * np.log1p(-none) - np.log1p(-leak)
+    pull = np.where(labels == 1, -np.exp(-clean) / np.maximum(1 - np.exp(-clean), 1e-9), 1.0) / max(1, len(labels))
+    gz = pull[doc_of] * p
+    g = np.zeros_like(w)
+    g[:-2] = np.bincount(index, weights=gz[sentence_of], minlength=len(w) - 2) + decay * w[:-2]
+    g[-2], g[-1] = gz.sum() + (pull * bare).sum() * none, (pull * leak).sum()
+    return g
+
+
 class Model:
     """Trained weights, ready to score."""
 

@@ -36,3 +36,30 @@ def test_held_out_rows(spark):
     rows = scored.join(labels, "doc_id").select("score", F.col("toxic").alias("t")).toPandas()
     a, b = rows[rows.t == 1].score.to_numpy(), rows[rows.t == 0].score.to_numpy()
     assert len(a) >= 3 and (a[:, None] > b[None, :]).mean() + 0.5 * (a[:, None] == b[None, :]).mean() > 0.85
+
+
+def test_gradient_against_plain_loss():
+    """The gradient equals differences of a loss written out document by document."""
+    rng = np.random.default_rng(2)
+    docs = [[[0, 1], [1]], [[2, 2, 0]], [], [[1, 2], [0], [2]]]
+    bare, labels, decay = np.asarray([1.0, 0.0, 3.0, 2.0]), np.asarray([1, 0, 0, 1]), 0.3
+    index = np.asarray([x for d in docs for s in d for x in s])
+    sizes = np.asarray([len(s) for d in docs for s in d])
+    many = np.asarray([len(d) for d in docs])
+
+    def loss(w):
+        chance = lambda z: 1 / (1 + np.exp(-z))
+        total = 0.0
+        for d, n, y in zip(docs, bare, labels):
+            clean = (1 - chance(w[-1])) * (1 - chance(w[-2])) ** n
+            for s in d:
+                clean *= 1 - chance(sum(w[x] for x in s) + w[-2])
+            total -= np.log(1 - clean if y else clean)
+        return total / len(docs) + decay / 2 * (w[:-2] ** 2).sum()
+
+    w = rng.normal(size=5)
+    got = toxicity.gradient(w, index, sizes, many, bare, labels, decay)
+    for i in range(len(w)):
+        step = np.zeros(5)
+        step[i] = 1e-6
+        assert abs((loss(w + step) - loss(w - step)) / 2e-6 - got[i]) < 1e-7
