@@ -3,13 +3,15 @@
 Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns a DataFrame; all but the last return the
 columns of ``docs``. A stage only lets go of rows that its operator rejects: toxic documents, all but one document of each
 group of near duplicates, and documents that the mix doesn't take. Lines of boilerplate are cut out of texts, and the mix
-repeats the documents that it takes more than once. Null texts pass; a missing ``n_chars`` column stays missing.
+repeats the documents that it takes more than once. Null texts pass; a missing ``n_chars`` column stays missing, without
+``source`` all documents are of one source, and columns of any name pass through. An empty table stays empty, and repeated
+rows stay repeated.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import written
@@ -20,28 +22,36 @@ from corpusmill.llm.sentencepiece_codec import encode_texts
 from corpusmill.llm.toxicity import toxicity_scores, train_on
 
 
+def _all(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def _source(docs: DataFrame) -> Column:
+    return F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; learned from the label table and the documents at hand."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows = docs.select(F.struct(*docs.columns).alias("document"), "text")
+    rows = docs.select(F.struct(*_all(docs)).alias("document"), "text")
     return toxicity_scores(rows, train_on(docs, labels), keep=["document"]).where("predicted = 0").select("document.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that more than a twentieth of their source's different documents hold."""
-    out = drop_boilerplate(docs, F.col("source"), ratio=0.05, least_pages=5)
+    out = drop_boilerplate(docs, _source(docs), ratio=0.05, least_pages=5)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the smallest id, of each group linked by a similarity of 0.8 on five-word shingles."""
     gone = near_duplicates(docs, width=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*_all(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: sources weigh 1, 2, 3 in turn, none is used over three times."""
-    taken = mix(docs, F.col("source"), weights=(1, 2, 3), repeats=3).where("copies > 0")
+    taken = mix(docs, _source(docs), weights=(1, 2, 3), repeats=3).where("copies > 0")
     return taken.select("document", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("document.*")
 
 
