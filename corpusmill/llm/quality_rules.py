@@ -11,15 +11,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import sentencepiece
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import Powers, Words, encoded, gram_hashes, steps, tidy, written
-from corpusmill.llm.sentencepiece_codec import codec
 
 _SYMBOL = str.maketrans("", "", "#*$%&|<>")
 _GRAM = Powers(0xC2B2AE3D27D4EB4F)
@@ -33,6 +33,13 @@ SCRIPTS = np.array([0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980,
 FIGURES = ("chars_per_token", "tokens_per_word", "byte_share", "entropy")
 
 
+@lru_cache(maxsize=2)
+def vocabulary(model_file: str) -> tuple[sentencepiece.SentencePieceProcessor, np.ndarray]:
+    """The public tokeniser and, for each id, whether it is a byte beyond ASCII."""
+    tool = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    return tool, np.asarray([tool.is_byte(i) and int(tool.id_to_piece(i)[3:-1], 16) >= 128 for i in range(tool.get_piece_size())])
+
+
 def repeated_words(words: Words, window: int = WINDOW) -> np.ndarray:
     """Of each text, the words inside a window of ``window`` words that stands in the text twice or more."""
     grams = gram_hashes(words.hash, window, _GRAM)
@@ -85,9 +92,7 @@ def figures(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
     """_id, _language, _script, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_tokens and FIGURES of each row's whole text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool = codec(model_file)
-        byte_ids = np.zeros(len(tool.written), dtype=bool)
-        byte_ids[list(tool.value)] = True
+        tool, byte_ids = vocabulary(model_file)
         for pdf in batches:
             raw = encoded(pdf["_text"])
             for a, b in steps(raw):
