@@ -87,3 +87,11 @@ def test_lines_near_the_ratio(spark):
         out = {r.doc_id: r for r in line_dedup.drop_boilerplate(pages, line_dedup.host(F.col("url")), counts=True, broadcast_sites=few).collect()}
         assert out[0].text == "own 0\nsome\nend 0" and out[50].text == text(50) and out[110].text == "own 110\nend 110" and (out[0].n_lines, out[0].n_dropped) == (5, 2)
         assert out[1000].text == "copied\nline" and out[2000].text == "menu\nfoot" and len(out) == 501
+
+
+def test_lines_by_host(spark):
+    """Lines are boilerplate of the host that repeats them, and stay on others."""
+    rows = [(i, f"https://User@{'a' if i < 20 else 'B'}.example:80/{i}", f"Menu\nown {i}\nTerms of {'a' if i < 20 else 'b'}") for i in range(40)] + [(99, "https://c.example/", "Menu\nTerms of a"), (98, None, "Menu")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, text string")
+    got = {r.page_id: r.text for r in line_dedup.drop_boilerplate(pages, line_dedup.host(F.col("url"))).collect()}
+    assert got == {i: f"own {i}" for i in range(40)} | {99: "Menu\nTerms of a", 98: "Menu"}
