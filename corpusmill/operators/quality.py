@@ -37,8 +37,11 @@ def catalog_backfill(mentions: DataFrame, doc: str, raw: str, norm: Column, reje
     """(catalog, report): different accepted forms with their mentions and documents; and rows by what became of them."""
     verdict = F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rejects.items()], F.lit("accepted"))
     marked = mentions.withColumn("norm", norm).withColumn("verdict", verdict)
-    catalog = marked.where("verdict = 'accepted'").groupBy("norm").agg(F.count("*").alias("mentions"), F.count_distinct(doc).alias("documents"), F.min(raw).alias("display"))
-    return catalog, marked.groupBy("verdict").agg(F.count("*").alias("n"), F.count_distinct("norm").alias("different"))
+    # what repeats is counted before it moves
+    by_doc = marked.where("verdict = 'accepted'").groupBy("norm", doc).agg(F.count("*").alias("_n"), F.min(raw).alias("_raw"))
+    catalog = by_doc.groupBy("norm").agg(F.sum("_n").alias("mentions"), F.count(doc).alias("documents"), F.min("_raw").alias("display"))
+    forms = marked.groupBy("verdict", "norm").agg(F.count("*").alias("_n"))
+    return catalog, forms.groupBy("verdict").agg(F.sum("_n").alias("n"), F.count("norm").alias("different"))
 
 
 def guard(report: DataFrame, limits: dict[str, float]) -> DataFrame:
@@ -64,7 +67,7 @@ def incidents(df: DataFrame, message: str, rules: list[tuple[str, str, str]]) ->
 def routed(df: DataFrame, value: str, rules: DataFrame) -> DataFrame:
     """Rows with the handler of the first rule (ordinal, pattern, handler) whose pattern their value matches; rules are few and fixed."""
     values = df.select(value).distinct()
-    hit = values.crossJoin(F.broadcast(rules)).where(F.regexp_like(value, F.col("pattern"))).groupBy(value).agg(F.min_by("handler", "ordinal").alias("handler"))
+    hit = values.join(rules, F.regexp_like(F.col(value), F.col("pattern"))).groupBy(value).agg(F.min_by("handler", "ordinal").alias("handler"))
     return df.join(hit, value, "left")
 
 

@@ -28,8 +28,9 @@ def similar(vectors: DataFrame, query: DataFrame, key: str, vector: str, k: int,
     """The k most similar rows to a query vector (one row), after a filter on their attributes; ties go to the smaller key."""
     rows = vectors.where(where) if where is not None else vectors
     q = query.select(F.col(vector).alias("_q")).limit(1)
-    scored = rows.crossJoin(F.broadcast(q)).select(key, half_up(cosine(F.col(vector), F.col("_q")), digits).alias("score"))
-    return scored.orderBy(F.desc("score"), key).limit(k)
+    scored = rows.crossJoin(F.broadcast(q)).select(key, cosine(F.col(vector), F.col("_q")).alias("_raw"))
+    # by the whole score, which is only shown in few digits
+    return scored.orderBy(F.desc("_raw"), key).limit(k).select(key, half_up(F.col("_raw"), digits).alias("score"))
 
 
 def lexical(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, query_text: str, k: int, least: int = 4) -> DataFrame:

@@ -64,7 +64,7 @@ def status_stage(t: Tables) -> DataFrame:
     catalog = t.spark.createDataFrame([("O", 1), ("F", 2)], "status string, ordinal int")
     stage = F.coalesce(*[F.when(F.col("status") == k, v) for k, v in STAGES.items()], F.lit("other"))
     counts = t.orders.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
-    return counts.withColumn("stage", stage).join(F.broadcast(catalog), "status", "left").select("status", "stage", F.coalesce("ordinal", F.lit(999)).alias("ordinal"), "n")
+    return counts.withColumn("stage", stage).join(catalog, "status", "left").select("status", "stage", F.coalesce("ordinal", F.lit(999)).alias("ordinal"), "n")
 
 
 @query("q_crosstab", "A6", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2")
@@ -160,7 +160,7 @@ def distinct_fanout(t: Tables) -> DataFrame:
     return agg.fan_out_counts(t.customer.select("c_custkey"), "c_custkey", {"priorities": orders.select("c_custkey", "o_orderpriority"), "suppliers": lines.select("c_custkey", "l_suppkey")})
 
 
-@query("q_shared_norms", "A19 A20 G9", """
+@query("q_shared_norms", "A19 A20", """
     SELECT p_brand, count(DISTINCT l_orderkey) AS documents, (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT CAST(p2.p_size AS VARCHAR) AS s FROM part p2 JOIN lineitem l2 ON l2.l_partkey = p2.p_partkey WHERE p2.p_brand = part.p_brand)) AS spellings
     FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand HAVING count(DISTINCT l_orderkey) >= 2""")
 def shared_norms(t: Tables) -> DataFrame:

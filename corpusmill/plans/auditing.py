@@ -12,7 +12,7 @@ from corpusmill.plans.registry import Tables, query
 _RULES = [(r"no such (view|table)", "db", "NO_SUCH_TABLE"), (r"^err(or)?", "app", "APP_ERROR"), (r"chase|buy", "shop", "SALE")]
 
 
-@query("q_inspect", "Q1 Q3", """
+@query("q_inspect", "", """
     WITH x AS (SELECT doc_id, length(text) < 300 AS a, quality IS NULL AS b, quality = 0 AS c, toxic = 1 AS d FROM documents LEFT JOIN labels USING (doc_id))
     SELECT doc_id, list_filter([CASE WHEN a THEN 'short' END, CASE WHEN b THEN 'unlabelled' END, CASE WHEN c THEN 'poor' END, CASE WHEN d THEN 'toxic' END], lambda v: v IS NOT NULL) AS issues,
         CASE WHEN coalesce(c, false)::INT + coalesce(d, false)::INT = 2 THEN 'critical' WHEN coalesce(c, false)::INT + coalesce(d, false)::INT = 1 THEN 'major' WHEN a OR b THEN 'minor' ELSE 'ok' END AS bucket FROM x""")
@@ -87,7 +87,7 @@ def catalog_backfill(t: Tables) -> DataFrame:
     return quality.catalog_backfill(raw, "doc_id", "raw", norm, {"empty": norm == "", "short": F.length(norm) < 3, "number": norm.rlike("[0-9]")})[1]
 
 
-@query("q_guard", "Q7", """
+@query("q_guard", "", """
     WITH v AS (SELECT CASE WHEN p_size < 3 THEN 'empty' WHEN p_size < 10 THEN 'short' ELSE 'accepted' END AS verdict FROM part), c AS (SELECT verdict, count(*) AS n FROM v GROUP BY 1), s AS (SELECT verdict, n, floor(n / (SELECT count(*) FROM part) * 10000.0e0 + 0.5e0) / 10000.0e0 AS share FROM c)
     SELECT verdict, n, share, share <= CASE verdict WHEN 'empty' THEN 0.02 WHEN 'short' THEN 0.25 ELSE 1.0 END AS allowed FROM s""")
 def guard(t: Tables) -> DataFrame:
@@ -95,7 +95,7 @@ def guard(t: Tables) -> DataFrame:
     return quality.guard(report, {"empty": 0.02, "short": 0.25})
 
 
-@query("q_label_norm", "F46", """
+@query("q_label_norm", "", """
     SELECT p_partkey, regexp_replace(trim(replace(p_name || '_x', '_', ' ')), '\\s+', ' ', 'g') AS label, contains(p_name || '_x', '_') AS changed FROM part""")
 def label_norm(t: Tables) -> DataFrame:
     raw = F.concat("p_name", F.lit("_x"))
@@ -103,7 +103,7 @@ def label_norm(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", label.alias("label"), (label != raw).alias("changed"))
 
 
-@query("q_blockers", "Q10", """
+@query("q_blockers", "", """
     SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'wait' WHEN o_totalprice > 300000 THEN 'review' ELSE 'go' END AS strategy, CASE WHEN o_orderstatus = 'P' THEN 'low' WHEN o_totalprice > 300000 THEN 'high' ELSE 'none' END AS risk FROM orders""")
 def blockers(t: Tables) -> DataFrame:
     rule = F.when(F.col("o_orderstatus") == "P", F.struct(F.lit("wait").alias("s"), F.lit("low").alias("r"))).when(F.col("o_totalprice") > 300000, F.struct(F.lit("review").alias("s"), F.lit("high").alias("r"))).otherwise(F.struct(F.lit("go").alias("s"), F.lit("none").alias("r")))
@@ -124,7 +124,7 @@ def validator(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", quality.validator_score({"cheap": (F.col("o_totalprice") < 20000, 30), "partial": (F.col("o_orderstatus") == "P", 25), "low": (F.col("o_orderpriority") == "5-LOW", 60)}).alias("score"))
 
 
-@query("q_incidents", "Q17 P6", """
+@query("q_incidents", "P6", """
     SELECT event_id, CASE WHEN event_type IN ('view') THEN 'db' WHEN event_type = 'error' THEN 'app' WHEN event_type = 'purchase' THEN 'shop' ELSE 'unknown' END AS system, CASE WHEN event_type = 'view' THEN 'NO_SUCH_TABLE' WHEN event_type = 'error' THEN 'APP_ERROR' WHEN event_type = 'purchase' THEN 'SALE' ELSE 'UNKNOWN' END AS code,
         CASE WHEN event_type = 'view' THEN 'view' WHEN event_type = 'error' THEN 'or' END AS named FROM events""")
 def incidents(t: Tables) -> DataFrame:
@@ -147,7 +147,7 @@ def event_dedup(t: Tables) -> DataFrame:
     return quality.without_repeats(t.events, ["user_id", "event_type"], "ts", "event_id", 120)
 
 
-@query("q_recovered", "Q20", "SELECT DISTINCT doc_id, 'item ' || (doc_id % 10) AS tag FROM documents")
+@query("q_recovered", "", "SELECT DISTINCT doc_id, 'item ' || (doc_id % 10) AS tag FROM documents")
 def recovered(t: Tables) -> DataFrame:
     tags = F.to_json(F.array(F.lit("plain"), F.concat(F.lit(" Item "), (F.col("doc_id") % 10).cast("string"))))
     return quality.recovered_tags(t.documents.select("doc_id", tags.alias("j")), "doc_id", "j")
@@ -173,17 +173,17 @@ _SCORES = """
     s AS (SELECT id, d, abst, floor(greatest(0.0e0, least(1.0e0, cur)) * 1000.0e0 + 0.5e0) / 1000.0e0 AS currentness, floor(greatest(0.0e0, least(1.0e0, his)) * 1000.0e0 + 0.5e0) / 1000.0e0 AS historical, floor(greatest(0.0e0, least(1.0e0, cen)) * 1000.0e0 + 0.5e0) / 1000.0e0 AS centrality FROM z)"""
 
 
-@query("q_metadata", "C24", f"WITH {_SCORES} SELECT id, currentness, historical, centrality, currentness >= 0.58e0 AND abst = 0 AND d <= 1 AS supports FROM s")
+@query("q_metadata", "", f"WITH {_SCORES} SELECT id, currentness, historical, centrality, currentness >= 0.58e0 AND abst = 0 AND d <= 1 AS supports FROM s")
 def metadata(t: Tables) -> DataFrame:
     return _scored(t).select("id", "currentness", "historical", "centrality", "supports")
 
 
-@query("q_seeds", "C24", f"WITH {_SCORES} SELECT id, centrality, currentness FROM s WHERE centrality >= 0.7e0 ORDER BY centrality DESC, currentness DESC, id LIMIT 25")
+@query("q_seeds", "", f"WITH {_SCORES} SELECT id, centrality, currentness FROM s WHERE centrality >= 0.7e0 ORDER BY centrality DESC, currentness DESC, id LIMIT 25")
 def seeds(t: Tables) -> DataFrame:
     return scoring.seeds(_scored(t), ["core"], 0.7, 25, "id").select("id", "centrality", "currentness")
 
 
-@query("q_evidence", "C23", """
+@query("q_evidence", "", """
     SELECT doc_id, 'license' AS kind, CAST(1.0 AS DOUBLE) AS weight FROM documents WHERE contains(lower(text), 'apache license') UNION ALL SELECT doc_id, 'length', CAST(n_chars / 1000 AS DOUBLE) FROM documents WHERE n_chars > 5000""")
 def evidence(t: Tables) -> DataFrame:
     signals = F.size(scoring.text_signals(F.col("text"), ["apache license"]))
@@ -191,7 +191,7 @@ def evidence(t: Tables) -> DataFrame:
     return scoring.evidence(docs, "doc_id", {"license": (F.col("s") > 0, F.lit(1.0)), "length": (F.col("n_chars") > 5000, F.col("n_chars") / 1000)})
 
 
-@query("q_merge_llm", "C22", """
+@query("q_merge_llm", "", """
     SELECT doc_id, CASE WHEN toxic = 1 THEN 'reject' WHEN quality = 1 THEN 'good' WHEN n_chars > 2000 THEN 'long' ELSE 'plain' END AS label FROM documents LEFT JOIN labels USING (doc_id)""")
 def merge_llm(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", F.when(F.col("n_chars") > 2000, "long").otherwise("plain").alias("rule")).join(t.labels.select("doc_id", "toxic", F.when(F.col("quality") == 1, "good").alias("model")), "doc_id", "left")
@@ -256,7 +256,7 @@ def line_merge(t: Tables) -> DataFrame:
     return scoring.merged_lines(lines.withColumnRenamed("line", "name"), override, "name")
 
 
-@query("q_rate_windows", "X1 X2", """
+@query("q_rate_windows", "X2", """
     SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS n, count(*) > 20 AS over_limit FROM events GROUP BY 1, 2""")
 def rate_windows(t: Tables) -> DataFrame:
     from corpusmill.streaming.events import rates
@@ -264,7 +264,15 @@ def rate_windows(t: Tables) -> DataFrame:
     return rates(t.events, "ts", "event_type", "1 day", 20)
 
 
-@query("q_key_pool", "X9", """
+@query("q_minute_limits", "X1", """
+    SELECT user_id, time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, count(*) AS n, count(*) > 1 AS over_limit FROM events GROUP BY 1, 2""")
+def minute_limits(t: Tables) -> DataFrame:
+    from corpusmill.streaming.events import rates
+
+    return rates(t.events, "ts", "user_id", "1 minute", 1)
+
+
+@query("q_key_pool", "", """
     SELECT arg_min(s_suppkey, (s_acctbal, s_suppkey)) AS key, s_nationkey FROM supplier WHERE s_acctbal > 0 GROUP BY s_nationkey""")
 def key_pool(t: Tables) -> DataFrame:
     free = t.supplier.where("s_acctbal > 0")

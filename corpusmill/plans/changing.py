@@ -75,7 +75,7 @@ def cdc(t: Tables) -> DataFrame:
     return changes.change_log(old, new, "id", ["name", "state"])
 
 
-@query("q_event_log", "K13 K9", f"""
+@query("q_event_log", "K13", f"""
     SELECT o_orderkey, 'imported' AS event_type, '{{"o_orderstatus":"' || o_orderstatus || '","o_custkey":' || o_custkey || '}}' AS metadata, TIMESTAMP '{AS_OF}' AS created_at FROM orders""")
 def event_log(t: Tables) -> DataFrame:
     return changes.events_of(t.orders, "o_orderkey", "imported", ["o_orderstatus", "o_custkey"], F.lit(AS_OF).cast("timestamp"))
@@ -86,7 +86,7 @@ def json_patch(t: Tables) -> DataFrame:
     return t.events.select("event_id", numbers.patched(F.col("props"), "seen", F.lit(True)).alias("props"))
 
 
-@query("q_snapshot", "K7 S11", """
+@query("q_snapshot", "K7", """
     WITH s AS (SELECT o_orderpriority AS label, count(*) AS n, CAST(max(o_orderdate) AS DATE) AS d FROM orders GROUP BY 1) SELECT label, n, '1998-08-02' AS snapshot_date FROM s ORDER BY n DESC, label LIMIT 3""")
 def snapshot(t: Tables) -> DataFrame:
     counts = t.orders.groupBy(F.col("o_orderpriority").alias("label")).agg(F.count("*").alias("n"))

@@ -82,7 +82,7 @@ def retro(t: Tables) -> DataFrame:
     return graph.retro_flags(_edges(t))
 
 
-@query("q_missing_rel", "G13", """
+@query("q_missing_rel", "", """
     WITH p AS (SELECT o_orderkey AS src, o_orderkey + 1 AS dst FROM orders), w AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS i FROM lineitem), s AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS i FROM lineitem),
     wn AS (SELECT k, count(*) AS n FROM w GROUP BY 1), sn AS (SELECT k, count(*) AS n FROM s GROUP BY 1),
     wj AS (SELECT src, dst, count(*) / (max(a.n) + max(b.n) - count(*)) AS j FROM p JOIN w x ON x.k = src JOIN w y ON y.k = dst AND y.i = x.i JOIN wn a ON a.k = src JOIN wn b ON b.k = dst GROUP BY 1, 2),
@@ -127,7 +127,7 @@ def proposals_(t: Tables) -> DataFrame:
     return proposals.missing_relations(lines, "o_custkey", members, "o_orderkey", "o_orderdate", items, edges)
 
 
-@query("q_mined", "G14", """
+@query("q_mined", "", """
     SELECT o_orderkey AS src, unnest(['applied', 'confirmed']) AS action, unnest(['12' || o_custkey, '7']) AS number, unnest([strftime(o_orderdate, '%y'), '1999']) AS year FROM orders""")
 def mined(t: Tables) -> DataFrame:
     docs = t.orders.select("o_orderkey", F.concat(F.lit("It applies the opinion 12."), F.col("o_custkey").cast("string"), F.lit("/"), F.date_format("o_orderdate", "yy"), F.lit(" and confirms 7/1999.")).alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators import metadata
+from corpusmill.operators import metadata, scoring
 from corpusmill.plans.registry import Tables, query
 
 _K = "o_orderkey"
@@ -67,6 +67,13 @@ def document_metadata(t: Tables) -> DataFrame:
     return out.select(_K, "currentness", "historical", "centrality", "shift", "drift", "family", "supports", "intervention", "validity", "role", "reading_role", "secondary", "confidence", "review", "reading_weight")
 
 
+@query("q_metadata_seeds", "C24", f"""
+    WITH {_SCORED} SELECT {_K}, role, centrality, currentness FROM g WHERE role IN ('current_rule', 'core', 'application') AND centrality >= 0.6e0 ORDER BY centrality DESC, currentness DESC, {_K} LIMIT 25""")
+def metadata_seeds(t: Tables) -> DataFrame:
+    found = metadata.document_metadata(_documents(t))
+    return scoring.seeds(found, ["current_rule", "core", "application"], 0.6, 25, _K).select(_K, "role", "centrality", "currentness")
+
+
 @query("q_signals", "C21 C23", f"""
     WITH {_ROWS}, x AS (SELECT {_K}, unnest([{", ".join(f"struct_pack(signal := '{n}', phrases := s_{n})" for n in metadata.SIGNALS)}]) AS u FROM f)
     SELECT {_K}, u.signal AS signal, len(u.phrases) AS n FROM x WHERE len(u.phrases) > 0""")

@@ -29,7 +29,7 @@ def exists_flag(t: Tables) -> DataFrame:
     return joins.flag_existing(t.customer.select("c_custkey"), t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "has_partial")
 
 
-@query("q_search_sql", "P1 P4 P5 P6 P7 P8 P10 O1 O4", """
+@query("q_search_sql", "P4 P6 P8 O1 O4", """
     WITH hits AS (SELECT p_partkey, p_name, p_brand, p_retailprice FROM part WHERE p_size >= 5 AND p_brand LIKE 'Brand#1%' AND (lower(p_name) LIKE '%e%' OR lower(p_type) LIKE '%e%') AND p_retailprice >= 950)
     SELECT *, (SELECT count(*) FROM hits) AS total, CAST(ceil((SELECT count(*) FROM hits) / 20) AS BIGINT) AS pages FROM hits ORDER BY p_retailprice DESC, p_partkey LIMIT 20 OFFSET 20""")
 def search_sql(t: Tables) -> DataFrame:

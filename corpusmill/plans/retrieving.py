@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from corpusmill.operators import joins, retrieval
 from corpusmill.plans.registry import Tables, query
 
-_COS = "floor(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) * 1000.0 + 0.5) / 1000.0"
+_RAW = "list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+_COS = f"floor({_RAW} * 1000.0 + 0.5) / 1000.0"
 _W4 = "list_distinct(list_filter(regexp_split_to_array(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy'), '[^a-z0-9]+'), lambda x: length(x) >= 4))"
 
 
 @query("q_cosine_topk", "V1 S7 V19", f"""
-    SELECT v.vec_id, {_COS} AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id = 7) q WHERE v.vec_id <> 7 AND v.label IN (1, 2, 3) ORDER BY score DESC, v.vec_id LIMIT 20""")
+    SELECT v.vec_id, {_COS} AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id = 7) q WHERE v.vec_id <> 7 AND v.label IN (1, 2, 3) ORDER BY {_RAW} DESC, v.vec_id LIMIT 20""")
 def cosine_topk(t: Tables) -> DataFrame:
     where = (F.col("vec_id") != 7) & F.col("label").isin(1, 2, 3) & retrieval.valid_vector(F.col("embedding"), 64)
     return retrieval.similar(t.embeddings, t.embeddings.where("vec_id = 7"), "vec_id", "embedding", 20, where, 3)
 
 
-@query("q_lexical", "V2 V8", f"""
+@query("q_lexical", "V8", f"""
     WITH i AS (SELECT doc_id, unnest({_W4}) AS word FROM documents), q AS (SELECT item_id, {_W4} AS w FROM benchmark),
     a AS (SELECT item_id, len(w) AS n, unnest(w) AS word FROM q), h AS (SELECT item_id, doc_id, count(*) AS hits, max(n) AS n FROM i JOIN a USING (word) GROUP BY 1, 2),
     s AS (SELECT item_id, doc_id, hits, floor(hits / n * 10000.0 + 0.5) / 10000.0 AS coverage FROM h)
@@ -75,12 +76,12 @@ def intent(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", found.alias("i")).where("i IS NOT NULL").select("doc_id", "i.name", "i.confidence")
 
 
-@query("q_id_first", "V17 P10 P13 P16", "SELECT o_orderkey FROM orders WHERE starts_with(CAST(o_orderkey AS VARCHAR), '1234') ORDER BY o_orderkey LIMIT 10")
+@query("q_id_first", "", "SELECT o_orderkey FROM orders WHERE starts_with(CAST(o_orderkey AS VARCHAR), '1234') ORDER BY o_orderkey LIMIT 10")
 def id_first(t: Tables) -> DataFrame:
     return retrieval.id_first(t.orders.select("o_orderkey", F.col("o_orderpriority").alias("text")), "o_orderkey", "text", "N1234", 10).select("o_orderkey")
 
 
-@query("q_family_score", "V14", """
+@query("q_family_score", "", """
     WITH q AS (SELECT ['the', 'there', 'and', 'thing'] AS ws), d AS (SELECT doc_id, ws, string_split(lower(strip_accents(text)), chr(10)) AS p FROM documents, q),
     t AS (SELECT doc_id, ws, list_transform(p, lambda x: string_split_regex(x, '[^a-z0-9]+')) AS p FROM d),
     s AS (SELECT doc_id, floor((len(list_intersect(ws, flatten(p))) / 4 * 1.55e0 + len(list_intersect(ws, p[1])) / 4 * 0.30e0 + len(list_filter(p[1:3], lambda x: list_has_all(x, ws))) * 0.32e0) * 1000.0e0 + 0.5e0) / 1000.0e0 AS score FROM t)

@@ -110,7 +110,7 @@ def fnv(t: Tables) -> DataFrame:
     return t.events.select("event_id", text.fnv1a(F.concat_ws("|", "event_type", F.col("user_id").cast("string"))).alias("fingerprint"))
 
 
-@query("q_redact", "F21", """
+@query("q_redact", "", """
     SELECT doc_id, regexp_matches(text, '\\b[0-9a-f]{32,}\\b|\\b\\d{13,19}\\b') AS had_secret FROM documents WHERE regexp_matches(text, '\\b[0-9a-f]{32,}\\b|\\b\\d{13,19}\\b')""")
 def redact(t: Tables) -> DataFrame:
     # the text after redaction holds none of the values that it was searched for
@@ -144,7 +144,7 @@ def score_rules(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", numbers.safe_ratio(F.col("o_totalprice"), k % 3).alias("ratio"), numbers.log_size(k % 40).alias("size"), numbers.score(raw).alias("score"), numbers.next_reset(noon, "America/Santiago").alias("reset"))
 
 
-@query("q_redact_map", "F21", """
+@query("q_redact_map", "", """
     SELECT event_id, '[redacted]' AS secret, CASE WHEN user_id % 2 = 0 THEN 'Authorization: [redacted]' ELSE 'key [redacted] ok ' || event_type END AS note, event_type AS plain FROM events""")
 def redact_map(t: Tables) -> DataFrame:
     key = F.concat(F.lit("sk-"), F.lpad(F.col("event_id").cast("string"), 20, "a"))
