@@ -9,6 +9,7 @@ from corpusmill.functions.text import tag_norm
 from corpusmill.operators import backfill
 from corpusmill.plans.registry import Tables, query
 from corpusmill.sources import feeds
+from corpusmill.sources.pages import JsonPages
 from corpusmill.sources.tables import new_folder
 
 
@@ -29,6 +30,23 @@ def feed(t: Tables) -> DataFrame:
     return rows.select("id", F.when(F.get_json_object(raw, "$.doc_id").isNull(), "own").otherwise("wrapped").alias("form"), F.md5(F.get_json_object(raw, "$.text")).alias("text_md5"), F.get_json_object(raw, "$.note").alias("note"))
 
 
+@query("q_pages", "S4", """
+    SELECT event_id // 1000 + 1 AS page, CAST(row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) - 1 AS INT) AS position, event_id, event_type, user_id FROM events""")
+def pages(t: Tables) -> DataFrame:
+    """Events as numbered pages of a thousand, an empty page after the last, and one behind it that doesn't count."""
+    t.spark.dataSource.register(JsonPages)
+    page = F.floor(F.col("event_id") / 1000) + 1
+    hits = t.events.groupBy(page.alias("page")).agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "user_id"))).alias("hits"))
+    last = hits.agg(F.max("page").alias("last"))
+    none = F.filter(F.array(F.struct(F.lit(0).cast("long").alias("event_id"), F.lit("").alias("event_type"), F.lit(0).cast("long").alias("user_id"))), lambda x: x["event_id"] > 0)
+    behind = last.select(F.explode(F.array((F.col("last") + 1), (F.col("last") + 2))).alias("page"), "last").select("page", F.when(F.col("page") == F.col("last") + 1, none).otherwise(F.array(F.struct(F.lit(-1).cast("long").alias("event_id"), F.lit("late").alias("event_type"), F.lit(0).cast("long").alias("user_id")))).alias("hits"))
+    folder = new_folder(t.spark, "pages")
+    rows = hits.unionByName(behind).select("page", F.to_json(F.struct(F.struct("hits").alias("hits"))).alias("value"))
+    rows.repartition("page").write.partitionBy("page").text(folder)
+    found = t.spark.read.format("json_pages").option("pattern", r"/page=(\d+)/[^/]*\.txt$").load(folder)
+    return found.select("page", "position", F.from_json("item", "event_id long, event_type string, user_id long").alias("i")).select("page", "position", "i.*")
+
+
 _MARKED = """
     x AS (SELECT event_id, user_id, event_id * 5 // (SELECT max(event_id) + 1 FROM events) AS w, event_type || CASE WHEN value >= 50 THEN ' high. ' ELSE ' LOW' END AS raw, event_id % 3 = 0 AND event_id * 5 // (SELECT max(event_id) + 1 FROM events) = 3 AS filler FROM events),
     v AS (SELECT *, lower(regexp_replace(trim(raw), '[.\\s]+$', '')) AS tag, CASE WHEN filler THEN 'filler' WHEN event_id % 97 = 5 THEN 'null_norm' WHEN user_id NOT IN (SELECT c_custkey FROM customer) THEN 'missing' ELSE 'accepted' END AS verdict FROM x),

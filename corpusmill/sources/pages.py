@@ -20,10 +20,10 @@ _SCHEMA = pa.schema([("page", pa.int64()), ("position", pa.int32()), ("item", pa
 
 
 class Pages:
-    """The pages of a folder: files with one number in their name, from page 1 up to the first that is missing or empty."""
+    """The pages of a folder: files whose path below it has a number by ``pattern``, from page 1 up to the first that is missing or empty."""
 
-    def __init__(self, path: str, items: str, retries: int, small: int):
-        self.path, self.items, self.retries, self.small = path, items.split("."), retries, small
+    def __init__(self, path: str, items: str, retries: int, small: int, pattern: str):
+        self.path, self.items, self.retries, self.small, self.pattern = path, items.split("."), retries, small, pattern
 
     def _again(self, f):
         """``f()``, again after an error of the store, a little later each time."""
@@ -37,8 +37,8 @@ class Pages:
 
     def files(self) -> dict[int, pyarrow.fs.FileInfo]:
         store, path = pyarrow.fs.FileSystem.from_uri(self.path) if "://" in self.path else (pyarrow.fs.LocalFileSystem(), self.path)
-        found = self._again(lambda: store.get_file_info(pyarrow.fs.FileSelector(path)))
-        return {int(m[1]): f for f in found if f.is_file and (m := re.fullmatch(r"\D*(\d+)\D*\.json", f.base_name))}
+        found = self._again(lambda: store.get_file_info(pyarrow.fs.FileSelector(path, recursive=True)))
+        return {int(m[1]): f for f in found if f.is_file and (m := re.search(self.pattern, f.path[len(path.rstrip("/")) :]))}
 
     def read(self, file: pyarrow.fs.FileInfo) -> list:
         store, _ = pyarrow.fs.FileSystem.from_uri(self.path) if "://" in self.path else (pyarrow.fs.LocalFileSystem(), None)
@@ -112,7 +112,8 @@ class JsonPages(DataSource):
     """``page``, ``position`` and ``item`` (JSON) of the numbered pages in ``path``, up to the first missing or empty page.
 
     Options: ``items``, the dotted path of a page's list (default hits.hits); ``pagesPerTask`` (64); ``retries`` (2) after
-    errors of the store; ``smallBytes`` (4096): a file of more bytes has items, so that it needs no look for the end.
+    errors of the store; ``smallBytes`` (4096): a file of more bytes has items, so that it needs no look for the end;
+    ``pattern``, where a page's number stands in its path below the folder (default: the one number of a ``.json`` file's name).
     As a stream, each batch has the pages that came since the last.
     """
 
@@ -125,7 +126,7 @@ class JsonPages(DataSource):
 
     def _pages(self) -> tuple[Pages, int]:
         o = self.options
-        return Pages(o["path"], o.get("items", "hits.hits"), int(o.get("retries", 2)), int(o.get("smallBytes", 4096))), int(o.get("pagesPerTask", 64))
+        return Pages(o["path"], o.get("items", "hits.hits"), int(o.get("retries", 2)), int(o.get("smallBytes", 4096)), o.get("pattern", r"/[^\d/]*(\d+)[^\d/]*\.json$")), int(o.get("pagesPerTask", 64))
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Batch(*self._pages())
