@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ MARKED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of ``x``, which is evaluated once a row, however often and inside whichever lambda ``use`` names it."""
+    return F.transform(F.array(x), use)[0]
+
+
 def fold(x: Column) -> Column:
     """Lower case without the marks of Latin letters."""
     return F.translate(F.lower(x), MARKED, PLAIN)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import search_text
+from corpusmill.functions.text import once, search_text
 from corpusmill.operators.aggregates import half_up
 
 # Weights of what makes a canonical and an active representative.
@@ -22,7 +22,7 @@ def query_words(query: Column) -> Column:
 
 def held(words: Column, text: Column) -> Column:
     """How many of some words a text in comparison form has."""
-    return F.size(F.filter(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.contains(text, w)))
+    return once(text, lambda whole: F.size(F.filter(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.contains(whole, w))))
 
 
 def alignment(text: Column, query: Column, retrieval: Column, intent: Column, subtopic: Column) -> Column:
@@ -32,22 +32,29 @@ def alignment(text: Column, query: Column, retrieval: Column, intent: Column, su
     the retrieval score 0.34; labels and terms that the text holds by their confidence. A text with one word of three and
     nothing of the subtopic loses to 0.58, one that misses a sure subtopic and isn't retrieved well to 0.72. An empty text has 0.
     """
-    whole = F.coalesce(search_text(text), F.lit(""))
-    words = query_words(query)
-    matched = held(words, whole)
+    named = lambda about, whole: F.coalesce(F.contains(whole, search_text(about["label"])) & (search_text(about["label"]) != ""), F.lit(False))
+    terms = lambda about, whole: held(F.transform(about["terms"], search_text), whole)
+    told = lambda whole, words: F.struct(
+        (whole == "").alias("empty"), F.size(words).alias("asked"), held(words, whole).alias("matched"), named(intent, whole).alias("intent"), terms(intent, whole).alias("intent_terms"), named(subtopic, whole).alias("subtopic"), terms(subtopic, whole).alias("subtopic_terms")
+    )
+    # the text and the counts in it are evaluated once a row
+    counted = once(F.coalesce(search_text(text), F.lit("")), lambda whole: once(query_words(query), lambda words: told(whole, words)))
+    return once(counted, lambda n: _aligned(n, retrieval, intent, subtopic))
+
+
+def _aligned(n: Column, retrieval: Column, intent: Column, subtopic: Column) -> Column:
+    """``alignment`` from what a text holds."""
+    matched, asked = n["matched"], n["asked"]
     found = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(retrieval, F.lit(0.0))))
-    named = lambda about: F.coalesce(F.contains(whole, search_text(about["label"])) & (search_text(about["label"]) != ""), F.lit(False))
-    terms = lambda about: held(F.transform(about["terms"], search_text), whole)
     sure = lambda about: F.coalesce(about["confidence"], F.lit(0.0))
-    boost = lambda about, label, most, each: (F.when(named(about), label).otherwise(0.0) + F.least(F.lit(most), terms(about) * each)) * sure(about)
-    score = F.when(F.size(words) > 0, matched / F.size(words)).otherwise(0.0) * 0.42 + found * 0.34 + boost(intent, 0.16, 0.18, 0.05) + boost(subtopic, 0.28, 0.34, 0.08)
-    misses = (terms(subtopic) == 0) & ~named(subtopic)
-    score = score * F.when((F.size(words) >= 3) & (matched <= 1) & misses, 0.58).otherwise(1.0)
+    boost = lambda about, name, label, most, each: (F.when(n[name], label).otherwise(0.0) + F.least(F.lit(most), n[f"{name}_terms"] * each)) * sure(about)
+    score = F.when(asked > 0, matched / asked).otherwise(0.0) * 0.42 + found * 0.34 + boost(intent, "intent", 0.16, 0.18, 0.05) + boost(subtopic, "subtopic", 0.28, 0.34, 0.08)
+    misses = (n["subtopic_terms"] == 0) & ~n["subtopic"]
+    score = score * F.when((asked >= 3) & (matched <= 1) & misses, 0.58).otherwise(1.0)
     score = score * F.when((sure(subtopic) >= 0.72) & misses & (found < 0.8), 0.72).otherwise(1.0)
-    empty = whole == ""
     value = half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.2), score)), 2)
-    zero = lambda x, none: F.when(empty, none).otherwise(x)
-    return F.struct(zero(value, 0.0).alias("score"), zero(matched, 0).alias("matched"), zero(terms(intent), 0).alias("intent_terms"), zero(terms(subtopic), 0).alias("subtopic_terms"), zero(found, 0.0).alias("retrieval"))
+    zero = lambda x, none: F.when(n["empty"], none).otherwise(x)
+    return F.struct(zero(value, 0.0).alias("score"), zero(matched, 0).alias("matched"), zero(n["intent_terms"], 0).alias("intent_terms"), zero(n["subtopic_terms"], 0).alias("subtopic_terms"), zero(found, 0.0).alias("retrieval"))
 
 
 def direct_choice(hits: DataFrame, by: str, key: str, raw: str, text: Column, query: Column, subtopic: Column) -> DataFrame:
