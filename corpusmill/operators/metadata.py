@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import search_text
+from corpusmill.functions.text import once, search_text
 from corpusmill.operators.aggregates import half_up
 
 # Phrases that tell of each signal.
@@ -30,9 +30,9 @@ def ladder(rules: list[tuple[Column, str]], default: str) -> Column:
 
 def matched_signals(text: Column) -> Column:
     """A struct with an array for each signal: those of its phrases that the folded text holds (empty for a null text)."""
-    folded = F.coalesce(search_text(text), F.lit(""))
-    found = lambda phrases: F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(folded, p))
-    return F.struct(*[found(phrases).alias(name) for name, phrases in SIGNALS.items()])
+    found = lambda phrases, folded: F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(folded, p))
+    # one text is folded once, and not for each phrase
+    return once(F.coalesce(search_text(text), F.lit("")), lambda folded: F.struct(*[found(phrases, folded).alias(name) for name, phrases in SIGNALS.items()]))
 
 
 def _unit(x: Column) -> Column:

@@ -55,7 +55,9 @@ def merged_labels(df: DataFrame, model: str, rule: str, overrides: list[tuple[Co
 
 
 def seeds(df: DataFrame, roles: list[str], least: float, n: int, key: str) -> DataFrame:
-    return df.where(F.col("role").isin(roles) & (F.col("centrality") >= least)).orderBy(F.desc("centrality"), F.desc("currentness"), key).limit(n)
+    able = F.coalesce(F.col("role").isin(roles) & (F.col("centrality") >= least), F.lit(False))
+    # rows that can't be seeds come last and go after the limit: a filter before it would be pushed below the scores and evaluate them again
+    return df.orderBy(F.desc(able), F.desc("centrality"), F.desc("currentness"), key).limit(n).where(able)
 
 
 def coherence(members: DataFrame, by: str, label: str) -> DataFrame:
