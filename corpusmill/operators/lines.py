@@ -10,9 +10,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import search_text, tokens
+from corpusmill.functions.text import once, search_text, tokens
 from corpusmill.operators.aggregates import half_up
 from corpusmill.operators.joins import best_per_key
+from corpusmill.sources.tables import checkpointed
 
 # What a text says about the state of a matter (score, phrases), and needles that bring such texts first.
 STATUS = {
@@ -92,27 +93,38 @@ def constrained_lines(lines: DataFrame, line: str, title: str, tags: str, segmen
     1.55 for the share of the query's words, 1.25 for the subtopic's, 0.32 for a segment with two words of the query and 0.28
     of either (two segments count), 0.30 for words in the title, 0.22 in tags (two count), 0.18 for each word (three count).
     Gates hold words together; where no line passes, a weaker one applies (``strict`` tells). ``sure``: the subtopic is certain.
+    Texts are read once; the lines that pass a gate are written before it is known whether any passes the strict one.
     """
     c = F.col
     listed = lambda xs: F.array(*map(F.lit, dict.fromkeys(xs))).cast("array<string>")
-    text = F.array_join(c(segments), " ")
-    q, s = F.array_intersect(listed(words), tokens(text, 1)), F.array_intersect(listed(subtopic), tokens(text, 1))
-    out = lines.withColumns({"_q": q, "_s": s, "_a": F.array_union(q, s), "_parts": F.transform(c(segments), search_text)})
-    holding = lambda xs: F.size(F.filter("_parts", lambda p: F.size(F.filter(listed(xs), lambda w: F.contains(p, w))) >= 2))
-    share = lambda found, xs: F.size(found) / max(len(dict.fromkeys(xs)), 1)
+    many = lambda xs: max(len(dict.fromkeys(xs)), 1)
+    held = lambda found: F.struct(found[0].alias("q"), found[1].alias("s"), F.array_union(*found).alias("a"))
+    named = once(tokens(F.array_join(c(segments), " "), 1), lambda t: held([F.array_intersect(listed(xs), t) for xs in (words, subtopic)]))
+    holding = lambda parts, xs: F.size(F.filter(parts, lambda p: F.size(F.filter(listed(xs), lambda w: F.contains(p, w))) >= 2))
+    general = lambda parts: F.lit(False) if sure else F.array_join(parts, " ").rlike(r"\b(decreto|presidencia|presidenciales|acto|actos)\b")
     tag_words = F.array_distinct(F.flatten(F.transform(c(tags), lambda t: tokens(t, 1))))
-    out = out.withColumns({"_segments": holding(words), "_cohesive": holding([*words, *subtopic]), "_in_title": F.size(F.array_intersect(tokens(c(title), 1), c("_a"))), "_in_tags": F.size(F.array_intersect(tag_words, c("_a"))), "anchors": F.size("_a")})
-    few = lambda x, most: F.least(F.lit(most), c(x))
-    score = share(c("_q"), words) * 1.55 + share(c("_s"), subtopic) * 1.25 + few("_segments", 2) * 0.32 + few("_cohesive", 2) * 0.28 + few("_in_title", 2) * 0.3 + few("_in_tags", 2) * 0.22 + few("anchors", 3) * 0.18
-    out = out.withColumns({"score": half_up(score, 3), "in_query": F.size("_q"), "in_subtopic": F.size("_s")})
-    if sure:
-        together = (c("in_query") >= 2) | (c("in_subtopic") >= 2) | ((c("in_query") >= 1) & (c("in_subtopic") >= 1)) | (c("score") >= 1.15)
-        strict = (c("anchors") >= 2) & (c("_cohesive") >= 1) & together
-    else:
-        general = F.array_join("_parts", " ").rlike(r"\b(decreto|presidencia|presidenciales|acto|actos)\b")
-        strict = ((c("in_query") >= 2) & (c("_segments") >= 1)) | ((c("anchors") >= 2) & (c("_cohesive") >= 1) & ~((c("in_query") == 0) & general)) | (c("score") >= 1.05)
-    weak = (c("score") >= (0.95 if sure else 0.8)) & (c("anchors") >= 1) & (c("_cohesive") >= 1)
-    out = out.withColumns({"strict": F.coalesce(strict, F.lit(False)), "_weak": F.coalesce(weak, F.lit(False))}).where("strict OR _weak")
+    counted = lambda n, parts: F.struct(
+        F.size(n["q"]).alias("in_query"), F.size(n["s"]).alias("in_subtopic"), F.size(n["a"]).alias("anchors"), holding(parts, words).alias("segments"), holding(parts, [*words, *subtopic]).alias("cohesive"),
+        F.size(F.array_intersect(tokens(c(title), 1), n["a"])).alias("in_title"), F.size(F.array_intersect(tag_words, n["a"])).alias("in_tags"), general(parts).alias("general"),
+    )
+    few = lambda x, most: F.least(F.lit(most), x)
+
+    def judged(n: Column) -> Column:
+        score = n["in_query"] / many(words) * 1.55 + n["in_subtopic"] / many(subtopic) * 1.25 + few(n["segments"], 2) * 0.32 + few(n["cohesive"], 2) * 0.28 + few(n["in_title"], 2) * 0.3 + few(n["in_tags"], 2) * 0.22 + few(n["anchors"], 3) * 0.18
+        return once(half_up(score, 3), lambda score: gated(n, score))
+
+    def gated(n: Column, score: Column) -> Column:
+        if sure:
+            together = (n["in_query"] >= 2) | (n["in_subtopic"] >= 2) | ((n["in_query"] >= 1) & (n["in_subtopic"] >= 1)) | (score >= 1.15)
+            strict = (n["anchors"] >= 2) & (n["cohesive"] >= 1) & together
+        else:
+            strict = ((n["in_query"] >= 2) & (n["segments"] >= 1)) | ((n["anchors"] >= 2) & (n["cohesive"] >= 1) & ~((n["in_query"] == 0) & n["general"])) | (score >= 1.05)
+        weak = (score >= (0.95 if sure else 0.8)) & (n["anchors"] >= 1) & (n["cohesive"] >= 1)
+        return F.struct(score.alias("score"), n["anchors"].alias("anchors"), n["in_query"].alias("in_query"), n["in_subtopic"].alias("in_subtopic"), F.coalesce(strict, F.lit(False)).alias("strict"), F.coalesce(weak, F.lit(False)).alias("_weak"))
+
+    each = once(once(named, lambda n: once(F.transform(c(segments), search_text), lambda parts: counted(n, parts))), judged)
+    # a filter on columns would be pushed below them and evaluate all of it again
+    out = checkpointed(lines.select(line, F.explode(F.filter(F.array(each), lambda x: x["strict"] | x["_weak"])).alias("x")).select(line, "x.*"))
     # one row
     any_strict = out.agg(F.coalesce(F.max("strict"), F.lit(False)).alias("_any"))
     return out.crossJoin(F.broadcast(any_strict)).where(c("strict") | ~c("_any")).select(line, "score", "anchors", "in_query", "in_subtopic", "strict")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import alignment, metadata, scoring
+from corpusmill.operators import alignment, lines, metadata, scoring
 
 
 def plan(df):
@@ -23,6 +23,13 @@ def test_signals_fold_a_text_once(spark):
     assert [(r.signals.operational, r.signals.clarification) for r in found.collect()] == [(["nuevo criterio"], ["aclara", "se aclara"]), ([], [])]
 
 
+def test_constrained_lines_read_texts_once(spark):
+    rows = spark.createDataFrame([(1, "the thing", ["en"], ["the thing and there"]), (2, "x", ["of"], ["the"]), (3, None, None, None)], "k int, title string, tags array<string>, parts array<string>")
+    out = lines.constrained_lines(rows, "k", "title", "tags", "parts", ["the", "there", "thing"], ["and", "of"], True)
+    # what is joined to the one row on all lines is a written table
+    assert "lower(" not in plan(out) and [(r.k, r.anchors, r.strict) for r in out.collect()] == [(1, 4, True)]
+
+
 def test_seeds_do_not_evaluate_scores_twice(spark):
     rows = spark.createDataFrame([(1, "core", 0.9, 0.1), (2, "other", 1.0, 1.0), (3, None, 1.0, 1.0), (4, "core", None, 1.0), (5, "core", 0.6, 0.3), (6, "core", 0.9, 0.2)], "k int, role string, centrality double, currentness double")
     out = scoring.seeds(rows.withColumn("role", F.trim("role")), ["core"], 0.6, 9, "k")
