@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from corpusmill.operators.aggregates import half_up
 from corpusmill.operators.clusters import same_title_pairs
 from corpusmill.operators.graph import components
+from corpusmill.operators.joins import best_per_key
+from corpusmill.sources.tables import checkpointed
 
 # Weights and limits of the signals.
 COHESION = {"density": 0.55, "dominance": 0.2, "source": 0.15, "related": 0.1}
 FRAGMENTATION = {"dispersion": 0.45, "outliers": 0.3, "competition": 0.15}
 ADJUSTING, OUTLIER_SHARE, OUTLIER_FLOOR, OUTLIERS, NOISE = 0.1, 0.7, 0.35, 0.22, 0.4
+# Up to how many items sets of them meet by their subsets.
+NARROW_LINE, NARROW_DOCUMENT = 6, 12
 
 
 def _sum(weights: dict[str, float]) -> Column:
@@ -67,22 +71,47 @@ def findings(found: DataFrame, line: str) -> DataFrame:
 def reassignments(outliers: DataFrame, line: str, key: str, items: DataFrame, line_items: DataFrame) -> DataFrame:
     """For each outlier (line, key) the other line that has most of its items: line, key, ``target`` and ``shared``; ties to the smaller line.
 
-    ``items`` are (key, item), ``line_items`` the top items of lines (line, item): lines and documents meet over an index of items.
+    ``items`` are (key, item), ``line_items`` the top items of lines (line, item). Different sets of items of documents meet an
+    index of the subsets of lines' items, each with its two smallest lines: one may be the document's own. Sets of documents
+    with more than ``NARROW_DOCUMENT`` items, and lines with more than ``NARROW_LINE``, meet item by item.
     """
-    index = line_items.select(F.col(line).alias("target"), "item").distinct()
-    met = outliers.select(line, key).join(items.select(key, "item").distinct(), key).join(index, "item").where(F.col("target") != F.col(line))
-    scored = met.groupBy(line, key, "target").agg(F.count("*").alias("shared"))
-    return scored.groupBy(line, key).agg(F.max_by("target", F.struct("shared", -F.col("target"))).alias("target"), F.max("shared").alias("shared"))
+    said = F.col("item").cast("string").alias("item")
+    whole = F.array_sort(F.collect_set("item"))
+    tags = line_items.select(F.col(line).alias("target"), said).groupBy("target").agg(whole.alias("_tags"))
+    classes = checkpointed(best_per_key(tags, ["_tags"], [F.col("target")], 2))
+    docs = checkpointed(outliers.select(line, key).join(items.select(key, said), key).groupBy(line, key).agg(whole.alias("_items")))
+    sets = docs.select("_items").distinct()
+    few, wide = F.size("_tags") <= NARROW_LINE, F.size("_items") > NARROW_DOCUMENT
+    index = best_per_key(classes.where(few).select("target", F.explode(subsets(F.col("_tags"), NARROW_LINE)).alias("_s")), ["_s"], [F.col("target")], 2)
+    index = index.groupBy("_s").agg(F.collect_list("target").alias("_t"))
+    asked = sets.where(~wide).select("_items", F.explode(subsets(F.col("_items"), NARROW_LINE)).alias("_s"))
+    near = asked.join(index, "_s").select("_items", F.size("_s").cast("long").alias("shared"), F.explode("_t").alias("target"))
+    each = lambda df, c, *keep: df.select(*keep, c, F.explode(c).alias("item"))
+    by_item = lambda some, lines: each(some, "_items").join(each(lines, "_tags", "target"), "item").groupBy("_items", "target").agg(F.count("*").alias("shared")).select("_items", "shared", "target")
+    found = near.unionByName(by_item(sets.where(wide), classes)).unionByName(by_item(sets.where(~wide), classes.where(~few)))
+    scored = found.groupBy("_items", "target").agg(F.max("shared").alias("shared"))
+    first = best_per_key(scored, ["_items"], [F.desc("shared"), F.col("target")], 2)
+    first = first.groupBy("_items").agg(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("n"), "target"))).alias("_best"))
+    other = F.get(F.filter("_best", lambda x: x["target"] != F.col(line)), F.lit(0))
+    return docs.join(first, "_items").select(line, key, other.alias("_o")).where("_o IS NOT NULL").select(line, key, "_o.target", (-F.col("_o.n")).alias("shared"))
+
+
+def subsets(items: Column, most: int) -> Column:
+    """Subsets of an array of different strings with one item or more, ``most`` at most, in the array's order."""
+    longer = lambda found, x: F.transform(F.filter(found, lambda s: F.size(s) < most), lambda s: F.concat(s, F.array(x)))
+    all_ = F.aggregate(items, F.array(F.array().cast("array<string>")), lambda found, x: F.concat(found, longer(found, x)))
+    return F.filter(all_, lambda s: F.size(s) > 0)
 
 
 def parts(members: DataFrame, line: str, key: str, items: DataFrame) -> DataFrame:
     """Into how many parts each line falls whose documents share no items with each other, and the size of the largest.
 
-    A document and an item are linked inside their line, so documents of a part meet in items and never in pairs.
+    Documents of a line that share an item are linked to the smallest of them and never in pairs.
     """
-    named = lambda kind, value: F.struct(F.col(line).alias("line"), F.lit(kind).alias("kind"), F.col(value).cast("string").alias("name"))
-    links = members.select(line, key).join(items.select(key, "item").distinct(), key)
-    found = components(links.select(named("document", key).alias("a"), named("item", "item").alias("b")), "a", "b").where("node.kind = 'document'")
+    named = lambda value: F.struct(F.col(line).alias("line"), F.col(value).alias("key"))
+    links = members.select(line, key).join(items.select(key, "item").where("item IS NOT NULL").distinct(), key)
+    first = links.groupBy(line, "item").agg(F.min(key).alias("_first"))
+    found = components(links.join(first, [line, "item"]).select(named(key).alias("a"), named("_first").alias("b")).distinct(), "a", "b")
     sizes = found.groupBy(F.col("node.line").alias(line), "root").agg(F.count("*").alias("n")).groupBy(line).agg(F.count("*").alias("_parts"), F.max("n").alias("_largest"))
     # documents without items are parts of their own
     alone = members.select(line, key).join(links.select(line, key).distinct(), [line, key], "left_anti").groupBy(line).agg(F.count("*").alias("_alone"))
@@ -102,6 +131,8 @@ def actions(found: DataFrame, lines: DataFrame, line: str, key: str, members: Da
         F.lit(action).alias("action"), F.col(line), (F.lit(None).cast("long") if other is None else F.col(other).cast("long")).alias("other"), (F.lit(None).cast("long") if detail is None else F.col(detail).cast("long")).alias("detail"),
         confidence.alias("confidence"), F.lit(impact).alias("impact"), (risk if isinstance(risk, Column) else F.lit(risk)).alias("risk"),
     )
+    # four kinds of actions read the signals
+    found = checkpointed(found)
     pairs = same_title_pairs(lines, line, "title", {"tags": "tags", "sources": "sources"}, digits=2)
     titles = lines.groupBy(F.lower("title").alias("_t")).agg(F.count("*").alias("_n"), F.min(line).alias(line)).where("_n > 1")
     broken = found.where("status = 'fragmented'").select(line, "fragmentation")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import coherence
 from corpusmill.plans.registry import Tables, query
+from corpusmill.sources.tables import checkpointed
 
 _R2 = "floor(({x}) * 100.0e0 + 0.5e0) / 100.0e0".format
 _SIGNALS = f"""
@@ -25,14 +26,18 @@ _SIGNALS = f"""
 def _frames(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     members = t.orders.select(F.col("o_custkey").alias("line"), F.col("o_orderkey").alias("k"), (F.col("o_totalprice") / 500000.0).alias("score"), (F.col("o_orderstatus") == "F").cast("int").alias("relations"))
     parts = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p_partkey")).join(t.part.select("p_partkey", "p_type", "p_brand"), "p_partkey")
-    mentions = members.select("line", "k").join(parts, "k")
+    # a line's signals and items count these mentions up to five times
+    mentions = checkpointed(members.select("line", "k").join(parts, "k").select("line", "k", "p_type", "p_brand"))
     bucket = F.when(F.col("c_nationkey") % 5 == 0, "adjusts").otherwise("develops")
     lines = t.customer.select(F.col("c_custkey").alias("line"), (F.col("c_nationkey") / 24.0).alias("density"), bucket.alias("bucket"), F.concat_ws(" ", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("title"))
     return lines, members, mentions
 
 
 def _signals(t: Tables) -> DataFrame:
-    lines, members, mentions = _frames(t)
+    return _signalled(*_frames(t))
+
+
+def _signalled(lines: DataFrame, members: DataFrame, mentions: DataFrame) -> DataFrame:
     return coherence.signals(lines, "line", members, mentions, "p_type", mentions, "p_brand")
 
 
@@ -56,7 +61,7 @@ _ITEMS = """
     SELECT line, k, target, shared FROM (SELECT outs.line, k, tag.line AS target, count(*) AS shared FROM outs JOIN item USING (k) JOIN tag USING (item) WHERE tag.line <> outs.line GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY line, k ORDER BY shared DESC, target) = 1""")
 def moves(t: Tables) -> DataFrame:
     lines, members, mentions = _frames(t)
-    found = _signals(t).where("outliers >= 0.22").select("line")
+    found = _signalled(lines, members, mentions).where("outliers >= 0.22").select("line")
     outliers = members.join(found, "line").join(lines.select("line", "density"), "line").where(coherence.is_outlier(F.col("score"), F.col("density")))
     return coherence.reassignments(outliers, "line", "k", mentions.select("k", F.col("p_brand").alias("item")), _top(mentions, "p_brand").select("line", F.explode("tops").alias("item")))
 
@@ -83,4 +88,4 @@ def _top(mentions: DataFrame, column: str, n: int = 5) -> DataFrame:
 def actions(t: Tables) -> DataFrame:
     lines, members, mentions = _frames(t)
     tops = _top(mentions, "p_brand").withColumnRenamed("tops", "tags").join(_top(mentions, "p_type").withColumnRenamed("tops", "sources"), "line")
-    return coherence.actions(_signals(t), lines.join(tops, "line"), "line", "k", members, mentions.select("k", F.col("p_brand").alias("item")), most=None)
+    return coherence.actions(_signalled(lines, members, mentions), lines.join(tops, "line"), "line", "k", members, mentions.select("k", F.col("p_brand").alias("item")), most=None)
