@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import graph, proposals
 from corpusmill.plans.registry import Tables, query
+from corpusmill.sources.tables import checkpointed
 
 _ACTION = "CASE l_returnflag WHEN 'R' THEN 'reconsidered' WHEN 'A' THEN 'applies' ELSE 'complemented' END"
 _EFFECT = "CASE l_returnflag WHEN 'R' THEN 'displaces' WHEN 'A' THEN 'strengthens' ELSE 'develops' END"
@@ -117,13 +118,15 @@ def proposals_(t: Tables) -> DataFrame:
     """Customers are lines, their orders documents, types of parts descriptors and brands norms."""
     parts = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey")).join(t.part.select("p_partkey", "p_name", "p_type", "p_brand"), "p_partkey")
     orders = t.orders.select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
-    texts = orders.join(parts, "o_orderkey").select("o_orderkey", F.concat_ws(" ", "o_orderpriority", "p_name").alias("text"))
-    items = proposals.document_items(texts, "o_orderkey", F.col("text"), parts, "p_type", parts, "p_brand")
+    named = parts.groupBy("o_orderkey").agg(*[F.collect_list(c).alias(c) for c in ("p_name", "p_type", "p_brand")])
+    texts = orders.select("o_orderkey", "o_orderpriority").join(named, "o_orderkey")
+    # members and relations both read the items
+    items = checkpointed(proposals.document_sets(texts, "o_orderkey", F.concat(F.array("o_orderpriority"), "p_name"), F.col("p_type"), F.col("p_brand")))
     ends = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("anchor"), F.max("o_orderkey").alias("representative"))
     lines = ends.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.when(F.col("c_nationkey") % 2 == 0, "in_review").otherwise("evolving").alias("status")), "o_custkey")
     members = orders.withColumn("restrictive", F.col("o_orderpriority").endswith("URGENT"))
     before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    edges = orders.join(items.select("o_orderkey").distinct(), "o_orderkey", "left_semi").withColumn("dst", before).where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("src"), "dst")
+    edges = orders.join(items.select("o_orderkey"), "o_orderkey", "left_semi").withColumn("dst", before).where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("src"), "dst")
     return proposals.missing_relations(lines, "o_custkey", members, "o_orderkey", "o_orderdate", items, edges)
 
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import clusters, coherence
+from corpusmill.operators import clusters, coherence, proposals
 
 
 def plan(df):
@@ -44,3 +44,46 @@ def test_parts_link_documents(spark):
     items = spark.createDataFrame([(0, "a"), (1, "a"), (1, "b"), (2, "b"), (3, "c"), (4, None), (5, None)], "k int, item string")
     assert {r.line: (r.parts, r.largest) for r in coherence.parts(members, "line", "k", items).collect()} == {1: (4, 3), 2: (2, 1)}
     assert [r[0] for r in spark.range(1).select(F.size(coherence.subsets(F.array(*map(F.lit, "abcd")), 2))).collect()] == [10]
+
+
+def test_proposals_shuffle_no_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    held = {k: {"descriptor": rng.sample("abcde", rng.randint(0, 4)), "word": rng.sample("fghijk", rng.randint(0, 5)), "norm": rng.sample("lmn", rng.randint(0, 2))} for k in range(50)}
+    line = {k: rng.choice([1, 1, 2, 3]) for k in held}
+    day = {k: rng.choice([None, "2020-01-01", "2020-01-02", "2020-01-03"]) for k in held}
+    known = {(rng.randrange(50), rng.randrange(50)) for _ in range(300)}
+    lines = spark.createDataFrame([(1, "in_review", 3, None), (2, "evolving", None, 7), (4, "evolving", 1, 2)], "line int, status string, anchor int, representative int")
+    members = spark.createDataFrame([(line[k], k, day[k], k % 3 == 0) for k in held], "line int, k int, ts string, restrictive boolean")
+    items = spark.createDataFrame([(k, kind, i) for k, v in held.items() for kind, x in v.items() for i in x], "k int, kind string, item string")
+    edges = spark.createDataFrame([*known, (None, 1), (1, None)], "src int, dst int")
+    share = lambda x, y: len({*x} & {*y}) / len({*x} | {*y}) if x and y else 0.0
+    want = {}
+    for a in held:
+        for b in held:
+            if line[a] != line[b] or line[a] == 3 or None in (day[a], day[b]) or (day[a], a) >= (day[b], b) or (b, a) in known:
+                continue
+            x, y = held[a], held[b]
+            over, new = {k: share(x[k], y[k]) for k in x}, {k: len({*y[k]} - {*x[k]}) for k in x}
+            delta, family = max(new["descriptor"], min(new["word"], 3)) + (b % 3 == 0), (3 if line[a] == 1 else 7) in (a, b)
+            if any(over[k] >= least for k, least in proposals.LEAST.items()) and (delta or new["norm"] or family):
+                want[b, a] = (*[round(over[k], 4) for k in over], delta, new["norm"], family, sorted({*x["descriptor"]} & {*y["descriptor"]})[:3])
+    assert len(want) > 90
+    for block in (2000, 4):
+        monkeypatch.setattr(proposals, "BLOCK", block)
+        out = proposals.missing_relations(lines, "line", members, "k", "ts", items, edges)
+        # nothing is grouped or joined once documents are paired
+        above, join = plan(out).split("Join", 1)
+        assert "Aggregate" not in above and "_d#" in join.splitlines()[0]
+        got = {(r.src, r.dst): (round(r.descriptor_overlap, 4), round(r.word_overlap, 4), round(r.norm_overlap, 4), r.semantic_delta, r.new_norms, r.same_family, r.shared) for r in out.collect()}
+        assert got == want
+
+
+def test_document_sets_hold_the_items(spark):
+    rows = [(1, "Alpha beta  x", " Big  Thing", "n2"), (1, "Alpha gamma", "big thing", "n1"), (1, None, "", "n1"), (1, "y", None, None), (2, None, None, None), (3, "Delta", "Über", "n3")] + [(3, "delta", "two", f"n{i}") for i in range(9)]
+    each = spark.createDataFrame(rows, "k int, t string, d string, n string")
+    one = each.groupBy("k").agg(*[F.collect_list(c).alias(c) for c in "tdn"]).unionByName(spark.createDataFrame([(4, None, None, ["z"])], "k int, t array<string>, d array<string>, n array<string>"))
+    items = proposals.document_items(each, "k", F.col("t"), each, "d", each, "n").collect()
+    want = {(k, kind): sorted(r.item for r in items if (r.k, r.kind) == (k, kind)) for k in (1, 3) for kind in proposals.OVERLAP}
+    got = {r.k: r for r in proposals.document_sets(one, "k", F.col("t"), F.col("d"), F.col("n")).collect()}
+    assert {*got} == {1, 3, 4} and got[4].norm == ["z"]
+    assert {(k, kind): list(got[k][kind]) for k in (1, 3) for kind in proposals.OVERLAP} == want
