@@ -17,6 +17,8 @@ class Query:
 
 
 REGISTRY: dict[str, Query] = {}
+# Rows of a table for each partition into which it is dealt.
+ROWS = 1 << 19
 
 
 class Tables:
@@ -28,6 +30,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def parts(self, name: str) -> int:
+        """Into how many partitions a table's rows are dealt; rows are counted from the footers of its files."""
+        return -(-getattr(self, name).count() // ROWS)
+
 
 def query(name: str, covers: str, sql: str | None = None):
     """Registers a function of Tables under ``name``; ``covers`` lists operator ids."""

@@ -33,6 +33,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in ``parts`` partitions, where the session has fewer: parts that grow with the input keep each task's share as it is."""
+    fewer = parts is None or parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df if fewer else df.repartition(parts, *keys)
+
+
 def drop_written(spark: SparkSession) -> None:
     """Deletes what this application wrote on the way; call it once results that read from it are written themselves."""
     path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
