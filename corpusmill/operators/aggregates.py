@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.sources.tables import dealt
+
 
 def exact_sum(x: Column, scale: int = 4) -> Column:
     """A sum of doubles that doesn't depend on the order of rows."""
     return F.sum(x.cast(f"decimal(18,{scale})")).cast("double")
 
 
-def mention_heatmap(mentions: DataFrame, doc: str, source: str, ts: str, labels: DataFrame, label_cols: list[str], limit: int) -> DataFrame:
+def mention_heatmap(mentions: DataFrame, doc: str, source: str, ts: str, labels: DataFrame, label_cols: list[str], limit: int, parts: int | None = None) -> DataFrame:
     """Mentions and documents per year and source label, most mentioned first.
 
     First one row for each (year, document, source), so that the second grouping counts documents without a distinct.
-    Ties end in the labels.
+    Ties end in the labels. ``parts``: into how many partitions rows are dealt; mentions that are dealt by document stay so.
     """
     per_doc = mentions.groupBy(F.year(ts).alias("year"), doc, source).agg(F.count("*").alias("n"), F.max(ts).alias("last"))
-    out = per_doc.join(labels, source).groupBy("year", *label_cols).agg(F.sum("n").alias("mentions"), F.count("*").alias("documents"), F.max("last").alias("last_date"))
+    out = dealt(per_doc, parts, source).join(labels, source).groupBy("year", *label_cols).agg(F.sum("n").alias("mentions"), F.count("*").alias("documents"), F.max("last").alias("last_date"))
     return out.orderBy(F.desc("mentions"), F.desc("documents"), "year", *label_cols).limit(limit)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import aggregates as agg
 from corpusmill.plans.registry import Tables, query
+from corpusmill.sources.tables import dealt
 
 AS_OF = "1998-08-02 00:00:00"
 STAGES = {"O": "open", "F": "filled", "P": "partial"}
@@ -20,9 +21,10 @@ STAGES = {"O": "open", "F": "filled", "P": "partial"}
     FROM per_doc JOIN part ON p_partkey = l_partkey GROUP BY year, p_type, p_brand
     ORDER BY mentions DESC, documents DESC, year, p_type, p_brand LIMIT 500""")
 def heatmap(t: Tables) -> DataFrame:
-    mentions = t.lineitem.select("l_orderkey", "l_partkey").join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    parts = t.parts("lineitem")
+    mentions = dealt(t.lineitem.select("l_orderkey", "l_partkey"), parts, "l_orderkey").join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
     labels = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand")
-    return agg.mention_heatmap(mentions, "l_orderkey", "l_partkey", "o_orderdate", labels, ["p_type", "p_brand"], 500)
+    return agg.mention_heatmap(mentions, "l_orderkey", "l_partkey", "o_orderdate", labels, ["p_type", "p_brand"], 500, parts)
 
 
 @query("q_trends", "A2", """

@@ -2,7 +2,9 @@
 
 import re
 
-from corpusmill.operators import clusters
+from pyspark.sql import functions as F
+
+from corpusmill.operators import aggregates, clusters
 from corpusmill.sources.tables import dealt
 
 
@@ -43,3 +45,12 @@ def test_centrality_is_dealt(spark):
             want[c, s] = want.get((c, s), 0) + 1
     assert plain == many == sorted([(c, s, n, int(n / 10 * 100 + 0.5) / 100) for (c, s), n in want.items()], key=str)
     assert parts.count(19) >= 4 and set(parts) <= {8, 19}
+
+
+def test_heatmap_is_dealt(spark):
+    mentions = spark.createDataFrame([(i % 20, i % 6, f"{2000 + i % 20 % 3}-01-01") for i in range(150)], "d int, s int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    labels = spark.createDataFrame([(i, "xyz"[i % 3]) for i in range(6)], "s int, label string")
+    plain, many, parts = wide(spark, lambda n: aggregates.mention_heatmap(dealt(mentions, n, "d"), "d", "s", "ts", labels, ["label"], 50, n))
+    assert plain == many and sum(r[2] for r in many) == 150
+    # documents and sources are dealt, and labels to meet them
+    assert parts.count(19) == 3
