@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import full_year, plain_number, reference_numbers, rows_of_cells, segments, tag_display, tag_norm
 from corpusmill.operators.aggregates import half_up
 from corpusmill.operators.joins import best_per_key, first_wins
-from corpusmill.sources.tables import checkpointed
+from corpusmill.sources.tables import checkpointed, dealt
 
 # What an action does to what it refers to; other actions adjust.
 EFFECT = {
@@ -43,12 +43,15 @@ def neighbours(edges: DataFrame, nodes: DataFrame, key: str, focus: DataFrame) -
     return out.unionByName(in_).join(nodes, key)
 
 
-def communities(edges: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
-    """Each seed with itself and its different neighbours; of several edges to one neighbour an outgoing one counts first."""
+def communities(edges: DataFrame, seeds: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """Each seed with itself and its different neighbours; of several edges to one neighbour an outgoing one counts first. ``parts``: into how many partitions rows are dealt."""
     own = seeds.select(F.col(key).alias("seed"), F.col(key).alias("member"), F.lit("seed").alias("role"), F.lit(0).alias("_p"))
-    out = edges.join(seeds.select(F.col(key).alias("src")), "src", "left_semi").select(F.col("src").alias("seed"), F.col("dst").alias("member"), F.lit("cited").alias("role"), F.lit(1).alias("_p"))
-    in_ = edges.join(seeds.select(F.col(key).alias("dst")), "dst", "left_semi").select(F.col("dst").alias("seed"), F.col("src").alias("member"), F.lit("citing").alias("role"), F.lit(2).alias("_p"))
-    return best_per_key(own.unionByName(out).unionByName(in_), ["seed", "member"], [F.col("_p")]).drop("_p")
+    ends = edges.select("src", "dst")
+    # an inner join stays above the dealing, a semi-join is moved below it
+    named = lambda end: dealt(seeds.select(F.col(key).alias(end)), parts, end).distinct()
+    out = dealt(ends, parts, "src").join(named("src"), "src").select(F.col("src").alias("seed"), F.col("dst").alias("member"), F.lit("cited").alias("role"), F.lit(1).alias("_p"))
+    in_ = dealt(ends, parts, "dst").join(named("dst"), "dst").select(F.col("dst").alias("seed"), F.col("src").alias("member"), F.lit("citing").alias("role"), F.lit(2).alias("_p"))
+    return best_per_key(dealt(own.unionByName(out).unionByName(in_), parts, "seed", "member"), ["seed", "member"], [F.col("_p")]).drop("_p")
 
 
 def inside_family(edges: DataFrame, keys: DataFrame, key: str, limit: int, order: list[Column]) -> DataFrame:

@@ -41,7 +41,7 @@ def neighbours(t: Tables) -> DataFrame:
     WITH {_E}, s AS (SELECT o_orderkey AS k FROM orders)
     SELECT k AS seed, k AS member, 'seed' AS role FROM s UNION ALL SELECT DISTINCT src, dst, 'cited' FROM e JOIN s ON e.src = s.k""")
 def community(t: Tables) -> DataFrame:
-    return graph.communities(_edges(t), t.orders.select(F.col("o_orderkey").alias("k")), "k")
+    return graph.communities(_edges(t), t.orders.select(F.col("o_orderkey").alias("k")), "k", t.parts("lineitem"))
 
 
 @query("q_family_edges", "G5", f"""

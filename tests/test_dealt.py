@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import aggregates, clusters
+from corpusmill.operators import aggregates, clusters, graph
 from corpusmill.sources.tables import dealt
 
 
@@ -54,3 +54,11 @@ def test_heatmap_is_dealt(spark):
     assert plain == many and sum(r[2] for r in many) == 150
     # documents and sources are dealt, and labels to meet them
     assert parts.count(19) == 3
+
+
+def test_community_is_dealt(spark):
+    edges = spark.createDataFrame([(i % 9, i % 5, "x") for i in range(60)] + [(4, 1, "x"), (None, 2, "x"), (2, None, "x")], "src int, dst int, action string")
+    seeds = spark.createDataFrame([(i,) for i in (1, 2, 3, 3, 8, 11)], "k int")
+    plain, many, parts = wide(spark, lambda n: graph.communities(edges, seeds, "k", n))
+    assert plain == many and len({r[:2] for r in many}) == len(many) and (11, 11, "seed") in many
+    assert parts and set(parts) == {19}
