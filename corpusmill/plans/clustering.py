@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import clusters
 from corpusmill.plans.registry import Tables, query
+from corpusmill.sources.tables import dealt
 
 AS_OF = "1998-08-02 00:00:00"
 
 
-def _members(t: Tables) -> DataFrame:
+def _members(t: Tables, parts: int | None = None) -> DataFrame:
     flag = F.col("l_returnflag")
-    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+    lines = dealt(t.lineitem, parts, "l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.collect_set(F.col("l_suppkey") % 20).alias("tags"), F.collect_set(F.col("l_partkey") % 50).alias("sources"), F.collect_set(F.concat("l_returnflag", "l_linestatus")).alias("flags"), F.count("*").alias("relations"), F.count_if(flag == "A").alias("in_strengthens"),
         F.count_if(flag == "N").alias("in_develops"), F.count_if((flag == "R") & (F.col("l_discount") < 0.05)).alias("in_adjusts"), F.count_if((flag == "R") & F.col("l_discount").between(0.05, 0.08)).alias("in_limits"), F.count_if((flag == "R") & (F.col("l_discount") > 0.08)).alias("in_displaces"), F.max("l_shipdate").alias("latest_in"),
     )
@@ -43,7 +44,8 @@ _INFLUENCE = f"""
 
 @query("q_influence", "C5 C6", f"WITH {_INFLUENCE} SELECT k AS o_orderkey, floor(score * 1000.0e0 + 0.5e0) / 1000.0e0 AS score, floor(priority * 1000.0e0 + 0.5e0) / 1000.0e0 AS priority FROM s")
 def influence(t: Tables) -> DataFrame:
-    scored = clusters.influence(_members(t), "o_custkey", "o_orderkey")
+    parts = t.parts("lineitem")
+    scored = clusters.influence(_members(t, parts), "o_custkey", "o_orderkey", parts)
     return scored.select("o_orderkey", clusters.half_up(F.col("score"), 3).alias("score"), clusters.half_up(F.col("priority"), 3).alias("priority"))
 
 
@@ -56,9 +58,8 @@ def influence(t: Tables) -> DataFrame:
     SELECT c AS o_custkey, members, floor(density * 1000.0e0 + 0.5e0) / 1000.0e0 AS density, influential[1] AS representative, influential, CAST(core AS BIGINT) AS core,
         floor((density * 0.45e0 + least(1.0e0, log2(members + 1) / 3) * 0.2e0 + least(1.0e0, core / 2) * 0.15e0 + least(1.0e0, n / members) * 0.15e0 + CASE WHEN days <= 0 THEN 0.2e0 ELSE least(1.0e0, days / 365) END * 0.05e0) * 1000.0e0 + 0.5e0) / 1000.0e0 AS importance FROM x""")
 def cores(t: Tables) -> DataFrame:
-    members = _members(t)
-    each = members.select("o_custkey", F.explode("sources").alias("s")).groupBy("o_custkey", "s").agg(F.count("*").alias("n"))
-    return clusters.cores(clusters.influence(members, "o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", each.groupBy("o_custkey").agg(F.max("n").alias("n")))
+    parts = t.parts("lineitem")
+    return clusters.cores(clusters.influence(_members(t, parts), "o_custkey", "o_orderkey", parts), "o_custkey", "o_orderkey")
 
 
 @query("q_cluster_state", "C11 C12 C14 C16", f"""
