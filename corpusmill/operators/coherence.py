@@ -131,8 +131,8 @@ def actions(found: DataFrame, lines: DataFrame, line: str, key: str, members: Da
         F.lit(action).alias("action"), F.col(line), (F.lit(None).cast("long") if other is None else F.col(other).cast("long")).alias("other"), (F.lit(None).cast("long") if detail is None else F.col(detail).cast("long")).alias("detail"),
         confidence.alias("confidence"), F.lit(impact).alias("impact"), (risk if isinstance(risk, Column) else F.lit(risk)).alias("risk"),
     )
-    # four kinds of actions read the signals
-    found = checkpointed(found)
+    # four kinds of actions read the signals, three the lines
+    found, lines = checkpointed(found), checkpointed(lines)
     pairs = same_title_pairs(lines, line, "title", {"tags": "tags", "sources": "sources"}, digits=2)
     titles = lines.groupBy(F.lower("title").alias("_t")).agg(F.count("*").alias("_n"), F.min(line).alias(line)).where("_n > 1")
     broken = found.where("status = 'fragmented'").select(line, "fragmentation")

@@ -49,6 +49,26 @@ def test_title_pairs_are_dealt_over_tasks(spark, monkeypatch):
         assert ("array_intersect" in plan(out)) == (words == 1)
 
 
+def test_actions_deal_merges_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "CELL", 20, raising=False)
+    many, rng = 120, random.Random(5)
+    tags = {k: rng.sample("abcdefgh", 5) for k in range(many)}
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda k: read.add(1) or k, "long").asNondeterministic()
+    lines = spark.createDataFrame([(k, 0.5, "develops", "one", tags[k], tags[k][:2]) for k in tags], "line long, density double, bucket string, title string, tags array<string>, sources array<string>")
+    found = spark.createDataFrame([(0, "mixed", 0.3, 0.5, 0.4), (1, "fragmented", 0.1, 0.1, 0.7)], "line long, status string, outliers double, noise double, fragmentation double")
+    members = spark.createDataFrame([(0, 1, 0.1), (1, 2, 0.9), (1, 3, 0.9)], "line long, k long, score double")
+    items = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, item string")
+    out = coherence.actions(found, lines.withColumn("line", seen("line")), "line", "k", members, items, most=None).withColumn("_p", F.spark_partition_id()).collect()
+    merges = [r for r in out if r.action == "merge" and r.other is not None]
+    share = lambda a, b, n: len({*tags[a][:n]} & {*tags[b][:n]}) / n
+    assert sorted((r.line, r.other) for r in merges) == [(a, b) for a in tags for b in tags if a < b and max(share(a, b, 5), share(a, b, 2)) >= 0.4]
+    assert sorted((r.action, r.line, r.detail) for r in out if r.other is None) == [("merge", 0, many), ("normalise", 0, None), ("reassign", 0, 1), ("split", 1, 2)]
+    # lines are computed once, and pairs of one title are not one task's
+    assert read.value == many
+    assert len({r._p for r in merges}) >= 4
+
+
 def test_reassignments_meet_subsets(spark):
     rng = random.Random(2)
     items = [chr(97 + i) for i in range(18)]
